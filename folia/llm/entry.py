@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, minmax
 
 QUERIES = {
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
+    "op8_minhash_near_dedup": minmax.op8_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
     "op6_benchmark_decontamination": decontam.OP6_SQL,
+    "op8_minhash_near_dedup": minmax.OP8_SQL,
 }
