@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, minmax
+from . import decontam, minmax, substring
 
 QUERIES = {
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
+    "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_minhash_near_dedup": minmax.op8_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
     "op6_benchmark_decontamination": decontam.OP6_SQL,
+    "op7_substring_dedup": substring.OP7_SQL,
     "op8_minhash_near_dedup": minmax.OP8_SQL,
 }
