@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, minmax, substring
+from . import decontam, minmax, substring, toxicity
 
 QUERIES = {
+    "op2_ftrl_toxicity": toxicity.op2_ftrl_toxicity,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_minhash_near_dedup": minmax.op8_minhash_near_dedup,
