@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, minmax, substring, toxicity
+from . import decontam, langid, minmax, packing, substring, toxicity
 
 QUERIES = {
+    "op1_crf_language_id": langid.op1_crf_language_id,
     "op2_ftrl_toxicity": toxicity.op2_ftrl_toxicity,
+    "op5_mixture_packing": packing.op5_mixture_packing,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_minhash_near_dedup": minmax.op8_minhash_near_dedup,
