@@ -13,7 +13,8 @@ share an anchor form its neighbourhood; a document is factored greedily, anchor
 
 Each task passes on only its first place of a neighbourhood or window (what comes later in the task repeats for certain)
 and at most 16 neighbourhoods of an anchor (beyond that it looks the windows up at once), so that a passage in a third
-of all documents puts a few rows per task in a group. Neighbourhoods and windows are compared by 128-bit hashes.
+of all documents puts a few rows per task in a group. Neighbourhoods and windows are compared by 112 bits of hashes. Rows
+are packed by ranges of their hash before they are shuffled, and texts are compressed.
 
 Defined results: null text has no words; documents with fewer words than a window lose nothing; a null ``doc_id`` counts
 as larger than all; rows with equal ``doc_id`` and the same start are not earlier than each other.
@@ -25,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_steps, splitmix, stored, string_parts, table
@@ -37,7 +38,9 @@ FLUSH = 1_000_000
 _LAST = (1 << 63) - 1
 _Q, _IQ = 0xA24BAED4963EE407, pow(0xA24BAED4963EE407, -1, 1 << 64)
 _SECOND = np.uint64(splitmix(77))
-_ROW = "h bigint, c bigint, d bigint, p bigint, kind int"
+_BLOB = "bucket int, blob binary"
+_FOUND = "d bigint, key bigint, p bigint, kind int"
+_CHECK = np.uint64((1 << 48) - 1)
 #: of a row: to be resolved in its group; repeats; windows to be looked up; only tells that its anchor has many neighbourhoods
 OPEN, REPEATS, BOUNDARY, MANY = range(4)
 
@@ -118,12 +121,62 @@ def _firsts(h: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray, contexts
     return tuple(np.concatenate(x) for x in ((h, many), (c, z.view(np.uint64)), (d, z), (p, z), (kind, np.full(len(many), MANY, np.int32))))
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Values as byte planes, so that what is alike in them compresses."""
+    return x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _values(raw: memoryview, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    x = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return np.ascontiguousarray(x).view(f"<u{width}").ravel(), at + n * width
+
+
+def zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unzipped(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.Codec("zstd").decompress(blob[8:], size, asbytes=True) if size else b""
+
+
+def _encoded(h: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray, kind: np.ndarray) -> bytes:
+    """Rows of one bucket: sorted hashes as differences, documents by their place in a table."""
+    told = (kind == REPEATS) | (kind == BOUNDARY)
+    h, c = np.where(told, h.min(), h), np.where(told, np.uint64(0), c & _CHECK)
+    order = np.argsort(h, kind="stable")
+    h, c, d, p, kind = h[order], c[order], d[order], p[order], kind[order]
+    pair = np.stack([d, p & ((1 << 29) - 1)], axis=1)
+    by = np.lexsort((pair[:, 1], pair[:, 0]))
+    new = np.ones(len(by), bool)
+    new[1:] = (pair[by][1:] != pair[by][:-1]).any(axis=1)
+    docs = pair[by][new]
+    doc = np.empty(len(by), np.int64)
+    doc[by] = np.cumsum(new) - 1
+    parts = [len(h).to_bytes(8, "little"), len(docs).to_bytes(8, "little"), docs.tobytes(), _planes(np.diff(h, prepend=np.uint64(0)), 8), _planes(c, 8), _planes(doc, 4), _planes(p >> 35, 4), _planes((p >> 29) & 63, 1), _planes(kind, 1)]
+    return zipped(b"".join(parts))
+
+
+def _decoded(blob: bytes) -> tuple[np.ndarray, ...]:
+    raw = memoryview(unzipped(blob))
+    n, m = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
+    docs = np.frombuffer(raw, np.int64, 2 * m, 16).reshape(m, 2)
+    at = 16 + 16 * m
+    cols = []
+    for width in (8, 8, 4, 4, 1, 1):
+        x, at = _values(raw, at, n, width)
+        cols.append(x)
+    h, c, doc, lo, span, kind = cols
+    d, key = docs[doc].T
+    return np.cumsum(h), c, d, (lo.astype(np.int64) << 35) | (span.astype(np.int64) << 29) | key, kind.astype(np.int32)
+
+
 class _Gather:
-    """Rows of a task, passed on a million at a time."""
+    """Rows of a task, passed on a million at a time, packed by bucket of their hash."""
 
-    def __init__(self, contexts: int | None):
+    def __init__(self, contexts: int | None, buckets: int):
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.n, self.contexts = 0, contexts
+        self.n, self.contexts, self.buckets = 0, contexts, buckets
 
     def add(self, *cols: np.ndarray):
         self.parts.append(cols)
@@ -135,18 +188,20 @@ class _Gather:
         if self.n:
             out = _firsts(*[np.concatenate(x) for x in zip(*self.parts, strict=True)], self.contexts)
             self.parts, self.n = [], 0
-            for i in range(0, len(out[0]), 200_000):
-                h, c, d, p, kind = (x[i : i + 200_000] for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(p), pa.array(kind)], names=["h", "c", "d", "p", "kind"])
+            bucket = ((out[0] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.diff(bucket[order])) + 1
+            groups = np.split(order, cut)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[g[0]] for g in groups], pa.int32()), pa.array([_encoded(*[x[g] for x in out]) for g in groups], pa.binary())], names=["bucket", "blob"])
 
 
 def _long(col: pa.Array) -> np.ndarray:
     return col.fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _index(src: DataFrame, window: int) -> DataFrame:
+def _index(src: DataFrame, window: int, buckets: int) -> DataFrame:
     def run(batches):
-        rows = _Gather(CONTEXTS)
+        rows = _Gather(CONTEXTS, buckets)
         for batch in batches:
             data, offsets = string_parts(batch.column("text"))
             d, key = _long(batch.column("d")), _long(batch.column("key"))
@@ -155,17 +210,40 @@ def _index(src: DataFrame, window: int) -> DataFrame:
                 yield from rows.add(h, c, d[i + doc], _place(lo, span, key[i + doc]))
         yield from rows.flush()
 
-    return src.select("d", "key", "text").mapInArrow(run, _ROW)
-
-
-def _resolved(rows: DataFrame) -> DataFrame:
-    """(d, key, p, kind) of what repeats or has windows to be looked up."""
-    here, same = Window.partitionBy("h"), Window.partitionBy("h", "c")
-    at = F.when(F.col("kind") == OPEN, F.struct("d", F.shiftrightunsigned("p", 35).alias("s")))
-    c = F.when(F.col("kind") == OPEN, F.col("c"))
-    seen = rows.withColumn("at", at).withColumn("first", F.min("at").over(same)).withColumn("many", (F.min(c).over(here) != F.max(c).over(here)) | (F.max("kind").over(here) == MANY))
-    kind = F.when(F.col("kind") != OPEN, F.col("kind")).when(F.col("at") > F.col("first"), REPEATS).when(F.col("many"), BOUNDARY)
-    return seen.select("d", F.col("p").bitwiseAND((1 << 29) - 1).alias("key"), "p", kind.alias("kind")).where(F.col("kind").isin(REPEATS, BOUNDARY))
+    return src.select("d", "key", "text").mapInArrow(run, _BLOB)
+
+
+def _resolved(blobs: DataFrame) -> DataFrame:
+    """(d, key, p, kind) of what repeats or has windows to be looked up; a group holds the rows of a range of hashes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        h, c, d, p, kind = (np.concatenate(x) for x in zip(*[_decoded(b) for b in group.column("blob").to_pylist()], strict=True))
+        told = (kind == REPEATS) | (kind == BOUNDARY)
+        order = np.flatnonzero(~told)
+        order = order[np.argsort(h[order], kind="stable")]
+        alone = np.ones(len(order), bool)
+        same = h[order][1:] == h[order][:-1]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        rest = order[~alone]
+        rest = rest[np.lexsort((p[rest], d[rest], c[rest], kind[rest], h[rest]))]
+        kind = kind.copy()
+        if len(rest):
+            hh, cc, dd, pp, is_open = h[rest], c[rest], d[rest], p[rest], kind[rest] == OPEN
+            newh = np.ones(len(rest), bool)
+            newh[1:] = hh[1:] != hh[:-1]
+            newc = newh.copy()
+            newc[1:] |= (cc[1:] != cc[:-1]) | (is_open[1:] != is_open[:-1])
+            lead = np.flatnonzero(newc)[np.cumsum(newc) - 1]
+            later = (dd > dd[lead]) | ((dd == dd[lead]) & ((pp >> 35) > (pp[lead] >> 35)))
+            group_of = np.cumsum(newh) - 1
+            many = (np.bincount(group_of, newc) > 1)[group_of]
+            kind[rest[is_open & later]] = REPEATS
+            kind[rest[is_open & ~later & many]] = BOUNDARY
+        out = (kind == REPEATS) | (kind == BOUNDARY)
+        return pa.table({"d": d[out], "key": p[out] & ((1 << 29) - 1), "p": p[out], "kind": kind[out]})
+
+    return blobs.groupBy("bucket").applyInArrow(run, _FOUND)
 
 
 def _by_doc(found: DataFrame) -> DataFrame:
@@ -182,61 +260,87 @@ def _cover(n: int, packed: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(mark)[:-1] > 0
 
 
-_DOC = "doc_id bigint, d bigint, key bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,length:bigint>>, text string, packed array<bigint>, s array<bigint>, w1 array<bigint>, w2 array<bigint>"
+_DOC = "doc_id bigint, d bigint, key bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,length:bigint>>, body binary, packed array<bigint>"
 
 
-def _applied(docs: DataFrame, window: int) -> DataFrame:
-    """Documents (doc_id, d, key, text, f: packed ranges) as rows of ``_DOC``; those with windows to be looked up keep their text."""
+def _texts(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    texts = [unzipped(x) for x in bodies.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts])
+
+
+def _small(batch: pa.RecordBatch):
+    """Parts of a batch whose texts are a few steps long."""
+    size = batch.column("body").fill_null(b"").cast(pa.large_binary())
+    size = np.diff(np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + len(size) + 1])
+    for i, j in row_steps(np.concatenate([[0], np.cumsum(size)])):
+        yield batch.slice(i, j - i)
+
+
+def _compressed(src: DataFrame) -> DataFrame:
+    """The texts as compressed bodies: they are shuffled once or twice."""
 
     def run(batches):
         for batch in batches:
             data, offsets = string_parts(batch.column("text"))
-            ranges = batch.column("f").to_pylist()
-            out: list[list] = [[] for _ in range(9)]
-            for i, j in row_steps(offsets):
-                w = find_words(data, offsets[i : j + 1], NON_SPACE)
-                h = None
-                for k in range(i, j):
-                    a, n = int(w.first[k - i]), int(w.count[k - i])
-                    f = np.array(ranges[k] or [], np.int64)
-                    kind = f & 3
-                    open_ = f[kind == BOUNDARY]
-                    if len(open_):
-                        if h is None:
-                            h = word_hashes(w)
-                        hd = h[a : a + n]
-                        s = np.unique(np.concatenate([np.arange(x, x + y + 1) for x, y in zip((open_ >> 35).tolist(), ((open_ >> 29) & 63).tolist(), strict=True)]))
-                        row = (n, None, None, None, data[offsets[k] : offsets[k + 1]].tobytes().decode(), f[kind == REPEATS], s, gram_hashes(hd, window)[s].view(np.int64), gram_hashes(mix(hd ^ _SECOND), window, 1)[s].view(np.int64))
-                    else:
-                        gone = _cover(n, f, window) if len(f) else np.zeros(n, bool)
-                        keep = np.flatnonzero(~gone) + a
-                        if len(f):
-                            body = b" ".join([data[x:y].tobytes() for x, y in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
-                        else:
-                            body = b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())  # bytes.split: the same six separators
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2).tolist() if len(f) else []
-                        row = (n, int(gone.sum()), hashlib.sha256(body).hexdigest(), [{"start": x, "length": y - x} for x, y in edge], None, None, None, None, None)
-                    for col, x in zip(out, row, strict=True):
-                        col.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string(), *[pa.list_(pa.int64())] * 4]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("d"), batch.column("key"), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names=[x.split()[0] for x in ("doc_id", "d", "key", "n_words", "n_removed", "kept_sha256", "spans", "text", "packed", "s", "w1", "w2")])
-
-    return docs.select("doc_id", "d", "key", "text", "f").mapInArrow(run, _DOC)
-
-
-def _windows(docs: DataFrame) -> DataFrame:
-    """Rows of the single windows to be looked up."""
+            body = [zipped(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(body, pa.binary())], names=["doc_id", "d", "key", "body"])
+
+    return src.select("doc_id", "d", "key", "text").mapInArrow(run, "doc_id bigint, d bigint, key bigint, body binary")
+
+
+def _open_windows(f: np.ndarray) -> np.ndarray:
+    f = f[f & 3 == BOUNDARY]
+    return np.unique(np.concatenate([np.arange(x, x + y + 1) for x, y in zip((f >> 35).tolist(), ((f >> 29) & 63).tolist(), strict=True)])) if len(f) else f
+
+
+def _applied(docs: DataFrame, window: int, last: bool) -> DataFrame:
+    """Documents (doc_id, d, key, body, f: packed ranges) as rows of ``_DOC``; unless it is the ``last`` time, those with windows to be looked up are passed on as they are."""
 
     def run(batches):
-        rows = _Gather(None)
-        for batch in batches:
-            n = batch.column("s").value_lengths().to_numpy(zero_copy_only=False)
-            s, w1, w2 = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("s", "w1", "w2"))
+        for batch in (x for b in batches for x in _small(b)):
+            data, offsets = _texts(batch.column("body"))
+            ranges, bodies = batch.column("f").to_pylist(), batch.column("body")
+            out: list[list] = [[] for _ in range(6)]
+            w = find_words(data, offsets, NON_SPACE)
+            for k, (a, n) in enumerate(zip(w.first.tolist(), w.count.tolist(), strict=False)):
+                f = np.array(ranges[k] or [], np.int64)
+                if not last and (f & 3 == BOUNDARY).any():
+                    row = (n, None, None, None, bodies[k].as_py(), ranges[k])
+                elif len(f := f[f & 3 == REPEATS]):
+                    gone = _cover(n, f, window)
+                    keep = np.flatnonzero(~gone) + a
+                    text = b" ".join([data[x:y].tobytes() for x, y in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2).tolist()
+                    row = (n, int(gone.sum()), hashlib.sha256(text).hexdigest(), [{"start": x, "length": y - x} for x, y in edge], None, None)
+                else:
+                    text = b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())  # bytes.split: the same six separators
+                    row = (n, 0, hashlib.sha256(text).hexdigest(), [], None, None)
+                for col, x in zip(out, row, strict=True):
+                    col.append(x)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names=["doc_id", "d", "key", "n_words", "n_removed", "kept_sha256", "spans", "body", "packed"])
+
+    return docs.select("doc_id", "d", "key", "body", "f").mapInArrow(run, _DOC)
+
+
+def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """The single windows to be looked up, packed by bucket."""
+
+    def run(batches):
+        rows = _Gather(None, buckets)
+        for batch in (x for b in batches for x in _small(b)):
+            data, offsets = _texts(batch.column("body"))
+            w = find_words(data, offsets, NON_SPACE)
+            h = word_hashes(w)
+            s = [_open_windows(np.array(f, np.int64)) for f in batch.column("packed").to_pylist()]
+            n = np.array([len(x) for x in s])
+            s = np.concatenate(s)
+            at = s + np.repeat(w.first[:-1], n)
             d, key = (np.repeat(_long(batch.column(c)), n) for c in ("d", "key"))
-            yield from rows.add(w1.view(np.uint64), w2.view(np.uint64), d, _place(s, np.zeros_like(s), key))
+            yield from rows.add(gram_hashes(h, window)[at], gram_hashes(mix(h ^ _SECOND), window, 1)[at], d, _place(s, np.zeros_like(s), key))
         yield from rows.flush()
 
-    return docs.select("d", "key", "s", "w1", "w2").mapInArrow(run, _ROW)
+    return docs.select("d", "key", "body", "packed").mapInArrow(run, _BLOB)
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -245,14 +349,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         raise ValueError("window must be 1 to 60 words")
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     src = src.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").bitwiseAND((1 << 29) - 1).alias("key"), "text")
-    marks = _by_doc(_resolved(_index(src, window)))
-    whole = stored(_applied(src.join(marks, ["d", "key"], "left"), window), "factored")
-    left = whole.where("text is not null")
-    looked = _resolved(_windows(left)).where(F.col("kind") == REPEATS)
-    late = left.select("doc_id", "d", "key", "text", "packed").join(_by_doc(looked), ["d", "key"], "left")
-    late = late.select("doc_id", "d", "key", "text", F.concat("packed", F.coalesce("f", F.array().cast("array<bigint>"))).alias("f"))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * src.rdd.getNumPartitions())
+    marks = _by_doc(_resolved(_index(src, window, buckets)))
+    whole = stored(_applied(_compressed(src).join(marks, ["d", "key"], "left"), window, False), "factored")
+    left = whole.where("body is not null")
+    looked = _resolved(_windows(left, window, buckets)).where(F.col("kind") == REPEATS)
+    late = left.select("doc_id", "d", "key", "body", "packed").join(_by_doc(looked), ["d", "key"], "left")
+    late = late.select("doc_id", "d", "key", "body", F.concat("packed", F.coalesce("f", F.array().cast("array<bigint>"))).alias("f"))
     cols = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
-    return whole.where("text is null").select(*cols).unionByName(_applied(late, window).select(*cols))
+    return whole.where("body is null").select(*cols).unionByName(_applied(late, window, True).select(*cols))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
