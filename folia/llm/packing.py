@@ -15,6 +15,7 @@ queue of its own; repeated rows are packed each; more than ``MAX_QUEUES`` source
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_right
 
@@ -25,68 +26,131 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import row_steps, stored, string_parts, table
-from .textvec import NON_SPACE, find_words, word_hashes
+from .textvec import NON_SPACE, Words, word_hashes
 
 LENGTH = 4096
 MAX_QUEUES = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: rows of the (partition, queue) offsets up to which they are broadcast; beyond, they are joined by a shuffle
 BROADCAST_ROWS = 200_000
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
+_LETTER, _DIGIT, _MARK, _WIDE = 1, 2, 3, 4
+_CLASS = np.array([0 if not NON_SPACE[b] else _WIDE if b >= 0x80 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK for b in range(256)], np.uint8)
+_SLOTS, _PROBES = 20, 8
+
+
+def find_units(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Parts of words that the vocabulary's splitting rule treats apart: cut between ASCII letters, digits and marks, but not behind an apostrophe, which may open a contraction."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    kind = np.zeros(hi - lo + 2, np.uint8)
+    kind[1:-1] = _CLASS[data[lo:hi]]
+    here, before = kind[1:-1], kind[:-2]
+    cut = (here != before) & (here != _WIDE) & (before != _WIDE)
+    cut[1:] &= ~((data[lo : hi - 1] == 0x27) & (here[1:] == _LETTER))
+    inner = offsets[1:-1] - lo
+    cut[inner[(inner > 0) & (inner < hi - lo)]] = True
+    cut = np.append(cut, True)
+    cut[:-1] |= (before == 0) != (here == 0)
+    start = np.flatnonzero(cut[:-1] & (here > 0))
+    edges = np.flatnonzero(cut)
+    end = edges[np.searchsorted(edges, start, "right")]
+    start, end = start + lo, end + lo
+    first = np.searchsorted(start, offsets)
+    return Words(data, start, end, np.diff(first), first)
+
+
 class WordTokenizer:
-    """Token ids of texts by way of a bounded cache of white-space separated words (the vocabulary never joins across white space)."""
+    """Token ids of texts by way of a bounded cache of the parts of words.
+
+    Parts of letters alone are one piece of the vocabulary's splitting rule; their merges are done by a rank-based encoder
+    over the same vocabulary, in which an extra byte stands for the end of a word. Other parts go through the tokenizer.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.sep = self.tok.token_to_id(_SPECIAL[1])
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        ranks = {}
+        for token, k in self.tok.get_vocab(with_added_tokens=False).items():
+            if token not in _SPECIAL:
+                ends = token.endswith("</w>") and token != "</w>"
+                ranks[bytes(byte[c] for c in (token[:-4] if ends else token)) + b"\xff" * ends] = k
+        self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._clear()
 
     def _clear(self):
-        self.slot: dict[int, int] = {}
+        self.keys, self.place = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
+        self.known = 0
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str]):
-        plain = [k for k, x in enumerate(words) if not any(s in x for s in _SPECIAL)]
-        got: dict[int, np.ndarray] = {}
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            ids = np.array(self.tok.encode(_SPECIAL[1].join(words[k] for k in part), add_special_tokens=False).ids, np.uint32)
-            got.update(zip(part, np.split(ids, np.flatnonzero(ids == self.sep)), strict=True))
-        for k, h in enumerate(hashes):
-            ids = got.get(k)
-            if ids is None:
-                ids = np.array(self.tok.encode(words[k], add_special_tokens=False).ids, np.uint32)
-            elif len(ids) and ids[0] == self.sep:
-                ids = ids[1:]
-            n = len(self.slot)
-            self.slot[h] = n
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if n == len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[n], self.size[n] = self.used, len(ids)
-            self.used += len(ids)
+    def _ids(self, word: str) -> list[int]:
+        low = word if word.isascii() else unicodedata.normalize("NFC", word)
+        low = low.lower()
+        if low.isalpha() and "\u03c2" not in low:
+            return self.merge(low.encode() + b"\xff")
+        return self.tok.encode(word, add_special_tokens=False).ids
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
+        """Slots of new parts."""
+        many = [self._ids(x) for x in words]
+        size = np.array([len(x) for x in many])
+        ids = np.array([i for x in many for i in x], np.uint32)
+        slots = np.arange(self.known, self.known + len(words))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while slots[-1] >= len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[slots], self.size[slots] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.known += len(words)
+        rest = np.arange(len(words))
+        for k in range(_PROBES):  # what finds no place is learned again when it is met again
+            at = ((hashes[rest] >> np.uint64(64 - _SLOTS)).astype(np.int64) + k) & ((1 << _SLOTS) - 1)
+            _, lead = np.unique(at, return_index=True)
+            lead = lead[self.place[at[lead]] < 0]
+            self.keys[at[lead]], self.place[at[lead]] = hashes[rest[lead]], slots[rest[lead]]
+            rest = np.delete(rest, lead)
+            if not len(rest):
+                break
+        return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, number per document)."""
-        w = find_words(data, offsets, NON_SPACE)
+        lo, hi = int(offsets[0]), int(offsets[-1])
+        raw = data[lo:hi].tobytes()
+        if any(x.encode() in raw for x in _SPECIAL):  # they are tokens of their own
+            ids = [self.tok.encode(raw[a - lo : b - lo].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids])
+        w = find_units(data, offsets)
         if not len(w):
             return np.zeros(0, np.uint32), np.zeros(len(w.count), np.int64)
-        known, at, inv = np.unique(word_hashes(w), return_index=True, return_inverse=True)
-        names = known.tolist()
-        if len(self.slot) > CACHE_WORDS:
+        if self.known > CACHE_WORDS:
             self._clear()
-        new = [k for k, h in enumerate(names) if h not in self.slot]
-        if new:
-            s, e = w.start[at[new]].tolist(), w.end[at[new]].tolist()
-            self._learn([names[k] for k in new], [data[x:y].tobytes().decode() for x, y in zip(s, e, strict=True)])
-        slot = np.array([self.slot[h] for h in names])[inv]
+        h = word_hashes(w, lower=True)
+        slot = np.full(len(h), -1, np.int32)
+        rest, at = np.arange(len(h)), (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        for k in range(_PROBES):
+            where = (at[rest] + k) & ((1 << _SLOTS) - 1)
+            place = self.place[where]
+            hit = (self.keys[where] == h[rest]) & (place >= 0)
+            slot[rest[hit]] = place[hit]
+            rest = rest[~hit & (place >= 0)]
+            if not len(rest):
+                break
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            names, first, inv = np.unique(h[new], return_index=True, return_inverse=True)
+            s, e = w.start[new[first]].tolist(), w.end[new[first]].tolist()
+            slot[new] = self._learn(names, [data[x:y].tobytes().decode() for x, y in zip(s, e, strict=True)])[inv]
         n = self.size[slot]
         upto = np.cumsum(n)
         ids = self.flat[np.repeat(self.begin[slot] - (upto - n), n) + np.arange(upto[-1])]
