@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minmax, packing, substring, toxicity
+from . import decontam, langid, minmax, packing, pii, substring, toxicity
 
 QUERIES = {
     "op1_crf_language_id": langid.op1_crf_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_minhash_near_dedup": minmax.op8_minhash_near_dedup,
+    "op10_crf_pii": pii.op10_crf_pii,
 }
 
 ORACLE_SQL = {
