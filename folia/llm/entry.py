@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minmax, packing, pii, substring, toxicity
+from . import decontam, langid, minmax, packing, pii, secretscan, substring, toxicity
 
 QUERIES = {
     "op1_crf_language_id": langid.op1_crf_language_id,
     "op2_ftrl_toxicity": toxicity.op2_ftrl_toxicity,
+    "op3_markov_secrets": secretscan.op3_markov_secrets,
     "op5_mixture_packing": packing.op5_mixture_packing,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_substring_dedup": substring.op7_substring_dedup,
