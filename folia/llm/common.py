@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,3 +94,8 @@ def append_columns(df: DataFrame, inputs: list[str], make: Callable, added: T.St
 
     res = inner.mapInArrow(run, out)
     return res.select(*[F.col(f"r{k}").alias(c) for k, c in enumerate(names)], *[F.col(f.name) for f in added.fields])
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, also where a lambda in ``use`` refers to it for every element."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minmax, packing, pii, secretscan, substring, toxicity
+from . import decontam, langid, minmax, packing, pii, quality, secretscan, substring, toxicity
 
 QUERIES = {
     "op1_crf_language_id": langid.op1_crf_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_minhash_near_dedup": minmax.op8_minhash_near_dedup,
+    "op9_ngram_quality": quality.op9_ngram_quality,
     "op10_crf_pii": pii.op10_crf_pii,
 }
 

@@ -86,18 +86,21 @@ def _weights(values: list[float]) -> Column:
     return F.split(F.lit(" ".join(f"{v:.4f}" for v in values)), " ").cast("array<double>")
 
 
-def _found(text: Column, pattern: str, rank: int, keep=None) -> Column:
-    """Spans (start, rank, end) of all matches of a pattern in a text."""
-    pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(F.sequence(F.lit(0), F.size(whole) - 1), lambda i: F.struct((F.length(F.get(pieces, i))).alias("gap"), F.length(F.get(whole, i)).alias("len"), i.alias("i")))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,i:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.array_append(acc["spans"], F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["i"].alias("i"))).alias("spans"))
-    spans = F.when(F.size(whole) > 0, F.aggregate(sizes, start, step, lambda acc: acc["spans"])).otherwise(empty)
-    return F.filter(spans, keep) if keep else spans
+def _found(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
+    """Spans (start, rank, end) of the matches of a pattern in a text, those whose group has ``least`` characters or more."""
+    read = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("spans"))
 
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-_NONE = "array<struct<start:int,rank:int,end:int,i:int>>"
+    return F.aggregate(read, start, step, lambda acc: acc["spans"])
+
+
+_NONE = "array<struct<start:int,rank:int,end:int>>"
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -112,8 +115,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", labelled: DataFrame | None
     for word in KEYWORDS:
         has = has | F.contains("low", F.lit(word))
     t = F.col("t")
-    values = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1))
-    assign = F.when(has, _found(t, ASSIGN, 0, lambda x: F.length(F.get(values, x["i"])) >= 6)).otherwise(none)
+    assign = F.when(has, _found(t, ASSIGN, 0, 1, 6)).otherwise(none)
     access = F.when(F.contains("t", F.lit("AKIA")), _found(t, ACCESS, 1)).otherwise(none)
     hexes = F.when(F.rlike("t", F.lit(HEX)), _found(t, HEX, 2)).otherwise(none)
     df = df.select("r", "t", F.array_sort(F.concat(assign, access, hexes)).alias("base"))
