@@ -78,12 +78,12 @@ def node_key(s: np.ndarray) -> bytes:
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands): bands only for the first row of a node in a task."""
+    """(doc_id, key, n_shingles, node, bands): bands only for the first row of a node in a task."""
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            data, offsets = string_parts(batch.column(1))
+            data, offsets = string_parts(batch.column("text"))
             sizes, nodes, keys = [], [], []
             for i, j in row_steps(offsets):
                 sets = shingle_sets(data, offsets[i : j + 1], words)
@@ -100,9 +100,9 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 sizes += [len(s) for s in sets]
                 nodes += names
                 keys += here
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "node", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
 class Union:
@@ -188,11 +188,16 @@ def _relabel(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return stored(labels.join(roots, "label", "left").select("comp", "node", "size", "text", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: int = 75, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _sources(docs: DataFrame, id_col: str, text_col: str) -> list:
+    doc, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
+    return [doc.alias("doc_id"), F.xxhash64(doc, text).alias("key"), text.alias("text")]
+
+
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: int = 75, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(doc_id, key: hash of the row, n_shingles, label: of the group, component_id), one row per row of ``docs``; without shingles the label is null."""
+    src = docs.select(*_sources(docs, id_col, text_col))
     rows = stored(_profile(src, words), "profile")
-    lone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    lone = rows.where("node is null").select("doc_id", "key", "n_shingles", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("component_id"))
     has = rows.where("node is not null")
     ids = has.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("size"))
 
@@ -234,9 +239,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = ids.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_of = named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("n")).where("n > 1")
-    of_node = named.join(least_of, "label").select("node", "component_id")
-    some = has.select("doc_id", "n_shingles", "node").join(of_node.withColumn("known", F.lit(True)), "node", "left").select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return some.unionByName(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_node = named.join(least_of, "label").select("node", "label", "component_id")
+    some = has.select("doc_id", "key", "n_shingles", "node").join(of_node, "node", "left")
+    known = F.col("label").isNotNull()
+    some = some.select("doc_id", "key", "n_shingles", F.coalesce("label", "node").alias("label"), F.when(known, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return some.unionByName(lone)
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    return grouped(docs, **how).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id (of several, the one with the smallest row hash). A repeated row counts once."""
+    rows = grouped(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = rows.groupBy(F.coalesce("label", F.xxhash64("key").cast("string").cast("binary")).alias("label")).agg(F.min(F.struct("key", "doc_id")).alias("x"))
+    kept = first.select(F.col("x.key").alias("_key"), F.coalesce("x.doc_id", F.lit(-1)).alias("_id"))
+    doc, key, _ = _sources(docs, id_col, text_col)
+    df = docs.withColumn("_key", key).withColumn("_id", F.coalesce(doc, F.lit(-1)))
+    return df.join(kept, ["_key", "_id"], "left_semi").dropDuplicates(["_key", "_id"]).select(*docs.columns)
 
 
 def _checked(members: DataFrame, words: int) -> DataFrame:
