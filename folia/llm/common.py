@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step looks at; a longer single document is taken alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +73,26 @@ def row_steps(offsets: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[int
         i = j
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def release() -> None:
+    """Give freed memory back to the system: Python workers are reused by later tasks and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` (of mapInArrow), releasing memory at the end of a task."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def append_columns(df: DataFrame, inputs: list[str], make: Callable, added: T.StructType, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -92,7 +113,7 @@ def append_columns(df: DataFrame, inputs: list[str], make: Callable, added: T.St
             cols = step(*batch.columns[:n_in])
             yield pa.RecordBatch.from_arrays(list(batch.columns[n_in : n_in + n_ride]) + list(cols), names=[f.name for f in out.fields])
 
-    res = inner.mapInArrow(run, out)
+    res = inner.mapInArrow(lean(run), out)
     return res.select(*[F.col(f"r{k}").alias(c) for k, c in enumerate(names)], *[F.col(f.name) for f in added.fields])
 
 

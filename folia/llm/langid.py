@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, row_steps, string_parts, table
+from .common import append_columns, lean, row_steps, string_parts, table
 from .textvec import LOWER, Words, find_words, mix, word_hashes
 from .toxicity import held_out
 
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                         tags.append(lang[i + d])
             yield pa.RecordBatch.from_arrays([pa.array(tags, pa.string()), pa.array(out, pa.string())], names=["lang", "text"])
 
-    got = texts.select("lang", "text").mapInArrow(run, "lang string, text string").toArrow()
+    got = texts.select("lang", "text").mapInArrow(lean(run), "lang string, text string").toArrow()
     return train(list(zip(got.column("lang").to_pylist(), got.column("text").to_pylist(), strict=True)), **how)
 
 

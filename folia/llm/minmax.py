@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_steps, splitmix, stored, string_parts, table
+from .common import lean, row_steps, splitmix, stored, string_parts, table
 from .components import components
 from .textvec import NON_SPACE, find_words, gram_hashes, mix, word_hashes
 
@@ -102,7 +102,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 keys += here
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "node", "bands"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key bigint, n_shingles bigint, node binary, bands array<bigint>")
+    return docs.select("doc_id", "key", "text").mapInArrow(lean(run), "doc_id bigint, key bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
 class Union:
@@ -270,7 +270,7 @@ def _checked(members: DataFrame, words: int) -> DataFrame:
             names = [node_key(s) if len(s) else None for i, j in row_steps(offsets) for s in shingle_sets(data, offsets[i : j + 1], words)]
             yield batch.filter(pa.array([a == b for a, b in zip(names, batch.column("node").to_pylist(), strict=True)], pa.bool_()))
 
-    return members.mapInArrow(run, members.schema)
+    return members.mapInArrow(lean(run), members.schema)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_steps, stored, string_parts, table
+from .common import lean, row_steps, stored, string_parts, table
 from .textvec import NON_SPACE, Words, word_hashes
 
 LENGTH = 4096
@@ -181,7 +181,7 @@ def tokenized(docs: DataFrame, path: str, *, end_id: int = 2, wide: bool = True)
             m = len(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("queue"), pa.array([part] * m, pa.int32()), pa.array(offs, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "queue", "part", "off", "n", "ids"])
 
-    return docs.select("doc_id", "queue", "text").mapInArrow(run, "doc_id bigint, queue string, part int, off bigint, n bigint, ids binary")
+    return docs.select("doc_id", "queue", "text").mapInArrow(lean(run), "doc_id bigint, queue string, part int, off bigint, n bigint, ids binary")
 
 
 class Plan:
@@ -306,7 +306,7 @@ def packed(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             names = [x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 7 else pa.binary()) for k, x in enumerate(out)], names=names)
 
-    return tokens.join(base, ["part", "queue"]).select("doc_id", "queue", "off", "n", "ids", "base").mapInArrow(run, _PIECE + ", ids binary" * keep_ids)
+    return tokens.join(base, ["part", "queue"]).select("doc_id", "queue", "off", "n", "ids", "base").mapInArrow(lean(run), _PIECE + ", ids binary" * keep_ids)
 
 
 def vocabulary() -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_steps, splitmix, stored, string_parts, table
+from .common import lean, row_steps, splitmix, stored, string_parts, table
 from .textvec import NON_SPACE, find_words, gram_hashes, inside, mix, word_hashes
 
 GRAM = 6
@@ -210,7 +210,7 @@ def _index(src: DataFrame, window: int, buckets: int) -> DataFrame:
                 yield from rows.add(h, c, d[i + doc], _place(lo, span, key[i + doc]))
         yield from rows.flush()
 
-    return src.select("d", "key", "text").mapInArrow(run, _BLOB)
+    return src.select("d", "key", "text").mapInArrow(lean(run), _BLOB)
 
 
 def _resolved(blobs: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def _compressed(src: DataFrame) -> DataFrame:
             body = [zipped(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(body, pa.binary())], names=["doc_id", "d", "key", "body"])
 
-    return src.select("doc_id", "d", "key", "text").mapInArrow(run, "doc_id bigint, d bigint, key bigint, body binary")
+    return src.select("doc_id", "d", "key", "text").mapInArrow(lean(run), "doc_id bigint, d bigint, key bigint, body binary")
 
 
 def _open_windows(f: np.ndarray) -> np.ndarray:
@@ -320,7 +320,7 @@ def _applied(docs: DataFrame, window: int, last: bool) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names=["doc_id", "d", "key", "n_words", "n_removed", "kept_sha256", "spans", "body", "packed"])
 
-    return docs.select("doc_id", "d", "key", "body", "f").mapInArrow(run, _DOC)
+    return docs.select("doc_id", "d", "key", "body", "f").mapInArrow(lean(run), _DOC)
 
 
 def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -340,7 +340,7 @@ def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             yield from rows.add(gram_hashes(h, window)[at], gram_hashes(mix(h ^ _SECOND), window, 1)[at], d, _place(s, np.zeros_like(s), key))
         yield from rows.flush()
 
-    return docs.select("d", "key", "body", "packed").mapInArrow(run, _BLOB)
+    return docs.select("d", "key", "body", "packed").mapInArrow(lean(run), _BLOB)
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, row_steps, string_parts, table
+from .common import append_columns, lean, row_steps, string_parts, table
 from .textvec import ALNUM, Words, find_words, gram_hashes, inside, mix, word_hashes
 
 BITS = 20
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 out += [x & ((1 << BITS) - 1) for x in np.split(both, cut)]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["y", "b"])
 
-    got = joined.mapInArrow(run, "y int, b array<int>").toArrow()
+    got = joined.mapInArrow(lean(run), "y int, b array<int>").toArrow()
     rows = []
     for chunk in got.to_batches():
         flat, size = chunk.column("b").flatten().to_numpy(), chunk.column("b").value_lengths().to_numpy(zero_copy_only=False)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table
 
 ARCHIVE_BYTES = 4 << 20
 SALTS = 16
@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, *, compress: bool = True, archive_bytes: in
         if parts:
             yield pack(parts)
 
-    return with_revisits(pages, **cols).select("page_id", "url", "html", "sha", "first").mapInArrow(run, "archive string, content binary")
+    return with_revisits(pages, **cols).select("page_id", "url", "html", "sha", "first").mapInArrow(lean(run), "archive string, content binary")
 
 
 _READ = "archive string, kind string, start bigint, end bigint, reason string, page_id bigint, record_type string, refers_to bigint, url string, payload_bytes bigint, payload_digest string"
@@ -238,7 +238,7 @@ def read_archives(archives: DataFrame, *, name_col: str = "archive", content_col
         cols = [pa.array([r.get(f) for r in rows], kinds[t]) for f, t in fields]
         return pa.RecordBatch.from_arrays(cols + ([pa.array([r.get("payload") for r in rows], pa.binary())] if payload else []), names=[f for f, _ in fields] + ["payload"] * payload)
 
-    return archives.select(name_col, content_col).mapInArrow(run, _READ + ", payload binary" * payload)
+    return archives.select(name_col, content_col).mapInArrow(lean(run), _READ + ", payload binary" * payload)
 
 
 def export(archives: DataFrame, folder: str) -> DataFrame:
@@ -256,7 +256,7 @@ def export(archives: DataFrame, folder: str) -> DataFrame:
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{folder}/{n}" for n in names]), pa.array(sizes, pa.int64())], names=["archive", "path", "bytes"])
 
-    return archives.select("archive", "content").mapInArrow(run, "archive string, path string, bytes bigint")
+    return archives.select("archive", "content").mapInArrow(lean(run), "archive string, path string, bytes bigint")
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
