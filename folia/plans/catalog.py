@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text_queries", "derive_queries", "join_queries", "agg_queries")
+MODULES = ("text_queries", "derive_queries", "join_queries", "agg_queries", "window_queries", "feature_queries", "stat_queries", "kernel_queries", "io_queries")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
