@@ -219,7 +219,7 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     big = same.where("parts > 1").select("comp", "node", "size", "text")
     if big.limit(1).count():
-        large = stored(big.join(parts, "node"), "labels")
+        large = stored(big.dropDuplicates(["node"]).join(parts, "node"), "labels")
         # one member of each part, in bounded groups
         heads = large.where("node = label").withColumn("parts", F.ceil(F.sum("size").over(Window.partitionBy("comp")) / F.lit(group_shingles)).cast("int"))
         found = _verify(heads.select("comp", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int").alias("block"), "node", "label", F.lit(True).alias("asks"), "text"), words, similarity)
