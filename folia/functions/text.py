@@ -70,7 +70,15 @@ def effective_length(t: Column) -> Column:
 
 def char_shingles(t: Column, k: int = 12) -> Column:
     """Distinct windows of k code points; the whole text if it is shorter; none of an empty one."""
-    windows = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (k - 1)), lambda i: F.substring(x, i, F.lit(k))))
+    return F.array_distinct(char_windows(t, k))
+
+
+def char_windows(t: Column, k: int = 12) -> Column:
+    """``char_shingles`` with repeats."""
+    # by blocks: finding a place in a text takes time in proportion to it
+    inner = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (k - 1)), lambda i: F.substring(b, i, F.lit(k)))
+    blocks = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (k - 1), F.lit(128)), lambda i: F.substring(x, i, F.lit(128 + k - 1)))
+    windows = lambda x: F.flatten(F.transform(blocks(x), inner))
     return let(t, lambda x: F.when(F.length(x) >= k, windows(x)).when(F.length(x) > 0, F.array(x)).otherwise(F.array().cast("array<string>")))
 
 

@@ -46,12 +46,12 @@ def cyclic_partner(df: DataFrame, group: list[str], order: str) -> DataFrame:
 
 
 def containment(docs: DataFrame, gold: DataFrame) -> DataFrame:
-    """Shared distinct shingles of (doc, shingle) and (gold, shingle) with the share of the gold's and of the document's.
+    """Shared distinct shingles of (doc, g), repeats allowed, and (gold, g, n_gold), with their share of the gold's.
 
-    Document shingles are cut down to those of any gold text before anything is grouped.
+    Document shingles are cut down to those of any gold text before anything is grouped or made distinct.
     """
     postings = small(gold.select("gold", "g", "n_gold"))
-    hits = docs.join(postings, "g").groupBy("doc", "gold", "n_gold").agg(F.count("*").alias("shared"))
+    hits = docs.join(postings, "g").groupBy("doc", "gold", "n_gold").agg(F.count_distinct("g").alias("shared"))
     return hits.withColumn("gold_share", F.col("shared") / F.col("n_gold"))
 
 

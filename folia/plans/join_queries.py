@@ -82,7 +82,7 @@ def shingle_containment(s, d, k=12, floor=200):
     t = X.norm_simple(C("text"))
     gold = table(s, d, "benchmark").select(C("item_id").alias("gold"), X.char_shingles(t, k).alias("g"), F.length(t).alias("len")).where(C("len") >= floor)
     gold = gold.select("gold", F.size("g").alias("n_gold"), F.explode("g").alias("g"))
-    docs = table(s, d, "documents").select(C("doc_id").alias("doc"), X.char_shingles(t, k).alias("g")).select("doc", F.size("g").alias("n_doc"), F.explode("g").alias("g"))
+    docs = table(s, d, "documents").select(C("doc_id").alias("doc"), F.explode(X.char_windows(t, k)).alias("g"))
     return J.containment(docs, gold)
 
 
