@@ -14,6 +14,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions; large inputs are left as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def micro(c: Column) -> Column:
     """A coordinate as a key: its millionths (coordinates are equal at six places)."""
     return F.bround(c * 1e6, 0).cast("bigint")

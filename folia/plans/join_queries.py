@@ -82,7 +82,7 @@ def shingle_containment(s, d, k=12, floor=200):
     t = X.norm_simple(C("text"))
     gold = table(s, d, "benchmark").select(C("item_id").alias("gold"), X.char_shingles(t, k).alias("g"), F.length(t).alias("len")).where(C("len") >= floor)
     gold = gold.select("gold", F.size("g").alias("n_gold"), F.explode("g").alias("g"))
-    docs = table(s, d, "documents").select(C("doc_id").alias("doc"), F.explode(X.char_windows(t, k)).alias("g"))
+    docs = J.spread(table(s, d, "documents")).select(C("doc_id").alias("doc"), F.explode(X.char_windows(t, k)).alias("g"))
     return J.containment(docs, gold)
 
 
@@ -95,12 +95,12 @@ def _ngram_membership(s, d):
     t = X.norm_simple(C("text"))
     grams = lambda n: F.explode(X.word_shingles(t, 8)).alias("g")
     ref = J.small(table(s, d, "benchmark").select(grams(8)).distinct())
-    docs = table(s, d, "documents").select("doc_id", grams(8))
+    docs = J.spread(table(s, d, "documents")).select("doc_id", grams(8))
     return docs.join(ref, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
 def _pairs_family(s, d):
-    docs = table(s, d, "documents").select(C("doc_id").alias("id"), C("lang").alias("family"), F.explode(X.word_shingles(X.norm_simple(C("text")), 8)).alias("g"))
+    docs = J.spread(table(s, d, "documents")).select(C("doc_id").alias("id"), C("lang").alias("family"), F.explode(X.word_shingles(X.norm_simple(C("text")), 8)).alias("g"))
     return J.similar_pairs(docs, 0.5).withColumn("jaccard", F.round("jaccard", 9))
 
 
