@@ -97,6 +97,14 @@ def _slices():
     return {"text": g("text"), "composite": F.round((g("text") + g("table") + g("math")) / 3 * 100, 4)}
 
 
+def _headers(s, d):
+    """Sizes and digests of the contents of a store, file by file."""
+    at = place(s)
+    table(s, d, "region").select("r_name").orderBy("r_name").coalesce(1).write.text(at)
+    files = s.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)
+    return files.select(F.sha2("content", 256).alias("sha"), C("length").alias("bytes"), F.hex(F.substring("content", 1, 2)).alias("magic"))
+
+
 def _incremental(s, d):
     from folia.streaming.incremental import stream_once
 
@@ -124,6 +132,7 @@ QUERIES = {
     "scan_report_text": (lambda s, d: REPORT.df(s).select("id", F.explode(R.report_files(C("t"))).alias("f")).select("id", "f.name", "f.score", "f.passed", "f.total"), "SELECT * FROM (VALUES (1::BIGINT, 'f1', 50.0::DOUBLE, 5::BIGINT, 10::BIGINT), (1::BIGINT, 'f2', 25.5::DOUBLE, 1::BIGINT, 4::BIGINT)) AS t(id, name, score, passed, total)"),
     "scan_fail_log": (lambda s, d: FAILLOG.df(s).select("line", F.regexp_extract("t", R.FAIL_LINE, 1).alias("test"), F.regexp_extract("t", R.FAIL_LINE, 2).alias("reason")).where("test <> ''").groupBy("test").agg(F.min_by("reason", "line").alias("reason")), f"WITH {FAILLOG.cte('f')}, x AS (SELECT line, regexp_extract(t, '{R.FAIL_LINE}', 1) AS test, regexp_extract(t, '{R.FAIL_LINE}', 2) AS reason FROM f) SELECT test, arg_min(reason, line) AS reason FROM x WHERE test <> '' GROUP BY test"),
     "scan_report_json": literal_query(METRICS, _slices, "SELECT id, a AS text, round((a + b + c) / 3 * 100, 4) AS composite FROM (SELECT id, CAST(json_extract_string(t, '$.text.all') AS DOUBLE) AS a, CAST(json_extract_string(t, '$.table.all') AS DOUBLE) AS b, CAST(json_extract_string(t, '$.math.all') AS DOUBLE) AS c FROM f)"),
+    "scan_binary_header": (_headers, "SELECT sha256(string_agg(r_name || chr(10), '' ORDER BY r_name)) AS sha, length(string_agg(r_name || chr(10), '' ORDER BY r_name)) AS bytes, upper(hex(substr(min(r_name), 1, 2))) AS magic FROM region"),
     "scan_volume_text": (_volume, "SELECT count(*) AS n FROM region"),
     "scan_pred_dir": (lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "conversations").where("turn = 0").select(C("conv_id").alias("doc_id"), "text"), "doc_id", "left"), "SELECT doc_id, c.text FROM documents LEFT JOIN (SELECT conv_id AS doc_id, text FROM conversations WHERE turn = 0) c USING (doc_id)"),
     "sink_jsonl": (_jsonl([]), "SELECT doc_id, lang, n_chars FROM documents"),

@@ -9,6 +9,7 @@ from folia.functions import derive as D
 from folia.operators import resampling as R
 from folia.plans.base import F, literal_query, table
 from folia.plans.join_queries import SCORES
+from folia.plans.window_queries import QUERIES as WINDOWS
 from folia.sources.literal import Literal
 
 C = F.col
@@ -113,6 +114,7 @@ QUERIES = {
     "ml_ridge": (_ridge, None),
     "ml_mlp": (_sample_fit("mlp"), None),
     "ml_inverse": (_sample_fit("inverse"), None),
+    "ml_knn": WINDOWS["knn_vote"],
     "ml_run_pair": (_run_pair, None),
     "ml_recon_family": (_sample_fit("inverse"), None),
     "ker_decision_table": literal_query(CONTRASTS, lambda: {"row": F.when((C("ab_lo") > 0), "A>B").when(C("ab_hi") < 0, "B>A").when((C("ac_lo") > 0) & (C("bc_lo") > 0), "A~B>C").otherwise("A~C")}, "SELECT id, CASE WHEN ab_lo > 0 THEN 'A>B' WHEN ab_hi < 0 THEN 'B>A' WHEN ac_lo > 0 AND bc_lo > 0 THEN 'A~B>C' ELSE 'A~C' END AS row FROM f"),

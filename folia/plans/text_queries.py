@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folia.functions import text as X
+from folia.functions import trees
 from folia.plans.base import F, col_query, literal_query, table
 from folia.sources.literal import Literal
 
@@ -76,7 +77,11 @@ def _family_router(spark, sf_dir):
     return f.select("id", F.when(b == "", "none").when(X.has_table(b), "table").otherwise("edit").alias("metric"), F.round(score, 9).alias("score"))
 
 
+MARKUP = Literal("id bigint, a string, b string", [(1, "<table><tr><td>1</td><td>2</td></tr></table>", "<table><tr><td>1</td><td>2</td></tr></table>"), (2, "<table><tr><td>1</td><td>2</td></tr></table>", "<table><tr><td>1</td></tr></table>"), (3, "no table", "<table></table>"), (4, "<table><tr><td>abcd</td></tr></table>", "<table><tr><td>abce</td></tr></table>"), (5, "<table><tr><td>x</td></tr>", "<table><tr><th>x</th></tr></table>")])
+
+
 QUERIES = {
+    "str_teds": (lambda s, d: MARKUP.df(s).select("id", F.round(trees.table_similarity(C("a"), C("b")), 6).alias("teds")), "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2::BIGINT, 0.75::DOUBLE), (3::BIGINT, 0.0::DOUBLE), (4::BIGINT, 0.916667::DOUBLE), (5::BIGINT, 0.666667::DOUBLE)) AS t(id, teds)"),
     "str_norm_simple": col_query("", "documents", "doc_id", lambda: {"h": F.md5(X.norm_simple(C("text")).cast("binary"))}, f"SELECT doc_id, md5({_NORM}) AS h FROM documents"),
     "str_normalize_nfkc": (_nfkc, f"SELECT doc_id, md5({_NORM}) AS h FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')"),
     "str_effective_length": col_query("", "documents", "doc_id", lambda: {"n": X.effective_length(C("text"))}, "SELECT doc_id, length(text) + 1.5::DOUBLE * length(regexp_replace(text, '[^\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af\u1100-\u11ff]', '', 'g')) AS n FROM documents"),
