@@ -49,7 +49,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(docs), (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(rows: list[tuple[np.ndarray, int]], *, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3, min_docs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, int]], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3, min_docs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, intercept). ``rows``: distinct feature buckets and label."""
     share = float(np.mean([y for _, y in rows])) if rows else 0.0
     if share in (0.0, 1.0):
