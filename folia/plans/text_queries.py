@@ -52,8 +52,7 @@ def _nfkc(spark, sf_dir):
     return d.select("doc_id", F.md5(X.norm_nfkc(C("text")).cast("binary")).alias("h"))
 
 
-def _repetition(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("n_chars <= 3000")
+def _repetition(d):
     r = X.repetition(C("text"))
     return d.select("doc_id", r.alias("r")).select("doc_id", F.round("r.repeated", 9).alias("repeated"), F.round("r.top", 9).alias("top"))
 
@@ -94,7 +93,8 @@ QUERIES = {
     "str_content_sim": _sim(lambda a, b: X.similarity(X.content_norm_ascii(a), X.content_norm_ascii(b)), False),
     "str_edit_distance_js": literal_query(PAIRS, lambda: {"d": F.levenshtein("a", "b")}, "SELECT id, levenshtein(a, b)::INTEGER AS d FROM f"),
     "str_partial_ratio": (_partial, None),
-    "str_repetition": (_repetition, r"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE n_chars <= 3000), u AS (SELECT doc_id, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN string_split(text, '') ELSE w END AS u, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN 30 ELSE 10 END AS k FROM d),
+    "str_repetition_all": (lambda s, d: _repetition(table(s, d, "documents")), None),
+    "str_repetition": (lambda s, d: _repetition(table(s, d, "documents").where("n_chars <= 3000")), r"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE n_chars <= 3000), u AS (SELECT doc_id, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN string_split(text, '') ELSE w END AS u, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN 30 ELSE 10 END AS k FROM d),
       g AS (SELECT doc_id, array_to_string(u[i : i + k - 1], chr(1)) AS g FROM u, unnest(range(1, len(u) - k + 2)) AS t(i) WHERE len(u) >= k), c AS (SELECT doc_id, g, count(*) AS c FROM g GROUP BY ALL), s AS (SELECT doc_id, round(1.0 - count(*) / sum(c), 9) AS repeated, round(max(c) / sum(c), 9) AS top FROM c GROUP BY doc_id)
       SELECT doc_id, coalesce(repeated, 0.0)::DOUBLE AS repeated, coalesce(top, 0.0)::DOUBLE AS top FROM d LEFT JOIN s USING (doc_id)"""),
     "str_table_markup": col_query("", "pages", "page_id", lambda: {"has": X.has_table(F.col("html"))}, r"SELECT page_id, contains(lower(html), '<table') OR regexp_matches(html, '(?m)^\s*\|.*\|\s*$') AS has FROM pages"),
