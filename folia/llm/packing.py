@@ -10,7 +10,9 @@ queue runs dry the round robin goes on among the others (a new phase); the few w
 The weights default to the sources' token counts, so that all queues end together. A queue gets one token a window at least.
 
 Defined results: null text is empty; every document ends with ``end_id``, so an empty one is one token; a null source is a
-queue of its own; repeated rows are packed each; more than ``MAX_QUEUES`` sources are spread over that many queues by hash.
+queue of its own; repeated rows are packed each. With more than ``MAX_QUEUES`` sources, those with a weight and the largest
+others keep queues of their own; the remainder shares ``SHARED_QUEUES`` by hash, each with the sum of its sources' targets, so
+that only the proportions of small sources among themselves are left to the order of the partitions.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .textvec import NON_SPACE, Words, word_hashes
 
 LENGTH = 4096
 MAX_QUEUES = 1024
+SHARED_QUEUES = 256
 CACHE_WORDS = 500_000
 #: rows of the (partition, queue) offsets up to which they are broadcast; beyond, they are joined by a shuffle
 BROADCAST_ROWS = 200_000
@@ -159,7 +162,7 @@ class WordTokenizer:
 
 
 def tokenized(docs: DataFrame, path: str, *, end_id: int = 2, wide: bool = True) -> DataFrame:
-    """(doc_id, queue, part, off, n, ids): ``off`` is the number of the queue's ids before it in its partition; ``ids`` little-endian."""
+    """(doc_id, queue, part, off, n, ids), a queue a source: ``off`` is the number of the queue's ids before it in its partition; ``ids`` little-endian."""
     kind = "<u4" if wide else "<u2"
 
     def run(batches):
@@ -276,18 +279,27 @@ _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def packed(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, end_id: int = 2, weights: dict[str, int] | None = None, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents (``_PIECE``; with ``keep_ids`` also their ids). ``weights``: target shares by source."""
-    many = docs.select(source_col).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    name = F.pmod(F.xxhash64(source_col), F.lit(MAX_QUEUES)).cast("string") if many else F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), name.alias("queue"), F.col(text_col).cast("string").alias("text"))
     from tokenizers import Tokenizer
 
     wide = Tokenizer.from_file(path).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     tokens = stored(tokenized(src, path, end_id=end_id, wide=wide), "tokens")
     sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    bases = stored(sums.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")), "bases")
-    plan = Plan({r.queue: r.n for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}, length, weights and {f"={k}": v for k, v in weights.items()})
+    wanted = weights and {f"={k}": v for k, v in weights.items()}
+    sources = stored(sums.groupBy("queue").agg(F.sum("n").alias("n")), "sources")
+    line = F.col("queue")
+    if sources.count() > MAX_QUEUES:
+        named = sorted(wanted or ())
+        large = sources.where(~F.col("queue").isin(named)).orderBy(F.desc("n"), "queue").limit(max(0, MAX_QUEUES - SHARED_QUEUES - len(named)))
+        own = named + [r.queue for r in large.collect()]
+        line = F.when(line.isin(own), line).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(line), F.lit(SHARED_QUEUES)).cast("string")))
+    bases = stored(sums.withColumn("line", line).withColumn("base", F.sum("n").over(Window.partitionBy("line").orderBy("part", "queue")) - F.col("n")), "bases")
+    totals = sources.groupBy(line.alias("line")).agg(F.sum("n").alias("n"), F.count("*").alias("sources")).collect()
+    # a source without a weight counts 1, also in a shared queue
+    plan = Plan({r.line: r.n for r in totals}, length, wanted and {r.line: wanted.get(r.line, r.sources) for r in totals})
     known = docs.sparkSession.sparkContext.broadcast(plan)
-    base = bases.select("part", "queue", "base")
+    base = bases.select("part", "queue", "line", "base")
     if bases.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
     kind = "<u4" if wide else "<u2"
@@ -296,7 +308,7 @@ def packed(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         p = known.value
         for batch in batches:
             out: list[list] = [[] for _ in range(7 + keep_ids)]
-            for doc, queue, off, n, ids, first in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "queue", "off", "n", "ids", "base")], strict=True):
+            for doc, queue, off, n, ids, first in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "line", "off", "n", "ids", "base")], strict=True):
                 raw = memoryview(np.frombuffer(ids, kind).astype("<u4").tobytes())
                 for start, size, window, at in p.pieces(queue, first + off, n):
                     part = raw[4 * start : 4 * (start + size)]
@@ -306,7 +318,7 @@ def packed(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             names = [x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 7 else pa.binary()) for k, x in enumerate(out)], names=names)
 
-    return tokens.join(base, ["part", "queue"]).select("doc_id", "queue", "off", "n", "ids", "base").mapInArrow(lean(run), _PIECE + ", ids binary" * keep_ids)
+    return tokens.join(base, ["part", "queue"]).select("doc_id", "line", "off", "n", "ids", "base").mapInArrow(lean(run), _PIECE + ", ids binary" * keep_ids)
 
 
 def vocabulary() -> str:

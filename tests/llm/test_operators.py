@@ -281,6 +281,24 @@ def test_packing_mixture():
     assert abs(share[("a", 100)] - 50) <= 1 and abs(share[("b", 100)] - 50) <= 1 and sum(share.values()) == 40_050
 
 
+def test_packing_many_sources(spark, monkeypatch):
+    """More sources than queues: weights and large sources hold in each window, small ones get the sum of their shares."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    monkeypatch.setattr(packing, "SHARED_QUEUES", 2, raising=False)
+    rows = [(f"{src}{i}", src) for src, n in (("a", 60), ("b", 60), ("c", 40), *[(f"s{k}", 1) for k in range(20)]) for i in range(n)]
+    df = spark.createDataFrame([(i, f"{t} " + "word " * 200, src) for i, (t, src) in enumerate(rows)], "doc_id bigint, text string, source string").repartition(3)
+    of = {i: src for i, (_, src) in enumerate(rows)}
+    for weights, want in (({"a": 300, "b": 100}, {"a": 300, "b": 100, "c": 1, "s": 20}), (None, {"a": 60, "b": 60, "c": 40, "s": 20})):
+        out = packing.packed(df, packing.vocabulary(), length=1000, weights=weights).collect()
+        share = Counter()
+        for p in out:
+            share[(of[p.doc_id][0], p.sequence_id)] += p.length
+        for w in range(10):
+            for src, x in want.items():
+                assert abs(share[(src, w)] - 1000 * x / sum(want.values())) <= 8, (weights, src, w, share[(src, w)])
+        assert sum(p.length for p in out) == sum({p.doc_id: p.doc_tokens for p in out}.values())
+
+
 def test_warc(spark, none):
     pages = [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nX: y", "<p>é</p>"), (3, None, None), (4, "u", ""), (None, "n", "<p>é</p>"), (1, "http://a", "<p>é</p>"), (9, "z", "solo\r\n\r\nWARC/1.1\r\n" * 50)]
     df = spark.createDataFrame([p + ("x",) for p in pages], "page_id bigint, url string, html string, payload_bytes string").repartition(2)
