@@ -30,6 +30,11 @@ def _conversation_pairs(spark, sf_dir):
     return c.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
 
 
+def _sim_all(fn):
+    """Similarity of all turns with the next, whatever their script."""
+    return lambda spark, sf_dir: _conversation_pairs(spark, sf_dir).where("next IS NOT NULL").select("conv_id", "turn", F.round(fn(F.col("text"), F.col("next")), 9).alias("sim"))
+
+
 def _sim(fn, light):
     def run(spark, sf_dir):
         c = _conversation_pairs(spark, sf_dir).where("next IS NOT NULL").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")) & ~F.rlike("next", F.lit(r"[^\x00-\x7F]")))
@@ -82,6 +87,10 @@ MARKUP = Literal("id bigint, a string, b string", [(1, "<table><tr><td>1</td><td
 QUERIES = {
     "str_teds": (lambda s, d: MARKUP.df(s).select("id", F.round(trees.table_similarity(C("a"), C("b")), 6).alias("teds")), "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2::BIGINT, 0.75::DOUBLE), (3::BIGINT, 0.0::DOUBLE), (4::BIGINT, 0.916667::DOUBLE), (5::BIGINT, 0.666667::DOUBLE)) AS t(id, teds)"),
     "str_norm_simple": col_query("", "documents", "doc_id", lambda: {"h": F.md5(X.norm_simple(C("text")).cast("binary"))}, f"SELECT doc_id, md5({_NORM}) AS h FROM documents"),
+    "str_normalize_nfkc_all": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.norm_nfkc(C("text")).cast("binary")).alias("h")), None),
+    "str_content_norm_all": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.content_norm(C("text")).cast("binary")).alias("h")), None),
+    "str_edit_sim_all": (_sim_all(X.edit_sim), None),
+    "str_content_sim_all": (_sim_all(X.content_sim), None),
     "str_normalize_nfkc": (_nfkc, f"SELECT doc_id, md5({_NORM}) AS h FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')"),
     "str_effective_length": col_query("", "documents", "doc_id", lambda: {"n": X.effective_length(C("text"))}, "SELECT doc_id, length(text) + 1.5::DOUBLE * length(regexp_replace(text, '[^\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af\u1100-\u11ff]', '', 'g')) AS n FROM documents"),
     "str_char_shingles": (_shingle_counts, f"WITH d AS (SELECT doc_id, {_NORM} AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM d) SELECT doc_id, CASE WHEN length(t) >= 12 THEN len(list_distinct(list_transform(range(1, length(t) - 10), lambda i: substr(t, i, 12)))) WHEN length(t) > 0 THEN 1 ELSE 0 END::BIGINT AS n, len(list_distinct(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda i: array_to_string(w[i : i + 7], ' '))))::BIGINT AS n_words FROM w"),

@@ -1,6 +1,9 @@
 """Queries over whole tables against brute force."""
 
+import hashlib
+import html
 import re
+import unicodedata
 from collections import Counter
 
 from folia.plans import catalog
@@ -39,3 +42,52 @@ def test_degeneration_whole_texts(spark):
         assert [g.ge_05, g.ge_10, g.ge_25, g.ge_50, g.ge_90] == [sum(round(x, 9) >= y for x in shares) for y in (0.05, 0.1, 0.25, 0.5, 0.9)]
         assert abs(g["mean"] - sum(shares) / len(shares)) < 1e-6
         assert [g.p10, g.p50, g.p90] == [sizes[min(len(sizes) - 1, int(len(sizes) * p))] for p in (0.1, 0.5, 0.9)]
+
+
+def _edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _light(t):
+    t = re.sub(r"(?i)</?(?:b|i|u|s|em|strong|del|ins|mark|sub|sup)\s*>", "", t or "")
+    return re.sub(r"\s+", " ", re.sub(r"\*\*|__|\*|`+", "", t), flags=re.ASCII).strip(" ")
+
+
+def _content(t):
+    t = re.sub(r"<[^<>]*>", " ", re.sub(r"(?m)^[ \t]*(?:`{3,}|~{3,})[^\n]*$", " ", t or ""))
+    t = unicodedata.normalize("NFKC", html.unescape(t))
+    return re.sub(r"[\W_]+", "", re.sub(r"\\(?:[a-zA-Z]+\*?|[^a-zA-Z\s])", " ", t)).casefold()
+
+
+def _md5(t):
+    return hashlib.md5(t.encode()).hexdigest()
+
+
+TEXTS = ["Stra\u00dfe  \ufb01ne &amp; caf\u00e9", "STRASSE fine caf\u00e9", "\u2460\u2461 \uff21\uff22\uff23", "<b>x</b> \\alpha &#233;t\u00e9", "\u65e5\u672c\u8a9e **bold**", "", None]
+
+
+def test_norms_whole_texts(spark, tmp_path):
+    docs = [(i, t, "en" if i % 2 else "de", "s", len(t or "")) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    for at, want in ((str(tmp_path), {r[0]: r[1] for r in docs}), (DATA, {r.doc_id: r.text for r in rows(spark, "documents")})):
+        nfkc = {r.doc_id: r.h for r in catalog.QUERIES["str_normalize_nfkc_all"](spark, at).collect()}
+        assert nfkc == {k: t if t is None else _md5(re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip().lower()) for k, t in want.items()}
+        content = {r.doc_id: r.h for r in catalog.QUERIES["str_content_norm_all"](spark, at).collect()}
+        assert content == {k: _md5(_content(t)) for k, t in want.items()}
+
+
+def test_similarities_of_all_pairs(spark, tmp_path):
+    turns = [(0, i, "user", t) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name, norm in (("str_edit_sim_all", _light), ("str_content_sim_all", _content)):
+        got = {r.turn: r.sim for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        want = {}
+        for i in range(len(TEXTS) - 2):
+            a, b = norm(TEXTS[i]), norm(TEXTS[i + 1])
+            want[i] = round(1 - _edit(a, b) / max(len(a), len(b)), 9) if a or b else 1.0
+        assert got == want
