@@ -114,6 +114,7 @@ QUERIES = {
     "ml_ridge": (_ridge, None),
     "ml_mlp": (_sample_fit("mlp"), None),
     "ml_inverse": (_sample_fit("inverse"), None),
+    "ml_knn_all": WINDOWS["knn_vote_all"],
     "ml_knn": WINDOWS["knn_vote"],
     "ml_run_pair": (_run_pair, None),
     "ml_recon_family": (_sample_fit("inverse"), None),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 
 from folia.functions import derive as D
@@ -81,6 +83,42 @@ def _knn(s, d, k=5):
     return S.ranked(votes, ["vec_id"], [F.desc("n"), "rl"]).where("rank = 1").select("vec_id", C("rl").alias("label"), "n")
 
 
+def _near_blocks(k):
+    """The k nearest of a block of vectors for each of a block of queries; a vector is not its own neighbour."""
+
+    def run(batches):
+        for t in batches:
+            for q, v in zip(t["q"], t["v"], strict=True):
+                qid, rid = (np.array([x["vec_id"] for x in b]) for b in (q, v))
+                a, b = (np.array([x["embedding"] for x in b], float) for b in (q, v))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    c = np.round(a @ b.T / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)), 6)
+                c = np.where(np.isnan(c), -2.0, c)
+                c[qid[:, None] == rid] = -np.inf
+                for i, row in enumerate(c):
+                    top = np.lexsort((rid, -row))[:k]
+                    top = top[row[top] > -np.inf]
+                    yield pd.DataFrame({"vec_id": np.repeat(qid[i], len(top)), "rid": rid[top], "rl": [v[j]["label"] for j in top], "c": row[top]})
+
+    return run
+
+
+def _knn_all(s, d, k=50, rows=1024):
+    """Majority label of the k nearest (cosine) of all other vectors, for the vectors with ids divisible by 20; compared in blocks."""
+    e = table(s, d, "embeddings").where("embedding IS NOT NULL")
+
+    def blocks(df, name):
+        n = max(1, -(-df.count() // rows))
+        return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct("vec_id", "embedding", "label")).alias(name)).repartition(n)
+
+    pairs = blocks(e.where("vec_id % 20 = 0"), "q").crossJoin(blocks(e, "v"))
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+    near = pairs.select("q", "v").mapInPandas(_near_blocks(k), f"vec_id {kinds['vec_id']}, rid {kinds['vec_id']}, rl {kinds['label']}, c double")
+    top = S.ranked(near, ["vec_id"], [F.desc("c"), "rid"]).where(C("rank") <= k)
+    votes = top.groupBy("vec_id", "rl").agg(F.count("*").alias("n"))
+    return S.ranked(votes, ["vec_id"], [F.desc("n"), "rl"]).where("rank = 1").select("vec_id", C("rl").alias("label"), "n")
+
+
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
 
 
@@ -151,6 +189,7 @@ QUERIES = {
     "sort_deterministic": (lambda s, d: SCORES.df(s).withColumn("rank", F.row_number().over(Window.orderBy(F.array_position(F.array(F.lit("u"), F.lit("t")), C("family")), "image", "arm")).cast("bigint")).select("image", "arm", "rank"), f"WITH {SCORES.cte('f')} SELECT image, arm, row_number() OVER (ORDER BY list_position(['u', 't'], family), image, arm) AS rank FROM f"),
     "limit_n": (lambda s, d: table(s, d, "documents").select("doc_id", "lang").orderBy("lang", "doc_id").limit(25), "SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 25"),
     "nearest_point": (lambda s, d: S.ranked(ITEMS.df(s).select("image", "item", F.round((C("x") - 0.3) ** 2 + (C("y") - 0.3) ** 2, 9).alias("dist")), ["image"], ["dist", "item"]).where("rank = 1").select("image", "item"), f"WITH {ITEMS.cte('f')} SELECT image, item FROM (SELECT image, item, row_number() OVER (PARTITION BY image ORDER BY round((x - 0.3) ** 2 + (y - 0.3) ** 2, 9), item) AS r FROM f) WHERE r = 1"),
+    "knn_vote_all": (_knn_all, None),
     "knn_vote": (_knn, f"WITH j AS (SELECT e.vec_id, r.vec_id AS rid, r.label AS rl, round({_DOT.format('e.embedding', 'r.embedding')} / (sqrt({_DOT.format('e.embedding', 'e.embedding')}) * sqrt({_DOT.format('r.embedding', 'r.embedding')})), 6) AS c FROM embeddings e, embeddings r WHERE e.vec_id >= 100 AND r.vec_id < 100), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, rid) AS k FROM j), v AS (SELECT vec_id, rl, count(*) AS n FROM t WHERE k <= 5 GROUP BY vec_id, rl) SELECT vec_id, rl AS label, n FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, rl) AS r FROM v) WHERE r = 1"),
     "smp_series_id": (_series, f"WITH {MARKS.cte('f')}, m AS (SELECT * FROM f WHERE valid), i AS (SELECT image, chart, series, row_number() OVER (PARTITION BY image, chart ORDER BY min(mark)) - 1 AS label FROM m GROUP BY image, chart, series) SELECT image, mark, label FROM m JOIN i USING (image, chart, series)"),
     "smp_point_value": (lambda s, d: MARKS.df(s).where("valid AND axis IS NOT NULL").select("image", "mark", F.when(C("axis") == "y2", C("v") * 10).otherwise(C("v")).alias("label")), f"WITH {MARKS.cte('f')} SELECT image, mark, CASE WHEN axis = 'y2' THEN v * 10 ELSE v END AS label FROM f WHERE valid AND axis IS NOT NULL"),

@@ -6,6 +6,8 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
+
 from folia.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -91,3 +93,16 @@ def test_similarities_of_all_pairs(spark, tmp_path):
             a, b = norm(TEXTS[i]), norm(TEXTS[i + 1])
             want[i] = round(1 - _edit(a, b) / max(len(a), len(b)), 9) if a or b else 1.0
         assert got == want
+
+
+def test_knn_over_all_vectors(spark):
+    from folia.plans import window_queries
+
+    e = {r.vec_id: (np.array(r.embedding, float), r.label) for r in rows(spark, "embeddings")}
+    want = {}
+    for q in (i for i in e if i % 20 == 0):
+        cos = lambda i: round(float(e[q][0] @ e[i][0] / np.linalg.norm(e[q][0]) / np.linalg.norm(e[i][0])), 6)
+        votes = Counter(e[i][1] for i in sorted((i for i in e if i != q), key=lambda i: (-cos(i), i))[:50])
+        want[q] = min(votes.items(), key=lambda x: (-x[1], x[0]))
+    for df in (catalog.QUERIES["knn_vote_all"](spark, DATA), catalog.QUERIES["ml_knn_all"](spark, DATA), window_queries._knn_all(spark, DATA, rows=64)):
+        assert {r.vec_id: (r.label, r.n) for r in df.collect()} == want
