@@ -104,6 +104,16 @@ def _cosine_near(s, d):
     return j.agg(F.round(F.avg(F.when(C("d") == 1, C("c"))), 6).alias("near"), F.round(F.avg(F.when(C("d") > 3, C("c"))), 6).alias("far"))
 
 
+def _cosine_near_all(s, d):
+    """Mean cosine of neighbouring cells and of cells beyond L1 distance 5, over 8 x 8 grids of 64 consecutive vectors each."""
+    cell = F.pmod("vec_id", F.lit(64))
+    e = table(s, d, "embeddings").select("vec_id", "embedding", F.floor(C("vec_id") / 64).alias("grid"), F.floor(cell / 8).alias("y"), (cell % 8).alias("x"))
+    a, b = e.alias("a"), e.alias("b")
+    dist = F.abs(C("a.x") - C("b.x")) + F.abs(C("a.y") - C("b.y"))
+    j = a.join(b, (C("a.grid") == C("b.grid")) & (C("a.vec_id") < C("b.vec_id"))).select(dist.alias("d"), G.cosine(C("a.embedding"), C("b.embedding")).alias("c"))
+    return j.agg(F.round(F.avg(F.when(C("d") == 1, C("c"))), 6).alias("near"), F.round(F.avg(F.when(C("d") > 5, C("c"))), 6).alias("far"))
+
+
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
 
 
@@ -129,6 +139,7 @@ QUERIES = {
     "ker_nice_axis": (_nice, f"WITH {RANGES.cte('f')} {_NICE}"),
     "ker_cache_parity": (_parity, f"WITH {CACHE_A.cte('a')}, {CACHE_B.cte('b')} SELECT count(*) FILTER (WHERE len(a.v) = len(b.v)) AS shapes, count(*) FILTER (WHERE a.v = b.v) AS same, max(greatest(abs(a.v[1] - b.v[1]), abs(a.v[2] - b.v[2]))) AS most FROM a JOIN b USING (id)"),
     "ker_identical_children": (_identical, "WITH e AS (SELECT vec_id, k, round_even(embedding[k * 16 + 1]::DOUBLE, 1) + 0.0 AS v FROM embeddings, unnest(range(0, 4)) AS t(k)) SELECT a.vec_id, count(*) AS pairs FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k < b.k AND a.v = b.v GROUP BY a.vec_id"),
+    "ker_neighbor_cosine_all": (_cosine_near_all, None),
     "ker_neighbor_cosine": (_cosine_near, f"WITH e AS (SELECT vec_id, embedding AS v, vec_id // 4 AS y, vec_id % 4 AS x FROM embeddings WHERE vec_id < 16), j AS (SELECT abs(a.x - b.x) + abs(a.y - b.y) AS d, {_DOT.format('a.v', 'b.v')} / (sqrt({_DOT.format('a.v', 'a.v')}) * sqrt({_DOT.format('b.v', 'b.v')})) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT round(avg(CASE WHEN d = 1 THEN c END), 6) AS near, round(avg(CASE WHEN d > 3 THEN c END), 6) AS far FROM j"),
     "ker_chart_derive": (_derive_chart, f"WITH {TABLE.cte('f')}, c AS (SELECT t, col, count(*) FILTER (WHERE regexp_matches({_CLEAN}, '{NUMERIC}')) AS nums, avg(CASE WHEN regexp_matches({_CLEAN}, '{NUMERIC}') THEN 1.0 ELSE 0.0 END) AS share FROM f GROUP BY t, col), v AS (SELECT t, col AS value_col FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY nums DESC, col) AS r FROM c WHERE nums >= 2) WHERE r = 1), l AS (SELECT t, min(col) AS label_col FROM c WHERE share < 0.4 GROUP BY t) SELECT t, value_col, label_col FROM (SELECT DISTINCT t FROM c) LEFT JOIN v USING (t) LEFT JOIN l USING (t)"),
     "ker_cell_buckets": (lambda s, d: GROUNDING.df(s).groupBy("field").pivot("bucket", ["grounded", "partial", "displaced", "no-box"]).agg(F.count("id")).select("field", *[F.coalesce(F.col(f"`{b}`"), F.lit(0).cast("bigint")).alias(b.replace("-", "_")) for b in ("grounded", "partial", "displaced", "no-box")]), f"WITH {GROUNDING.cte('f')} SELECT field, count(*) FILTER (WHERE bucket = 'grounded') AS grounded, count(*) FILTER (WHERE bucket = 'partial') AS partial, count(*) FILTER (WHERE bucket = 'displaced') AS displaced, count(*) FILTER (WHERE bucket = 'no-box') AS no_box FROM f GROUP BY field"),

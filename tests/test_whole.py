@@ -106,3 +106,17 @@ def test_knn_over_all_vectors(spark):
         want[q] = min(votes.items(), key=lambda x: (-x[1], x[0]))
     for df in (catalog.QUERIES["knn_vote_all"](spark, DATA), catalog.QUERIES["ml_knn_all"](spark, DATA), window_queries._knn_all(spark, DATA, rows=64)):
         assert {r.vec_id: (r.label, r.n) for r in df.collect()} == want
+
+
+def test_neighbor_cosine_over_all_grids(spark):
+    e = {r.vec_id: np.array(r.embedding, float) for r in rows(spark, "embeddings")}
+    near, far = [], []
+    for i in e:
+        for j in range(i + 1, i - i % 64 + 64):
+            if j in e:
+                dist = abs(i % 8 - j % 8) + abs(i % 64 // 8 - j % 64 // 8)
+                c = e[i] @ e[j] / np.linalg.norm(e[i]) / np.linalg.norm(e[j])
+                near += [c] * (dist == 1)
+                far += [c] * (dist > 5)
+    (got,) = catalog.QUERIES["ker_neighbor_cosine_all"](spark, DATA).collect()
+    assert abs(got.near - np.mean(near)) < 2e-6 and abs(got.far - np.mean(far)) < 2e-6
