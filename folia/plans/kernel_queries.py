@@ -88,9 +88,9 @@ def _parity(s, d):
     return j.agg(F.count_if(F.size("a.v") == F.size("b.v")).alias("shapes"), F.count_if(C("a.v") == C("b.v")).alias("same"), F.max(F.array_max(F.zip_with("a.v", "b.v", lambda x, y: F.abs(x - y)))).alias("most"))
 
 
-def _identical(s, d):
-    """Identical pairs among the four children (16 numbers each, rounded) of each vector."""
-    e = table(s, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 16 + 1, 1), lambda x: F.bround(x.cast("double"), 1) + 0.0))).alias("k", "v"))
+def _identical(s, d, n=1):
+    """Identical pairs among the four children (their first ``n`` of 16 numbers, rounded) of each vector."""
+    e = table(s, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 16 + 1, n), lambda x: F.bround(x.cast("double"), 1) + 0.0))).alias("k", "v"))
     j = e.alias("a").join(e.alias("b"), (C("a.vec_id") == C("b.vec_id")) & (C("a.k") < C("b.k")) & (C("a.v") == C("b.v")))
     return j.groupBy("a.vec_id").agg(F.count("*").alias("pairs"))
 
@@ -138,6 +138,7 @@ QUERIES = {
     "ker_package_chunk": (_package, f"WITH {LENGTHS.cte('f')}, e AS (SELECT *, sum(n) OVER (ORDER BY k) AS hi FROM f) SELECT page, k, row_number() OVER (PARTITION BY k ORDER BY page) AS ord FROM range(0, 30) AS r(page) JOIN e ON page >= hi - n AND page < hi"),
     "ker_nice_axis": (_nice, f"WITH {RANGES.cte('f')} {_NICE}"),
     "ker_cache_parity": (_parity, f"WITH {CACHE_A.cte('a')}, {CACHE_B.cte('b')} SELECT count(*) FILTER (WHERE len(a.v) = len(b.v)) AS shapes, count(*) FILTER (WHERE a.v = b.v) AS same, max(greatest(abs(a.v[1] - b.v[1]), abs(a.v[2] - b.v[2]))) AS most FROM a JOIN b USING (id)"),
+    "ker_identical_children_all": (lambda s, d: _identical(s, d, 16), "WITH e AS (SELECT vec_id, k, list_transform(embedding[k * 16 + 1 : k * 16 + 16], lambda x: round_even(x::DOUBLE, 1) + 0.0) AS v FROM embeddings, unnest(range(0, 4)) AS t(k)) SELECT a.vec_id, count(*) AS pairs FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k < b.k AND a.v = b.v GROUP BY a.vec_id"),
     "ker_identical_children": (_identical, "WITH e AS (SELECT vec_id, k, round_even(embedding[k * 16 + 1]::DOUBLE, 1) + 0.0 AS v FROM embeddings, unnest(range(0, 4)) AS t(k)) SELECT a.vec_id, count(*) AS pairs FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k < b.k AND a.v = b.v GROUP BY a.vec_id"),
     "ker_neighbor_cosine_all": (_cosine_near_all, None),
     "ker_neighbor_cosine": (_cosine_near, f"WITH e AS (SELECT vec_id, embedding AS v, vec_id // 4 AS y, vec_id % 4 AS x FROM embeddings WHERE vec_id < 16), j AS (SELECT abs(a.x - b.x) + abs(a.y - b.y) AS d, {_DOT.format('a.v', 'b.v')} / (sqrt({_DOT.format('a.v', 'a.v')}) * sqrt({_DOT.format('b.v', 'b.v')})) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT round(avg(CASE WHEN d = 1 THEN c END), 6) AS near, round(avg(CASE WHEN d > 3 THEN c END), 6) AS far FROM j"),

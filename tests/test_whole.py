@@ -120,3 +120,12 @@ def test_neighbor_cosine_over_all_grids(spark):
                 far += [c] * (dist > 5)
     (got,) = catalog.QUERIES["ker_neighbor_cosine_all"](spark, DATA).collect()
     assert abs(got.near - np.mean(near)) < 2e-6 and abs(got.far - np.mean(far)) < 2e-6
+
+
+def test_identical_children_by_all_numbers(spark, tmp_path):
+    base = [float(i % 7) for i in range(16)]
+    other = base[:15] + [9.0]
+    vectors = [(0, base * 4), (1, base + other + base + other), (2, base + other + [8.0, *base[1:]] + [x + 1 for x in base]), (3, [x + k for k in range(4) for x in base])]
+    spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.pairs for r in catalog.QUERIES["ker_identical_children_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: 6, 1: 2}
