@@ -41,6 +41,34 @@ def restoration(patched: Column, floor: Column, intact: Column) -> Column:
     return F.when(F.abs(whole) >= 1e-9, (patched - floor) / whole)
 
 
+def restoration_bootstrap(df: DataFrame, doc: str, patched: str, floor: str, intact: str, *, n: int = 2000, seed: int = 0) -> DataFrame:
+    """(n_docs, fraction, lo, hi, n_boot, n_degenerate): restoration with its 95 % interval over resampled documents, the three scores kept together.
+
+    Resamples with nothing to restore are dropped and counted; no interval for fewer than two documents or no fraction.
+    """
+    per = df.groupBy(F.col(doc).alias("doc")).agg(F.avg(patched).alias("p"), F.avg(floor).alias("f"), F.avg(intact).alias("a"))
+
+    def draw(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("doc")
+        p, f, a = (t[x].to_numpy(float) for x in "pfa")
+        k, found, dropped = len(t), [], 0
+        whole = a.mean() - f.mean()
+        fraction = (p.mean() - f.mean()) / whole if abs(whole) >= 1e-9 else None
+        if fraction is not None and k > 1:
+            rng = np.random.default_rng(seed)
+            for _ in range(n):
+                at = rng.integers(0, k, k)
+                whole = a[at].mean() - f[at].mean()
+                if abs(whole) < 1e-9:
+                    dropped += 1
+                else:
+                    found.append((p[at].mean() - f[at].mean()) / whole)
+        lo, hi = np.percentile(found, [2.5, 97.5]) if found else (None, None)
+        return pd.DataFrame({"n_docs": [k], "fraction": [fraction], "lo": [lo], "hi": [hi], "n_boot": [n], "n_degenerate": [dropped]})
+
+    return per.where("p IS NOT NULL AND f IS NOT NULL AND a IS NOT NULL").groupBy().applyInPandas(draw, "n_docs bigint, fraction double, lo double, hi double, n_boot bigint, n_degenerate bigint")
+
+
 def gap_counts(gap: Column, half_a: Column, half_b: Column, mlp_minus_linear: Column) -> Column:
     """A gap counts if it is wider than both half intervals and than what the better head gains (strict)."""
     return (gap > F.greatest(half_a, half_b)) & (gap > F.greatest(F.lit(0.0), mlp_minus_linear))

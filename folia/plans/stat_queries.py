@@ -106,6 +106,7 @@ QUERIES = {
     "boot_contrast": (lambda s, d: R.contrast(_docs(s, d), "lang", "source", "a", "b", n=2000), None),
     "boot_mean": (lambda s, d: R.bootstrap(_docs(s, d), "lang", "source", "x", n=500, seed=1), None),
     "boot_contrast_mean": (lambda s, d: _docs(s, d).groupBy("lang").agg(F.round(F.avg("x"), 9).alias("mean")), "SELECT lang, round(avg(quality - toxic), 9) AS mean FROM documents JOIN labels USING (doc_id) GROUP BY lang"),
+    "boot_restoration_ci": (lambda s, d: R.restoration_bootstrap(ARMS.df(s), "doc", "patched", "low", "intact"), None),
     "boot_restoration": (_restoration, f"WITH {ARMS.cte('f')} SELECT round((avg(patched) - avg(low)) / (avg(intact) - avg(low)), 9) AS fraction, count(*) AS n FROM f"),
     "contrast_block": (lambda s, d: _points(_paired(s), ["family"]), f"WITH {SCORES.cte('f')}, p AS (SELECT a.family, a.score - b.score AS diff FROM f a JOIN f b USING (image) WHERE a.arm = 'A' AND b.arm = 'B') SELECT 'all' AS axis, 'all' AS key, count(*) AS n, round(avg(diff), 6) AS mean FROM p UNION ALL SELECT 'family', family, count(*), round(avg(diff), 6) FROM p GROUP BY family"),
     "gap_rule": literal_query(GAPS, lambda: {"counts": R.gap_counts(C("gap"), C("ha"), C("hb"), C("head"))}, "SELECT id, gap > greatest(ha, hb) AND gap > greatest(0.0, head) AS counts FROM f"),

@@ -129,3 +129,25 @@ def test_identical_children_by_all_numbers(spark, tmp_path):
     spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: r.pairs for r in catalog.QUERIES["ker_identical_children_all"](spark, str(tmp_path)).collect()}
     assert got == {0: 6, 1: 2}
+
+
+def test_restoration_interval(spark):
+    from folia.operators import resampling
+
+    names = "doc bigint, patched double, low double, intact double"
+    for docs in ([(i, 0.4 + 0.01 * (i % 5), 0.2, 0.5 + 0.05 * i) for i in range(12)], [(0, 0.5, 0.2, 0.2), (1, 0.6, 0.2, 0.8), (2, 0.1, 0.2, 0.2)], [(0, 0.5, 0.2, 0.8)], [(0, 0.5, 0.2, 0.2), (1, 0.5, 0.2, 0.2)]):
+        (r,) = resampling.restoration_bootstrap(spark.createDataFrame(docs, names).repartition(3), "doc", "patched", "low", "intact").collect()
+        p, f, a = np.array(docs)[:, 1:].T
+        rng, found = np.random.default_rng(0), []
+        whole = abs(a.mean() - f.mean()) >= 1e-9
+        for _ in range(2000 if whole and len(docs) > 1 else 0):
+            at = rng.integers(0, len(docs), len(docs))
+            if abs(gap := a[at].mean() - f[at].mean()) >= 1e-9:
+                found.append((p[at].mean() - f[at].mean()) / gap)
+        assert r.n_docs == len(docs) and r.n_boot == 2000
+        assert abs(r.fraction - (p.mean() - f.mean()) / (a.mean() - f.mean())) < 1e-9 if whole else r.fraction is None
+        if found:
+            assert np.allclose([r.lo, r.hi], np.percentile(found, [2.5, 97.5])) and r.n_degenerate == 2000 - len(found)
+            assert (r.n_degenerate > 0) == (len(docs) == 3)
+        else:
+            assert r.lo is None and r.hi is None and r.n_degenerate == 0
