@@ -1,11 +1,11 @@
-"""Repeated passages by relative Lempel-Ziv parsing of every document against the indexed corpus.
+"""Repeated passages by anchors: windows of all documents grouped by minimum-hash grams, in place of a relative Lempel-Ziv parse.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window is ``window`` consecutive words of one document. A word is removed
 if a window that covers it has its word sequence start earlier too: in a smaller ``doc_id``, or earlier in the same one.
 
 The reference is the whole corpus, indexed by anchors: of the 6-word grams in a window the one with the smallest hash, so
 that equal windows have equal anchors at equal places and one window in eight or so opens a new anchor. All windows that
-share an anchor form its neighbourhood; a document is factored greedily, anchor by anchor:
+share an anchor form its neighbourhood; a document is gone through anchor by anchor (factors have no reference position):
 
 1. The factor goes on where the neighbourhood, as a whole, has an earlier copy anywhere in the corpus: all its windows repeat.
 2. At factor boundaries, where the anchor is known but the neighbourhood differs between its places, each window of the
