@@ -8,9 +8,10 @@ similarity 0.75 share no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
 1. One row per distinct set (a "node"): exact copies collapse before anything is compared.
 2. In each band bucket every node is tied to the smallest one. Connected components of these ties ("candidates") hold
    every pair that shares a bucket; only they are looked at again.
-3. A candidate component is verified on full sets in one task if its sets are bounded (``group_shingles``); pairs that
-   already hang together are skipped. A larger one is dealt out in bounded blocks: within blocks, then between one member
-   of each part found, then every member outside the largest part against all blocks, so that no link is lost.
+3. Candidate components are verified on full sets in bounded groups (``group_shingles``: shingles and signature values of
+   their members): small ones share a group, pairs that already hang together are skipped. A larger one is dealt out in
+   bounded blocks: within blocks, then between one member of each part found, then every member outside the largest part
+   against all blocks, so that no link is lost.
 
 Defined results: null or wordless text has no shingles and is linked with nothing; rows with the same ``doc_id`` but
 other texts are judged apart; a null ``doc_id`` gets the smallest id of its group, or null if none has one, and is kept
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, row_steps, splitmix, stored, string_parts, table
+from .common import lean, release, row_steps, splitmix, stored, string_parts, table
 from .components import components
 from .textvec import NON_SPACE, find_words, gram_hashes, mix, word_hashes
 
@@ -105,81 +106,139 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(lean(run), "doc_id bigint, key bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def link(sets: list[np.ndarray], labels: list, asks: list[bool], similarity: int) -> Union:
-    """Join members that share a bucket and whose similarity is ``similarity`` percent or more, and those of one label.
+#: groups of up to this many members are compared pair by pair, without bands
+SMALL = 48
+_STEP = 1 << 21
+
+
+class Parts:
+    """Members of a group and the parts they hang together in; sets are kept as runs of one array of small codes."""
+
+    def __init__(self, sets: list[np.ndarray], labels: list, asks: np.ndarray, similarity: int):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.asks, self.similarity = asks, similarity
+        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.codes, self.mark = codes.astype(np.int32), np.zeros(len(known), bool)
+        first: dict = {}
+        self.part = np.array([first.setdefault(x, i) for i, x in enumerate(labels)])
+
+    def test(self, x: int, others: np.ndarray) -> None:
+        """Join x with those of ``others`` (of other parts) that are similar enough on full sets."""
+        size = self.sizes[x]
+        if not self.asks[x]:
+            others = others[self.asks[others]]
+        others = others[np.minimum(self.sizes[others], size) * 100 >= self.similarity * np.maximum(self.sizes[others], size)]
+        own = self.codes[self.at[x] : self.at[x + 1]]
+        self.mark[own] = True
+        while len(others):
+            n = self.sizes[others]
+            end = np.cumsum(n)
+            k = max(1, int(np.searchsorted(end, _STEP)))
+            some, n, end = others[:k], n[:k], end[:k]
+            flat = np.arange(end[-1]) + np.repeat(self.at[some] - end + n, n)
+            common = np.add.reduceat(self.mark[self.codes[flat]], end - n, dtype=np.int64)
+            for y in some[100 * common >= self.similarity * (size + n - common)].tolist():
+                a, b = self.part[x], self.part[y]
+                if a != b:
+                    self.part[self.part == max(a, b)] = min(a, b)
+            others = others[k:]
+            others = others[self.part[others] != self.part[x]]
+        self.mark[own] = False
+
+
+def link(sets: list[np.ndarray], labels: list, asks: np.ndarray, similarity: int) -> np.ndarray:
+    """The part of each member: members that share a bucket and whose similarity is ``similarity`` percent or more hang together, and those of one label.
 
     ``asks``: a pair is looked at if one of its members asks. Pairs that hang together already are skipped; those whose
-    128 signature values agree in fewer than half are 6 deviations below the threshold and are skipped too.
+    128 signature values agree in fewer than half are 6 deviations below the threshold and are skipped too. Only members
+    outside the largest part of a bucket are compared with its others, a few hundred at a time, so that memory stays in
+    proportion to the group; no pair is remembered.
     """
     n = len(sets)
-    uf, first = Union(n), {}
-    for i, x in enumerate(labels):
-        uf.join(first.setdefault(x, i), i)
-    sig = signatures(sets)
-    sizes = np.array([len(s) for s in sets])
-    floor = 0.5 * (similarity / 75)
-    told: set[tuple[int, int]] = set()
-
-    def test(a: int, b: int) -> None:
-        if uf.find(a) == uf.find(b) or (a, b) in told:
-            return
-        told.add((a, b))
-        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-        if 100 * common >= similarity * (sizes[a] + sizes[b] - common):
-            uf.join(a, b)
-
-    buckets = []
-    for col in bands(sig).T:
+    p = Parts(sets, labels, asks, similarity)
+    if n <= SMALL:
+        for x in range(n - 1):
+            rest = np.arange(x + 1, n)
+            p.test(x, rest[p.part[rest] != p.part[x]])
+        return p.part
+    whole = signatures(sets)
+    keys = bands(whole)
+    sig = (whole >> np.uint64(16)).astype(np.uint16)
+    del whole
+    buckets, known = [], np.zeros(n, np.int64)
+    for j, col in enumerate(keys.T):
         order = np.argsort(col, kind="stable")
         cut = np.flatnonzero(np.diff(col[order])) + 1
-        buckets += [b for b in np.split(order, cut) if len(b) > 1]
-    for full in (False, True):
-        for b in buckets:
-            members = b.tolist()
-            for k, x in enumerate(members[:-1] if full else members[:1]):
-                rest = b[k + 1 :]
-                near = (np.minimum(sizes[rest], sizes[x]) * 100 >= similarity * np.maximum(sizes[rest], sizes[x])) & ((sig[rest] == sig[x]).mean(axis=1) >= floor)
-                for y in rest[near].tolist():
-                    if asks[x] or asks[y]:
-                        test(min(x, y), max(x, y))
-                if full and len({uf.find(y) for y in members[k:]}) == 1:
-                    break
-    return uf
+        for b in np.split(order, cut):
+            if len(b) > 1:
+                buckets.append((j, b))
+                known[b] += len(b)
+    floor = 0.5 * (similarity / 75) * sig.shape[1]
+    for _, b in buckets:  # what most texts are copies of links most of them at once
+        x = int(b[known[b].argmax()])
+        rest = b[p.part[b] != p.part[x]]
+        if len(rest):
+            p.test(x, rest[(sig[rest] == sig[x]).sum(axis=1) >= floor])
+    for j, b in buckets:
+        ids, which, count = np.unique(p.part[b], return_inverse=True, return_counts=True)
+        if len(ids) == 1:
+            continue
+        in_top = which == count.argmax()
+        xs, ys = b[~in_top], np.concatenate([b[~in_top], b[in_top]])
+        step = max(1, _STEP // len(ys))
+        for i in range(0, len(xs), step):
+            some = xs[i : i + step]
+            rest = ys[i:]
+            agree = np.zeros((len(some), len(rest)), np.uint8)
+            for c in range(sig.shape[1]):
+                agree += sig[some, c][:, None] == sig[rest, c][None]
+            near = agree >= floor
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                x = some[k]
+                y = rest[k + 1 :][near[k, k + 1 :]]
+                y = y[p.part[y] != p.part[x]]
+                if len(y):
+                    y = y[~(keys[y, :j] == keys[x, :j]).any(axis=1)]  # those that share an earlier bucket were tested there
+                    p.test(int(x), y)
+    return p.part
 
 
 def _verify(members: DataFrame, words: int, similarity: int) -> DataFrame:
-    """(node, label, root): for each member of a group (comp, block), the smallest label it is linked to within the group."""
+    """(node, label, root): for each member of a group (pack, comp, block), the smallest label it is linked to within the group."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = {n: (label, asks, text) for n, label, asks, text in zip(*[group.column(c).to_pylist() for c in ("node", "label", "asks", "text")], strict=True)}
-        nodes = sorted(rows)
-        data, offsets = string_parts(pa.array([rows[n][2] for n in nodes], pa.large_string()))
+        group = group.sort_by([(c, "ascending") for c in ("comp", "block", "node")]).combine_chunks()
+        keys = list(zip(*[group.column(c).to_pylist() for c in ("comp", "block", "node")], strict=True))
+        once = np.array([k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))])
+        group, keys = group.filter(pa.array(once)).combine_chunks(), [x for x, on in zip(keys, once.tolist(), strict=True) if on]
+        data, offsets = string_parts(group.column("text").combine_chunks() if len(keys) > 1 else group.column("text").chunk(0))
         sets = [s for i, j in row_steps(offsets) for s in shingle_sets(data, offsets[i : j + 1], words)]
-        labels = [rows[n][0] for n in nodes]
-        uf = link(sets, labels, [rows[n][1] for n in nodes], similarity)
-        roots: dict[int, bytes] = {}
-        for i, x in enumerate(labels):
-            r = uf.find(i)
-            roots[r] = min(x, roots.get(r, x))
-        return pa.table({"node": pa.array(nodes, pa.binary()), "label": pa.array(labels, pa.binary()), "root": pa.array([roots[uf.find(i)] for i in range(len(nodes))], pa.binary())})
-
-    return members.groupBy("comp", "block").applyInArrow(run, "node binary, label binary, root binary")
+        labels, asks = group.column("label").to_pylist(), np.array(group.column("asks").to_pylist(), bool)
+        roots: list = []
+        a = 0
+        while a < len(keys):
+            b = a
+            while b < len(keys) and keys[b][:2] == keys[a][:2]:
+                b += 1
+            part = link(sets[a:b], labels[a:b], asks[a:b], similarity).tolist()
+            least: dict[int, bytes] = {}
+            for r, x in zip(part, labels[a:b], strict=True):
+                least[r] = min(x, least.get(r, x))
+            roots += [least[r] for r in part]
+            a = b
+        out = pa.table({"node": pa.array([k[2] for k in keys], pa.binary()), "label": pa.array(labels, pa.binary()), "root": pa.array(roots, pa.binary())})
+        del group, data, sets
+        release()
+        return out
+
+    dealt = members.select("pack", "wide", "comp", "block", "node", "label", "asks", "text").repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pack", "wide")
+    return dealt.groupBy("pack", "wide").applyInArrow(run, "node binary, label binary, root binary")
+
+
+def _alone(members: DataFrame) -> DataFrame:
+    """Each (comp, block) as a group by itself."""
+    return members.withColumn("pack", F.col("block")).withColumn("wide", F.col("comp"))
 
 
 def _relabel(labels: DataFrame, merged: DataFrame) -> DataFrame:
@@ -206,24 +265,28 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ties = reps.join(least, "bucket").where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     comps = stored(components(ties).select("node", F.col("root").alias("comp")), "candidates")
 
-    one = has.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("at"), F.max("n_shingles").alias("size"))
+    one = has.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("at"), (F.max("n_shingles") + 2 * PERMUTATIONS).alias("size"))
     sized = comps.join(one, "node")
     totals = sized.groupBy("comp").agg(F.sum("size").alias("total"))
     sized = sized.join(totals, "comp").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(group_shingles))).cast("int"))
     # the text of one row of each candidate node; rows that share the id but not the set are told apart by the set again
     members = sized.join(src, F.col("at").eqNullSafe(F.col("doc_id")))
-    members = members.select("comp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "text", "size", "parts")
+    members = members.select("comp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "text", "size", "total", "parts")
     same = stored(_checked(members, words), "members")
-    linked = stored(_verify(same.select("comp", "block", "node", "label", "asks", "text"), words, similarity), "linked")
+    small = F.col("total") <= F.lit(group_shingles // 8)
+    packs = -(-2 * (same.where(small).agg(F.sum("size")).first()[0] or 0) // group_shingles) or 1
+    groups = same.withColumn("pack", F.when(small, F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("int")).otherwise(F.col("block"))).withColumn("wide", F.when(~small, F.col("comp")))
+    linked = stored(_verify(groups, words, similarity), "linked")
     parts = linked.select("node", F.col("root").alias("label"))
 
     big = same.where("parts > 1").select("comp", "node", "size", "text")
     if big.limit(1).count():
         large = stored(big.dropDuplicates(["node"]).join(parts, "node"), "labels")
         # one member of each part, in bounded groups
-        heads = large.where("node = label").withColumn("parts", F.ceil(F.sum("size").over(Window.partitionBy("comp")) / F.lit(group_shingles)).cast("int"))
-        found = _verify(heads.select("comp", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int").alias("block"), "node", "label", F.lit(True).alias("asks"), "text"), words, similarity)
-        large = _relabel(large, found)
+        heads = large.where("node = label")
+        counts = heads.groupBy("comp").agg(F.ceil(F.sum("size") / F.lit(group_shingles)).cast("int").alias("parts"))
+        heads = heads.join(counts, "comp").select("comp", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int").alias("block"), "node", "label", F.lit(True).alias("asks"), "text")
+        large = _relabel(large, _verify(_alone(heads), words, similarity))
         # each member outside the largest part against all
         weight = large.groupBy("comp", "label").agg(F.sum("size").alias("w"))
         top = weight.groupBy("comp").agg(F.max_by("label", F.struct("w", "label")).alias("top"), F.sum("w").alias("total"), (F.sum("w") - F.max("w")).alias("rest"))
@@ -234,7 +297,7 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         left = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("ub") - 1))).select("comp", (F.col("u") * F.col("mb") + own).alias("block"), "node", "label", F.lit(False).alias("asks"), "text")
         right = dealt.where("label != top").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select("comp", (other * F.col("mb") + F.col("m")).alias("block"), "node", "label", F.lit(True).alias("asks"), "text")
         both = left.unionByName(right).groupBy("comp", "block", "node").agg(F.first("label").alias("label"), F.max("asks").alias("asks"), F.first("text").alias("text"))
-        large = _relabel(large, _verify(both, words, similarity))
+        large = _relabel(large, _verify(_alone(both), words, similarity))
         parts = parts.join(large.select("node"), "node", "left_anti").unionByName(large.select("node", "label"))
 
     named = ids.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -255,10 +318,10 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     """``docs`` with one row of each group: that of the smallest id (of several, the one with the smallest row hash). A repeated row counts once."""
     rows = grouped(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = rows.groupBy(F.coalesce("label", F.xxhash64("key").cast("string").cast("binary")).alias("label")).agg(F.min(F.struct("key", "doc_id")).alias("x"))
-    kept = first.select(F.col("x.key").alias("_key"), F.coalesce("x.doc_id", F.lit(-1)).alias("_id"))
+    kept = first.select(F.col("x.key").alias("k"), F.coalesce("x.doc_id", F.lit(-1)).alias("i"))
     doc, key, _ = _sources(docs, id_col, text_col)
-    df = docs.withColumn("_key", key).withColumn("_id", F.coalesce(doc, F.lit(-1)))
-    return df.join(kept, ["_key", "_id"], "left_semi").dropDuplicates(["_key", "_id"]).select(*docs.columns)
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), key.alias("k"), F.coalesce(doc, F.lit(-1)).alias("i"))
+    return df.join(kept, ["k", "i"], "left_semi").dropDuplicates(["k", "i"]).select("r.*")
 
 
 def _checked(members: DataFrame, words: int) -> DataFrame:
