@@ -6,7 +6,8 @@ for which first-order character models of random strings and of ordinary identif
 character or more. Both are trained by counting character pairs of labelled samples (any table of text and is_random; the
 default one is composed from hashes and from common programming words). A markov span that overlaps a pattern's is left out.
 
-Positions come from the pieces between matches: a match starts behind all pieces up to its own and all earlier matches.
+Positions come from the pieces between matches: a match ends behind all pieces and matches up to its own. Sums and extremes
+along the matches of a text run in nested blocks, so that its time is in proportion to their number.
 
 Defined results: null text is empty; positions are code points, ends exclusive; spans are ordered by start, then kind
 (assign, access, hex, markov); without samples nothing is added.
@@ -15,11 +16,12 @@ Defined results: null text is empty; positions are code points, ends exclusive;
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bind, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,9 +63,8 @@ def samples(spark: SparkSession, n: int = 6000) -> DataFrame:
 
 def _pairs(text: Column) -> Column:
     """Index of each pair of neighbouring characters (a character's code is its place in the alphabet, 0 for others)."""
-    n = F.length(text)
-    code = lambda i: F.call_function("instr", F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: code(i) * (len(ALPHABET) + 1) + code(i + 1))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(F.split(text, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+    return bind(codes, lambda k: F.transform(F.slice(k, 1, F.greatest(F.size(k) - 1, F.lit(0))), lambda x, i: x * (len(ALPHABET) + 1) + F.get(k, i + 1)))
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -86,21 +87,46 @@ def _weights(values: list[float]) -> Column:
     return F.split(F.lit(" ".join(f"{v:.4f}" for v in values)), " ").cast("array<double>")
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], zero: int, block: int = 64) -> Column:
+    """``op`` over the values of an array<int> up to each, in nested blocks; ``zero`` is neutral."""
+
+    def plain(v: Column, init: Column) -> Column:
+        start = F.struct(init.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(v, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.array_append(acc["out"], op(acc["at"], x)).alias("out")), lambda acc: acc["out"])
+
+    def level(v: Column, depth: int) -> Column:
+        if not depth:
+            return plain(v, F.lit(zero))
+        blocks = F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda i: F.slice(v, i * block + 1, block))).otherwise(F.array().cast("array<array<int>>"))
+        whole = lambda cs: F.transform(cs, lambda c: F.aggregate(c, F.lit(zero), lambda a, b: op(a, b)))
+        return bind(blocks, lambda cs: bind(bind(whole(cs), lambda w: level(w, depth - 1)), lambda before: F.flatten(F.transform(cs, lambda c, i: plain(c, F.coalesce(F.get(before, i - 1), F.lit(zero)))))))
+
+    return bind(values, lambda v: level(v, 2))
+
+
 def _found(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
-    """Spans (start, rank, end) of the matches of a pattern in a text, those whose group has ``least`` characters or more."""
+    """Spans (start, rank, end, text) of the matches of a pattern in a text, those whose group has ``least`` characters or more."""
     read = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("spans"))
+    ends = lambda r: running(F.transform(r, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["whole"]), F.lit(0))), lambda a, b: a + b, 0)
+    span = lambda x, end: F.struct((end - F.length(x["whole"])).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["whole"].alias("text"), F.length(x["part"]).alias("size"))
+    every = bind(read, lambda r: bind(ends(r), lambda e: F.transform(r, lambda x, i: span(x, F.get(e, i)))))
+    return F.filter(every, lambda x: x["size"] >= least)  # the piece behind the last match has none
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(read, start, step, lambda acc: acc["spans"])
+_NONE = "array<struct<start:int,rank:int,end:int>>"
+_FAR = (1 << 31) - 1
 
 
-_NONE = "array<struct<start:int,rank:int,end:int>>"
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["end"]))
+
+
+def _free(spans: Column, rank: int) -> Column:
+    """Of spans in order, those of lower ranks and those of ``rank`` that overlap none of them."""
+    tops = running(F.transform(spans, lambda x: F.when(x["rank"] < rank, x["end"]).otherwise(F.lit(0))), F.greatest, 0)
+    nexts = F.reverse(running(F.reverse(F.transform(spans, lambda x: F.when(x["rank"] < rank, x["start"]).otherwise(F.lit(_FAR)))), F.least, _FAR))
+    clear = lambda x, i, t, n: (x["rank"] < rank) | (F.get(t, i) <= x["start"]) & (F.get(n, i) >= x["end"])
+    return bind(tops, lambda t: bind(nexts, lambda n: F.filter(spans, lambda x, i: clear(x, i, t, n))))
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,19 +141,18 @@ def scan(docs: DataFrame, *, text_col: str = "text", labelled: DataFrame | None
     for word in KEYWORDS:
         has = has | F.contains("low", F.lit(word))
     t = F.col("t")
-    assign = F.when(has, _found(t, ASSIGN, 0, 1, 6)).otherwise(none)
-    access = F.when(F.contains("t", F.lit("AKIA")), _found(t, ACCESS, 1)).otherwise(none)
-    hexes = F.when(F.rlike("t", F.lit(HEX)), _found(t, HEX, 2)).otherwise(none)
+    assign = F.when(has, _bare(_found(t, ASSIGN, 0, 1, 6))).otherwise(none)
+    access = F.when(F.contains("t", F.lit("AKIA")), _bare(_found(t, ACCESS, 1))).otherwise(none)
+    hexes = F.when(F.rlike("t", F.lit(HEX)), _bare(_found(t, HEX, 2))).otherwise(none)
     df = df.select("r", "t", F.array_sort(F.concat(assign, access, hexes)).alias("base"))
 
     table_ = _weights(model)
     score = lambda w: F.aggregate(_pairs(w), F.lit(0.0), lambda acc, p: acc + F.get(table_, p)) / F.length(w)
-    span_text = lambda x: F.substring(t, x["start"] + 1, x["end"] - x["start"])
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    mixed = lambda x: F.rlike(span_text(x), F.lit("[0-9]")) & F.rlike(span_text(x), F.lit("[A-Za-z]"))
-    likely = lambda x: free(x) & mixed(x) & (score(span_text(x)) >= threshold)
-    more = F.when(F.rlike("t", F.lit("[0-9]")) & F.rlike("t", F.lit(CANDIDATE)), F.filter(_found(t, CANDIDATE, 3), likely)).otherwise(none)
-    df = df.select("r", "base", F.array_sort(F.concat("base", more)).alias("every"))
+    likely = lambda x: F.rlike(x["text"], F.lit("[0-9]")) & F.rlike(x["text"], F.lit("[A-Za-z]")) & (score(x["text"]) >= threshold)
+    more = F.when(F.rlike("t", F.lit("[0-9]")) & F.rlike("t", F.lit(CANDIDATE)), _bare(F.filter(_found(t, CANDIDATE, 3), likely))).otherwise(none)
+    df = df.select("r", "base", more.alias("more"))
+    every = bind(F.array_sort(F.concat("base", "more")), lambda e: _free(e, 3))
+    df = df.select("r", "base", F.when(F.size("more") == 0, F.col("base")).otherwise(every).alias("every"))
     names = F.array(*[F.lit(k) for k in (*KINDS, "markov")])
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["rank"] == k)).cast("bigint")
