@@ -105,6 +105,46 @@ def test_substring(spark, docs, none, window):
     assert substring.repeated_passages(none).collect() == []
 
 
+def test_substring_factors(spark, docs):
+    """Factors against a brute-force parse: real copies of earlier places, all windows that repeat and no other, maximal along their source."""
+    r = random.Random(8)
+    pieces = [cases.words(900 + i, r.randint(5, 70)).split() for i in range(12)]
+    rows = [(r.choice([None, *range(60)]), " ".join(w for _ in range(r.randint(1, 6)) for w in r.choice(pieces))) for _ in range(80)]
+    rows.append((70, " ".join(["again", "and"] * 60)))
+    for window in (3, 20):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        last = (1 << 63) - 1
+        place = lambda d, s: (last if d is None else d, s)
+        texts = defaultdict(list)
+        first = {}
+        for d, t in rows:
+            w = t.split()
+            texts[d].append(w)
+            for s in range(len(w) - window + 1):
+                g = tuple(w[s : s + window])
+                first[g] = min(first.get(g, (last + 1, 0)), place(d, s))
+        want = Counter()
+        for d, t in rows:
+            w = t.split()
+            want[(d, t, tuple(s for s in range(len(w) - window + 1) if place(d, s) > first[tuple(w[s : s + window])]))] += 1
+        got = Counter()
+        out = substring.repeated_passages(df, window=window).collect()
+        by_sha = {(d, len(w), n, sha): " ".join(w) for (d, n_w, n, sha), w in zip(without_repeats(rows, window), [t.split() for _, t in rows], strict=True)}
+        for x in out:
+            t = by_sha[(x.doc_id, x.n_words, x.n_removed, x.kept_sha256)]
+            w, wins = t.split(), set()
+            for f in x.factors:
+                assert f.length >= window and place(f.source, f.source_start) < place(x.doc_id, f.start)
+                assert any(v[f.source_start : f.source_start + f.length] == w[f.start : f.start + f.length] for v in texts[f.source])
+                new = set(range(f.start, f.start + f.length - window + 1))
+                assert not wins & new
+                wins |= new
+            got[(x.doc_id, t, tuple(sorted(wins)))] += 1
+            for f, g in zip(x.factors, x.factors[1:], strict=False):  # the next factor has another source or diagonal
+                assert f.start < g.start and not (g.start == f.start + f.length - window + 1 and (g.source, g.source_start - g.start) == (f.source, f.source_start - f.start) and len(texts[f.source]) == 1)
+        assert {(d, wins) for d, _, wins in got} <= {(d, wins) for d, _, wins in want} and sum(got.values()) == len(rows)
+
+
 def test_substring_many_contexts(spark):
     """A common line with other words around it everywhere: more neighbourhoods of its anchors than a task passes on."""
     line = cases.words(70, 26)
@@ -190,6 +230,37 @@ def test_secrets(spark, docs, none):
     assert secretscan.scan(none).collect() == []
 
 
+def brute_secrets(text, model):
+    """Base spans and Markov spans, one after the other, by plain regular expressions and sums."""
+    k, at = len(secretscan.ALPHABET) + 1, {c: i + 1 for i, c in enumerate(secretscan.ALPHABET)}
+    pats = [re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
+    base = [(m.start(), j, m.end()) for j, p in enumerate(pats) for m in p.finditer(text) if len(m[1] if j == 0 else m[0]) >= (6, 20, 24)[j]]
+    more = []
+    for m in re.finditer("[A-Za-z0-9_+/=-]+", text):
+        w = m[0]
+        if len(w) < 16 or not re.search("[0-9]", w) or not re.search("[A-Za-z]", w):
+            continue
+        if sum(round(model[at[a] * k + at[b]], 4) for a, b in zip(w, w[1:], strict=False)) / len(w) >= secretscan.THRESHOLD and not any(a < m.end() and m.start() < e for a, _, e in base):
+            more.append((m.start(), 3, m.end()))
+    names = (*secretscan.KINDS, "markov")
+    return ",".join(f"{names[j]}:{a}:{e}" for a, j, e in sorted(base + more))
+
+
+def test_secrets_markov_spans(spark):
+    r = random.Random(6)
+    some = [x.text for x in secretscan.samples(spark, 400).where("text IS NOT NULL").collect()]
+    glue = [" ", "  ", "\n", "é", "; ", "=", ":", '"']
+    texts = ["".join(r.choice(some + ["token=" + some[4], "password: abcdefgh1", "AKIA" + "A1" * 9, "0f" * 13]) + r.choice(glue) for _ in range(r.randint(0, 9))) for _ in range(150)]
+    texts.append("".join(f"token=abc{i}def ghpx8Kq2ZpL0v{i}TnWsY7bRf1Dm " for i in range(20_000)))  # as many matches and candidates
+    texts.append("x9Kq" * 50_000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = secretscan.train(secretscan.samples(spark))
+    for x in secretscan.scan(df.where(f"doc_id <> {len(texts) - 2}")).collect():
+        assert x.spans == brute_secrets(x.text, model)
+    got = secretscan.scan(df.where(f"doc_id = {len(texts) - 2}")).first()
+    assert got.n_assign == 20_000 and got.spans.count("markov") == 20_000
+
+
 def test_secret_models_on_other_samples(spark):
     held = secretscan.samples(spark, 9000).where("text IS NOT NULL").collect()[6000:]
     m, k, at = secretscan.train(secretscan.samples(spark)), len(secretscan.ALPHABET) + 1, {c: i + 1 for i, c in enumerate(secretscan.ALPHABET)}
