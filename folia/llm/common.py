@@ -117,6 +117,17 @@ def append_columns(df: DataFrame, inputs: list[str], make: Callable, added: T.St
     return res.select(*[F.col(f"r{k}").alias(c) for k, c in enumerate(names)], *[F.col(f.name) for f in added.fields])
 
 
+def riding(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` as (r: all columns but the text, text), so that no column can clash with added ones."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]
+    return docs.select(F.struct(*others).alias("r"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def unpacked(docs: DataFrame, text_col: str, text: Column, drop: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``docs`` out of ``r``, with another text."""
+    return [(text if c == text_col else F.col(f"r.`{c}`")).alias(c) for c in docs.columns if c not in drop]
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once a row, also where a lambda in ``use`` refers to it for every element."""
     return F.get(F.transform(F.array(value), use), 0)

@@ -4,8 +4,9 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-c
 of a benchmark item (an item of fewer words, but not none, is one window). Every window of every document is looked
 up by its 64-bit hash, first in a bit table, then in the sorted hashes, and a hit is verified on the words themselves.
 
-The benchmark is collected to the driver only in blocks of at most ``block_bytes`` of text (measured before); each block
-is one pass over the documents, and between passes the state is written to the shared folder.
+The benchmark comes to the driver one block at a time, of at most about ``block_bytes`` of text (measured before); each
+block is one pass over the documents, and between passes the state is written to the shared folder. What is broadcast of a
+block are its words, the sorted hashes of its windows and their places: some six bytes for one of text, at most 25 MB.
 
 Defined results: a null or wordless document has no hits; benchmark rows without an id or without words are ignored;
 repeated item rows count once per item id; repeated document rows are each judged alone; an empty benchmark hits nothing.
@@ -14,6 +15,7 @@ repeated item rows count once per item id; repeated document rows are each judge
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,40 +23,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, row_steps, stored, string_parts, table
-from .textvec import ALNUM, Words, find_words, gram_hashes, inside, word_hashes
+from .common import append_columns, riding, row_steps, stored, string_parts, table, unpacked
+from .textvec import ALNUM, LOWER, Words, find_words, gram_hashes, inside, word_hashes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _BITS = 22
 _STATE = T.StructType([T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
 
 
+def _same(a: Words, at: np.ndarray, b: Words, bt: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words of ``a`` from each of ``at`` are those of ``b`` from ``bt``, A-Z lower-cased."""
+    out = np.ones(len(at), bool)
+    for k in range(m):
+        on = np.flatnonzero(out)
+        x, y = a.start[at[on] + k], b.start[bt[on] + k]
+        size = a.end[at[on] + k] - x
+        out[on] = size == b.end[bt[on] + k] - y
+        keep = out[on]
+        on, x, y, size = on[keep], x[keep], y[keep], size[keep]
+        if len(on):
+            stop = np.cumsum(size)
+            step = np.arange(stop[-1]) - np.repeat(stop - size, size)
+            out[on] = np.logical_and.reduceat(LOWER[a.data[np.repeat(x, size) + step]] == LOWER[b.data[np.repeat(y, size) + step]], stop - size)
+    return out
+
+
 class Windows:
     """Hash set of the windows of some benchmark items."""
 
     def __init__(self, rows: list[tuple[str, str]], n: int):
-        self.n = n
-        self.sets: dict[int, dict[bytes, list[int]]] = {}
-        self.ids: list[str] = []
-        hashes: dict[int, list[np.ndarray]] = {}
-        for item, text in rows:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            w = find_words(raw, np.array([0, len(raw)]), ALNUM)
-            if not len(w):
-                continue
-            m = min(n, len(w))
-            self.ids.append(item)
-            here = self.sets.setdefault(m, {})
-            for i in range(len(w) - m + 1):
-                at = here.setdefault(w.bytes(i, i + m, lower=True), [])
-                if not at or at[-1] != len(self.ids) - 1:
-                    at.append(len(self.ids) - 1)
-            hashes.setdefault(m, []).append(gram_hashes(word_hashes(w, lower=True), m))
-        self.hashes = {m: np.unique(np.concatenate(h)) for m, h in hashes.items()}
-        self.bits = {}
-        for m, h in self.hashes.items():
-            self.bits[m] = np.zeros(1 << _BITS, bool)
-            self.bits[m][h >> np.uint64(64 - _BITS)] = True
+        self.ids = [i for i, _ in rows]
+        data, offsets = string_parts(pa.array([t for _, t in rows], pa.large_string()))
+        self.words = w = find_words(data, offsets, ALNUM)
+        h = word_hashes(w, lower=True)
+        size = np.minimum(w.count, n)
+        self.sets: dict[int, tuple] = {}
+        for m in np.unique(size[size > 0]).tolist():
+            item = np.flatnonzero(size == m)
+            many = w.count[item] - m + 1
+            at = np.repeat(w.first[item] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            for salt in range(64):
+                g = gram_hashes(h, m, salt)[at]
+                order = np.argsort(g, kind="stable")
+                known, first, count = np.unique(g[order], return_index=True, return_counts=True)
+                lead = np.repeat(at[order][first], count)
+                if _same(w, at[order], w, lead, m).all():  # else two windows share a hash
+                    break
+            bits = np.zeros(1 << _BITS, bool)
+            bits[known >> np.uint64(64 - _BITS)] = True
+            self.sets[m] = (salt, bits, known, np.append(first, len(order)), at[order][first], np.repeat(item, many)[order].astype(np.int32))
 
     def find(self, w: Words) -> tuple[np.ndarray, list[set[str]]]:
         """(hit flag per word, item ids per document)."""
@@ -63,43 +80,44 @@ class Windows:
         if not len(w) or not self.sets:
             return mark[:-1] > 0, items
         h = word_hashes(w, lower=True)
-        for m, known in self.hashes.items():
-            g = gram_hashes(h, m)
-            if not len(g):
-                continue
-            at = np.flatnonzero(self.bits[m][g >> np.uint64(64 - _BITS)])
+        for m, (salt, bits, known, first, lead, item) in self.sets.items():
+            g = gram_hashes(h, m, salt)
+            at = np.flatnonzero(bits[g >> np.uint64(64 - _BITS)])
             if not len(at):
                 continue
-            place = np.searchsorted(known, g[at])
-            at = at[known[np.minimum(place, len(known) - 1)] == g[at]]
-            at = at[inside(w.first, w.count, len(w), m)[at]]
+            place = np.minimum(np.searchsorted(known, g[at]), len(known) - 1)
+            ok = (known[place] == g[at]) & inside(w.first, w.count, len(w), m)[at]
+            at, place = at[ok], place[ok]
+            ok = _same(w, at, self.words, lead[place], m)
+            at, place = at[ok], place[ok]
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + m, -1)
             docs = np.searchsorted(w.first, at, "right") - 1
-            for i, d in zip(at.tolist(), docs.tolist(), strict=True):
-                found = self.sets[m].get(w.bytes(i, i + m, lower=True))
-                if found:
-                    mark[i] += 1
-                    mark[i + m] -= 1
-                    items[d].update(self.ids[k] for k in found)
+            for d, k in np.unique(np.stack([docs, place], axis=1), axis=0).tolist():
+                items[d].update(self.ids[x] for x in set(item[first[k] : first[k + 1]].tolist()))
         return np.cumsum(mark)[:-1] > 0, items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """(whether it is the only one, rows) of each block, collected when it is asked for."""
     b = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     total = b.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     k = max(1, -(-total * 5 // (4 * block_bytes)))  # a quarter of room for uneven blocks
-    return [[tuple(r) for r in (b if k == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(k)) == j)).collect()] for j in range(k)]
+    for j in range(k):
+        yield k == 1, [tuple(r) for r in (b if k == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(k)) == j)).collect()]
+
 
+_COUNTS = ("n_words", "n_hit", "n_items", "items_sha256")
 
-def overlap(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, block_bytes: int = BLOCK_BYTES, keep_cleaned: bool = False) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined item ids) and, if asked, ``cleaned``: the text without hit runs."""
+
+def _overlap(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, n: int, block_bytes: int, keep_cleaned: bool) -> DataFrame:
+    """(r, text, counts, and if asked ``cleaned``), see ``riding``."""
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    df = docs
-    for rows in blocks:
+    df = None
+    for only, rows in _blocks(benchmark, item_id, item_text, block_bytes):
         known = spark.sparkContext.broadcast(Windows(rows, n))
-        if len(blocks) > 1 and df is not docs:
-            df = stored(df, "overlap")
-        first = df is docs
+        first = df is None
+        df = riding(docs, text_col) if first else df
 
         def make(known=known, first=first):
             def step(text, *state):
@@ -117,8 +135,10 @@ def overlap(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", it
 
             return step
 
-        df = append_columns(df, [text_col] if first else [text_col, "_hits", "_items"], make, _STATE)
-    added = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")] + [T.StructField("items_sha256", T.StringType())] + [T.StructField("cleaned", T.StringType())] * keep_cleaned)
+        df = append_columns(df, ["text"] if first else ["text", "_hits", "_items"], make, _STATE)
+        if not only:
+            df = stored(df, "overlap")
+    added = T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS[:3]] + [T.StructField(_COUNTS[3], T.StringType())] + [T.StructField("cleaned", T.StringType())] * keep_cleaned)
 
     def finish():
         def step(text, hits, items):
@@ -141,7 +161,13 @@ def overlap(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", it
 
         return step
 
-    return append_columns(df, [text_col, "_hits", "_items"], finish, added, drop=("_hits", "_items"))
+    return append_columns(df, ["text", "_hits", "_items"], finish, added, drop=("_hits", "_items"))
+
+
+def overlap(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined item ids), replacing columns of these names."""
+    seen = _overlap(docs, benchmark, text_col, item_id, item_text, n, block_bytes, False)
+    return seen.select(*unpacked(docs, text_col, F.col("text"), _COUNTS), *_COUNTS)
 
 
 def _either(a: bytes | None, b: bytes | None) -> bytes | None:
@@ -160,11 +186,10 @@ def _without(whole: bytes, flag: np.ndarray, w: Words, k: int, base: int) -> str
     return b"".join([*parts, whole[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", min_items: int = 2, **how) -> DataFrame:
-    """Drop documents with windows of ``min_items`` items or more; cut the hit runs out of the others. Columns of ``docs``, in order."""
-    seen = overlap(docs, benchmark, text_col=text_col, keep_cleaned=True, **how).where(F.col("n_items") < min_items)
-    text = F.when(F.col("n_items") > 0, F.col("cleaned")).otherwise(F.col(text_col)).alias(text_col)
-    return seen.select(*[text if c == text_col else F.col(c) for c in docs.columns])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Drop documents with windows of ``min_items`` items or more; cut the hit runs out of the others. Columns of ``docs``, in order, all but the text as they are."""
+    seen = _overlap(docs, benchmark, text_col, item_id, item_text, n, block_bytes, True).where(F.col("n_items") < min_items)
+    return seen.select(*unpacked(docs, text_col, F.when(F.col("n_items") > 0, F.col("cleaned")).otherwise(F.col("text"))))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
