@@ -7,9 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folia.llm import decontam, langid, minmax, packing, pii, quality, secretscan, substring, toxicity, warc
+from folia.llm.common import string_parts
+from folia.llm.textvec import NON_SPACE, find_words
 from tests.llm import cases
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -176,9 +181,15 @@ def test_decontam(spark, docs, none):
         want.append((r.doc_id, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()))
     for bound in (decontam.BLOCK_BYTES, 120):
         got = decontam.overlap(all_, b, block_bytes=bound)
+        assert set(got.columns) == {*all_.columns, "n_words", "n_hit", "n_items", "items_sha256"}
         assert key((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got.collect()) == key(want)
     kept = {r.doc_id: r.text for r in decontam.decontaminate(all_, b).where("doc_id >= 90").collect()}
     assert kept == {90: "say ; then"}
+    clash = docs.withColumn("n_items", F.lit("mine")).withColumn("_hits", F.lit("mine")).withColumn("cleaned", F.lit("mine"))
+    out = decontam.decontaminate(clash, b)
+    assert out.columns == clash.columns and {(r.n_items, r._hits, r.cleaned, r.spans, r.kept) for r in out.collect()} == {("mine", "mine", "mine", 1 and docs.first().spans, 0.5)}
+    frequent = spark.createDataFrame([(1, "one " * 30_000 + "two " * 3)], "doc_id bigint, text string")  # a one-word item in every place
+    assert tuple(decontam.overlap(frequent, b).select("n_words", "n_hit", "n_items").first()) == (30_003, 30_000, 1)
     assert decontam.overlap(none, b).collect() == []
     assert decontam.decontaminate(docs, b.where("false")).count() == docs.count()
 
@@ -284,14 +295,53 @@ def test_pii(spark, docs, none):
                 want.append(f"{kind}:{m.start()}:{m.end()}")
         assert [x for x in row.spans.split(",") if x.split(":")[0] in pats] == want
         assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
-    t = "call (555) 123-4567, ssn 123-45-6789, IBAN DE89 3704 0044 0532 0130 00; version 3.5 of 2020-01-01"
-    out = pii.redact(spark.createDataFrame([(1, t), (2, None)], "doc_id bigint, text string")).collect()
-    assert out[0].text == "call [TEL], ssn [SSN], IBAN [IBAN]; version 3.5 of 2020-01-01" and out[1].text is None
+    t = "call (555) 123-4567, ssn 123-45-6789, IBAN DE89 3704 0044 0532 0130 00; version 3.5 of 2020-01-01, for Mr. Anton Bexar at 12 Marlowex Street"
+    clash = [(1, t, "a", 5), (2, None, "b", 6)]
+    out = pii.redact(spark.createDataFrame(clash, "doc_id bigint, text string, spans string, n_email int")).collect()
+    assert out[0].text == "call [TEL], ssn [SSN], IBAN [IBAN]; version 3.5 of 2020-01-01, for Mr. [NAME] at [ADDRESS]" and out[1].text is None
+    assert [(r.spans, r.n_email) for r in out] == [("a", 5), ("b", 6)]
     assert pii.scan(none).collect() == [] and pii.scan(docs).count() == docs.count()
+    assert {r.spans for r in pii.scan(docs.where("doc_id IS NOT NULL"), rows=[]).collect()} == {""}
+
+
+def looks(texts):
+    data, offsets = string_parts(pa.array(texts, pa.large_string()))
+    w = find_words(data, offsets, NON_SPACE)
+    return w, pii.Looks(w)
+
+
+def test_pii_field():
+    """Held-out examples; the cut chains against a plain Viterbi over all words; shapes of long words to their ends."""
+    f = pii.default_field()
     held = pii.examples(500, 77)
-    f = pii.Field(pii.examples())
-    got = f.decode([tuple(map(pii.shape, w)) for w, _ in held])
-    assert sum(a == b for (_, y), z in zip(held, got, strict=True) for a, b in zip(y, z, strict=True)) / sum(len(y) for _, y in held) > 0.98
+    _, every = looks([" ".join(w) for w, _ in held])
+    got = [f.labels[x] for x in f.decode(every)]
+    want = [x for _, y in held for x in y]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) / len(want) > 0.98
+    assert sum(a == b for a, b in zip(got, want, strict=True) if b != "O") / sum(b != "O" for b in want) > 0.9
+    assert f.gap
+    r = random.Random(3)
+    texts = [" ".join(w for _ in range(r.randint(0, 5)) for w in (cases.words(r.randrange(999), r.randint(0, 9)).split() + r.choice(held)[0][:12])) for _ in range(60)] + ["", "Ü, — Dr. X", "...", cases.words(4, 30)]
+    w, every = looks(texts)
+    got = f.decode(every)
+    e = f.scores(every.keys(np.arange(len(w))))
+    for a, n in zip(w.first.tolist(), w.count.tolist(), strict=False):
+        if not n:
+            continue
+        best, back = e[a] + f.begin, []
+        for i in range(1, n):
+            s = [[best[x] + f.trans[x, y] for x in range(len(f.labels))] for y in range(len(f.labels))]
+            back.append([max(range(len(row)), key=row.__getitem__) for row in s])
+            best = np.array([max(row) for row in s]) + e[a + i]
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        assert got[a : a + n].tolist() == path[::-1]
+    _, long = looks(["x" * 70 + "12345", "x" * 70, "x" * 90 + "12345"])
+    assert long.shape[0] == long.shape[2] != long.shape[1] and long.digits[0] == 5 and long.plain.tolist() == [False, True, False]
+    text = "go " * 20_000 + "call (555) 123-4567 now"
+    data, offsets = string_parts(pa.array([text]))
+    assert pii.find([text], data, offsets, f) == [[("tel", 60_005, 60_019)]]
 
 
 def test_quality(spark, docs, none):
