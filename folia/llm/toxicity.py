@@ -3,8 +3,9 @@
 Features of a text are the hashed words (runs of ASCII letters, digits and all non-ASCII characters, A-Z lower-cased), their
 first five and seven bytes (so that forms of one stem are learned together), pairs of neighbours and pairs with one word
 between, each counted once. Per-coordinate rates and L1 leave few weights, which
-are broadcast. Training takes at most ``max_rows`` labelled rows, chosen by a hash of their id, and drops features seen
-in fewer than ``min_docs`` of them; scoring covers every whole text.
+are broadcast. Training takes at most ``max_rows`` labelled rows of at most ``max_bytes`` of text in all, in the order of a
+hash of their id, and drops features seen in fewer than ``min_docs`` of them; scoring covers every whole text. The default
+rates and penalties come from ``choose`` and ``picked``: cross-validation inside the learning rows.
 
 Defined results: a null or wordless text has the score of the intercept; a null id is not held out and is not learned from;
 rows with a null label are ignored, of repeated labels the larger counts; without labels of both kinds every score is
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,7 @@ from .textvec import ALNUM, Words, find_words, gram_hashes, inside, mix, word_ha
 BITS = 20
 STEMS = (5, 7)
 MAX_ROWS = 10_000
+MAX_BYTES = 32 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +51,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(docs), (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(rows: list[tuple[np.ndarray, int]], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3, min_docs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, int]], *, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3, min_docs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, intercept). ``rows``: distinct feature buckets and label."""
     share = float(np.mean([y for _, y in rows])) if rows else 0.0
     if share in (0.0, 1.0):
@@ -82,11 +84,15 @@ def sampled_ids(df: DataFrame, key: str, max_rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(max_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, **how) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights learned from ``labels`` (id, label); ``docs`` gives their texts."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[np.ndarray, int]]:
+    """Feature buckets and label of a bounded number of rows of ``labels`` (id, label); ``docs`` gives their texts."""
     some = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     some = sampled_ids(some, "id", max_rows)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sized = texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(some), "id").groupBy("id", "y").agg(F.sum("size").alias("size"))
+    before = F.sum("size").over(Window.orderBy(F.xxhash64(F.col("id").cast("string")), "id")) - F.col("size")  # of max_rows rows at most
+    some = sized.withColumn("before", before).where(F.col("before") < max_bytes).select("id", "y")
+    joined = texts.join(F.broadcast(some), "id").select("y", "text")
 
     def run(batches):
         for batch in batches:
@@ -105,7 +111,36 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         flat, size = chunk.column("b").flatten().to_numpy(), chunk.column("b").value_lengths().to_numpy(zero_copy_only=False)
         rows += list(zip(np.split(flat, np.cumsum(size)[:-1]), chunk.column("y").to_pylist(), strict=True))
     rows.sort(key=lambda r: (len(r[0]), r[1], r[0].tobytes()))  # not in the order in which tasks end
-    return train(rows, **how)
+    return rows
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, settings: dict | None = None, **how) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights learned from ``labels`` (id, label); ``docs`` gives their texts. ``settings``: of ``train``."""
+    return train(labelled_rows(docs, labels, **how), **(settings or {}))
+
+
+def choose(rows: list[tuple[np.ndarray, int]], grid: list[dict], folds: int = 4) -> list[tuple[float, dict]]:
+    """(mean log loss on left-out rows, settings) by cross-validation, best first."""
+    part = np.array([int(x.sum(dtype=np.uint64) % np.uint64(folds)) for x, _ in rows])
+    out = []
+    for settings in grid:
+        loss = 0.0
+        for k in range(folds):
+            at, w, bias = train([r for r, p in zip(rows, part, strict=True) if p != k], **settings)
+            weights = np.zeros(1 << BITS)
+            weights[at] = w
+            for (x, y), p in zip(rows, part, strict=True):
+                if p == k:
+                    z = np.clip(bias + weights[x].sum(), -35, 35)
+                    loss += float(np.log1p(np.exp(-z if y else z)))
+        out.append((loss / max(1, len(rows)), settings))
+    return sorted(out, key=lambda x: x[0])
+
+
+def picked(results: list[tuple[float, dict]], slack: float = 0.02) -> dict:
+    """Of the settings whose loss is within ``slack`` of the best, those with the smallest rate (and then the larger penalty)."""
+    near = [s for loss, s in results if loss <= results[0][0] * (1 + slack)]
+    return min(near, key=lambda s: (s["alpha"], -s["l1"]))
 
 
 _ADDED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
