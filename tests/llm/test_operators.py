@@ -1,6 +1,8 @@
 """Operators on hard rows, against brute force, and on empty tables."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -241,6 +243,63 @@ def test_secrets(spark, docs, none):
     assert secretscan.scan(none).collect() == []
 
 
+def test_toxicity_against_a_plain_loop():
+    """FTRL-proximal, one coordinate after the other, over rows in the same order."""
+    r = random.Random(1)
+    rows = [(np.array(sorted(r.sample(range(50), r.randint(1, 12)))), r.randint(0, 1)) for _ in range(120)]
+    alpha, beta, l1, l2 = 0.4, 1.0, 0.3, 0.5
+    share = sum(y for _, y in rows) / len(rows)
+    z, n, w = Counter(), Counter(), Counter()
+    bias, nb = math.log(share / (1 - share)), 1.0
+    seen = Counter(int(i) for x, _ in rows for i in x)
+    for e in range(2):
+        for k in np.random.default_rng(e).permutation(len(rows)).tolist():
+            x, y = [int(i) for i in rows[k][0] if seen[int(i)] >= 5], rows[k][1]
+            g = 1 / (1 + math.exp(-(bias + sum(w[i] for i in x)))) - y
+            for i in x:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+                w[i] = 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+            nb += g * g
+            bias -= alpha / math.sqrt(nb) * g
+    at, weights, b = toxicity.train(rows, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2)
+    assert sorted(at.tolist()) == sorted(i for i in w if w[i]) and abs(b - bias) < 1e-9
+    assert all(abs(w[i] - x) < 1e-5 for i, x in zip(at.tolist(), weights.tolist(), strict=True))
+
+
+def test_toxicity_settings(spark):
+    """Settings are compared on learning rows only; bounds of the training table."""
+    from tests.llm.choose_toxicity import GRID, learning_rows
+
+    rows = learning_rows(spark, "/root/testdata/sf0.01")
+    results = toxicity.choose(rows, GRID[:2] + [{"alpha": 2.0, "l1": 4.0}], folds=3)
+    assert [x for x, _ in results] == sorted(x for x, _ in results)
+    assert toxicity.picked([(1.0, {"alpha": 4.0, "l1": 4.0}), (1.01, {"alpha": 2.0, "l1": 4.0}), (1.5, {"alpha": 1.0, "l1": 4.0})]) == {"alpha": 2.0, "l1": 4.0}
+    d = spark.createDataFrame([(i, cases.words(i, 20)) for i in range(30)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
+    assert len(toxicity.labelled_rows(d, labels, max_rows=12)) == 12 and 1 <= len(toxicity.labelled_rows(d, labels, max_bytes=300)) < 10
+
+
+def test_language_posteriors(monkeypatch):
+    """Forward-backward in blocks against the sum over all label sequences."""
+    r = np.random.default_rng(4)
+    for block in (128, 2, 3):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for k in (2, 3):
+            sizes = [0, 1, 5, 7, 0, 3, 6]
+            first = np.cumsum([0, *sizes])
+            e, trans, start = r.normal(size=(first[-1], k)), r.normal(size=(k, k)), r.normal(size=k)
+            got = langid.posteriors(e, first, trans, start)
+            for a, n in zip(first, sizes, strict=False):
+                total, want = 0.0, np.zeros((n, k))
+                for path in itertools.product(range(k), repeat=n) if n else ():
+                    p = math.exp(start[path[0]] + sum(e[a + i, y] for i, y in enumerate(path)) + sum(trans[x, y] for x, y in zip(path, path[1:], strict=False)))
+                    total += p
+                    want[np.arange(n), path] += p
+                assert not n or np.allclose(got[a : a + n], want / total)
+
+
 def brute_secrets(text, model):
     """Base spans and Markov spans, one after the other, by plain regular expressions and sums."""
     k, at = len(secretscan.ALPHABET) + 1, {c: i + 1 for i, c in enumerate(secretscan.ALPHABET)}
