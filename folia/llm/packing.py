@@ -7,12 +7,16 @@ after w windows. So each partition knows, from where its documents stand in thei
 and carries the deficits of all partitions before it without waiting for them. Every window but the last is full. When a
 queue runs dry the round robin goes on among the others (a new phase); the few windows around that are dealt one by one.
 
-The weights default to the sources' token counts, so that all queues end together. A queue gets one token a window at least.
+The weights default to the sources' token counts, so that all queues end together. Sources whose share is less than two
+tokens a window are put together, in groups of like weights that have such a share; the order of tokens in a group comes from
+a round robin of its own by the same rule, so their proportions hold too, over correspondingly more windows. A group that is
+still too small, alone of its kind, gets two tokens a window.
 
 Defined results: null text is empty; every document ends with ``end_id``, so an empty one is one token; a null source is a
-queue of its own; repeated rows are packed each. With more than ``MAX_QUEUES`` sources, those with a weight and the largest
-others keep queues of their own; the remainder shares ``SHARED_QUEUES`` by hash, each with the sum of its sources' targets, so
-that only the proportions of small sources among themselves are left to the order of the partitions.
+queue of its own; repeated rows are packed each. The plan is in proportion to the sources (with explicit weights, and so many
+ends of queues, up to half the square of those with a share of their own). Beyond ``MAX_QUEUES`` sources, those with a weight
+and the largest others keep queues of their own; the remainder shares ``SHARED_QUEUES`` by hash, each with the sum of its
+sources' targets, so that only the proportions of the smallest sources among themselves are left to the order of the partitions.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from .common import lean, row_steps, stored, string_parts, table
 from .textvec import NON_SPACE, Words, word_hashes
 
 LENGTH = 4096
-MAX_QUEUES = 1024
-SHARED_QUEUES = 256
+MAX_QUEUES = 100_000
+SHARED_QUEUES = 4096
 CACHE_WORDS = 500_000
 #: rows of the (partition, queue) offsets up to which they are broadcast; beyond, they are joined by a shuffle
 BROADCAST_ROWS = 200_000
@@ -192,27 +196,21 @@ class Plan:
 
     def __init__(self, totals: dict[str, int], length: int, weights: dict[str, int] | None = None):
         self.length = length
-        self.queues = sorted(q for q, n in totals.items() if n)
-        self.spans: dict[str, list[tuple]] = {q: [] for q in self.queues}  # (first place, first window, windows, rank, cumulative weights) or an own window's offset
-        left = {q: totals[q] for q in self.queues}
-        took = dict.fromkeys(self.queues, 0)
+        totals = {q: n for q, n in totals.items() if n}
+        want = {q: max(1, int((weights or totals).get(q, 1))) for q in totals}
+        self.groups: dict[str, tuple[str, Plan]] = {}
+        self._join_small(totals, want)
+        self.queues = sorted(totals)
+        self.spans: dict[str, list[tuple]] = {q: [] for q in self.queues}  # (first place, first window, windows, cumulative weights, their sum) or an own window's offset
+        left, took = dict(totals), dict.fromkeys(self.queues, 0)
         window = 0
-        want = {q: max(1, int((weights or totals).get(q, 1))) for q in self.queues}
         while live := [q for q in self.queues if left[q]]:
             w = {q: want[q] for q in live}
-            for _ in range(64):
-                s = sum(w.values())
-                low = [q for q in live if w[q] * length < s]
-                if not low:
-                    break
-                for q in low:
-                    w[q] = -(-s // length)
-            if len(live) > length or any(w[q] * length < s for q in live):
-                w, s = dict.fromkeys(live, 1), len(live)
+            s = sum(w.values())
             cum = [0]
             for q in live:
                 cum.append(cum[-1] + w[q])
-            m = min((left[q] - 1) * s // (length * w[q]) for q in live)
+            m = min(left[q] * s // (length * w[q]) for q in live)
             if m > 0:
                 for r, q in enumerate(live):
                     self.spans[q].append((took[q], window, m, cum[r], cum[r + 1], s))
@@ -220,6 +218,7 @@ class Plan:
                     took[q] += got
                     left[q] -= got
                 window += m
+                continue
             # one window by itself: shares, then what is still free goes round
             grant = {q: min(left[q], length * cum[r + 1] // s - length * cum[r] // s) for r, q in enumerate(live)}
             free = length - sum(grant.values())
@@ -239,8 +238,41 @@ class Plan:
         self.windows = window
         self.starts = {q: [x[0] for x in v] for q, v in self.spans.items()}
 
+    def _join_small(self, totals: dict[str, int], want: dict[str, int]) -> None:
+        """Put queues with less than two tokens a window into groups, each a plan of its own, in place of them."""
+        s = sum(want.values())
+        low = sorted((q for q in totals if want[q] * self.length < 2 * s), key=lambda q: (-want[q], q))
+        if not low or len(totals) == 1:
+            return
+        parts, at = [[]], 0
+        for q in low:
+            if at * self.length >= 2 * s:
+                parts.append([])
+                at = 0
+            parts[-1].append(q)
+            at += want[q]
+        if at * self.length < 2 * s and len(parts) > 1:
+            rest = parts.pop()
+            parts[-1] += rest
+        for k, part in enumerate(parts):
+            name = f"\0{k}"
+            weight = sum(want[q] for q in part)
+            turn = min(self.length, max(16, -(-2 * weight // min(want[q] for q in part))))  # tokens in which each gets its share
+            plan = Plan({q: totals[q] for q in part}, turn, {q: want.pop(q) for q in part})
+            self.groups |= {q: (name, plan) for q in part}
+            totals[name], want[name] = sum(totals.pop(q) for q in part), max(weight, -(-2 * (s - weight) // max(1, self.length - 2)))
+
     def pieces(self, queue: str, place: int, n: int):
         """(start in the document, length, window, offset) of the n ids that stand at ``place`` in the queue."""
+        if queue not in self.groups:
+            yield from self._pieces(queue, place, n)
+            return
+        name, plan = self.groups[queue]
+        for start, size, window, offset in plan.pieces(queue, place, n):
+            for inner, some, w, at in self._pieces(name, window * plan.length + offset, size):
+                yield start + inner, some, w, at
+
+    def _pieces(self, queue: str, place: int, n: int):
         done, spans, starts = 0, self.spans[queue], self.starts[queue]
         k = bisect_right(starts, place) - 1
         while done < n:
@@ -279,6 +311,8 @@ _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def packed(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, end_id: int = 2, weights: dict[str, int] | None = None, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents (``_PIECE``; with ``keep_ids`` also their ids). ``weights``: target shares by source."""
+    if length < 16:
+        raise ValueError("length must be 16 or more")
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), name.alias("queue"), F.col(text_col).cast("string").alias("text"))
     from tokenizers import Tokenizer
