@@ -36,7 +36,6 @@ ARCHIVE_BYTES = 4 << 20
 SALTS = 16
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
-_HEADER_LIMIT = 1 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -82,19 +81,18 @@ def _parse(raw: bytes, at: int) -> tuple[dict, int]:
     m = _VERSION.match(raw, at)
     if not m:
         raise Damaged("version line")
-    stop = raw.find(b"\r\n\r\n", m.end() - 2, m.end() + _HEADER_LIMIT)
-    if stop < 0:
-        raise Damaged("headers")
-    head = {}
-    for line in raw[m.end() : stop].split(b"\r\n"):
-        k, sep, v = line.partition(b":")
-        if not sep:
+    head, stop = {}, m.end()
+    while not raw.startswith(b"\r\n", stop):  # line by line, of any length, to the first that is none of a header's
+        end = raw.find(b"\r\n", stop)
+        k, sep, v = raw[stop:end].partition(b":")
+        if end < 0 or not sep:
             raise Damaged("headers")
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        stop = end + 2
     size = head.get("content-length", "")
     if not size.isdigit():
         raise Damaged("length")
-    begin, end = stop + 4, stop + 4 + int(size)
+    begin, end = stop + 2, stop + 2 + int(size)
     if raw[end : end + 4] != b"\r\n\r\n":
         raise Damaged("length")
     block = raw[begin:end]
@@ -140,11 +138,11 @@ def _next(content: bytes, at: int) -> int:
     """The next place at or behind ``at`` where a record may begin."""
     plain = _VERSION.search(content, at)
     best = plain.start() if plain else len(content)
-    packed = content.find(_MAGIC, at)
+    packed = content.find(_MAGIC, at, best)
     while 0 <= packed < best:
         if _opens(content, packed):
             return packed
-        packed = content.find(_MAGIC, packed + 1)
+        packed = content.find(_MAGIC, packed + 1, best)
     return best
 
 
