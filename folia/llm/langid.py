@@ -3,8 +3,9 @@
 Words are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. A word's features are its first and last one to
 three bytes (affixes), its three-byte grams and the word itself (the learned lexicon), hashed into one weight table;
 transitions and start weights are learned along. Sequences to learn from are drawn from at most ``per_lang`` labelled
-texts of each language (those with the smallest hash of their id): some of one text, some switching between texts of
-several languages, so that the transitions see switches.
+texts of each language (those with the smallest hash of their id), of each of which ``segments`` runs of 20 words, evenly
+spaced from its first word to its last, are taken: some of one text, some switching between texts of several languages, so
+that the transitions see switches. Only this bounded training table is a sample; labelling covers every whole text.
 
 Every word of a text is labelled by forward-backward over the whole text (exact: block products of the chain, then the
 messages in the blocks). A text gets the label with the largest sum of word posteriors; its score is that sum's share.
@@ -188,8 +189,8 @@ def train(samples: list[tuple[str, str]], *, sequences: int = 1600, rounds: int
     return {"labels": labels, "weights": weights.astype(np.float32), "trans": trans, "start": start}
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, **how) -> dict:
-    """Learn from the rows of ``docs`` that have a label; at most ``per_lang`` texts of each are looked at."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, segments: int = SEGMENTS, **how) -> dict:
+    """Learn from the rows of ``docs`` that have a label; at most ``per_lang`` texts of each and ``segments`` runs of words of a text are looked at."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
     some = rows.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id", "lang")
@@ -203,7 +204,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 w = find_words(data, offsets[i : j + 1], ALPHA)
                 for d in range(j - i):
                     a, c = int(w.first[d]), int(w.count[d])
-                    for s in sorted({x * max(0, c - SEGMENT_WORDS) // (SEGMENTS - 1) for x in range(SEGMENTS)} if c else ()):
+                    for s in sorted({x * max(0, c - SEGMENT_WORDS) // max(1, segments - 1) for x in range(segments)} if c else ()):
                         out.append(w.bytes(a + s, a + min(c, s + SEGMENT_WORDS)).decode())
                         tags.append(lang[i + d])
             yield pa.RecordBatch.from_arrays([pa.array(tags, pa.string()), pa.array(out, pa.string())], names=["lang", "text"])
