@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folia.llm import decontam, langid, minmax, packing, pii, quality, secretscan, substring, toxicity, warc
@@ -419,6 +420,40 @@ def test_quality(spark, docs, none):
     assert all(r.kept != r.base_failed and r.score == 0 for r in quality.judge(docs, quality.fit(docs, labels.where("false"))).collect())
 
 
+def test_quality_score(spark, docs):
+    """Counts of words, word pairs, marks and their pairs, weights and mean log ratios by a plain loop."""
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    xx = lambda b, seed: signed(xxhash.xxh64(b, seed=seed & (1 << 64) - 1).intdigest())
+    long = lambda x: x.to_bytes(8, "little", signed=True)
+    pair = lambda x, y: xx(long(x), 42) if y is None else xx(long(y), xx(long(x), 42))
+    half = 64
+
+    def bins(t):
+        h = [xx(w.encode(), 42) for w in re.findall(SPACE, t)]
+        left = re.sub(r"[a-zA-Z0-9]|[^\x00-\x7F]", "", t)
+        marks = [xx((2).to_bytes(4, "little"), xx(w.encode(), 42)) for w in re.findall(SPACE, left)]
+        beside = [pair(x, y) for x, y in zip(marks, [*marks[1:], None], strict=False)]
+        return [x % half for x in h] + [pair(x, y) % half + half for x, y in zip(h, h[1:], strict=False)] + [x % half for x in marks] + [x % half for x in beside]
+
+    labels = spark.createDataFrame([(0, 1), (2, 1), (11, 1)], "doc_id bigint, quality int")
+    rows = docs.collect()
+    raw, target = Counter(), Counter()
+    for r in rows:
+        for b in bins(r.text or ""):
+            raw[b] += 1
+            target[b] += r.doc_id in (0, 2, 11)
+    n, m = sum(raw.values()) + 2 * half, sum(target.values())
+    smooth = 0.02 * m / n
+    weight = [math.log((target[b] + smooth * (raw[b] + 1)) / (m * 1.02) / ((raw[b] + 1) / n)) for b in range(2 * half)]
+    model, threshold = quality.fit(docs, labels, buckets=2 * half)
+    assert np.allclose(model, weight)
+    score = lambda t: sum(weight[b] for b in bins(t)) / len(bins(t)) if bins(t) else 0.0
+    good = sorted(score(r.text or "") for r in rows if r.doc_id in (0, 2, 11))
+    assert abs(threshold - (good[int((1 - quality.KEEP) * len(good))] - quality.MARGIN)) < 1e-3
+    for r in quality.judge(docs, (model, threshold)).collect():
+        assert abs(r.score - score(r.text or "")) < 1e-3
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -461,6 +496,55 @@ def test_packing_mixture():
     assert abs(share[("a", 100)] - 50) <= 1 and abs(share[("b", 100)] - 50) <= 1 and sum(share.values()) == 40_050
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_plan(seed):
+    """Every place of every queue once, windows gapless and full, shares kept while all queues last, over as many windows as small ones need."""
+    r = random.Random(seed)
+    length = r.choice([16, 50, 100])
+    totals = {f"q{i}": r.choice([0, 1, 3, r.randint(1, 50), r.randint(100, 4000)]) for i in range(r.choice([1, 3, 40, 400]))}
+    totals["big"] = r.randint(1000, 30_000)
+    weights = {q: r.choice([1, 2, 50, 1000]) for q in totals} if seed % 2 else None
+    plan = packing.Plan(totals, length, weights)
+    cells, share = Counter(), Counter()
+    for q, n in totals.items():
+        at = 0
+        while at < n:
+            size, done = min(n - at, r.randint(1, 300)), 0
+            for start, some, w, off in plan.pieces(q, at, size):
+                assert start == done and some > 0 and off + some <= length
+                done += some
+                share[(q, w)] += some
+                cells.update((w, x) for x in range(off, off + some))
+            assert done == size
+            at += size
+    total = sum(totals.values())
+    assert set(cells) == {(x // length, x % length) for x in range(total)} and set(cells.values()) <= {1}
+    if not weights:  # all end together: cumulative shares hold all along
+        for q, n in totals.items():
+            got = 0
+            for w in range(total // length):
+                got += share[(q, w)]
+                if n * length >= 2 * total:
+                    assert abs(got - (w + 1) * length * n / total) <= 2 + 2 * length * (n / total) * 0.2 or sum(totals[x] * length < 2 * total for x in totals)
+
+
+def test_packing_1500_sources():
+    """More sources than a window has room for: proportions of all hold over the windows that they need."""
+    totals = {f"s{i:04d}": 40 + i % 3 * 20 for i in range(1500)}
+    for weights in (None, {q: 2 if q < "s0750" else 1 for q in totals}):
+        plan = packing.Plan(totals, 1000, weights)
+        want = weights or totals
+        half = plan.windows // 3
+        got = Counter()
+        for q, n in totals.items():
+            for _, size, w, _ in plan.pieces(q, 0, n):
+                if w < half:
+                    got[q] += size
+        all_ = sum(got.values())
+        assert all_ == half * 1000
+        assert all(abs(got[q] - all_ * want[q] / sum(want.values())) <= 8 for q in totals)
+
+
 def test_packing_many_sources(spark, monkeypatch):
     """More sources than queues: weights and large sources hold in each window, small ones get the sum of their shares."""
     monkeypatch.setattr(packing, "MAX_QUEUES", 8)
@@ -525,6 +609,18 @@ def test_warc_salvage(compress):
         assert all(x[3] for x in lost)
 
 
+def test_warc_long_headers(spark):
+    """A url of 2 MiB comes back; a header that never ends is a gap, soon."""
+    url = "http://a/" + "x" * (2 << 20)
+    df = spark.createDataFrame([(1, url, "<p>a</p>"), (2, "u", "<p>b</p>")], "page_id bigint, url string, html string")
+    for compress in (True, False):
+        got = {r.page_id: r for r in warc.read_archives(warc.write_archives(df, compress=compress)).collect()}
+        assert set(got) == {1, 2} and got[1].url == url
+    raw = warc.record(1, "u", b"a") + b"WARC/1.1\r\n" * 100_000 + warc.record(2, "u", b"b")
+    out = list(warc.salvage(raw))
+    assert [k for k, *_ in out] == ["record", "gap", "record"] and out[2][3]["page_id"] == 2
+
+
 def test_warc_files(spark, tmp_path):
     df = spark.createDataFrame([(i, "u", f"text {i}") for i in range(5)], "page_id bigint, url string, html string")
     assert warc.export(warc.write_archives(df), str(tmp_path / "w")).count() >= 1
