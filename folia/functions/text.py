@@ -26,7 +26,7 @@ THRESHOLD = r"with threshold ([\d.]+)"
 VALUE = r"[0-9][0-9,.\-$%()]*|[A-Z]{2,}[0-9A-Z\-]*"
 REFUSAL = r"(?i)^\s*(i'?m sorry|i am sorry|i cannot|i can'?t|sorry,|as an ai)"
 #: Han, kana, hangul
-CJK = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af\u1100-\u11ff]"
+CJK = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af]"
 CJK_WEIGHT = 2.5
 
 
@@ -57,12 +57,6 @@ def content_norm(t: Column) -> Column:
     return F.pandas_udf(_content, "string")(F.regexp_replace(F.regexp_replace(F.coalesce(t, F.lit("")), FENCE_LINE, " "), ANY_TAG, " "))
 
 
-def content_norm_ascii(t: Column) -> Column:
-    """``content_norm`` of ASCII text without entities, in built-in functions."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(t, F.lit("")), FENCE_LINE, " "), ANY_TAG, " ")
-    return F.regexp_replace(F.lower(F.regexp_replace(t, LATEX, " ")), "[^0-9a-z]+", "")
-
-
 def effective_length(t: Column) -> Column:
     """Code points, CJK ones counted 2.5."""
     return F.length(t) + (CJK_WEIGHT - 1) * F.regexp_count(t, F.lit(CJK))

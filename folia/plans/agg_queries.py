@@ -91,7 +91,7 @@ def _degeneration(d):
     return t.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(C("n_chars") == 0).alias("empty"), F.count_if(C("n_chars") >= 0.98 * 3000).alias("at_cap"), *[F.count_if(F.round(rep, 9) >= x).alias(f"ge_{int(x * 100):02d}") for x in (0.05, 0.1, 0.25, 0.5, 0.9)], F.round(F.avg(rep), 6).alias("mean"), Q.nearest_rank(C("n_chars"), 0.1).alias("p10"), Q.nearest_rank(C("n_chars"), 0.5).alias("p50"), Q.nearest_rank(C("n_chars"), 0.9).alias("p90"))
 
 
-_REP = r"""d AS (SELECT doc_id, lang, n_chars, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE n_chars <= 3000), u AS (SELECT doc_id, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN string_split(text, '') ELSE w END AS u, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN 30 ELSE 10 END AS k FROM d),
+_REP = r"""d AS (SELECT doc_id, lang, n_chars, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), u AS (SELECT doc_id, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN string_split(text, '') ELSE w END AS u, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN 30 ELSE 10 END AS k FROM d),
   g AS (SELECT doc_id, array_to_string(u[i : i + k - 1], chr(1)) AS g FROM u, unnest(range(1, len(u) - k + 2)) AS t(i) WHERE len(u) >= k), c AS (SELECT doc_id, g, count(*) AS c FROM g GROUP BY ALL), s AS (SELECT doc_id, 1.0 - count(*) / sum(c) AS r FROM c GROUP BY doc_id), x AS (SELECT lang, n_chars, coalesce(r, 0.0) AS r FROM d LEFT JOIN s USING (doc_id))"""
 _NR = lambda p: f"list_sort(list(n_chars))[CAST(least(count(*) - 1, floor(count(*) * {p}::DOUBLE)) AS BIGINT) + 1]"
 
@@ -177,8 +177,7 @@ QUERIES = {
     "agg_confusion": (_confusion, f"WITH {ITEMS.cte('f')} {_CONF_SQL}"),
     "agg_confusion_check": (_confusion_check, f"WITH {ITEMS.cte('f')}, {PRINTED.cte('p')}, c AS ({_CONF_SQL}) SELECT axis, key, coalesce(p.pass_a = c.pass_a, false) AS ok FROM p LEFT JOIN c USING (axis, key)"),
     "agg_failure_kinds": (_kinds, "SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY event_type"),
-    "agg_degeneration_all": (lambda s, d: _degeneration(table(s, d, "documents")), None),
-    "agg_degeneration": (lambda s, d: _degeneration(table(s, d, "documents").where("n_chars <= 3000")), f"WITH {_REP} SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars = 0) AS empty, count(*) FILTER (WHERE n_chars >= 2940) AS at_cap, " + ", ".join(f"count(*) FILTER (WHERE round(r, 9) >= {x}) AS ge_{int(x * 100):02d}" for x in (0.05, 0.1, 0.25, 0.5, 0.9)) + f", round(avg(r), 6) AS mean, {_NR(0.1)} AS p10, {_NR(0.5)} AS p50, {_NR(0.9)} AS p90 FROM x GROUP BY lang"),
+    "agg_degeneration": (lambda s, d: _degeneration(table(s, d, "documents")), f"WITH {_REP} SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars = 0) AS empty, count(*) FILTER (WHERE n_chars >= 2940) AS at_cap, " + ", ".join(f"count(*) FILTER (WHERE round(r, 9) >= {x}) AS ge_{int(x * 100):02d}" for x in (0.05, 0.1, 0.25, 0.5, 0.9)) + f", round(avg(r), 6) AS mean, {_NR(0.1)} AS p10, {_NR(0.5)} AS p50, {_NR(0.9)} AS p90 FROM x GROUP BY lang"),
     "agg_format_artifacts": (lambda s, d: table(s, d, "documents").select("lang", (F.length("text") - F.length(X.strip_emphasis(C("text")))).alias("diff")).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean"), F.count_if(C("diff") > 0).alias("touched")), "SELECT lang, count(*) AS n, round(avg(x), 6) AS mean, count(*) FILTER (WHERE x > 0) AS touched FROM (SELECT lang, length(text) - length(regexp_replace(text, '[*_~`]+', '', 'g')) AS x FROM documents) GROUP BY lang"),
     "agg_absent_cells": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy(F.concat(C("quality").cast("string"), F.lit("/"), C("toxic").cast("string")).alias("cell")).agg(F.count("*").alias("items"), F.count_distinct("source").alias("sources"), F.round(F.avg("n_chars"), 4).alias("mean"), F.count_if(C("n_chars") < 100).alias("short")), "SELECT quality || '/' || toxic AS cell, count(*) AS items, count(DISTINCT source) AS sources, round(avg(n_chars), 4) AS mean, count(*) FILTER (WHERE n_chars < 100) AS short FROM documents JOIN labels USING (doc_id) GROUP BY quality, toxic"),
     "agg_language_rollup": (lambda s, d: table(s, d, "documents").withColumn("key", F.split_part(F.concat("lang", F.lit("_"), "source"), F.lit("_"), F.lit(1))).groupBy("key").agg(F.count("*").alias("n"), F.count_if(C("text").isNull()).alias("missing"), F.round(F.avg("n_chars"), 4).alias("mean")), "SELECT split_part(lang || '_' || source, '_', 1) AS key, count(*) AS n, count(*) FILTER (WHERE text IS NULL) AS missing, round(avg(n_chars), 4) AS mean FROM documents GROUP BY 1"),

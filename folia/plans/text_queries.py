@@ -30,33 +30,16 @@ def _conversation_pairs(spark, sf_dir):
     return c.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
 
 
-def _sim_all(fn):
-    """Similarity of all turns with the next, whatever their script."""
+def _sim(fn):
+    """Similarity of each turn with the next, whatever their script."""
     return lambda spark, sf_dir: _conversation_pairs(spark, sf_dir).where("next IS NOT NULL").select("conv_id", "turn", F.round(fn(F.col("text"), F.col("next")), 9).alias("sim"))
 
 
-def _sim(fn, light):
-    def run(spark, sf_dir):
-        c = _conversation_pairs(spark, sf_dir).where("next IS NOT NULL").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")) & ~F.rlike("next", F.lit(r"[^\x00-\x7F]")))
-        return c.select("conv_id", "turn", F.round(fn(F.col("text"), F.col("next")), 9).alias("sim"))
-
-    norm = _LIGHT if light else _CONTENT
-    sql = f"""WITH c AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations), n AS (SELECT conv_id, turn, {norm.format('text')} AS a, {norm.format('next')} AS b FROM c
-      WHERE next IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(next, '[^\\x00-\\x7F]'))
-      SELECT conv_id, turn, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(a, b) / greatest(length(a), length(b)) END, 9) AS sim FROM n"""
-    return run, sql
-
-
 def _shingle_counts(spark, sf_dir):
     t = X.norm_simple(C("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.char_shingles(t)).cast("bigint").alias("n"), F.size(X.word_shingles(t)).cast("bigint").alias("n_words"))
 
 
-def _nfkc(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    return d.select("doc_id", F.md5(X.norm_nfkc(C("text")).cast("binary")).alias("h"))
-
-
 def _repetition(d):
     r = X.repetition(C("text"))
     return d.select("doc_id", r.alias("r")).select("doc_id", F.round("r.repeated", 9).alias("repeated"), F.round("r.top", 9).alias("top"))
@@ -87,23 +70,18 @@ MARKUP = Literal("id bigint, a string, b string", [(1, "<table><tr><td>1</td><td
 QUERIES = {
     "str_teds": (lambda s, d: MARKUP.df(s).select("id", F.round(trees.table_similarity(C("a"), C("b")), 6).alias("teds")), "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2::BIGINT, 0.75::DOUBLE), (3::BIGINT, 0.0::DOUBLE), (4::BIGINT, 0.916667::DOUBLE), (5::BIGINT, 0.666667::DOUBLE)) AS t(id, teds)"),
     "str_norm_simple": col_query("", "documents", "doc_id", lambda: {"h": F.md5(X.norm_simple(C("text")).cast("binary"))}, f"SELECT doc_id, md5({_NORM}) AS h FROM documents"),
-    "str_normalize_nfkc_all": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.norm_nfkc(C("text")).cast("binary")).alias("h")), None),
-    "str_content_norm_all": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.content_norm(C("text")).cast("binary")).alias("h")), None),
-    "str_edit_sim_all": (_sim_all(X.edit_sim), None),
-    "str_content_sim_all": (_sim_all(X.content_sim), None),
-    "str_normalize_nfkc": (_nfkc, f"SELECT doc_id, md5({_NORM}) AS h FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')"),
-    "str_effective_length": col_query("", "documents", "doc_id", lambda: {"n": X.effective_length(C("text"))}, "SELECT doc_id, length(text) + 1.5::DOUBLE * length(regexp_replace(text, '[^\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af\u1100-\u11ff]', '', 'g')) AS n FROM documents"),
+    "str_normalize_nfkc": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.norm_nfkc(C("text")).cast("binary")).alias("h")), None),
+    "str_content_norm": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.content_norm(C("text")).cast("binary")).alias("h")), None),
+    "str_edit_sim": (_sim(X.edit_sim), None),
+    "str_content_sim": (_sim(X.content_sim), None),
+    "str_effective_length": col_query("", "documents", "doc_id", lambda: {"n": X.effective_length(C("text"))}, "SELECT doc_id, length(text) + 1.5::DOUBLE * length(regexp_replace(text, '[^\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af]', '', 'g')) AS n FROM documents"),
     "str_char_shingles": (_shingle_counts, f"WITH d AS (SELECT doc_id, {_NORM} AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM d) SELECT doc_id, CASE WHEN length(t) >= 12 THEN len(list_distinct(list_transform(range(1, length(t) - 10), lambda i: substr(t, i, 12)))) WHEN length(t) > 0 THEN 1 ELSE 0 END::BIGINT AS n, len(list_distinct(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda i: array_to_string(w[i : i + 7], ' '))))::BIGINT AS n_words FROM w"),
     "str_word_shingles": col_query("", "benchmark", "item_id", lambda: {"g": F.array_join(F.array_sort(X.word_shingles(X.norm_simple(C("text")))), "|")}, f"WITH w AS (SELECT item_id, string_split({_NORM}, ' ') AS w FROM benchmark) SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda i: array_to_string(w[i : i + 7], ' ')))), '|') AS g FROM w"),
     "str_value_seq": col_query("", "documents", "doc_id", lambda: {"v": F.array_join(X.value_tokens(C("text")), " ")}, r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[0-9][0-9,.\-$%()]*|[A-Z]{2,}[0-9A-Z\-]*'), lambda x: length(x) > 1), ' ') AS v FROM documents"),
     "str_light_norm": col_query("", "pages", "page_id", lambda: {"h": F.md5(X.light_norm(F.col("html")).cast("binary"))}, f"SELECT page_id, md5({_LIGHT.format('html')}) AS h FROM pages"),
-    "str_content_norm": (lambda s, d: table(s, d, "documents").where("lang = 'en'").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]|&"))).select("doc_id", F.md5(X.content_norm(C("text")).cast("binary")).alias("h")), f"SELECT doc_id, md5({_CONTENT.format('text')}) AS h FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]|&')"),
-    "str_edit_sim": _sim(X.edit_sim, True),
-    "str_content_sim": _sim(lambda a, b: X.similarity(X.content_norm_ascii(a), X.content_norm_ascii(b)), False),
     "str_edit_distance_js": literal_query(PAIRS, lambda: {"d": F.levenshtein("a", "b")}, "SELECT id, levenshtein(a, b)::INTEGER AS d FROM f"),
     "str_partial_ratio": (_partial, None),
-    "str_repetition_all": (lambda s, d: _repetition(table(s, d, "documents")), None),
-    "str_repetition": (lambda s, d: _repetition(table(s, d, "documents").where("n_chars <= 3000")), r"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE n_chars <= 3000), u AS (SELECT doc_id, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN string_split(text, '') ELSE w END AS u, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN 30 ELSE 10 END AS k FROM d),
+    "str_repetition": (lambda s, d: _repetition(table(s, d, "documents")), r"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), u AS (SELECT doc_id, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN string_split(text, '') ELSE w END AS u, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN 30 ELSE 10 END AS k FROM d),
       g AS (SELECT doc_id, array_to_string(u[i : i + k - 1], chr(1)) AS g FROM u, unnest(range(1, len(u) - k + 2)) AS t(i) WHERE len(u) >= k), c AS (SELECT doc_id, g, count(*) AS c FROM g GROUP BY ALL), s AS (SELECT doc_id, round(1.0 - count(*) / sum(c), 9) AS repeated, round(max(c) / sum(c), 9) AS top FROM c GROUP BY doc_id)
       SELECT doc_id, coalesce(repeated, 0.0)::DOUBLE AS repeated, coalesce(top, 0.0)::DOUBLE AS top FROM d LEFT JOIN s USING (doc_id)"""),
     "str_table_markup": col_query("", "pages", "page_id", lambda: {"has": X.has_table(F.col("html"))}, r"SELECT page_id, contains(lower(html), '<table') OR regexp_matches(html, '(?m)^\s*\|.*\|\s*$') AS has FROM pages"),
