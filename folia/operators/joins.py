@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: rows up to which a lookup side is broadcast; larger ones are joined by a shuffle
+from folia.functions.geometry import bilinear
+
+#: rows and bytes up to which a lookup side is broadcast; larger ones are joined by a shuffle
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have few rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have few rows and few bytes (of its rows as text)."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])))
+    n, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and size <= most else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -39,6 +44,37 @@ def probe_features(probes: DataFrame, features: DataFrame, *, nearest: bool = Tr
     return j.join(near, "probe", "left")
 
 
+def assembled(probes: DataFrame, features: DataFrame, *, grid: int) -> DataFrame:
+    """``probes`` (image_id, pooled, point_xy) with ``vec`` and ``layout`` from ``features`` (image_id, tokens, sites, pooled).
+
+    Pooled rows read the pooled vector. Others read the whole grid where an image has one (bilinear between the cells of
+    ``grid`` x ``grid`` tokens), else the site stored at exactly their point (six places); a point that isn't stored is an
+    error. Images without features have null in both.
+    """
+    f = features.select("image_id", "tokens", "sites", F.col("pooled").alias("_pooled"), F.lit(True).alias("_known"))
+    j = probes.join(f, "image_id", "left")
+    x, y = F.get("point_xy", 0), F.get("point_xy", 1)
+    channels = F.sequence(F.lit(0), F.size(F.get("tokens", 0)) - 1)
+    sampled = F.transform(channels, lambda c: bilinear(F.transform("tokens", lambda t: F.get(t, c)), x, y, grid))
+    at = F.filter("sites", lambda s: (micro(s["x"]) == micro(x)) & (micro(s["y"]) == micro(y)))
+    stored = F.coalesce(F.get(at, 0)["vec"], F.raise_error(F.concat(F.lit("no stored site at the point of a probe of "), F.col("image_id"))).cast("array<double>"))
+    vec = F.when(F.col("_known").isNull(), F.lit(None)).when(F.col("pooled"), F.col("_pooled")).when(F.col("tokens").isNotNull(), sampled).otherwise(stored)
+    layout = F.when(F.col("_known").isNull(), F.lit(None)).when(F.col("pooled"), "pooled").when(F.col("tokens").isNotNull(), "grid").otherwise("sites")
+    return j.withColumn("vec", vec).withColumn("layout", layout).select(*probes.columns, "vec", "layout")
+
+
+def with_sidecar(manifest: DataFrame, path_col: str, files: DataFrame, root: str, schema: str) -> DataFrame:
+    """``manifest`` with ``sidecar``, the nested content of the file (path, content) that a whole path or one from ``root`` names; null where there is none."""
+    path = F.when(F.startswith(path_col, F.lit("/")), F.col(path_col)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path_col))
+    side = files.select(F.col("path").alias("_path"), F.from_json("content", schema).alias("sidecar"))
+    return manifest.withColumn("_path", path).join(side, "_path", "left").drop("_path")
+
+
+def missing(manifest: DataFrame, listing: DataFrame, key: str) -> DataFrame:
+    """Rows of ``manifest`` whose key is not in a listing."""
+    return manifest.join(small(listing.select(key)), key, "left_anti")
+
+
 def in_all(df: DataFrame, key: str, by: str, k: int) -> DataFrame:
     """Keys that occur with k values of ``by``."""
     return df.groupBy(key).agg(F.count_distinct(by).alias("n")).where(F.col("n") == k).select(key)
@@ -62,13 +98,34 @@ def containment(docs: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, jaccard) of ids of one family whose sets (id, family, g) are ``threshold`` alike or more: shared elements are counted, never all pairs."""
-    size = df.groupBy("id").agg(F.count("*").alias("n"))
-    a = df.select(F.col("id").alias("a"), "family", "g")
-    b = df.select(F.col("id").alias("b"), "family", "g")
-    shared = a.join(b, ["family", "g"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = shared.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return j.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    """Pairs (a, b, jaccard) of ids of one family whose sets (id, family, gs: distinct elements) are ``threshold`` alike or more.
+
+    Equal sets are compared once. Only sets that share one of their rarest elements can be alike (of n elements the first
+    n - ceil(threshold * n) + 1 by frequency), so that what many sets have in common puts nothing together; candidates of
+    fitting sizes are then compared on full sets of 64-bit element hashes.
+    """
+    sets = df.where(F.size("gs") > 0).select("id", "family", F.array_sort(F.transform("gs", lambda g: F.xxhash64(g))).alias("hs"))
+    sets = sets.withColumn("set", F.xxhash64("family", "hs"))
+    members = sets.select("id", "family", "set")
+    sets = sets.groupBy("family", "set").agg(F.first("hs").alias("hs")).withColumn("n", F.size("hs"))
+    elements = sets.select("family", "set", "n", F.explode("hs").alias("h"))
+    often = elements.groupBy("family", "h").agg(F.count("*").alias("often")).where("often > 1")
+    rank = F.row_number().over(Window.partitionBy("family", "set").orderBy(F.coalesce("often", F.lit(1)), "h"))
+    prefix = elements.join(often, ["family", "h"], "left").withColumn("rank", rank)
+    prefix = prefix.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1) & F.col("often").isNotNull()).select("family", "set", "n", "h")
+    a, b = (prefix.select("family", "h", F.col("set").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = a.join(b, ["family", "h"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold))).select("family", "a", "b").distinct()
+    for x in "ab":
+        near = near.join(sets.select("family", F.col("set").alias(x), F.col("hs").alias(f"h{x}")), ["family", x])
+    shared = F.size(F.array_intersect("ha", "hb"))
+    pairs = near.select("family", "a", "b", (shared / (F.size("ha") + F.size("hb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    same = members.groupBy("family", "set").agg(F.count("*").alias("n")).where("n > 1").select("family", F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("jaccard"))
+    pairs = pairs.unionByName(same)
+    for x in "ab":
+        pairs = pairs.join(members.select("family", F.col("set").alias(x), F.col("id").alias(f"id_{x}")), ["family", x])
+    inside = F.col("a") == F.col("b")
+    pairs = pairs.where(~inside | (F.col("id_a") < F.col("id_b")))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard")
 
 
 def fuzzy_ids(scans: DataFrame, packages: DataFrame, width: int = 8, limit: int = 2) -> DataFrame:

@@ -115,5 +115,4 @@ QUERIES = {
     "vec_percell": (lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.flatten(F.array(F.slice("embedding", k * 16 + 1, 8), F.slice("embedding", k * 16 + 9, 8))))).alias("cell", "v")).select("vec_id", "cell", F.size("v").alias("n"), C("v").getItem(0).cast("double").alias("first")), "SELECT vec_id, k::INTEGER AS cell, 16 AS n, e[k * 16 + 1] AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), unnest(range(0, 4)) AS t(k)"),
     "vec_finite_guard": (lambda s, d: VECS.df(s).select("id", G.finite_report(C("v")).alias("r")).select("id", "r.nan", "r.inf", "r.over", "r.absmax", "r.ok"), f"WITH {VECS.cte('f')} SELECT id, 0::BIGINT AS nan, 0::BIGINT AS inf, len(list_filter(v, lambda x: abs(x) > 65504))::BIGINT AS over, list_max(list_transform(v, lambda x: abs(x))) AS absmax, len(list_filter(v, lambda x: abs(x) > 65504)) = 0 AS ok FROM f"),
     "vec_rel_frobenius": (lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).select("vec_id", F.round(G.norm(F.transform("e", lambda x: x - F.bround(x, 1))) / G.norm(C("e")), 6).alias("rel"), F.round(F.array_max(F.transform("e", lambda x: F.abs(x - F.bround(x, 1)))), 6).alias("most")), f"WITH {_TOK} SELECT vec_id, round(sqrt(sum((v - round_even(v, 1)) ** 2)) / sqrt(sum(v * v)), 6) AS rel, round(max(abs(v - round_even(v, 1))), 6) AS most FROM t GROUP BY vec_id"),
-    "scan_features": (lambda s, d: table(s, d, "embeddings").where("label = 1").select("vec_id", F.size("embedding").alias("n")), "SELECT vec_id, len(embedding)::INTEGER AS n FROM embeddings WHERE label = 1"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from folia.functions import text as X
+from folia.operators import joins as J
 from folia.plans.base import F, literal_query, table
 from folia.sources import readers as R
 from folia.sources import sinks as K
@@ -118,32 +118,116 @@ def _incremental(s, d):
     return s.read.parquet(f"{at}/out").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+def _probes(s, d):
+    """Probe rows written as JSON lines of mixed labels, read, checked and counted by family."""
+    at = place(s)
+    name = F.when(C("doc_id") % 5 == 0, F.lit("pl3_")).otherwise(F.lit("pl1_"))
+    site = F.when(C("doc_id") % 7 == 0, F.lit("pooled"))
+    image = F.concat(F.lit("docs/"), "source", F.lit("_s001__p"), C("doc_id").cast("string"))
+    label = F.when(C("doc_id") % 2 == 0, F.to_json(F.array(C("n_chars")))).otherwise(F.to_json(F.struct(C("lang").alias("l"))))
+    rows = table(s, d, "documents").select(F.concat(name, "lang").alias("probe"), image.alias("image_id"), label.alias("label"), F.when(site.isNull(), F.array(F.lit(0.25), F.lit(0.5))).alias("point_xy"), site.alias("site"), F.when(C("doc_id") % 3 == 0, "classification").alias("task_type"), F.when(C("doc_id") % 4 == 0, F.concat(F.lit("own"), C("doc_id").cast("string"))).alias("doc_id"))
+    K.jsonl(rows, at)
+    p = R.probes(s, at)
+    return p.groupBy("probe", "pooled").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.count("task_type").alias("typed"))
+
+
+def _features(s, d):
+    """A point's vector from whole grids (4 x 4 cells of four numbers) or from stored sites, pooled vectors, and how many have neither."""
+    e = table(s, d, "embeddings").select("vec_id", F.concat(F.lit("im"), C("vec_id").cast("string")).alias("image_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    kind = C("vec_id") % 5
+    stored = e.where(kind < 3).select("image_id", F.when(kind != 1, F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("v", k * 4 + 1, 4))).alias("tokens"), F.when(kind != 0, F.array(F.struct(F.lit(0.375).alias("x"), F.lit(0.625).alias("y"), F.slice("v", 1, 4).alias("vec")))).alias("sites"), F.slice("v", 5, 4).alias("pooled"))
+    at = f"{place(s)}/features"
+    stored.write.parquet(at)
+    probes = e.select("image_id", (kind != 4).alias("site")).select("image_id", (~C("site")).alias("pooled"), F.when(C("site"), F.array(F.lit(0.375), F.lit(0.625))).alias("point_xy"))
+    probes = probes.unionByName(e.where("vec_id % 2 = 0").select("image_id", F.lit(True).alias("pooled"), F.lit(None).cast("array<double>").alias("point_xy")))
+    found = J.assembled(probes, s.read.parquet(at), grid=4)
+    return found.select("image_id", "pooled", "layout", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+_FEATURES_SQL = """WITH e AS (SELECT vec_id, 'im' || vec_id AS image_id, vec_id % 5 AS k, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT *, k = 4 AS pooled FROM e UNION ALL SELECT *, true FROM e WHERE vec_id % 2 = 0)
+  SELECT image_id, pooled, CASE WHEN k >= 3 THEN NULL WHEN pooled THEN 'pooled' WHEN k = 1 THEN 'sites' ELSE 'grid' END AS layout, CASE WHEN k < 3 THEN list_transform(CASE WHEN pooled THEN v[5:8] WHEN k = 1 THEN v[1:4] ELSE v[37:40] END, lambda x: round(x, 6)) END AS vec FROM p"""
+
+
+def _layers(s, d):
+    """Text layers of pages, stored by file and page, put together per file."""
+    at = place(s)
+    table(s, d, "conversations").select(C("conv_id").alias("file"), C("turn").alias("page"), "text").repartition(4).write.json(at)
+    return R.text_layers(s.read.schema("file bigint, page bigint, text string").json(at)).select("file", F.md5(C("text").cast("binary")).alias("h"), "pages")
+
+
+def _store(s, d):
+    """The folders of a store in which files of the glob are, sorted."""
+    at = place(s)
+    table(s, d, "documents").select("doc_id", "source").write.partitionBy("source").parquet(at)
+    return R.listing(s, at, "*.parquet").select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source")).distinct().orderBy("source")
+
+
+def _sidecar(s, d):
+    """Optional nested files beside a manifest, named by whole paths or by paths from the root."""
+    at = f"{place(s)}/side"
+    name = F.concat(F.lit("s/"), C("doc_id").cast("string"), F.lit(".json"))
+    table(s, d, "labels").select(F.concat(F.lit("/root/"), name).alias("path"), F.to_json(F.struct(F.struct("quality", "toxic").alias("layout"))).alias("content")).write.parquet(at)
+    manifest = table(s, d, "documents").select("doc_id", F.when(C("doc_id") % 3 == 0, F.concat(F.lit("/root/"), name)).when(C("doc_id") % 3 == 1, name).alias("side"))
+    got = J.with_sidecar(manifest, "side", s.read.parquet(at), "/root", "struct<layout:struct<quality:int,toxic:int>>")
+    return got.select("doc_id", C("sidecar.layout.quality").alias("quality"))
+
+
+def _presence(s, d):
+    """Which sources have files of either layout."""
+    at = place(s)
+    docs = table(s, d, "documents").select("doc_id", "source", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("k"))
+    for layout, on in (("grid", "k % 3 = 0"), ("sites", "k % 3 = 1")):
+        docs.where(on).select("doc_id", "source").write.partitionBy("source").parquet(f"{at}/{layout}")
+    listing = R.listing(s, at, "*.parquet").select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("id")).distinct()
+    return J.missing(docs.select(C("source").alias("id")).distinct(), listing, "id").select("id")
+
+
+def _predictions(s, d):
+    """Predictions, one text file each, beside the manifest; null where there is no file."""
+    at = place(s)
+    table(s, d, "nation").where("n_nationkey % 2 = 0").select("n_name", C("n_nationkey").alias("id")).repartition("id").write.partitionBy("id").text(at)
+    preds = R.texts(s, at, ".txt").select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("bigint").alias("id"), "text")
+    return table(s, d, "nation").select(C("n_nationkey").cast("bigint").alias("id")).join(J.small(preds), "id", "left")
+
+
+def _atomic(s, d):
+    """Two versions of a table and a write cut short: readers see the last whole one."""
+    at = place(s)
+    docs = table(s, d, "documents").select("doc_id", "lang")
+    K.atomic(docs.where("doc_id % 2 = 0"), at)
+    K.atomic(docs, at)
+    docs.where("doc_id % 3 = 0").write.parquet(f"{at}/_writing-0")
+    return K.latest(s, at).groupBy("lang").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "scan_jsonl": (_jsonl([]), "SELECT doc_id, lang, n_chars FROM documents"),
     "scan_manifest_limit": (lambda s, d: _jsonl(["doc_id", "lang"])(s, d).orderBy("doc_id").limit(20), "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 20"),
-    "scan_probes": (lambda s, d: table(s, d, "documents").select(F.concat("lang", F.lit("_"), "source").alias("probe"), "doc_id").withColumn("pooled", F.startswith("probe", F.lit("en"))).groupBy("probe", "pooled").agg(F.count("*").alias("n")), "SELECT lang || '_' || source AS probe, starts_with(lang, 'en') AS pooled, count(*) AS n FROM documents GROUP BY ALL"),
+    "scan_probes": (_probes, "WITH p AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'pl3_' ELSE 'pl1_' END || lang AS probe, doc_id % 5 = 0 OR doc_id % 7 = 0 AS pooled, CASE WHEN doc_id % 4 = 0 THEN 'own' || doc_id ELSE 'docs/' || source END AS doc, CASE WHEN doc_id % 3 = 0 THEN 1 END AS typed FROM documents) SELECT probe, pooled, count(*) AS n, count(DISTINCT doc) AS docs, count(typed) AS typed FROM p GROUP BY ALL"),
+    "scan_features": (_features, _FEATURES_SQL),
+    "scan_dir_presence": (_presence, "SELECT DISTINCT source AS id FROM documents WHERE TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 3 = 2"),
     "scan_json_array": (_array, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation"),
     "scan_jsonl_gold": (_lenient, "SELECT item_id, text FROM benchmark WHERE item_id % 7 <> 0"),
     "scan_rule_gold": (_rules, "SELECT * FROM (VALUES ('p1', 'a c'), ('p2', 'd')) AS t(pdf, text)"),
-    "scan_pdf_gold": (lambda s, d: table(s, d, "pages").select("page_id", F.length(X.strip_tags(C("html"))).cast("bigint").alias("n")), r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM pages"),
-    "scan_pdf_store": (_store, None),
-    "scan_sidecar": (lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", "quality"), "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)"),
+    "scan_pdf_gold": (_layers, "SELECT conv_id AS file, md5(string_agg(text, chr(10) ORDER BY turn)) AS h, count(*) AS pages FROM conversations GROUP BY conv_id"),
+    "scan_pdf_store": (_store, "SELECT DISTINCT source FROM documents ORDER BY source"),
+    "scan_sidecar": (_sidecar, "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN quality END AS quality FROM documents LEFT JOIN labels USING (doc_id)"),
     "scan_site_manifest": (_manifest, "SELECT * FROM (VALUES (1::BIGINT, true), (2::BIGINT, false), (3::BIGINT, false)) AS t(id, manifest)"),
     "scan_report_text": (lambda s, d: REPORT.df(s).select("id", F.explode(R.report_files(C("t"))).alias("f")).select("id", "f.name", "f.score", "f.passed", "f.total"), "SELECT * FROM (VALUES (1::BIGINT, 'f1', 50.0::DOUBLE, 5::BIGINT, 10::BIGINT), (1::BIGINT, 'f2', 25.5::DOUBLE, 1::BIGINT, 4::BIGINT)) AS t(id, name, score, passed, total)"),
     "scan_fail_log": (lambda s, d: FAILLOG.df(s).select("line", F.regexp_extract("t", R.FAIL_LINE, 1).alias("test"), F.regexp_extract("t", R.FAIL_LINE, 2).alias("reason")).where("test <> ''").groupBy("test").agg(F.min_by("reason", "line").alias("reason")), f"WITH {FAILLOG.cte('f')}, x AS (SELECT line, regexp_extract(t, '{R.FAIL_LINE}', 1) AS test, regexp_extract(t, '{R.FAIL_LINE}', 2) AS reason FROM f) SELECT test, arg_min(reason, line) AS reason FROM x WHERE test <> '' GROUP BY test"),
     "scan_report_json": literal_query(METRICS, _slices, "SELECT id, a AS text, round((a + b + c) / 3 * 100, 4) AS composite FROM (SELECT id, CAST(json_extract_string(t, '$.text.all') AS DOUBLE) AS a, CAST(json_extract_string(t, '$.table.all') AS DOUBLE) AS b, CAST(json_extract_string(t, '$.math.all') AS DOUBLE) AS c FROM f)"),
     "scan_binary_header": (_headers, "SELECT sha256(string_agg(r_name || chr(10), '' ORDER BY r_name)) AS sha, length(string_agg(r_name || chr(10), '' ORDER BY r_name)) AS bytes, upper(hex(substr(min(r_name), 1, 2))) AS magic FROM region"),
     "scan_volume_text": (_volume, "SELECT count(*) AS n FROM region"),
-    "scan_pred_dir": (lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "conversations").where("turn = 0").select(C("conv_id").alias("doc_id"), "text"), "doc_id", "left"), "SELECT doc_id, c.text FROM documents LEFT JOIN (SELECT conv_id AS doc_id, text FROM conversations WHERE turn = 0) c USING (doc_id)"),
+    "scan_pred_dir": (_predictions, "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || chr(10) END AS text FROM nation"),
     "sink_jsonl": (_jsonl([]), "SELECT doc_id, lang, n_chars FROM documents"),
     "sink_csv": (_csv, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation"),
     "sink_split_dataset": (_split, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
-    "sink_atomic": (_split, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
+    "sink_atomic": (_atomic, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
     "sink_upsert": (lambda s, d: K.upsert(OLD.df(s), NEW.df(s), "rung"), f"WITH {OLD.cte('o')}, {NEW.cte('n')} SELECT rung, coalesce(n.n, o.n) AS n, note FROM o FULL JOIN n USING (rung)"),
     "sink_errors": (_errors, "SELECT count(*) FILTER (WHERE n_chars > 0) AS good, count(*) FILTER (WHERE NOT coalesce(n_chars > 0, false)) AS bad FROM documents"),
     "sink_skipped": literal_query(SKIPS, _skip, "SELECT id, CASE WHEN test IS NULL THEN 'missing_test_json' WHEN gold IS NULL THEN 'no_gold_markdown' WHEN rules = 0 THEN 'no_chart_rules' END AS reason FROM f"),
     "sink_log_chunks": (lambda s, d: table(s, d, "pages").select("page_id", F.explode(K.chunks(C("html"))).alias("c")).select("page_id", "c.seq", F.md5(C("c.part").cast("binary")).alias("h")), "SELECT page_id, i::INTEGER AS seq, md5(substr(b, i * 3000 + 1, 3000)) AS h FROM (SELECT page_id, base64(encode(html)) AS b FROM pages), unnest(range(0, greatest(1, CAST(ceil(length(b) / 3000) AS BIGINT)))) AS t(i)"),
     "sink_markdown": (lambda s, d: s.sql("SELECT 1 AS one").select(F.lit(K.markdown(table(s, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"))).alias("md")), "SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS md FROM region"),
-    "sink_report_json": (lambda s, d: s.sql("SELECT 1 AS one").select(F.length(F.lit(K.report_json(table(s, d, "region").orderBy("r_regionkey")))).alias("n")), None),
+    "sink_report_json": (lambda s, d: s.sql("SELECT 1 AS one").select(F.lit(K.report_json(table(s, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"))).alias("report")), """SELECT '[' || chr(10) || string_agg('  {' || chr(10) || '    "r_name": "' || r_name || '",' || chr(10) || '    "r_regionkey": ' || r_regionkey || chr(10) || '  }', ',' || chr(10) ORDER BY r_regionkey) || chr(10) || ']' AS report FROM region"""),
     "incremental_batch": (_incremental, "SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY user_id"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from folia.functions import geometry as G
 from folia.functions import text as X
 from folia.operators import joins as J
+from folia.operators import shingles
 from folia.plans.base import F, table
 from folia.plans.derive_queries import ITEMS, POINTS, class_at_point
 from folia.sources.literal import Literal
@@ -82,8 +83,8 @@ def shingle_containment(s, d, k=12, floor=200):
     t = X.norm_simple(C("text"))
     gold = table(s, d, "benchmark").select(C("item_id").alias("gold"), X.char_shingles(t, k).alias("g"), F.length(t).alias("len")).where(C("len") >= floor)
     gold = gold.select("gold", F.size("g").alias("n_gold"), F.explode("g").alias("g"))
-    docs = J.spread(table(s, d, "documents")).select(C("doc_id").alias("doc"), F.explode(X.char_windows(t, k)).alias("g"))
-    return J.containment(docs, gold)
+    docs = table(s, d, "documents").select(C("doc_id").alias("doc"), "text")
+    return J.containment(shingles.hits(docs, t, table(s, d, "benchmark"), t, k), gold)
 
 
 SHINGLES_SQL = f"""gold AS (SELECT item_id AS gold, length({_NORM}) AS len, list_distinct(list_transform(range(1, greatest(length({_NORM}) - 10, 2)), lambda i: substr({_NORM}, i, 12))) AS gs FROM benchmark), gw AS (SELECT gold, len(gs) AS n_gold, unnest(gs) AS g FROM gold WHERE len >= 200),
@@ -100,7 +101,7 @@ def _ngram_membership(s, d):
 
 
 def _pairs_family(s, d):
-    docs = J.spread(table(s, d, "documents")).select(C("doc_id").alias("id"), C("lang").alias("family"), F.explode(X.word_shingles(X.norm_simple(C("text")), 8)).alias("g"))
+    docs = J.spread(table(s, d, "documents")).select(C("doc_id").alias("id"), C("lang").alias("family"), X.word_shingles(X.norm_simple(C("text")), 8).alias("gs"))
     return J.similar_pairs(docs, 0.5).withColumn("jaccard", F.round("jaccard", 9))
 
 
@@ -178,7 +179,6 @@ QUERIES = {
     "join_anti_uncovered": (_universe, f"WITH {TESTS.cte('f')} SELECT * FROM f UNION ALL SELECT DISTINCT pdf || '_baseline', 'baseline', pdf FROM f WHERE pdf NOT IN (SELECT pdf FROM f WHERE type = 'baseline')"),
     "join_stray_guard": (lambda s, d: FAILED.df(s).join(TESTS.df(s), "test", "left_anti"), f"WITH {FAILED.cte('x')}, {TESTS.cte('f')} SELECT test FROM x WHERE test NOT IN (SELECT test FROM f)"),
     "join_missing_cache": (lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-    "scan_dir_presence": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels").select("doc_id", F.lit(True).alias("l")), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count("l").alias("present")), "SELECT lang, count(*) AS n, count(l.doc_id) AS present FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY lang"),
     "join_gold_sidecar": (_gold, f"WITH {MANIFEST.cte('m')}, {GOLD.cte('g')} SELECT m.id, coalesce(expected, a.body, b.body) AS gold FROM m LEFT JOIN g a ON a.id = m.id AND a.suffix = '.gold.md' LEFT JOIN g b ON b.id = m.id AND b.suffix = '.md'"),
     "join_left_pred": (_left_pred, f"WITH {MANIFEST.cte('m')}, {GOLD.cte('g')}, {PREDS.cte('p')}, x AS (SELECT m.id, coalesce(expected, a.body, b.body) AS gold FROM m LEFT JOIN g a ON a.id = m.id AND a.suffix = '.gold.md' LEFT JOIN g b ON b.id = m.id AND b.suffix = '.md') SELECT id, CASE WHEN text IS NULL THEN 'missing_pred' ELSE 'edit' END AS metric, CASE WHEN text IS NULL THEN 0.0 ELSE round(1.0 - levenshtein(text, gold) / greatest(length(text), length(gold)), 6) END::DOUBLE AS score FROM x LEFT JOIN p USING (id) WHERE gold IS NOT NULL"),
     "join_inverted_index": (lambda s, d: shingle_containment(s, d).select("doc", "gold", "shared"), f"WITH {SHINGLES_SQL} SELECT doc, gold, shared FROM hits"),

@@ -88,23 +88,14 @@ def _parity(s, d):
     return j.agg(F.count_if(F.size("a.v") == F.size("b.v")).alias("shapes"), F.count_if(C("a.v") == C("b.v")).alias("same"), F.max(F.array_max(F.zip_with("a.v", "b.v", lambda x, y: F.abs(x - y)))).alias("most"))
 
 
-def _identical(s, d, n=1):
-    """Identical pairs among the four children (their first ``n`` of 16 numbers, rounded) of each vector."""
-    e = table(s, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 16 + 1, n), lambda x: F.bround(x.cast("double"), 1) + 0.0))).alias("k", "v"))
+def _identical(s, d):
+    """Identical pairs among the four children (16 numbers each, rounded) of each vector."""
+    e = table(s, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 16 + 1, 16), lambda x: F.bround(x.cast("double"), 1) + 0.0))).alias("k", "v"))
     j = e.alias("a").join(e.alias("b"), (C("a.vec_id") == C("b.vec_id")) & (C("a.k") < C("b.k")) & (C("a.v") == C("b.v")))
     return j.groupBy("a.vec_id").agg(F.count("*").alias("pairs"))
 
 
 def _cosine_near(s, d):
-    """Mean cosine of neighbouring and of far cells of a 4 x 4 grid of the first 16 vectors."""
-    e = table(s, d, "embeddings").where("vec_id < 16").select("vec_id", "embedding", (C("vec_id") / 4).cast("int").alias("y"), (C("vec_id") % 4).cast("int").alias("x"))
-    a, b = e.alias("a"), e.alias("b")
-    dist = F.abs(C("a.x") - C("b.x")) + F.abs(C("a.y") - C("b.y"))
-    j = a.join(b, C("a.vec_id") < C("b.vec_id")).select(dist.alias("d"), G.cosine(C("a.embedding"), C("b.embedding")).alias("c"))
-    return j.agg(F.round(F.avg(F.when(C("d") == 1, C("c"))), 6).alias("near"), F.round(F.avg(F.when(C("d") > 3, C("c"))), 6).alias("far"))
-
-
-def _cosine_near_all(s, d):
     """Mean cosine of neighbouring cells and of cells beyond L1 distance 5, over 8 x 8 grids of 64 consecutive vectors each."""
     cell = F.pmod("vec_id", F.lit(64))
     e = table(s, d, "embeddings").select("vec_id", "embedding", F.floor(C("vec_id") / 64).alias("grid"), F.floor(cell / 8).alias("y"), (cell % 8).alias("x"))
@@ -117,12 +108,46 @@ def _cosine_near_all(s, d):
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
 
 
+#: Cells that look like times or dates.
+DATE_LIKE = r"^(\d{1,2}[:h]\d{2}([:.]\d{2})?|\d{1,2}/\d{1,2}(/\d{2,4})?|\d{1,4}[.\-]\d{1,2}[.\-]\d{2,4}|\d{4}-\d{2}(-\d{2})?)$"
+CHARTS = Literal("t bigint, r bigint, col bigint, cell string", [(t, r, c, x) for t, rows in [
+    (1, [("Alpha", "2021-09-17", "$1,200"), ("Beta", "12.05.2001", "(30)"), ("", "06:33", "n/a"), ("Gamma", "02/04", "7.5%")]),
+    (2, [("x", "y"), ("z", "1")]),
+    (3, [(str(2 * i), f"{i}.5") for i in range(15)]),
+    (4, [("1", "a")]),
+    (5, [("a", "5"), ("b", "-"), ("c", "6 units"), ("d", "1-2")]),
+] for r, row in enumerate(rows) for c, x in enumerate(row)])
+
+
+def parse_number(cell):
+    """A cell's number: brackets mean below zero, signs behind the first character and other marks are dropped; null without one."""
+    t = F.trim(cell)
+    n = F.regexp_replace(F.regexp_replace(t, r"[^0-9.\-]", ""), "(?<!^)-", "").try_cast("double")
+    return F.when(F.rlike(t, F.lit(r"^\(.*\)$")), -F.abs(n)).otherwise(n)
+
+
 def _derive_chart(s, d):
-    t = TABLE.df(s).withColumn("num", F.rlike(_clean(C("cell")), F.lit(NUMERIC)))
-    cols = t.groupBy("t", "col").agg(F.count_if(C("num")).alias("nums"), F.round(F.avg(C("num").cast("double")), 6).alias("share"))
-    value = ranked(cols.where("nums >= 2"), ["t"], [F.desc("nums"), "col"]).where("rank = 1").select("t", C("col").alias("value_col"))
-    label = ranked(cols.where("share < 0.4"), ["t"], ["col"]).where("rank = 1").select("t", C("col").alias("label_col"))
-    return cols.select("t").distinct().join(value, "t", "left").join(label, "t", "left")
+    """The value column is the one with most numbers that are no dates (two at least, the first of several), the label column the first with numbers in under 40 %; twelve points at most, none if there are fewer than two."""
+    t = CHARTS.df(s).withColumn("num", parse_number(C("cell")))
+    cols = t.groupBy("t", "col").agg(F.count_if(C("num").isNotNull() & ~F.rlike(F.trim("cell"), F.lit(DATE_LIKE))).alias("score"), F.count("*").alias("rows"))
+    best = cols.groupBy("t").agg(F.max_by("col", F.struct("score", -C("col"))).alias("value_col"), F.max("score").alias("best"), F.max("rows").alias("rows"), F.min(F.when(C("score") < C("rows") * 0.4, C("col"))).alias("label_col"))
+    best = best.where("rows >= 2 AND best >= 2")
+    values = t.join(best, "t").where((C("col") == C("value_col")) & C("num").isNotNull()).select("t", "r", "label_col", "num")
+    names = t.select("t", "r", C("col").alias("label_col"), C("cell").alias("label"))
+    rank = F.row_number().over(Window.partitionBy("t").orderBy("r"))
+    points = values.withColumn("k", rank).where("k <= 12").join(names, ["t", "r", "label_col"], "left")
+    points = points.select("t", "r", F.coalesce(F.nullif("label", F.lit("")), F.concat(F.lit("#"), (C("r") + 1).cast("string"))).alias("label"), "num")
+    drawn = points.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("r", "label", "num"))).alias("p")).where(F.size("p") >= 2)
+    drawn = drawn.select("t", F.array_join(F.transform("p", lambda x: x["label"]), "|").alias("labels"), F.array_join(F.transform("p", lambda x: F.format_string("%.2f", x["num"])), "|").alias("values"))
+    return t.select("t").distinct().join(drawn, "t", "left")
+
+
+_PARSE = r"CASE WHEN regexp_matches(trim(cell), '^\(.*\)$') THEN -abs({0}) ELSE {0} END".format(r"TRY_CAST(substr(regexp_replace(trim(cell), '[^0-9.\-]', '', 'g'), 1, 1) || replace(substr(regexp_replace(trim(cell), '[^0-9.\-]', '', 'g'), 2), '-', '') AS DOUBLE)")
+_CHART_SQL = f"""WITH {CHARTS.cte('f')}, n AS (SELECT *, {_PARSE} AS num FROM f), c AS (SELECT t, col, count(*) FILTER (WHERE num IS NOT NULL AND NOT regexp_matches(trim(cell), '{DATE_LIKE}')) AS score, count(*) AS rows FROM n GROUP BY t, col),
+  v AS (SELECT t, col AS value_col, (SELECT min(x.col) FROM c x WHERE x.t = b.t AND x.score < x.rows * 0.4) AS label_col FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, col) AS k FROM c) b WHERE k = 1 AND score >= 2 AND rows >= 2),
+  p AS (SELECT n.t, n.r, n.num, coalesce(nullif(l.cell, ''), '#' || (n.r + 1)) AS label, row_number() OVER (PARTITION BY n.t ORDER BY n.r) AS k FROM n JOIN v ON n.t = v.t AND n.col = v.value_col LEFT JOIN f l ON l.t = n.t AND l.r = n.r AND l.col = v.label_col WHERE num IS NOT NULL),
+  g AS (SELECT t, string_agg(label, '|' ORDER BY r) AS labels, string_agg(printf('%.2f', num), '|' ORDER BY r) AS values FROM p WHERE k <= 12 GROUP BY t HAVING count(*) >= 2)
+  SELECT t, labels, values FROM (SELECT DISTINCT t FROM f) LEFT JOIN g USING (t)"""
 
 
 QUERIES = {
@@ -138,10 +163,8 @@ QUERIES = {
     "ker_package_chunk": (_package, f"WITH {LENGTHS.cte('f')}, e AS (SELECT *, sum(n) OVER (ORDER BY k) AS hi FROM f) SELECT page, k, row_number() OVER (PARTITION BY k ORDER BY page) AS ord FROM range(0, 30) AS r(page) JOIN e ON page >= hi - n AND page < hi"),
     "ker_nice_axis": (_nice, f"WITH {RANGES.cte('f')} {_NICE}"),
     "ker_cache_parity": (_parity, f"WITH {CACHE_A.cte('a')}, {CACHE_B.cte('b')} SELECT count(*) FILTER (WHERE len(a.v) = len(b.v)) AS shapes, count(*) FILTER (WHERE a.v = b.v) AS same, max(greatest(abs(a.v[1] - b.v[1]), abs(a.v[2] - b.v[2]))) AS most FROM a JOIN b USING (id)"),
-    "ker_identical_children_all": (lambda s, d: _identical(s, d, 16), "WITH e AS (SELECT vec_id, k, list_transform(embedding[k * 16 + 1 : k * 16 + 16], lambda x: round_even(x::DOUBLE, 1) + 0.0) AS v FROM embeddings, unnest(range(0, 4)) AS t(k)) SELECT a.vec_id, count(*) AS pairs FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k < b.k AND a.v = b.v GROUP BY a.vec_id"),
-    "ker_identical_children": (_identical, "WITH e AS (SELECT vec_id, k, round_even(embedding[k * 16 + 1]::DOUBLE, 1) + 0.0 AS v FROM embeddings, unnest(range(0, 4)) AS t(k)) SELECT a.vec_id, count(*) AS pairs FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k < b.k AND a.v = b.v GROUP BY a.vec_id"),
-    "ker_neighbor_cosine_all": (_cosine_near_all, None),
-    "ker_neighbor_cosine": (_cosine_near, f"WITH e AS (SELECT vec_id, embedding AS v, vec_id // 4 AS y, vec_id % 4 AS x FROM embeddings WHERE vec_id < 16), j AS (SELECT abs(a.x - b.x) + abs(a.y - b.y) AS d, {_DOT.format('a.v', 'b.v')} / (sqrt({_DOT.format('a.v', 'a.v')}) * sqrt({_DOT.format('b.v', 'b.v')})) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT round(avg(CASE WHEN d = 1 THEN c END), 6) AS near, round(avg(CASE WHEN d > 3 THEN c END), 6) AS far FROM j"),
-    "ker_chart_derive": (_derive_chart, f"WITH {TABLE.cte('f')}, c AS (SELECT t, col, count(*) FILTER (WHERE regexp_matches({_CLEAN}, '{NUMERIC}')) AS nums, avg(CASE WHEN regexp_matches({_CLEAN}, '{NUMERIC}') THEN 1.0 ELSE 0.0 END) AS share FROM f GROUP BY t, col), v AS (SELECT t, col AS value_col FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY nums DESC, col) AS r FROM c WHERE nums >= 2) WHERE r = 1), l AS (SELECT t, min(col) AS label_col FROM c WHERE share < 0.4 GROUP BY t) SELECT t, value_col, label_col FROM (SELECT DISTINCT t FROM c) LEFT JOIN v USING (t) LEFT JOIN l USING (t)"),
+    "ker_identical_children": (_identical, "WITH e AS (SELECT vec_id, k, list_transform(embedding[k * 16 + 1 : k * 16 + 16], lambda x: round_even(x::DOUBLE, 1) + 0.0) AS v FROM embeddings, unnest(range(0, 4)) AS t(k)) SELECT a.vec_id, count(*) AS pairs FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k < b.k AND a.v = b.v GROUP BY a.vec_id"),
+    "ker_neighbor_cosine": (_cosine_near, f"WITH e AS (SELECT vec_id, embedding AS v, vec_id // 64 AS g, vec_id % 64 // 8 AS y, vec_id % 8 AS x FROM embeddings), j AS (SELECT abs(a.x - b.x) + abs(a.y - b.y) AS d, {_DOT.format('a.v', 'b.v')} / (sqrt({_DOT.format('a.v', 'a.v')}) * sqrt({_DOT.format('b.v', 'b.v')})) AS c FROM e a JOIN e b ON a.g = b.g AND a.vec_id < b.vec_id) SELECT round(avg(CASE WHEN d = 1 THEN c END), 6) AS near, round(avg(CASE WHEN d > 5 THEN c END), 6) AS far FROM j"),
+    "ker_chart_derive": (_derive_chart, _CHART_SQL),
     "ker_cell_buckets": (lambda s, d: GROUNDING.df(s).groupBy("field").pivot("bucket", ["grounded", "partial", "displaced", "no-box"]).agg(F.count("id")).select("field", *[F.coalesce(F.col(f"`{b}`"), F.lit(0).cast("bigint")).alias(b.replace("-", "_")) for b in ("grounded", "partial", "displaced", "no-box")]), f"WITH {GROUNDING.cte('f')} SELECT field, count(*) FILTER (WHERE bucket = 'grounded') AS grounded, count(*) FILTER (WHERE bucket = 'partial') AS partial, count(*) FILTER (WHERE bucket = 'displaced') AS displaced, count(*) FILTER (WHERE bucket = 'no-box') AS no_box FROM f GROUP BY field"),
 }

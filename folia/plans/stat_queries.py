@@ -6,13 +6,15 @@ import numpy as np
 import pandas as pd
 
 from folia.functions import derive as D
+from folia.operators import fits as B
 from folia.operators import resampling as R
 from folia.plans.base import F, literal_query, table
 from folia.plans.join_queries import SCORES
-from folia.plans.window_queries import QUERIES as WINDOWS
+from folia.plans.window_queries import knn_sql
 from folia.sources.literal import Literal
 
 C = F.col
+_TRAIN = "CAST(('0x' || substr(sha1('0:' || {0}), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.8"
 GAPS = Literal("id bigint, gap double, ha double, hb double, head double", [(1, 0.3, 0.1, 0.2, 0.05), (2, 0.15, 0.1, 0.2, 0.0), (3, 0.3, 0.1, 0.1, 0.3), (4, 0.3, 0.1, 0.1, -0.5)])
 ARMS = Literal("doc string, patched double, low double, intact double", [("a", 0.5, 0.2, 0.8), ("b", 0.6, 0.4, 0.8), ("c", 0.3, 0.0, 1.0)])
 CONTRASTS = Literal("id bigint, ab_lo double, ab_hi double, ac_lo double, ac_hi double, bc_lo double, bc_hi double", [(1, 0.1, 0.2, 0.1, 0.3, -0.1, 0.1), (2, -0.1, 0.1, 0.2, 0.3, 0.2, 0.3), (3, -0.1, 0.1, -0.2, 0.2, -0.1, 0.1), (4, -0.3, -0.1, -0.1, 0.1, 0.1, 0.2)])
@@ -59,45 +61,63 @@ def _logistic(s, d):
     return model.transform(e.where(~D.is_train(C("vec_id")))).select("vec_id", C("prediction").cast("bigint").alias("pred"))
 
 
-def _sample_fit(kind):
-    """Fits that need all rows at once take at most 5,000, those with the smallest hash; prediction is distributed."""
+def _mlp(s, d):
+    """A classifier that needs all its rows at once: at most 5,000 labelled ones, those with the smallest hash; prediction is distributed."""
+    e = _xy(s, d).where("embedding IS NOT NULL")
+    t = e.where(D.is_train(C("vec_id"))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(5000).toPandas()
+    f = R.mlp_fit(np.stack(t["embedding"].to_numpy()).astype(float), t["label"].to_numpy(float)[:, None])
 
-    def run(s, d):
-        e = _xy(s, d).where("embedding IS NOT NULL")
-        t = e.where(D.is_train(C("vec_id"))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(5000).toPandas()
-        x = np.stack(t["embedding"].to_numpy()).astype(float)
-        if kind == "mlp":
-            f = R.mlp_fit(x, t["label"].to_numpy(float)[:, None])
-        else:
-            w = R.ridge(x[:, 32:], x[:, :32])
-            f = lambda q: q[:, 32:] @ w[:-1] + w[-1]
+    def predict(batches):
+        for b in batches:
+            p = f(np.stack(b["embedding"].to_numpy()).astype(float))
+            yield pd.DataFrame({"vec_id": b["vec_id"], "error": np.round(np.abs(p[:, 0] - b["label"].to_numpy(float)), 6)})
 
-        def predict(batches):
-            for b in batches:
-                q = np.stack(b["embedding"].to_numpy()).astype(float)
-                p = f(q)
-                err = np.abs(p[:, 0] - b["label"].to_numpy(float)) if kind == "mlp" else ((p - q[:, :32]) ** 2).mean(axis=1)
-                yield pd.DataFrame({"vec_id": b["vec_id"], "error": np.round(err, 6)})
+    return e.where(~D.is_train(C("vec_id"))).mapInPandas(predict, "vec_id bigint, error double")
 
-        return e.where(~D.is_train(C("vec_id"))).mapInPandas(predict, "vec_id bigint, error double")
 
-    return run
+def _halves(s, d):
+    """Vectors as two sites: the first half, and the second half."""
+    e = _xy(s, d).where("embedding IS NOT NULL")
+    return e.select("vec_id", F.slice("embedding", 33, 32).alias("vec"), F.slice("embedding", 1, 32).alias("target"))
+
+
+def _inverse(s, d):
+    """Mean squared error of the first half of each test vector as a ridge map of its second half; all training rows."""
+    e = _halves(s, d).withColumn("family", F.lit("all"))
+    out = B.predicted(e.where(~D.is_train(C("vec_id"))), B.heads(e.where(D.is_train(C("vec_id")))))
+    return out.select("vec_id", F.round(F.aggregate(F.zip_with("out", "target", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) / 32, 6).alias("error"))
+
+
+def _labels(s, d):
+    return [r.label for r in table(s, d, "embeddings").select("label").where("label IS NOT NULL").distinct().orderBy("label").limit(1000).collect()]
+
+
+def _families(s, d):
+    """Vectors as probe rows: three families, four vectors a document."""
+    e = _xy(s, d).where("embedding IS NOT NULL")
+    return e.select(F.concat(F.lit("probe"), F.pmod("vec_id", F.lit(3)).cast("string")).alias("family"), C("vec_id").alias("id"), F.floor(C("vec_id") / 4).alias("doc"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
 
 
 def _run_pair(s, d):
-    """One fit per source group: majority accuracy on its own test side with an interval over documents."""
-    t = table(s, d, "documents").select("doc_id", "lang", (F.length("text") > 1000).cast("double").alias("ok"))
-    return R.bootstrap(t.where(~D.is_train(C("doc_id"))), "lang", "doc_id", "ok", n=200)
+    """Families of vectors fitted end to end; every seventh row is filtered out by its id."""
+    return B.run_pair(_families(s, d), _labels(s, d), keep=F.pmod("id", F.lit(7)) != 0, dims=16)
+
+
+def _recon(s, d):
+    rows = _families(s, d).withColumn("second", F.slice("vec", 33, 32)).withColumn("vec", F.slice("vec", 1, 32))
+    return B.reconstruction(rows, _labels(s, d))
 
 
 def _shuffled(s, d):
-    """Labels dealt anew among the rows by a hash order."""
-    from pyspark.sql import Window
+    """Labels dealt anew among the rows by hash orders."""
+    return B.dealt(table(s, d, "labels").select("doc_id", C("quality").alias("control")), [], "doc_id", "control")
+
+
+def _knn_probe(s, d):
+    """Labels of test vectors (of ids divisible by 20) by the 50 nearest of all training vectors."""
+    from folia.plans.window_queries import knn
 
-    e = table(s, d, "labels").select("doc_id", "quality")
-    a = e.withColumn("k", F.row_number().over(Window.orderBy("doc_id")))
-    b = e.withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))).select("k", C("quality").alias("control"))
-    return a.join(b, "k").select("doc_id", "control")
+    return knn(s, d, among=D.is_train(C("vec_id")), ask=~D.is_train(C("vec_id")))
 
 
 QUERIES = {
@@ -113,11 +133,10 @@ QUERIES = {
     "shuffled_control": (_shuffled, None),
     "ml_linear_cls": (_logistic, None),
     "ml_ridge": (_ridge, None),
-    "ml_mlp": (_sample_fit("mlp"), None),
-    "ml_inverse": (_sample_fit("inverse"), None),
-    "ml_knn_all": WINDOWS["knn_vote_all"],
-    "ml_knn": WINDOWS["knn_vote"],
+    "ml_mlp": (_mlp, None),
+    "ml_inverse": (_inverse, None),
+    "ml_knn": (_knn_probe, knn_sql(f" AND {_TRAIN.format('r.vec_id')}", f" AND NOT {_TRAIN.format('e.vec_id')}")),
     "ml_run_pair": (_run_pair, None),
-    "ml_recon_family": (_sample_fit("inverse"), None),
+    "ml_recon_family": (_recon, None),
     "ker_decision_table": literal_query(CONTRASTS, lambda: {"row": F.when((C("ab_lo") > 0), "A>B").when(C("ab_hi") < 0, "B>A").when((C("ac_lo") > 0) & (C("bc_lo") > 0), "A~B>C").otherwise("A~C")}, "SELECT id, CASE WHEN ab_lo > 0 THEN 'A>B' WHEN ab_hi < 0 THEN 'B>A' WHEN ac_lo > 0 AND bc_lo > 0 THEN 'A~B>C' ELSE 'A~C' END AS row FROM f"),
 }

@@ -73,16 +73,6 @@ def _islands(s, d):
     return S.islands(lines, ["doc_id"], "line", F.contains("t", F.lit("|")), 2).select("doc_id", C("first").cast("bigint").alias("first"), C("last").cast("bigint").alias("last"), "n")
 
 
-def _knn(s, d, k=5):
-    """Majority label of the k nearest vectors (cosine) of a fixed reference set: the first 100 vectors, for all others."""
-    e = table(s, d, "embeddings")
-    ref = e.where("vec_id < 100").select(C("vec_id").alias("rid"), C("embedding").alias("re"), C("label").alias("rl"))
-    j = e.where("vec_id >= 100").crossJoin(F.broadcast(ref)).select("vec_id", "rid", "rl", F.round(G.cosine(C("embedding"), C("re")), 6).alias("c"))
-    top = S.ranked(j, ["vec_id"], [F.desc("c"), "rid"]).where(C("rank") <= k)
-    votes = top.groupBy("vec_id", "rl").agg(F.count("*").alias("n"))
-    return S.ranked(votes, ["vec_id"], [F.desc("n"), "rl"]).where("rank = 1").select("vec_id", C("rl").alias("label"), "n")
-
-
 def _near_blocks(k):
     """The k nearest of a block of vectors for each of a block of queries; a vector is not its own neighbour."""
 
@@ -95,23 +85,24 @@ def _near_blocks(k):
                     c = np.round(a @ b.T / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)), 6)
                 c = np.where(np.isnan(c), -2.0, c)
                 c[qid[:, None] == rid] = -np.inf
-                for i, row in enumerate(c):
-                    top = np.lexsort((rid, -row))[:k]
-                    top = top[row[top] > -np.inf]
-                    yield pd.DataFrame({"vec_id": np.repeat(qid[i], len(top)), "rid": rid[top], "rl": [v[j]["label"] for j in top], "c": row[top]})
+                floor = np.partition(c, -min(k, len(rid)), axis=1)[:, -min(k, len(rid))]
+                at, of = np.nonzero((c >= floor[:, None]) & (c > -np.inf))  # ties too; the ranks over all blocks cut them
+                labels = np.array([x["label"] for x in v], object)
+                yield pd.DataFrame({"vec_id": qid[at], "rid": rid[of], "rl": labels[of], "c": c[at, of]})
 
     return run
 
 
-def _knn_all(s, d, k=50, rows=1024):
-    """Majority label of the k nearest (cosine) of all other vectors, for the vectors with ids divisible by 20; compared in blocks."""
+def knn(s, d, k=50, rows=1024, among=None, ask=None):
+    """Majority label of the k nearest (cosine) of all other vectors, for the vectors with ids divisible by 20; compared in blocks. ``among``, ``ask``: which may be neighbours, which are asked for."""
     e = table(s, d, "embeddings").where("embedding IS NOT NULL")
 
     def blocks(df, name):
         n = max(1, -(-df.count() // rows))
         return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct("vec_id", "embedding", "label")).alias(name)).repartition(n)
 
-    pairs = blocks(e.where("vec_id % 20 = 0"), "q").crossJoin(blocks(e, "v"))
+    asked = e.where("vec_id % 20 = 0")
+    pairs = blocks(asked if ask is None else asked.where(ask), "q").crossJoin(blocks(e if among is None else e.where(among), "v"))
     kinds = {f.name: f.dataType.simpleString() for f in e.schema}
     near = pairs.select("q", "v").mapInPandas(_near_blocks(k), f"vec_id {kinds['vec_id']}, rid {kinds['vec_id']}, rl {kinds['label']}, c double")
     top = S.ranked(near, ["vec_id"], [F.desc("c"), "rid"]).where(C("rank") <= k)
@@ -122,6 +113,11 @@ def _knn_all(s, d, k=50, rows=1024):
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
 
 
+def knn_sql(among: str = "", ask: str = "") -> str:
+    cosine = f"round({_DOT.format('e.embedding', 'r.embedding')} / (sqrt({_DOT.format('e.embedding', 'e.embedding')}) * sqrt({_DOT.format('r.embedding', 'r.embedding')})), 6)"
+    return f"WITH j AS (SELECT e.vec_id, r.vec_id AS rid, r.label AS rl, {cosine} AS c FROM embeddings e, embeddings r WHERE e.vec_id % 20 = 0 AND e.vec_id <> r.vec_id{among}{ask}), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, rid) AS k FROM j), v AS (SELECT vec_id, rl, count(*) AS n FROM t WHERE k <= 50 GROUP BY vec_id, rl) SELECT vec_id, rl AS label, n FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, rl) AS r FROM v) WHERE r = 1"
+
+
 def _series(s, d):
     m = MARKS.df(s).where("valid")
     firsts = m.groupBy("image", "chart", "series").agg(F.min("mark").alias("f"))
@@ -167,6 +163,37 @@ def _summary(s, d):
     return c.select("image", "n_boxes", *[F.array_contains("cs", x).alias(f"has_{x}") for x in ("table", "text", "picture", "formula")])
 
 
+def _build(s, d):
+    """Rows and images of each probe family, and of all images those whose sampling fails (an item without an extent)."""
+    text = lambda c: C(c).cast("string")
+    bad = ITEMS.df(s).groupBy("image").agg(F.count_if((C("w") <= 0) | (C("h") <= 0)).alias("bad")).where("bad > 0").select("image")
+    items = lambda t: t.join(bad, "image", "left_anti")  # noqa: E731  one bad image costs its own rows only
+    cells = _cells(s, d)
+    families = [
+        ("series_id", _series(s, d).select(text("image").alias("image"))),
+        ("point_value", MARKS.df(s).where("valid AND axis IS NOT NULL").select(text("image").alias("image"))),
+        *[(p, cells.where(C("probe") == p).select(text("t").alias("image"))) for p in ("cell_row", "cell_col")],
+        ("glyph_id", _glyph_rows(s, d).select(text("image").alias("image"))),
+        ("pl1_class", items(_points(s, d)).select(text("image").alias("image"), F.explode(F.array_repeat(F.lit(1), C("n").cast("int")))).select("image")),
+        ("pl2_extent", items(_extents(s, d)).select(text("image").alias("image"))),
+        ("pl3_summary", _summary(s, d).select(text("image").alias("image"))),
+    ]
+    rows = None
+    for name, t in families:
+        t = t.select(F.lit(name).alias("family"), "image")
+        rows = t if rows is None else rows.unionByName(t)
+    counts = rows.groupBy("family").agg(F.count("*").alias("rows"), F.count_distinct("image").alias("images"))
+    return counts.unionByName(bad.agg(F.lit("failed").alias("family"), F.lit(0).cast("bigint").alias("rows"), F.count("*").alias("images")))
+
+
+_BUILD_SQL = f"""WITH {MARKS.cte('m')}, {GLYPHS.cte('g')}, {CELLS.cte('f')}, {ITEMS.cte('i')}, {CLASSES.cte('c')}, k AS (SELECT t FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.t = b.t AND a.cell <> b.cell AND (a.x0 + a.x1) / 2 >= b.x0 AND (a.x0 + a.x1) / 2 < b.x1 AND (a.y0 + a.y1) / 2 >= b.y0 AND (a.y0 + a.y1) / 2 < b.y1)),
+  bad AS (SELECT DISTINCT image FROM i WHERE w <= 0 OR h <= 0), ok AS (SELECT * FROM i WHERE image NOT IN (SELECT image FROM bad))
+  SELECT 'series_id' AS family, count(*) AS rows, count(DISTINCT image) AS images FROM m WHERE valid UNION ALL SELECT 'point_value', count(*), count(DISTINCT image) FROM m WHERE valid AND axis IS NOT NULL
+  UNION ALL SELECT 'cell_row', count(*), count(DISTINCT t) FROM k UNION ALL SELECT 'cell_col', count(*), count(DISTINCT t) FROM k UNION ALL SELECT 'glyph_id', count(*), count(DISTINCT image) FROM g WHERE instr('{ALPHABET.replace(chr(39), chr(39) * 2)}', ch) > 0
+  UNION ALL SELECT 'pl1_class', 96 * count(DISTINCT image), count(DISTINCT image) FROM ok UNION ALL SELECT 'pl2_extent', 2 * count(*), count(DISTINCT image) FROM ok UNION ALL SELECT 'pl3_summary', count(DISTINCT image), count(DISTINCT image) FROM c
+  UNION ALL SELECT 'failed', 0, count(*) FROM bad"""
+
+
 QUERIES = {
     "win_cluster_order": (_cluster_order, f"WITH {PAGES.cte('f')} SELECT id, row_number() OVER (PARTITION BY {COARSE_SQL} ORDER BY coalesce(p50, 0.0), area DESC, sha, page) AS rank FROM f"),
     "win_cluster_rarity": (_rarity, f"WITH {PAGES.cte('f')}, n AS (SELECT {COARSE_SQL} AS sig, count(*) AS n FROM f GROUP BY 1) SELECT sig, n, row_number() OVER (ORDER BY n, sig) AS rank FROM n"),
@@ -189,8 +216,7 @@ QUERIES = {
     "sort_deterministic": (lambda s, d: SCORES.df(s).withColumn("rank", F.row_number().over(Window.orderBy(F.array_position(F.array(F.lit("u"), F.lit("t")), C("family")), "image", "arm")).cast("bigint")).select("image", "arm", "rank"), f"WITH {SCORES.cte('f')} SELECT image, arm, row_number() OVER (ORDER BY list_position(['u', 't'], family), image, arm) AS rank FROM f"),
     "limit_n": (lambda s, d: table(s, d, "documents").select("doc_id", "lang").orderBy("lang", "doc_id").limit(25), "SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 25"),
     "nearest_point": (lambda s, d: S.ranked(ITEMS.df(s).select("image", "item", F.round((C("x") - 0.3) ** 2 + (C("y") - 0.3) ** 2, 9).alias("dist")), ["image"], ["dist", "item"]).where("rank = 1").select("image", "item"), f"WITH {ITEMS.cte('f')} SELECT image, item FROM (SELECT image, item, row_number() OVER (PARTITION BY image ORDER BY round((x - 0.3) ** 2 + (y - 0.3) ** 2, 9), item) AS r FROM f) WHERE r = 1"),
-    "knn_vote_all": (_knn_all, None),
-    "knn_vote": (_knn, f"WITH j AS (SELECT e.vec_id, r.vec_id AS rid, r.label AS rl, round({_DOT.format('e.embedding', 'r.embedding')} / (sqrt({_DOT.format('e.embedding', 'e.embedding')}) * sqrt({_DOT.format('r.embedding', 'r.embedding')})), 6) AS c FROM embeddings e, embeddings r WHERE e.vec_id >= 100 AND r.vec_id < 100), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, rid) AS k FROM j), v AS (SELECT vec_id, rl, count(*) AS n FROM t WHERE k <= 5 GROUP BY vec_id, rl) SELECT vec_id, rl AS label, n FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, rl) AS r FROM v) WHERE r = 1"),
+    "knn_vote": (knn, knn_sql()),
     "smp_series_id": (_series, f"WITH {MARKS.cte('f')}, m AS (SELECT * FROM f WHERE valid), i AS (SELECT image, chart, series, row_number() OVER (PARTITION BY image, chart ORDER BY min(mark)) - 1 AS label FROM m GROUP BY image, chart, series) SELECT image, mark, label FROM m JOIN i USING (image, chart, series)"),
     "smp_point_value": (lambda s, d: MARKS.df(s).where("valid AND axis IS NOT NULL").select("image", "mark", F.when(C("axis") == "y2", C("v") * 10).otherwise(C("v")).alias("label")), f"WITH {MARKS.cte('f')} SELECT image, mark, CASE WHEN axis = 'y2' THEN v * 10 ELSE v END AS label FROM f WHERE valid AND axis IS NOT NULL"),
     "smp_cell_row": (_cells, f"WITH {CELLS.cte('f')}, k AS (SELECT t, cell FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.t = b.t AND a.cell <> b.cell AND (a.x0 + a.x1) / 2 >= b.x0 AND (a.x0 + a.x1) / 2 < b.x1 AND (a.y0 + a.y1) / 2 >= b.y0 AND (a.y0 + a.y1) / 2 < b.y1)) SELECT t, cell, 'cell_row' AS probe, cell AS label FROM k UNION ALL SELECT t, cell, 'cell_col', t FROM k"),
@@ -198,5 +224,5 @@ QUERIES = {
     "smp_pl1_class": (_points, None),
     "smp_pl2_extent": (_extents, f"WITH {ITEMS.cte('f')} SELECT image, item, k::INTEGER AS k, true AS inside, [x, y, w, h] AS label FROM f, unnest([1, 2]) AS t(k) WHERE w > 0 AND h > 0"),
     "smp_pl3_summary": (_summary, f"WITH {CLASSES.cte('f')} SELECT image, count(*) AS n_boxes, bool_or(class = 'table') AS has_table, bool_or(class = 'text') AS has_text, bool_or(class = 'picture') AS has_picture, bool_or(class = 'formula') AS has_formula FROM f GROUP BY image"),
-    "smp_build": (lambda s, d: _series(s, d).select(F.lit("series_id").alias("family"), "image").unionByName(_glyph_rows(s, d).select(F.lit("glyph_id").alias("family"), "image")).groupBy("family").agg(F.count("*").alias("rows"), F.count_distinct("image").alias("images")), f"WITH {MARKS.cte('m')}, {GLYPHS.cte('g')} SELECT 'series_id' AS family, count(*) AS rows, count(DISTINCT image) AS images FROM m WHERE valid UNION ALL SELECT 'glyph_id', count(*), count(DISTINCT image) FROM g WHERE instr('{ALPHABET.replace(chr(39), chr(39) * 2)}', ch) > 0"),
+    "smp_build": (_build, _BUILD_SQL),
 }

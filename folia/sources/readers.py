@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.functions import derive
+
 
 def jsonl(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
     """Line-delimited JSON by schema (blank lines fall out); a row without a required key is an error that names its file."""
@@ -38,6 +40,32 @@ def rule_gold(spark: SparkSession, path: str) -> DataFrame:
     return r.groupBy("pdf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "k", "t"))), lambda x: x["t"]), " ").alias("text"))
 
 
+TASKS = ("bbox", "classification", "regression")
+_PROBE = "probe string, image_id string, label string, point_xy array<double>, doc_id string, task_type string, site string, meta map<string,string>"
+
+
+def probes(spark: SparkSession, path: str) -> DataFrame:
+    """Probe rows of JSON lines (labels as their JSON text), with ``pooled`` and each one's document.
+
+    A missing probe, image or label, a site row without a point and an unknown task type are errors that name the file.
+    """
+    p = spark.read.schema(_PROBE).json(path)
+    pooled = F.coalesce(F.col("site") == "pooled", F.lit(False)) | F.startswith("probe", F.lit("pl3"))
+    fault = F.lit(None).cast("string")
+    for k in ("label", "image_id", "probe"):
+        fault = F.when(F.col(k).isNull(), F.lit(f"a probe row needs {k}")).otherwise(fault)
+    fault = F.coalesce(fault, F.when(~pooled & F.col("point_xy").isNull(), "a site probe needs point_xy"), F.when(~F.col("task_type").isin(*TASKS), "unknown task_type"))
+    checked = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.lit(" in "), F.input_file_name())).cast("string")).otherwise(F.col("probe"))
+    p = p.withColumn("probe", checked).withColumn("pooled", pooled)
+    return p.withColumn("doc_id", F.coalesce(F.nullif("doc_id", F.lit("")), derive.doc_id(F.col("image_id"))))
+
+
+def text_layers(pages: DataFrame) -> DataFrame:
+    """(file, text, pages): the text layers of a file's pages (file, page, text), in order; pages without one are left out."""
+    t = pages.where("text IS NOT NULL").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return t.select("file", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), F.size("p").cast("bigint").alias("pages"))
+
+
 def texts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """(path, text) of whole files of a tree whose name ends with a suffix."""
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

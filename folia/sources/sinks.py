@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +21,32 @@ def split(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def _versions(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    return fs, sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit())
+
+
+def atomic(df: DataFrame, path: str) -> None:
+    """Write a new version of a table: complete under another name, then renamed, so that ``latest`` never sees a part. One writer at a time."""
+    spark = df.sparkSession
+    part = f"{path}/_writing-{uuid.uuid4().hex}"
+    df.write.parquet(part)
+    fs, known = _versions(spark, path)
+    to = f"{path}/v-{(known or [0])[-1] + 1:06d}"
+    if not fs.rename(*[spark._jvm.org.apache.hadoop.fs.Path(x) for x in (part, to)]):
+        raise OSError(f"{part} could not be renamed to {to}")
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version that ``atomic`` wrote."""
+    _, known = _versions(spark, path)
+    if not known:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v-{known[-1]:06d}")
+
+
 def report_json(df: DataFrame, limit: int = 10_000) -> str:
     """A report table (of a checked size) as indented, key-sorted JSON."""
     rows = df.limit(limit + 1).collect()

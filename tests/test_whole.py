@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from folia.plans import catalog
 
@@ -28,7 +29,7 @@ def repetition(text):
 
 def test_repetition_whole_texts(spark):
     want = {r.doc_id: repetition(r.text or "") for r in rows(spark, "documents")}
-    got = {r.doc_id: r for r in catalog.QUERIES["str_repetition_all"](spark, DATA).collect()}
+    got = {r.doc_id: r for r in catalog.QUERIES["str_repetition"](spark, DATA).collect()}
     assert got.keys() == want.keys()
     for k, (repeated, top) in want.items():
         assert abs(got[k].repeated - repeated) < 2e-9 and abs(got[k].top - top) < 2e-9
@@ -37,7 +38,7 @@ def test_repetition_whole_texts(spark):
 def test_degeneration_whole_texts(spark):
     docs = rows(spark, "documents")
     assert any(r.n_chars > 3000 for r in docs)
-    for g in catalog.QUERIES["agg_degeneration_all"](spark, DATA).collect():
+    for g in catalog.QUERIES["agg_degeneration"](spark, DATA).collect():
         of = [r for r in docs if r.lang == g.lang]
         shares, sizes = [repetition(r.text or "")[0] for r in of], sorted(r.n_chars for r in of if r.n_chars is not None)
         assert (g.n, g.empty, g.at_cap) == (len(of), sizes.count(0), sum(x >= 2940 for x in sizes))
@@ -77,16 +78,16 @@ def test_norms_whole_texts(spark, tmp_path):
     docs = [(i, t, "en" if i % 2 else "de", "s", len(t or "")) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     for at, want in ((str(tmp_path), {r[0]: r[1] for r in docs}), (DATA, {r.doc_id: r.text for r in rows(spark, "documents")})):
-        nfkc = {r.doc_id: r.h for r in catalog.QUERIES["str_normalize_nfkc_all"](spark, at).collect()}
+        nfkc = {r.doc_id: r.h for r in catalog.QUERIES["str_normalize_nfkc"](spark, at).collect()}
         assert nfkc == {k: t if t is None else _md5(re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip().lower()) for k, t in want.items()}
-        content = {r.doc_id: r.h for r in catalog.QUERIES["str_content_norm_all"](spark, at).collect()}
+        content = {r.doc_id: r.h for r in catalog.QUERIES["str_content_norm"](spark, at).collect()}
         assert content == {k: _md5(_content(t)) for k, t in want.items()}
 
 
 def test_similarities_of_all_pairs(spark, tmp_path):
     turns = [(0, i, "user", t) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    for name, norm in (("str_edit_sim_all", _light), ("str_content_sim_all", _content)):
+    for name, norm in (("str_edit_sim", _light), ("str_content_sim", _content)):
         got = {r.turn: r.sim for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
         want = {}
         for i in range(len(TEXTS) - 2):
@@ -104,7 +105,7 @@ def test_knn_over_all_vectors(spark):
         cos = lambda i: round(float(e[q][0] @ e[i][0] / np.linalg.norm(e[q][0]) / np.linalg.norm(e[i][0])), 6)
         votes = Counter(e[i][1] for i in sorted((i for i in e if i != q), key=lambda i: (-cos(i), i))[:50])
         want[q] = min(votes.items(), key=lambda x: (-x[1], x[0]))
-    for df in (catalog.QUERIES["knn_vote_all"](spark, DATA), catalog.QUERIES["ml_knn_all"](spark, DATA), window_queries._knn_all(spark, DATA, rows=64)):
+    for df in (catalog.QUERIES["knn_vote"](spark, DATA), window_queries.knn(spark, DATA, rows=64)):
         assert {r.vec_id: (r.label, r.n) for r in df.collect()} == want
 
 
@@ -118,7 +119,7 @@ def test_neighbor_cosine_over_all_grids(spark):
                 c = e[i] @ e[j] / np.linalg.norm(e[i]) / np.linalg.norm(e[j])
                 near += [c] * (dist == 1)
                 far += [c] * (dist > 5)
-    (got,) = catalog.QUERIES["ker_neighbor_cosine_all"](spark, DATA).collect()
+    (got,) = catalog.QUERIES["ker_neighbor_cosine"](spark, DATA).collect()
     assert abs(got.near - np.mean(near)) < 2e-6 and abs(got.far - np.mean(far)) < 2e-6
 
 
@@ -127,7 +128,7 @@ def test_identical_children_by_all_numbers(spark, tmp_path):
     other = base[:15] + [9.0]
     vectors = [(0, base * 4), (1, base + other + base + other), (2, base + other + [8.0, *base[1:]] + [x + 1 for x in base]), (3, [x + k for k in range(4) for x in base])]
     spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.vec_id: r.pairs for r in catalog.QUERIES["ker_identical_children_all"](spark, str(tmp_path)).collect()}
+    got = {r.vec_id: r.pairs for r in catalog.QUERIES["ker_identical_children"](spark, str(tmp_path)).collect()}
     assert got == {0: 6, 1: 2}
 
 
@@ -151,3 +152,98 @@ def test_restoration_interval(spark):
             assert (r.n_degenerate > 0) == (len(docs) == 3)
         else:
             assert r.lo is None and r.hi is None and r.n_degenerate == 0
+
+
+def _train(doc, seed=0):
+    return int(hashlib.sha1(f"{seed}:{doc}".encode()).hexdigest()[:16], 16) / 2**64 < 0.8
+
+
+def _ridge(x, y):
+    x = np.hstack([x, np.ones((len(x), 1))])
+    return np.linalg.solve(x.T @ x + np.diag([1.0] * (x.shape[1] - 1) + [0.0]), x.T @ y)
+
+
+def _apply(x, w):
+    return np.hstack([x, np.ones((len(x), 1))]) @ w
+
+
+def test_fits_against_numpy(spark):
+    """Heads from summed Gram matrices, the inverse map and the gap of reconstructed vectors, and the fit of a family end to end."""
+    from folia.operators import resampling
+
+    e = sorted((r.vec_id, np.array(r.embedding, float), r.label) for r in rows(spark, "embeddings"))
+    ids, x, y = np.array([i for i, _, _ in e]), np.stack([v for _, v, _ in e]), np.array([k for _, _, k in e])
+    on = np.array([_train(i) for i in ids])
+    error = ((_apply(x[:, 32:], _ridge(x[on, 32:], x[on, :32])) - x[:, :32]) ** 2).mean(axis=1)
+    got = {r.vec_id: r.error for r in catalog.QUERIES["ml_inverse"](spark, DATA).collect()}
+    assert got.keys() == set(ids[~on].tolist()) and all(abs(got[i] - error[k]) < 2e-6 for k, i in enumerate(ids.tolist()) if not on[k])
+
+    doc_on, classes = np.array([_train(i // 4) for i in ids]), sorted(set(y.tolist()))
+    hot = np.array([[float(k == c) for c in classes] for k in y])
+    truth = np.array([classes.index(k) for k in y])
+    inverse = _ridge(x[doc_on, 32:], x[doc_on, :32])
+    family = ids % 3
+    for r in catalog.QUERIES["ml_recon_family"](spark, DATA).collect():
+        f = family == int(r.family[-1])
+        w = _ridge(x[f & doc_on, :32], hot[f & doc_on])
+        t = f & ~doc_on
+        a, b = (_apply(v, w).argmax(axis=1) == truth[t] for v in (x[t, :32], _apply(x[t, 32:], inverse)))
+        assert (r.n_test, round(r.true, 9), round(r.recon, 9)) == (t.sum(), round(a.mean(), 9), round(b.mean(), 9))
+        assert abs(r.gap - (a.mean() - b.mean())) < 1e-9 and r.lo <= r.gap <= r.hi
+    z = x @ resampling.projection(64, 16, 0)
+    for r in catalog.QUERIES["ml_run_pair"](spark, DATA).collect():
+        f = (family == int(r.family[-1])) & (ids % 7 != 0)
+        t = f & ~doc_on
+        ok = _apply(z[t], _ridge(z[f & doc_on], hot[f & doc_on])).argmax(axis=1) == truth[t]
+        assert (r.n_train, r.n_test, r.n_docs) == ((f & doc_on).sum(), t.sum(), len(set((ids[f] // 4).tolist())))
+        assert abs(r.accuracy - ok.mean()) < 1e-9 and r.lo <= r.accuracy <= r.hi and 0 <= r.control <= 1
+
+
+def test_dealt_labels(spark):
+    from folia.operators import fits
+
+    df = spark.createDataFrame([(i % 3, i, float(i * i)) for i in range(500)], "f bigint, id bigint, v double").repartition(7)
+    got = fits.dealt(df, ["f"], "id", "v").collect()
+    assert sorted(r.id for r in got) == list(range(500)) and sum(r.v == r.id**2 for r in got) < 50
+    for f in range(3):
+        assert sorted(r.v for r in got if r.f == f) == [float(i * i) for i in range(f, 500, 3)]
+    assert sorted(map(tuple, fits.dealt(df.repartition(2), ["f"], "id", "v").collect())) == sorted(map(tuple, got))
+
+
+def test_similar_pairs_against_all(spark):
+    import random
+
+    from folia.operators import joins
+
+    r = random.Random(1)
+    common = [f"c{i}" for i in range(6)]
+    sets = [set(r.sample(range(40), r.randint(1, 12))) | set(common if r.random() < 0.6 else []) for _ in range(120)]
+    sets += [sets[0], sets[0], sets[5], set()]
+    df = spark.createDataFrame([(i, i % 2, [str(x) for x in s]) for i, s in enumerate(sets)], "id bigint, family bigint, gs array<string>")
+    for t in (0.5, 0.8):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a + 1, len(sets)) if a % 2 == b % 2 and sets[a] and sets[b]}
+        got = {(x.a, x.b): x.jaccard for x in joins.similar_pairs(df, t).collect()}
+        assert got == {k: v for k, v in want.items() if v >= t}
+
+
+def test_probe_faults(spark, tmp_path):
+    import json
+
+    from folia.operators import joins
+    from folia.sources import readers
+
+    good = {"probe": "pl1_a", "image_id": "d/x_s001__p2", "label": [1, 2], "point_xy": [0.1, 0.2], "meta": {"k": "v"}}
+    for k, bad in enumerate([{}, {"label": None}, {"probe": None}, {"point_xy": None}, {"task_type": "other"}]):
+        (tmp_path / f"{k}.jsonl").write_text(json.dumps(good | bad) + "\n\n")
+        df = readers.probes(spark, str(tmp_path / f"{k}.jsonl"))
+        if bad:
+            with pytest.raises(Exception, match="needs|task_type"):
+                df.collect()
+        else:
+            (r,) = df.collect()
+            assert (r.label.replace(" ", ""), r.doc_id, r.pooled, r.meta) == ("[1,2]", "d/x", False, {"k": "v"})
+    feats = spark.createDataFrame([("a", None, [(0.5, 0.5, [1.0])], [9.0])], "image_id string, tokens array<array<double>>, sites array<struct<x:double,y:double,vec:array<double>>>, pooled array<double>")
+    ask = lambda x: joins.assembled(spark.createDataFrame([("a", False, [x, 0.5]), ("b", True, None)], "image_id string, pooled boolean, point_xy array<double>"), feats, grid=4).collect()
+    assert [(r.vec, r.layout) for r in sorted(ask(0.5))] == [([1.0], "sites"), (None, None)]
+    with pytest.raises(Exception, match="no stored site"):
+        ask(0.25)
