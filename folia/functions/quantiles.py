@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +34,14 @@ def below_rank(x: Column, p: float) -> Column:
     return F.element_at(_sorted(x), (F.floor((F.count(x) - 1) * F.lit(p)) + 1).cast("int"))
 
 
+def at_rank(df: DataFrame, key: str, value: str, place: Callable[[Column], Column]) -> DataFrame:
+    """(key, value): the value at 0-based ``place`` (of the number of values) in each group's sorted values, from counts per value: no group's values are gathered."""
+    c = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(Window.partitionBy(key).orderBy(value)), F.sum("n").over(Window.partitionBy(key))
+    c = c.withColumn("upto", upto).withColumn("at", place(total))
+    return c.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(key, value)
+
+
 def mode_first(x: Column) -> Column:
     """Most frequent value, the smallest of several: of a column of structs (count, value)."""
     return F.max_by(x["value"], F.struct(x["count"], -x["value"]))

@@ -167,6 +167,10 @@ def _quant(fn, sql):
     return (lambda s, d: table(s, d, "documents").groupBy("lang").agg(fn().alias("q"))), f"SELECT lang, {sql} AS q FROM documents GROUP BY lang"
 
 
+def _ranked(place, sql):
+    return (lambda s, d: Q.at_rank(table(s, d, "documents").select("lang", C("n_chars").alias("q")), "lang", "q", place)), f"SELECT lang, {sql} AS q FROM documents GROUP BY lang"
+
+
 QUERIES = {
     "agg_screen": (screen, SCREEN_SQL),
     "agg_cluster_census": (_census, f"WITH {PAGES.cte('f')}, s AS (SELECT {COARSE_SQL} AS c, {ARCH_SQL} AS e FROM f), n AS (SELECT c, count(*) AS n FROM s GROUP BY c), t AS (SELECT sum(n) AS top FROM (SELECT n FROM n ORDER BY n DESC, c LIMIT 3)) SELECT sum(n)::BIGINT AS pages, (SELECT count(DISTINCT e) FROM s) AS exact, count(*) AS coarse, count(*) FILTER (WHERE n = 1) AS singletons, round((SELECT top FROM t) / sum(n), 6) AS top_share FROM n"),
@@ -207,9 +211,9 @@ QUERIES = {
     "agg_two_phase": (lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"), F.round(F.sum("l_quantity"), 2).alias("qty")), "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_partkey) AS parts, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ALL"),
     "agg_cube_rollup": (lambda s, d: table(s, d, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id().alias("level")), "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping(lang, source) AS level FROM documents GROUP BY CUBE (lang, source)"),
     "quantile_linear": _quant(lambda: Q.linear(C("n_chars"), 0.25, 2), "round_even(quantile_cont(n_chars, 0.25), 2)"),
-    "quantile_nearest_rank": _quant(lambda: Q.nearest_rank(C("n_chars"), 0.9), "list_sort(list(n_chars))[CAST(least(count(*) - 1, floor(count(*) * 0.9::DOUBLE)) AS BIGINT) + 1]"),
-    "quantile_upper_median": _quant(lambda: Q.upper_median(C("n_chars")), "list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1]"),
-    "quantile_below_rank": _quant(lambda: Q.below_rank(C("n_chars"), 0.9), "list_sort(list(n_chars))[CAST(floor((count(*) - 1) * 0.9::DOUBLE) AS BIGINT) + 1]"),
+    "quantile_nearest_rank": _ranked(lambda n: F.least(n - 1, F.floor(n * F.lit(0.9))), "list_sort(list(n_chars))[CAST(least(count(*) - 1, floor(count(*) * 0.9::DOUBLE)) AS BIGINT) + 1]"),
+    "quantile_upper_median": _ranked(lambda n: F.floor(n / 2), "list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1]"),
+    "quantile_below_rank": _ranked(lambda n: F.floor((n - 1) * F.lit(0.9)), "list_sort(list(n_chars))[CAST(floor((count(*) - 1) * 0.9::DOUBLE) AS BIGINT) + 1]"),
     "quantile_median": _quant(lambda: F.median(C("n_chars")), "median(n_chars)"),
     "quantile_mode": (lambda s, d: A.most_frequent(table(s, d, "documents").select("lang", C("source").alias("v")), "lang", "v"), "SELECT lang, v, n FROM (SELECT lang, source AS v, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY lang, source) WHERE r = 1"),
 }
