@@ -9,13 +9,16 @@ from folia.functions.core import let
 
 
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """Intersection over union of two (x, y, w, h) boxes; negative sizes count as 0, an empty union gives 0."""
+    """Intersection over union of two (x, y, w, h) boxes; negative sizes count as 0, an empty union gives 0; null if a number is."""
     size = lambda v: F.greatest(v, F.lit(0.0))
     (ax, ay, aw, ah), (bx, by, bw, bh) = (a[0], a[1], size(a[2]), size(a[3])), (b[0], b[1], size(b[2]), size(b[3]))
     w = size(F.least(ax + aw, bx + bw) - F.greatest(ax, bx))
     h = size(F.least(ay + ah, by + bh) - F.greatest(ay, by))
     union = aw * ah + bw * bh - w * h
-    return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
+    known = F.lit(True)
+    for v in (*a, *b):  # least and greatest pass nulls over
+        known = known & v.isNotNull()
+    return F.when(known, F.when(union > 0, w * h / union).otherwise(F.lit(0.0)))
 
 
 def affine_point(m: list[float], x: Column, y: Column) -> tuple[Column, Column]:

@@ -14,14 +14,14 @@ from folia.plans.join_queries import SHINGLES_SQL, shingle_containment
 from folia.sources.literal import Literal
 
 C = F.col
-ITEMS = Literal("id string, type string, file string, a boolean, b boolean", [("1", "text", "f1", True, True), ("2", "text", "f1", True, False), ("3", "math", "f1", False, True), ("4", "math", "f2", False, False), ("5", "table", "f2", True, False), ("6", "table", "f2", True, True)])
+ITEMS = Literal("id string, type string, file string, a boolean, b boolean", [("1", "text", "f1", True, True), ("2", "text", "f1", True, False), ("3", "math", "f1", False, True), ("4", "math", "f2", False, False), ("5", "table", "f2", True, False), ("6", "table", "f2", True, True)]).over("lineitem", "'i' || (l_orderkey * 10 + l_linenumber + 1000); l_returnflag; l_linestatus; l_discount > 0.03; l_tax > 0.03")
 PRINTED = Literal("axis string, key string, pass_a double", [("type", "text", 100.0), ("type", "math", 10.0), ("file", "f1", 66.7), ("file", "f9", 1.0)])
-BOXES = Literal("id bigint, field string, page bigint, x double, y double, w double, h double, iou double, grounded boolean, tag string", [(1, "a", 1, 0.0, 0.0, 0.1, 0.1, 0.9, True, "wide"), (2, "a", 1, 0.0, 0.0, 0.1, 0.1, 0.2, False, "wide"), (3, "a", 2, 0.5, 0.5, 0.2, 0.1, 0.0, False, "tall"), (4, "b", 1, 0.2, 0.2, 0.3, 0.1, 0.55, True, "wide"), (5, "b", 1, 0.6, 0.2, 0.3, 0.1, 0.45, False, "short"), (6, "c", 3, 0.0, 0.0, 1.0, 1.0, 0.05, False, "tall")])
+BOXES = Literal("id bigint, field string, page bigint, x double, y double, w double, h double, iou double, grounded boolean, tag string", [(1, "a", 1, 0.0, 0.0, 0.1, 0.1, 0.9, True, "wide"), (2, "a", 1, 0.0, 0.0, 0.1, 0.1, 0.2, False, "wide"), (3, "a", 2, 0.5, 0.5, 0.2, 0.1, 0.0, False, "tall"), (4, "b", 1, 0.2, 0.2, 0.3, 0.1, 0.55, True, "wide"), (5, "b", 1, 0.6, 0.2, 0.3, 0.1, 0.45, False, "short"), (6, "c", 3, 0.0, 0.0, 1.0, 1.0, 0.05, False, "tall")]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_returnflag; l_orderkey + 1000; l_discount; l_tax; 0.25; 0.125; l_discount * 10; l_linestatus = 'O'; 'tag' || l_linenumber")
 PRED_BOX = Literal("id bigint, x double, y double, w double, h double", [(1, 0.01, 0.0, 0.1, 0.1), (2, 0.3, 0.3, 0.1, 0.1), (3, 0.45, 0.45, 0.4, 0.3), (4, 0.2, 0.2, 0.15, 0.1)])
-KNOBS = Literal("arm string, lr double, loss double", [("A", 0.1, 0.5), ("A", 0.01, 0.3), ("A", 0.001, None), ("B", 0.1, 0.7), ("B", 0.01, 0.9)])
+KNOBS = Literal("arm string, lr double, loss double", [("A", 0.1, 0.5), ("A", 0.01, 0.3), ("A", 0.001, None), ("B", 0.1, 0.7), ("B", 0.01, 0.9)]).over("lineitem", "l_returnflag || l_linestatus; l_orderkey * 10 + l_linenumber + 1000; CASE WHEN l_linenumber < 6 THEN l_extendedprice * 10 + l_orderkey / 1000000 END")
 LORA = Literal("rank bigint, din bigint, dout bigint", [(r, i, o) for r in (4, 8, 16, 32) for i, o in ((1024, 1024), (1024, 4096))])
-GLYPHS = Literal("image string, seq bigint, ch string", [("x", 1, "b"), ("x", 2, "a"), ("x", 3, "b"), ("y", 1, "z"), ("y", 2, "a")])
-SITES = Literal("image string, probe string, x double, y double, pooled boolean", [("a", "p1", 0.1, 0.2, False), ("a", "p2", 0.1, 0.2, False), ("a", "p1", 0.3, 0.2, False), ("b", "p3", 0.5, 0.5, False), ("a", "q", 0.0, 0.0, True), ("b", "q", 0.0, 0.0, True)])
+GLYPHS = Literal("image string, seq bigint, ch string", [("x", 1, "b"), ("x", 2, "a"), ("x", 3, "b"), ("y", 1, "z"), ("y", 2, "a")]).over("part", "'p' || CAST(floor(p_partkey / 50) AS BIGINT); p_partkey; substr(p_name, 1, 1)")
+SITES = Literal("image string, probe string, x double, y double, pooled boolean", [("a", "p1", 0.1, 0.2, False), ("a", "p2", 0.1, 0.2, False), ("a", "p1", 0.3, 0.2, False), ("b", "p3", 0.5, 0.5, False), ("a", "q", 0.0, 0.0, True), ("b", "q", 0.0, 0.0, True)]).over("lineitem", "'o' || l_orderkey; 'p' || l_linenumber; l_discount; l_tax; l_returnflag = 'A'")
 
 
 
@@ -38,7 +38,7 @@ SCREEN_SQL = f"WITH {SHINGLES_SQL}, r AS (SELECT doc, gold, shared / n_gold AS s
 
 
 def _census(s, d):
-    p = PAGES.df(s).select("id", coarse().alias("coarse"), arch().alias("exact"))
+    p = PAGES.df(s, d).select("id", coarse().alias("coarse"), arch().alias("exact"))
     return A.cluster_census(p, exact="exact", coarse="coarse", top=3)
 
 
@@ -49,7 +49,7 @@ def _selection_report(s, d):
 
 
 def _doc_rollup(s, d):
-    p = PAGES.df(s)
+    p = PAGES.df(s, d)
     w = p.groupBy("sha").agg(F.round(F.avg((C("kind") == "digital").cast("double")), 6).alias("digital"), F.percentile(F.when(C("p50") > 0, C("p50")), F.lit(0.5)).alias("p50"), F.round(F.avg((C("rules") >= 12).cast("double")), 6).alias("tables"), F.sum("n_chars").alias("chars"))
     modal = A.most_frequent(p.select("sha", coarse().alias("sig")), "sha", "sig").select("sha", C("sig").alias("modal"))
     return w.join(modal, "sha")
@@ -68,7 +68,7 @@ def _family_summary(s, d):
 
 
 def _confusion(s, d):
-    return A.with_total(ITEMS.df(s), ["type", "file"], A.confusion(C("a"), C("b")))
+    return A.with_total(ITEMS.df(s, d), ["type", "file"], A.confusion(C("a"), C("b")))
 
 
 _CONF = "count(*) FILTER (WHERE a AND b) AS pp, count(*) FILTER (WHERE a AND NOT b) AS pf, count(*) FILTER (WHERE NOT a AND b) AS fp, count(*) FILTER (WHERE NOT a AND NOT b) AS ff, count(*) FILTER (WHERE NOT a AND b) - count(*) FILTER (WHERE a AND NOT b) AS net, round(100.0 * avg(CAST(a AS INTEGER)), 1)::DOUBLE AS pass_a, round(100.0 * avg(CAST(b AS INTEGER)), 1)::DOUBLE AS pass_b"
@@ -76,7 +76,7 @@ _CONF_SQL = f"SELECT 'all' AS axis, 'all' AS key, {_CONF} FROM f UNION ALL SELEC
 
 
 def _confusion_check(s, d):
-    j = PRINTED.df(s).alias("p").join(_confusion(s, d).alias("c"), ["axis", "key"], "left")
+    j = PRINTED.df(s, d).alias("p").join(_confusion(s, d).alias("c"), ["axis", "key"], "left")
     return j.select("axis", "key", F.coalesce(C("p.pass_a") == C("c.pass_a"), F.lit(False)).alias("ok"))
 
 
@@ -124,18 +124,18 @@ def _feature_r2(s, d):
 
 def _bands(s, d):
     band = F.when(C("iou") == 0, "0").when(C("iou") < 0.1, "(0,.1)").when(C("iou") < 0.5, "[.1,.5)").otherwise("[.5,1]")
-    return BOXES.df(s).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    return BOXES.df(s, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
 
 
 def _containment(s, d):
-    j = BOXES.df(s).alias("g").join(PRED_BOX.df(s).alias("p"), "id")
+    j = BOXES.df(s, d).alias("g").join(PRED_BOX.df(s, d).alias("p"), "id")
     cx, cy = C("p.x") + C("p.w") / 2, C("p.y") + C("p.h") / 2
     inside = (cx >= C("g.x")) & (cx <= C("g.x") + C("g.w")) & (cy >= C("g.y")) & (cy <= C("g.y") + C("g.h"))
     return j.agg(F.count_if(inside).alias("center_in"), F.percentile(C("p.w") / C("g.w"), F.lit(0.5)).alias("median_w"), F.count("*").alias("n"))
 
 
 def _field_rank(s, d):
-    b = BOXES.df(s).where("NOT grounded")
+    b = BOXES.df(s, d).where("NOT grounded")
     top = A.most_frequent(b.select("field", "tag"), "field", "tag").select("field", C("tag").alias("top_tag"))
     return b.groupBy("field").agg(F.count("*").alias("n"), F.percentile("iou", F.lit(0.5)).alias("median")).join(top, "field").orderBy(F.desc("n"), "field").limit(14)
 
@@ -146,20 +146,20 @@ def _bag(s, d):
 
 
 def _site_manifest(s, d):
-    p = SITES.df(s)
+    p = SITES.df(s, d)
     pts = p.where("NOT pooled").groupBy("image", "x", "y").agg(F.array_sort(F.collect_set("probe")).alias("ps")).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("x", "y", "ps"))).alias("pts"))
     pooled = p.where("pooled").groupBy("image").agg(F.array_join(F.array_sort(F.collect_set("probe")), ",").alias("pooled"))
     return pts.join(pooled, "image", "left").select("image", F.array_join(F.transform("pts", lambda q: F.concat_ws(":", q["x"].cast("string"), q["y"].cast("string"), F.array_join(q["ps"], "+"))), " ").alias("points"), "pooled")
 
 
 def _vocab(s, d):
-    g = GLYPHS.df(s)
+    g = GLYPHS.df(s, d)
     codes = g.select("ch").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("ch")) - 1)  # a vocabulary of characters is small
     return g.join(codes, "ch").groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "code"))), lambda x: x["code"].cast("string")), " ").alias("codes"))
 
 
 def _params(s, d):
-    p = LORA.df(s).groupBy("rank").agg(F.sum(C("rank") * (C("din") + C("dout"))).alias("params"))
+    p = LORA.df(s, d).groupBy("rank").agg(F.sum(C("rank") * (C("din") + C("dout"))).alias("params"))
     return p.agg(F.min_by("rank", F.abs(F.log(C("params") / 100000.0))).alias("rank"), F.min_by("params", F.abs(F.log(C("params") / 100000.0))).alias("params"))
 
 
@@ -191,22 +191,22 @@ QUERIES = {
     "agg_majority_floor": (_majority, "WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE NOT (CAST(('0x' || substr(sha1('3:' || doc_id), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.7) GROUP BY lang) SELECT max(n) AS top, round(max(n) / sum(n), 9) AS floor FROM c"),
     "agg_metrics_cls": (lambda s, d: A.classification(_label_pairs(s, d), "t", "p"), "WITH f AS (SELECT quality AS t, 1 - toxic AS p FROM labels), k AS (SELECT DISTINCT t AS k FROM f UNION SELECT DISTINCT p FROM f), m AS (SELECT k, count(*) FILTER (WHERE t = k AND p = k) AS tp, count(*) FILTER (WHERE t = k) AS t, count(*) FILTER (WHERE p = k) AS p FROM k, f GROUP BY k) SELECT round((SELECT avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END) FROM f), 9)::DOUBLE AS accuracy, round(avg(2 * tp / (t + p)), 9) AS macro_f1 FROM m"),
     "agg_metrics_reg": (lambda s, d: A.regression(table(s, d, "lineitem").select("l_extendedprice", (C("l_quantity") * 1000).alias("p")), "l_extendedprice", "p"), "SELECT round(1 - sum((l_extendedprice - l_quantity * 1000) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2, round(avg(abs(l_extendedprice - l_quantity * 1000)), 6) AS mae FROM lineitem"),
-    "agg_metrics_bbox": (lambda s, d: BOXES.df(s).agg(F.round(F.avg("iou"), 6).alias("mean"), F.round(F.avg((C("iou") >= 0.5).cast("double")), 6).alias("share")), f"WITH {BOXES.cte('f')} SELECT round(avg(iou), 6) AS mean, round(avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share FROM f"),
+    "agg_metrics_bbox": (lambda s, d: BOXES.df(s, d).agg(F.round(F.avg("iou"), 6).alias("mean"), F.round(F.avg((C("iou") >= 0.5).cast("double")), 6).alias("share")), f"WITH {BOXES.cte('f')} SELECT round(avg(iou), 6) AS mean, round(avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share FROM f"),
     "agg_feature_r2": (_feature_r2, "WITH e AS (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS y FROM embeddings), b AS (SELECT dim, sum((y - round_even(y, 1)) ** 2) AS res, var_pop(y) * count(*) AS tot FROM e GROUP BY dim) SELECT round(avg(1 - res / tot), 6) AS uniform, round(1 - sum(res) / sum(tot), 6) AS weighted FROM b"),
     "agg_slice_metrics": (_slices, "WITH f AS (SELECT lang, source, CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END::DOUBLE AS ok FROM documents JOIN labels USING (doc_id)) SELECT 'all' AS axis, 'all' AS key, count(*) AS n, round(avg(ok), 6) AS accuracy FROM f UNION ALL SELECT 'lang', lang, count(*), round(avg(ok), 6) FROM f GROUP BY lang UNION ALL SELECT 'source', source, count(*), round(avg(ok), 6) FROM f GROUP BY source"),
     "agg_extract_stats": (lambda s, d: table(s, d, "events").withColumn("shard", F.pmod("event_id", F.lit(4))).groupBy("shard").agg(F.count_if(C("value").isNotNull()).alias("done"), F.count_if(C("value").isNull()).alias("failed"), F.round(F.avg("value"), 6).alias("mean"), F.percentile("value", F.lit(0.5)).alias("median")), "SELECT event_id % 4 AS shard, count(value) AS done, count(*) - count(value) AS failed, round(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS median FROM events GROUP BY 1"),
     "agg_iou_bands": (_bands, f"WITH {BOXES.cte('f')} SELECT CASE WHEN iou = 0 THEN '0' WHEN iou < 0.1 THEN '(0,.1)' WHEN iou < 0.5 THEN '[.1,.5)' ELSE '[.5,1]' END AS band, count(*) AS n FROM f GROUP BY 1"),
-    "agg_whatif": (lambda s, d: BOXES.df(s).agg(*[F.count_if(C("iou") >= x).alias(f"ge_{int(x * 100)}") for x in (0.3, 0.4, 0.5)], F.round(100.0 * F.avg((C("iou") > 0).cast("double")), 4).alias("any")), f"WITH {BOXES.cte('f')} SELECT count(*) FILTER (WHERE iou >= 0.3) AS ge_30, count(*) FILTER (WHERE iou >= 0.4) AS ge_40, count(*) FILTER (WHERE iou >= 0.5) AS ge_50, round(100.0 * avg(CASE WHEN iou > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS any FROM f"),
+    "agg_whatif": (lambda s, d: BOXES.df(s, d).agg(*[F.count_if(C("iou") >= x).alias(f"ge_{int(x * 100)}") for x in (0.3, 0.4, 0.5)], F.round(100.0 * F.avg((C("iou") > 0).cast("double")), 4).alias("any")), f"WITH {BOXES.cte('f')} SELECT count(*) FILTER (WHERE iou >= 0.3) AS ge_30, count(*) FILTER (WHERE iou >= 0.4) AS ge_40, count(*) FILTER (WHERE iou >= 0.5) AS ge_50, round(100.0 * avg(CASE WHEN iou > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS any FROM f"),
     "agg_containment": (_containment, f"WITH {BOXES.cte('g')}, {PRED_BOX.cte('p')} SELECT count(*) FILTER (WHERE p.x + p.w / 2 BETWEEN g.x AND g.x + g.w AND p.y + p.h / 2 BETWEEN g.y AND g.y + g.h) AS center_in, quantile_cont(p.w / g.w, 0.5) AS median_w, count(*) AS n FROM g JOIN p USING (id)"),
-    "agg_dup_box": (lambda s, d: BOXES.df(s).withColumn("n", F.count("*").over(Window.partitionBy("field", "page", "x", "y", "w", "h"))).agg(F.count_if(C("n") > 1).alias("shared"), F.round(F.avg(F.when(C("n") == 1, C("grounded").cast("double"))), 6).alias("without"), F.round(F.avg(C("grounded").cast("double")), 6).alias("with")), f"WITH {BOXES.cte('f')}, n AS (SELECT *, count(*) OVER (PARTITION BY field, page, x, y, w, h) AS n FROM f) SELECT count(*) FILTER (WHERE n > 1) AS shared, round(avg(CASE WHEN n = 1 THEN CAST(grounded AS INTEGER) END), 6) AS without, round(avg(CAST(grounded AS INTEGER)), 6) AS with FROM n"),
+    "agg_dup_box": (lambda s, d: BOXES.df(s, d).withColumn("n", F.count("*").over(Window.partitionBy("field", "page", "x", "y", "w", "h"))).agg(F.count_if(C("n") > 1).alias("shared"), F.round(F.avg(F.when(C("n") == 1, C("grounded").cast("double"))), 6).alias("without"), F.round(F.avg(C("grounded").cast("double")), 6).alias("with")), f"WITH {BOXES.cte('f')}, n AS (SELECT *, count(*) OVER (PARTITION BY field, page, x, y, w, h) AS n FROM f) SELECT count(*) FILTER (WHERE n > 1) AS shared, round(avg(CASE WHEN n = 1 THEN CAST(grounded AS INTEGER) END), 6) AS without, round(avg(CAST(grounded AS INTEGER)), 6) AS with FROM n"),
     "agg_field_rank": (_field_rank, f"WITH {BOXES.cte('f')}, b AS (SELECT * FROM f WHERE NOT grounded), t AS (SELECT field, tag, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, tag) AS r FROM b GROUP BY field, tag) SELECT b.field, count(*) AS n, quantile_cont(iou, 0.5) AS median, any_value(t.tag) AS top_tag FROM b JOIN t ON t.field = b.field AND r = 1 GROUP BY b.field"),
-    "agg_grounded_means": (lambda s, d: BOXES.df(s).groupBy("field").agg(F.round(F.avg("iou"), 6).alias("mean"), F.count("*").alias("n")), f"WITH {BOXES.cte('f')} SELECT field, round(avg(iou), 6) AS mean, count(*) AS n FROM f GROUP BY field"),
+    "agg_grounded_means": (lambda s, d: BOXES.df(s, d).groupBy("field").agg(F.round(F.avg("iou"), 6).alias("mean"), F.count("*").alias("n")), f"WITH {BOXES.cte('f')} SELECT field, round(avg(iou), 6) AS mean, count(*) AS n FROM f GROUP BY field"),
     "agg_bag": (_bag, "WITH w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*[a-z]|[a-z]')) AS w FROM conversations), c AS (SELECT conv_id, w, count(*) AS n FROM w GROUP BY ALL) SELECT conv_id, sum(n)::BIGINT AS words, count(*) AS distinct, coalesce(array_to_string(list_sort(list(w) FILTER (WHERE n = 1 AND length(w) >= 6))[1:3], ' '), '') AS rare FROM c GROUP BY conv_id"),
     "agg_family_ranges": (lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.count_if(F.contains("text", F.lit("*"))).alias("marked")), "SELECT lang, min(n_chars) AS least, max(n_chars) AS most, count(*) FILTER (WHERE contains(text, '*')) AS marked FROM documents GROUP BY lang"),
     "agg_site_manifest": (_site_manifest, f"WITH {SITES.cte('f')}, p AS (SELECT image, x, y, string_agg(DISTINCT probe, '+' ORDER BY probe) AS ps FROM f WHERE NOT pooled GROUP BY image, x, y), q AS (SELECT image, string_agg(DISTINCT probe, ',' ORDER BY probe) AS pooled FROM f WHERE pooled GROUP BY image) SELECT image, string_agg(x || ':' || y || ':' || ps, ' ' ORDER BY x, y) AS points, any_value(pooled) AS pooled FROM p LEFT JOIN q USING (image) GROUP BY image"),
     "agg_glyph_vocab": (_vocab, f"WITH {GLYPHS.cte('f')}, c AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS code FROM (SELECT DISTINCT ch FROM f)) SELECT image, string_agg(code::VARCHAR, ' ' ORDER BY seq) AS codes FROM f JOIN c USING (ch) GROUP BY image"),
     "agg_counts_final": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").agg(F.count("text").alias("texts"), F.count("quality").alias("quality"), F.count("*").alias("rows")), "SELECT count(text) AS texts, count(quality) AS quality, count(*) AS rows FROM documents LEFT JOIN labels USING (doc_id)"),
-    "agg_best_knob": (lambda s, d: KNOBS.df(s).groupBy("arm").agg(F.min_by("lr", "loss").alias("lr")), f"WITH {KNOBS.cte('f')} SELECT arm, arg_min(lr, loss) AS lr FROM f GROUP BY arm"),
+    "agg_best_knob": (lambda s, d: KNOBS.df(s, d).groupBy("arm").agg(F.min_by("lr", "loss").alias("lr")), f"WITH {KNOBS.cte('f')} SELECT arm, arg_min(lr, loss) AS lr FROM f GROUP BY arm"),
     "agg_param_count": (_params, f"WITH {LORA.cte('f')}, p AS (SELECT rank, sum(rank * (din + dout))::BIGINT AS params FROM f GROUP BY rank) SELECT arg_min(rank, abs(ln(params / 100000.0))) AS rank, arg_min(params, abs(ln(params / 100000.0))) AS params FROM p"),
     "agg_two_phase": (lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"), F.round(F.sum("l_quantity"), 2).alias("qty")), "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_partkey) AS parts, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ALL"),
     "agg_cube_rollup": (lambda s, d: table(s, d, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id().alias("level")), "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping(lang, source) AS level FROM documents GROUP BY CUBE (lang, source)"),

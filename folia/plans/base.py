@@ -27,7 +27,7 @@ def literal_query(lit, out: Callable[[], dict], sql: str, keys: str = "id") -> Q
     """A projection of a literal table ``f``; ``sql`` reads the table ``f``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return lit.df(spark).select(*keys.split(), *[c.alias(k) for k, c in out().items()])
+        return lit.df(spark, sf_dir).select(*keys.split(), *[c.alias(k) for k, c in out().items()])
 
     return run, f"WITH {lit.cte('f')} {sql}"
 

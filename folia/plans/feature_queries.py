@@ -14,15 +14,15 @@ from folia.sources.literal import Literal
 
 C = F.col
 M = [0.9, -0.1, 0.05, 0.1, 0.9, 0.02]
-BOXES = Literal("id bigint, x double, y double, w double, h double", [(1, 0.1, 0.2, 0.3, 0.4), (2, 0.0, 0.0, 1.0, 1.0), (3, 0.9995, 0.5, 0.0001, 0.2), (4, -0.1, 0.99, 0.5, 0.5)])
-ANGLES = Literal("id bigint, angle double, shear double, scale double", [(1, 0.0, 0.0, 1.0), (2, 2.0, 0.01, 0.98), (3, -5.0, 0.0, 1.1)])
-VECS = Literal("id bigint, v array<double>", [(1, [1.0, 2.0]), (2, [70000.0, -1.0]), (3, [0.0, -3.5]), (4, [float(10**6), 65504.0])])
+BOXES = Literal("id bigint, x double, y double, w double, h double", [(1, 0.1, 0.2, 0.3, 0.4), (2, 0.0, 0.0, 1.0, 1.0), (3, 0.9995, 0.5, 0.0001, 0.2), (4, -0.1, 0.99, 0.5, 0.5)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_discount + 0.0113; l_tax + 0.3019; l_quantity / 61; l_linenumber / 7")
+ANGLES = Literal("id bigint, angle double, shear double, scale double", [(1, 0.0, 0.0, 1.0), (2, 2.0, 0.01, 0.98), (3, -5.0, 0.0, 1.1)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_quantity; l_tax; 1 + l_discount")
+VECS = Literal("id bigint, v array<double>", [(1, [1.0, 2.0]), (2, [70000.0, -1.0]), (3, [0.0, -3.5]), (4, [float(10**6), 65504.0])]).over("embeddings", "vec_id + 1000; embedding")
 
 
 def _affine(s, d):
     x, y, w, h = G.affine_box(M, *(C(k) for k in "xywh"))
     px, py = G.affine_point(M, C("x"), C("y"))
-    return BOXES.df(s).select("id", x.alias("bx"), y.alias("by"), w.alias("bw"), h.alias("bh"), F.round(px, 6).alias("px"), F.round(py, 6).alias("py"))
+    return BOXES.df(s, d).select("id", x.alias("bx"), y.alias("by"), w.alias("bw"), h.alias("bh"), F.round(px, 6).alias("px"), F.round(py, 6).alias("py"))
 
 
 _PT = "(0.9 * {0} - 0.1 * {1} + 0.05)", "(0.1 * {0} + 0.9 * {1} + 0.02)"
@@ -32,7 +32,7 @@ _AFFINE_SQL = f"SELECT id, round(list_min({_XS[0]}), 6) AS bx, round(list_min({_
 
 def _sidecar(s, d):
     """Boxes of nested items mapped in place, other fields untouched."""
-    nested = BOXES.df(s).groupBy((C("id") > 2).cast("bigint").alias("page")).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))).alias("items"))
+    nested = BOXES.df(s, d).groupBy((C("id") > 2).cast("bigint").alias("page")).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))).alias("items"))
     out = nested.select("page", F.transform("items", lambda i: F.struct(i["id"].alias("id"), F.array(*G.affine_box(M, i["x"], i["y"], i["w"], i["h"])).alias("box"))).alias("items"))
     return out.select("page", F.explode("items").alias("i")).select("page", "i.id", C("i.box").getItem(0).alias("bx"), C("i.box").getItem(2).alias("bw"))
 
@@ -78,7 +78,7 @@ def _project(s, d):
 
 def _occupancy(s, d):
     """Logical columns of spanned cells: an occupancy walk per table."""
-    cells = Literal("t bigint, r bigint, k bigint, rs bigint, cs bigint", [(1, 0, 0, 2, 1), (1, 0, 1, 1, 2), (1, 1, 0, 1, 1), (1, 1, 1, 1, 1), (2, 0, 0, 1, 3), (2, 1, 0, 1, 1)]).df(s)
+    cells = Literal("t bigint, r bigint, k bigint, rs bigint, cs bigint", [(1, 0, 0, 2, 1), (1, 0, 1, 1, 2), (1, 1, 0, 1, 1), (1, 1, 1, 1, 1), (2, 0, 0, 1, 3), (2, 1, 0, 1, 1)]).df(s, d)
 
     def walk(t: pd.DataFrame) -> pd.DataFrame:
         used, rows = set(), []
@@ -96,7 +96,7 @@ def _occupancy(s, d):
 _TOK = "t AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 
 QUERIES = {
-    "geo_iou": (lambda s, d: GT.df(s).alias("g").join(PRED.df(s).alias("p"), "page").select("page", "cell", "seq", F.round(G.iou(tuple(C(f"g.{k}") for k in "xywh"), tuple(C(f"p.{k}") for k in "xywh")), 9).alias("iou")), f"WITH {GT.cte('g')}, {PRED.cte('p')}, j AS (SELECT page, cell, seq, greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * greatest(least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y), 0) AS i, g.w * g.h + p.w * p.h AS u FROM g JOIN p USING (page)) SELECT page, cell, seq, round(i / (u - i), 9) AS iou FROM j"),
+    "geo_iou": (lambda s, d: GT.df(s, d).alias("g").join(PRED.df(s, d).alias("p"), "page").select("page", "cell", "seq", F.round(G.iou(tuple(C(f"g.{k}") for k in "xywh"), tuple(C(f"p.{k}") for k in "xywh")), 9).alias("iou")), f"WITH {GT.cte('g')}, {PRED.cte('p')}, j AS (SELECT page, cell, seq, greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * greatest(least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y), 0) AS i, g.w * g.h + p.w * p.h AS u FROM g JOIN p USING (page)) SELECT page, cell, seq, round(i / (u - i), 9) AS iou FROM j"),
     "geo_affine_point": (_affine, f"WITH {BOXES.cte('f')} {_AFFINE_SQL}"),
     "geo_affine_sidecar": (_sidecar, f"WITH {BOXES.cte('f')}, a AS ({_AFFINE_SQL}) SELECT CAST(id > 2 AS BIGINT) AS page, id, bx, bw FROM a"),
     "geo_int_bbox": literal_query(BOXES, lambda: dict(zip(("ix", "iy", "iw", "ih"), G.int_box(*(C(k) for k in "xywh")), strict=True)), "SELECT id, least(least(1000, greatest(0, floor(x * 1000 + 0.5)))::BIGINT, 1000 - greatest(1, least(1000, greatest(0, floor(w * 1000 + 0.5))))::BIGINT) AS ix, least(least(1000, greatest(0, floor(y * 1000 + 0.5)))::BIGINT, 1000 - greatest(1, least(1000, greatest(0, floor(h * 1000 + 0.5))))::BIGINT) AS iy, greatest(1, least(1000, greatest(0, floor(w * 1000 + 0.5))))::BIGINT AS iw, greatest(1, least(1000, greatest(0, floor(h * 1000 + 0.5))))::BIGINT AS ih FROM f"),
@@ -113,6 +113,6 @@ QUERIES = {
     "vec_standardize": (_standardize, f"WITH {_TOK}, s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS sd FROM t GROUP BY i) SELECT vec_id, round(sum(abs((v - m) / CASE WHEN sd < 1e-8 THEN 1.0 ELSE sd END)), 5) AS z FROM t JOIN s USING (i) GROUP BY vec_id"),
     "vec_nmse": (_nmse, f"WITH {_TOK}, s AS (SELECT i, stddev_pop(v) AS sd, avg((v - round_even(v, 1)) ** 2) AS mse FROM t GROUP BY i) SELECT round(avg(mse / greatest(sd, 0.05 * (SELECT avg(sd) FROM s)) ** 2), 8) AS nmse FROM s"),
     "vec_percell": (lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.flatten(F.array(F.slice("embedding", k * 16 + 1, 8), F.slice("embedding", k * 16 + 9, 8))))).alias("cell", "v")).select("vec_id", "cell", F.size("v").alias("n"), C("v").getItem(0).cast("double").alias("first")), "SELECT vec_id, k::INTEGER AS cell, 16 AS n, e[k * 16 + 1] AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), unnest(range(0, 4)) AS t(k)"),
-    "vec_finite_guard": (lambda s, d: VECS.df(s).select("id", G.finite_report(C("v")).alias("r")).select("id", "r.nan", "r.inf", "r.over", "r.absmax", "r.ok"), f"WITH {VECS.cte('f')} SELECT id, 0::BIGINT AS nan, 0::BIGINT AS inf, len(list_filter(v, lambda x: abs(x) > 65504))::BIGINT AS over, list_max(list_transform(v, lambda x: abs(x))) AS absmax, len(list_filter(v, lambda x: abs(x) > 65504)) = 0 AS ok FROM f"),
+    "vec_finite_guard": (lambda s, d: VECS.df(s, d).select("id", G.finite_report(C("v")).alias("r")).select("id", "r.nan", "r.inf", "r.over", "r.absmax", "r.ok"), f"WITH {VECS.cte('f')} SELECT id, 0::BIGINT AS nan, 0::BIGINT AS inf, len(list_filter(v, lambda x: abs(x) > 65504))::BIGINT AS over, list_max(list_transform(v, lambda x: abs(x))) AS absmax, len(list_filter(v, lambda x: abs(x) > 65504)) = 0 AS ok FROM f"),
     "vec_rel_frobenius": (lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).select("vec_id", F.round(G.norm(F.transform("e", lambda x: x - F.bround(x, 1))) / G.norm(C("e")), 6).alias("rel"), F.round(F.array_max(F.transform("e", lambda x: F.abs(x - F.bround(x, 1)))), 6).alias("most")), f"WITH {_TOK} SELECT vec_id, round(sqrt(sum((v - round_even(v, 1)) ** 2)) / sqrt(sum(v * v)), 6) AS rel, round(max(abs(v - round_even(v, 1))), 6) AS most FROM t GROUP BY vec_id"),
 }

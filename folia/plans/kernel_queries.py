@@ -10,20 +10,20 @@ from folia.plans.base import F, literal_query, table
 from folia.sources.literal import Literal
 
 C = F.col
-CHART = Literal("chart bigint, kind string, series string, cat string, v double", [(1, "bar", "a", "x", 10.0), (1, "bar", "a", "y", 5.5), (2, "pie", "p", "x", 1.0), (2, "pie", "p", "y", 3.0), (3, "stack100", "a", "x", 2.0), (3, "stack100", "b", "x", 2.0), (3, "stack100", "a", None, 1.0), (4, "pie", "z", "x", 0.0)])
-TABLE = Literal("t bigint, col bigint, r bigint, cell string", [(1, 0, 0, "Alpha"), (1, 0, 1, "Beta"), (1, 0, 2, "12"), (1, 1, 0, "$1,200"), (1, 1, 1, "(30)"), (1, 1, 2, ""), (1, 2, 0, "5%"), (1, 2, 1, "<b>7</b>"), (1, 2, 2, "n/a"), (2, 0, 0, "x"), (2, 0, 1, "y")])
-MONEY = Literal("id bigint, x string", [(1, "(1,234)"), (2, "1,234.5"), (3, "abc"), (4, "-7"), (5, "1234567.25"), (6, "(2)")])
-SHAPES = Literal("id bigint, groups bigint, rowspan boolean, cols bigint, r bigint, title boolean", [(1, 0, False, 3, 4, False), (2, 2, False, 3, 4, False), (3, 0, True, 3, 4, False), (4, 0, False, 8, 4, False), (5, 0, False, 6, 4, False), (6, 0, False, 3, 12, False), (7, 0, False, 3, 4, True)])
+CHART = Literal("chart bigint, kind string, series string, cat string, v double", [(1, "bar", "a", "x", 10.0), (1, "bar", "a", "y", 5.5), (2, "pie", "p", "x", 1.0), (2, "pie", "p", "y", 3.0), (3, "stack100", "a", "x", 2.0), (3, "stack100", "b", "x", 2.0), (3, "stack100", "a", None, 1.0), (4, "pie", "z", "x", 0.0)]).over("lineitem", "l_orderkey + 1000; CASE l_orderkey % 3 WHEN 0 THEN 'bar' WHEN 1 THEN 'pie' ELSE 'stack100' END; 's' || (l_linenumber % 2); 'c' || l_linenumber; l_quantity")
+TABLE = Literal("t bigint, col bigint, r bigint, cell string", [(1, 0, 0, "Alpha"), (1, 0, 1, "Beta"), (1, 0, 2, "12"), (1, 1, 0, "$1,200"), (1, 1, 1, "(30)"), (1, 1, 2, ""), (1, 2, 0, "5%"), (1, 2, 1, "<b>7</b>"), (1, 2, 2, "n/a"), (2, 0, 0, "x"), (2, 0, 1, "y")]).over("lineitem", "l_orderkey + 1000; l_linenumber % 3; l_linenumber; CASE WHEN l_returnflag = 'N' THEN '' || l_partkey ELSE 'n/a' END")
+MONEY = Literal("id bigint, x string", [(1, "(1,234)"), (2, "1,234.5"), (3, "abc"), (4, "-7"), (5, "1234567.25"), (6, "(2)")]).over("orders", "o_orderkey + 1000; CASE o_orderkey % 3 WHEN 0 THEN '(' || o_orderkey || ')' WHEN 1 THEN '' || o_custkey ELSE o_orderpriority END")
+SHAPES = Literal("id bigint, groups bigint, rowspan boolean, cols bigint, r bigint, title boolean", [(1, 0, False, 3, 4, False), (2, 2, False, 3, 4, False), (3, 0, True, 3, 4, False), (4, 0, False, 8, 4, False), (5, 0, False, 6, 4, False), (6, 0, False, 3, 12, False), (7, 0, False, 3, 4, True)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_linenumber % 3; l_returnflag = 'R'; l_suppkey % 12; l_partkey % 20; l_linestatus = 'O'")
 HEIGHTS = Literal("page bigint, body double, hs array<double>", [(1, 10.0, [10.0, 14.0, 13.5, 20.0, 12.0, 30.0, 16.0]), (2, 12.0, [12.0, 12.0])])
-SIZES = Literal("id bigint, w double, h double", [(1, 612.0, 792.0), (2, 595.0, 842.0), (3, 610.0, 1000.0), (4, 842.0, 595.0)])
+SIZES = Literal("id bigint, w double, h double", [(1, 612.0, 792.0), (2, 595.0, 842.0), (3, 610.0, 1000.0), (4, 842.0, 595.0)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_quantity * 20; l_linenumber * 150")
 PRESETS = Literal("name string, pw double, ph double", [("letter", 612.0, 792.0), ("a4", 595.0, 842.0), ("legal", 612.0, 1008.0)])
-WORDS = Literal("page bigint, x0 double, y0 double, x1 double, y1 double", [(1, 72.0, 80.0, 100.0, 92.0), (1, 300.0, 700.0, 540.0, 712.0), (2, 10.0, 10.0, 600.0, 30.0)])
-RULES = Literal("page bigint, ord bigint, share double", [(1, 1, 0.5), (1, 2, 0.01), (1, 3, 0.2), (1, 4, 0.03), (2, 1, 0.0), (2, 2, 0.3)])
+WORDS = Literal("page bigint, x0 double, y0 double, x1 double, y1 double", [(1, 72.0, 80.0, 100.0, 92.0), (1, 300.0, 700.0, 540.0, 712.0), (2, 10.0, 10.0, 600.0, 30.0)]).over("lineitem", "l_orderkey + 1000; l_quantity; l_linenumber * 10; l_quantity * 10; l_linenumber * 10 + 8 + l_linenumber % 5")
+RULES = Literal("page bigint, ord bigint, share double", [(1, 1, 0.5), (1, 2, 0.01), (1, 3, 0.2), (1, 4, 0.03), (2, 1, 0.0), (2, 2, 0.3)]).over("lineitem", "l_orderkey + 1000; l_linenumber; l_discount")
 LENGTHS = Literal("k bigint, n bigint", [(1, 3), (2, 5), (3, 2), (4, 40)])
-RANGES = Literal("id bigint, lo double, hi double", [(1, 0.0, 10.0), (2, 0.0, 97.0), (3, -5.0, 1234.0), (4, 0.1, 0.5), (5, 3.0, 3.0)])
+RANGES = Literal("id bigint, lo double, hi double", [(1, 0.0, 10.0), (2, 0.0, 97.0), (3, -5.0, 1234.0), (4, 0.1, 0.5), (5, 3.0, 3.0)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_quantity; l_quantity + l_linenumber * 7")
 CACHE_A = Literal("id bigint, v array<double>", [(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, [5.0, 6.0])])
 CACHE_B = Literal("id bigint, v array<double>", [(1, [1.0, 2.0]), (2, [3.0, 4.5]), (3, [5.0, 6.0])])
-GROUNDING = Literal("id bigint, field string, bucket string, matched boolean", [(1, "a", "grounded", True), (2, "a", "partial", False), (3, "b", "partial", True), (4, "b", "displaced", False), (5, "b", "no-box", False), (6, "c", "grounded", False)])
+GROUNDING = Literal("id bigint, field string, bucket string, matched boolean", [(1, "a", "grounded", True), (2, "a", "partial", False), (3, "b", "partial", True), (4, "b", "displaced", False), (5, "b", "no-box", False), (6, "c", "grounded", False)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_returnflag; CASE l_linenumber % 4 WHEN 0 THEN 'grounded' WHEN 1 THEN 'partial' WHEN 2 THEN 'displaced' ELSE 'no-box' END; l_discount > 0.05")
 NUMERIC = r"^[($-]*\d[\d,]*(\.\d+)?[)%]*$"
 
 
@@ -35,7 +35,7 @@ _CLEAN = "trim(regexp_replace(regexp_replace(cell, '(?i)<sup>.*?</sup>', '', 'g'
 
 
 def _chart_rules(s, d):
-    f = CHART.df(s)
+    f = CHART.df(s, d)
     share = C("kind").isin("pie", "stack100")
     key = F.when(C("kind") == "stack100", F.coalesce("cat", F.lit("#"))).otherwise(F.lit("*"))
     f = f.withColumn("total", F.sum("v").over(Window.partitionBy("chart", key)))
@@ -50,24 +50,24 @@ def _accounting(x):
 
 def _heading_clusters(s, d):
     """Heights above 1.25 body sizes, descending, gathered within 1 point of the first of a group; the three largest."""
-    f = HEIGHTS.df(s)
+    f = HEIGHTS.df(s, d)
     high = F.reverse(F.array_sort(F.filter("hs", lambda h: h > 1.25 * C("body"))))
     groups = F.aggregate(high, F.array().cast("array<double>"), lambda a, h: F.when((F.size(a) > 0) & (F.element_at(a, -1) - h <= 1.0), a).otherwise(F.array_append(a, h)))
     return f.select("page", F.slice(F.when(F.size(high) > 0, groups).otherwise(F.array().cast("array<double>")), 1, 3).alias("tops"))
 
 
 def _nearest_preset(s, d):
-    j = SIZES.df(s).crossJoin(F.broadcast(PRESETS.df(s)))
+    j = SIZES.df(s, d).crossJoin(F.broadcast(PRESETS.df(s, d)))
     return j.groupBy("id").agg(F.min_by("name", F.struct(F.abs(C("w") - C("pw")) + F.abs(C("h") - C("ph")), "name")).alias("preset"))
 
 
 def _rule_validate(s, d):
-    f = RULES.df(s).withColumn("keep", C("share") >= 0.02).withColumn("ok", F.avg((C("share") < 0.02).cast("double")).over(Window.partitionBy("page")) <= 0.3)
+    f = RULES.df(s, d).withColumn("keep", C("share") >= 0.02).withColumn("ok", F.avg((C("share") < 0.02).cast("double")).over(Window.partitionBy("page")) <= 0.3)
     return ranked(f.where("keep"), ["page"], ["ord"], "new_ord").select("page", "ord", "new_ord", "ok")
 
 
 def _package(s, d):
-    ends = LENGTHS.df(s).withColumn("hi", F.sum("n").over(Window.orderBy("k")))
+    ends = LENGTHS.df(s, d).withColumn("hi", F.sum("n").over(Window.orderBy("k")))
     ids = s.range(30).select(C("id").alias("page"))
     j = ids.join(F.broadcast(ends), (C("page") >= C("hi") - C("n")) & (C("page") < C("hi")))
     return ranked(j, ["k"], ["page"], "ord").select("page", "k", "ord")
@@ -77,14 +77,14 @@ def _nice(s, d):
     raw = F.greatest(C("hi") - C("lo"), F.lit(1e-9)) / 4
     k = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     step = F.when(raw / k <= 1, 1.0).when(raw / k <= 2, 2.0).when(raw / k <= 2.5, 2.5).when(raw / k <= 5, 5.0).otherwise(10.0) * k
-    return RANGES.df(s).select("id", F.round(step, 9).alias("step"), F.round(F.floor(C("lo") / step) * step, 6).alias("first"))
+    return RANGES.df(s, d).select("id", F.round(step, 9).alias("step"), F.round(F.floor(C("lo") / step) * step, 6).alias("first"))
 
 
 _NICE = "SELECT id, round(step, 9) AS step, round(floor(lo / step) * step, 6) AS first FROM (SELECT id, lo, k * CASE WHEN raw / k <= 1 THEN 1.0 WHEN raw / k <= 2 THEN 2.0 WHEN raw / k <= 2.5 THEN 2.5 WHEN raw / k <= 5 THEN 5.0 ELSE 10.0 END::DOUBLE AS step FROM (SELECT *, pow(10.0, floor(log10(raw))) AS k FROM (SELECT *, greatest(hi - lo, 1e-9) / 4 AS raw FROM f)))"
 
 
 def _parity(s, d):
-    j = CACHE_A.df(s).alias("a").join(CACHE_B.df(s).alias("b"), "id")
+    j = CACHE_A.df(s, d).alias("a").join(CACHE_B.df(s, d).alias("b"), "id")
     return j.agg(F.count_if(F.size("a.v") == F.size("b.v")).alias("shapes"), F.count_if(C("a.v") == C("b.v")).alias("same"), F.max(F.array_max(F.zip_with("a.v", "b.v", lambda x, y: F.abs(x - y)))).alias("most"))
 
 
@@ -128,7 +128,7 @@ def parse_number(cell):
 
 def _derive_chart(s, d):
     """The value column is the one with most numbers that are no dates (two at least, the first of several), the label column the first with numbers in under 40 %; twelve points at most, none if there are fewer than two."""
-    t = CHARTS.df(s).withColumn("num", parse_number(C("cell")))
+    t = CHARTS.df(s, d).withColumn("num", parse_number(C("cell")))
     cols = t.groupBy("t", "col").agg(F.count_if(C("num").isNotNull() & ~F.rlike(F.trim("cell"), F.lit(DATE_LIKE))).alias("score"), F.count("*").alias("rows"))
     best = cols.groupBy("t").agg(F.max_by("col", F.struct("score", -C("col"))).alias("value_col"), F.max("score").alias("best"), F.max("rows").alias("rows"), F.min(F.when(C("score") < C("rows") * 0.4, C("col"))).alias("label_col"))
     best = best.where("rows >= 2 AND best >= 2")
@@ -152,13 +152,13 @@ _CHART_SQL = f"""WITH {CHARTS.cte('f')}, n AS (SELECT *, {_PARSE} AS num FROM f)
 
 QUERIES = {
     "ker_chart_rules": (_chart_rules, f"WITH {CHART.cte('f')}, s AS (SELECT *, sum(v) OVER (PARTITION BY chart, CASE WHEN kind = 'stack100' THEN coalesce(cat, '#') ELSE '*' END) AS total FROM f) SELECT chart, series, coalesce(cat, '#1') AS label, CASE WHEN kind IN ('pie', 'stack100') THEN CAST(floor(100 * v / CASE WHEN total = 0 THEN 1.0 ELSE total END + 0.5) AS BIGINT) || '%' ELSE printf('%.2f', v) END AS value FROM s"),
-    "ker_column_numeric": (lambda s, d: TABLE.df(s).where(_clean(C("cell")) != "").groupBy("t", "col").agg((F.avg(F.rlike(_clean(C("cell")), F.lit(NUMERIC)).cast("double")) >= 0.6).alias("numeric")), f"WITH {TABLE.cte('f')} SELECT t, col, avg(CASE WHEN regexp_matches({_CLEAN}, '{NUMERIC}') THEN 1.0 ELSE 0.0 END) >= 0.6 AS numeric FROM f WHERE {_CLEAN} <> '' GROUP BY t, col"),
+    "ker_column_numeric": (lambda s, d: TABLE.df(s, d).where(_clean(C("cell")) != "").groupBy("t", "col").agg((F.avg(F.rlike(_clean(C("cell")), F.lit(NUMERIC)).cast("double")) >= 0.6).alias("numeric")), f"WITH {TABLE.cte('f')} SELECT t, col, avg(CASE WHEN regexp_matches({_CLEAN}, '{NUMERIC}') THEN 1.0 ELSE 0.0 END) >= 0.6 AS numeric FROM f WHERE {_CLEAN} <> '' GROUP BY t, col"),
     "ker_parse_accounting": literal_query(MONEY, lambda: {"v": _accounting(C("x"))}, r"SELECT id, coalesce(CASE WHEN regexp_matches(x, '^\(.*\)$') THEN -1 ELSE 1 END * TRY_CAST(regexp_replace(x, '[(),$]', '', 'g') AS DOUBLE), 0.0) AS v FROM f"),
-    "ker_thousands": (lambda s, d: MONEY.df(s).select("id", F.when(F.rlike("x", F.lit(r"^-?\d+\.\d+$")), F.format_number(C("x").try_cast("double"), 2)).when(F.rlike("x", F.lit(r"^-?\d+$")), F.format_number(C("x").try_cast("double"), 0)).otherwise(C("x")).alias("v")), None),
+    "ker_thousands": (lambda s, d: MONEY.df(s, d).select("id", F.when(F.rlike("x", F.lit(r"^-?\d+\.\d+$")), F.format_number(C("x").try_cast("double"), 2)).when(F.rlike("x", F.lit(r"^-?\d+$")), F.format_number(C("x").try_cast("double"), 0)).otherwise(C("x")).alias("v")), None),
     "ker_difficulty_js": literal_query(SHAPES, lambda: {"level": F.when((C("groups") > 0) | C("rowspan") | (C("cols") >= 8), "hard").when(C("title") | (C("cols") >= 6) | (C("r") >= 12), "medium").otherwise("easy")}, "SELECT id, CASE WHEN groups > 0 OR rowspan OR cols >= 8 THEN 'hard' WHEN title OR cols >= 6 OR r >= 12 THEN 'medium' ELSE 'easy' END AS level FROM f"),
     "ker_heading_clusters": (_heading_clusters, None),
     "ker_nearest_preset": (_nearest_preset, f"WITH {SIZES.cte('f')}, {PRESETS.cte('p')} SELECT id, name AS preset FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY abs(w - pw) + abs(h - ph), name) AS r FROM f, p) WHERE r = 1"),
-    "ker_page_facts": (lambda s, d: WORDS.df(s).groupBy("page").agg(F.round(F.least(F.lit(1.2), F.greatest(F.lit(0.3), (F.min("x0") + F.min("y0") + (612 - F.max("x1")) + (792 - F.max("y1"))) / 4 / 72)), 6).alias("margin"), F.percentile(C("y1") - C("y0"), F.lit(0.5)).alias("body")), f"WITH {WORDS.cte('f')} SELECT page, round(least(1.2, greatest(0.3, (min(x0) + min(y0) + (612 - max(x1)) + (792 - max(y1))) / 4 / 72)), 6)::DOUBLE AS margin, quantile_cont(y1 - y0, 0.5) AS body FROM f GROUP BY page"),
+    "ker_page_facts": (lambda s, d: WORDS.df(s, d).groupBy("page").agg(F.round(F.least(F.lit(1.2), F.greatest(F.lit(0.3), (F.min("x0") + F.min("y0") + (612 - F.max("x1")) + (792 - F.max("y1"))) / 4 / 72)), 6).alias("margin"), F.percentile(C("y1") - C("y0"), F.lit(0.5)).alias("body")), f"WITH {WORDS.cte('f')} SELECT page, round(least(1.2, greatest(0.3, (min(x0) + min(y0) + (612 - max(x1)) + (792 - max(y1))) / 4 / 72)), 6)::DOUBLE AS margin, quantile_cont(y1 - y0, 0.5) AS body FROM f GROUP BY page"),
     "ker_rule_validate": (_rule_validate, f"WITH {RULES.cte('f')}, k AS (SELECT *, avg(CASE WHEN share < 0.02 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY page) <= 0.3 AS ok FROM f) SELECT page, ord, row_number() OVER (PARTITION BY page ORDER BY ord) AS new_ord, ok FROM k WHERE share >= 0.02"),
     "ker_package_chunk": (_package, f"WITH {LENGTHS.cte('f')}, e AS (SELECT *, sum(n) OVER (ORDER BY k) AS hi FROM f) SELECT page, k, row_number() OVER (PARTITION BY k ORDER BY page) AS ord FROM range(0, 30) AS r(page) JOIN e ON page >= hi - n AND page < hi"),
     "ker_nice_axis": (_nice, f"WITH {RANGES.cte('f')} {_NICE}"),
@@ -166,5 +166,5 @@ QUERIES = {
     "ker_identical_children": (_identical, "WITH e AS (SELECT vec_id, k, list_transform(embedding[k * 16 + 1 : k * 16 + 16], lambda x: round_even(x::DOUBLE, 1) + 0.0) AS v FROM embeddings, unnest(range(0, 4)) AS t(k)) SELECT a.vec_id, count(*) AS pairs FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k < b.k AND a.v = b.v GROUP BY a.vec_id"),
     "ker_neighbor_cosine": (_cosine_near, f"WITH e AS (SELECT vec_id, embedding AS v, vec_id // 64 AS g, vec_id % 64 // 8 AS y, vec_id % 8 AS x FROM embeddings), j AS (SELECT abs(a.x - b.x) + abs(a.y - b.y) AS d, {_DOT.format('a.v', 'b.v')} / (sqrt({_DOT.format('a.v', 'a.v')}) * sqrt({_DOT.format('b.v', 'b.v')})) AS c FROM e a JOIN e b ON a.g = b.g AND a.vec_id < b.vec_id) SELECT round(avg(CASE WHEN d = 1 THEN c END), 6) AS near, round(avg(CASE WHEN d > 5 THEN c END), 6) AS far FROM j"),
     "ker_chart_derive": (_derive_chart, _CHART_SQL),
-    "ker_cell_buckets": (lambda s, d: GROUNDING.df(s).groupBy("field").pivot("bucket", ["grounded", "partial", "displaced", "no-box"]).agg(F.count("id")).select("field", *[F.coalesce(F.col(f"`{b}`"), F.lit(0).cast("bigint")).alias(b.replace("-", "_")) for b in ("grounded", "partial", "displaced", "no-box")]), f"WITH {GROUNDING.cte('f')} SELECT field, count(*) FILTER (WHERE bucket = 'grounded') AS grounded, count(*) FILTER (WHERE bucket = 'partial') AS partial, count(*) FILTER (WHERE bucket = 'displaced') AS displaced, count(*) FILTER (WHERE bucket = 'no-box') AS no_box FROM f GROUP BY field"),
+    "ker_cell_buckets": (lambda s, d: GROUNDING.df(s, d).groupBy("field").pivot("bucket", ["grounded", "partial", "displaced", "no-box"]).agg(F.count("id")).select("field", *[F.coalesce(F.col(f"`{b}`"), F.lit(0).cast("bigint")).alias(b.replace("-", "_")) for b in ("grounded", "partial", "displaced", "no-box")]), f"WITH {GROUNDING.cte('f')} SELECT field, count(*) FILTER (WHERE bucket = 'grounded') AS grounded, count(*) FILTER (WHERE bucket = 'partial') AS partial, count(*) FILTER (WHERE bucket = 'displaced') AS displaced, count(*) FILTER (WHERE bucket = 'no-box') AS no_box FROM f GROUP BY field"),
 }

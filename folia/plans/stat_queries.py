@@ -15,9 +15,9 @@ from folia.sources.literal import Literal
 
 C = F.col
 _TRAIN = "CAST(('0x' || substr(sha1('0:' || {0}), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.8"
-GAPS = Literal("id bigint, gap double, ha double, hb double, head double", [(1, 0.3, 0.1, 0.2, 0.05), (2, 0.15, 0.1, 0.2, 0.0), (3, 0.3, 0.1, 0.1, 0.3), (4, 0.3, 0.1, 0.1, -0.5)])
-ARMS = Literal("doc string, patched double, low double, intact double", [("a", 0.5, 0.2, 0.8), ("b", 0.6, 0.4, 0.8), ("c", 0.3, 0.0, 1.0)])
-CONTRASTS = Literal("id bigint, ab_lo double, ab_hi double, ac_lo double, ac_hi double, bc_lo double, bc_hi double", [(1, 0.1, 0.2, 0.1, 0.3, -0.1, 0.1), (2, -0.1, 0.1, 0.2, 0.3, 0.2, 0.3), (3, -0.1, 0.1, -0.2, 0.2, -0.1, 0.1), (4, -0.3, -0.1, -0.1, 0.1, 0.1, 0.2)])
+GAPS = Literal("id bigint, gap double, ha double, hb double, head double", [(1, 0.3, 0.1, 0.2, 0.05), (2, 0.15, 0.1, 0.2, 0.0), (3, 0.3, 0.1, 0.1, 0.3), (4, 0.3, 0.1, 0.1, -0.5)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_discount; l_tax; l_tax / 2; l_discount - 0.05")
+ARMS = Literal("doc string, patched double, low double, intact double", [("a", 0.5, 0.2, 0.8), ("b", 0.6, 0.4, 0.8), ("c", 0.3, 0.0, 1.0)]).over("supplier", "'s' || s_suppkey; s_suppkey % 7; s_suppkey % 3; s_suppkey % 3 + 4")
+CONTRASTS = Literal("id bigint, ab_lo double, ab_hi double, ac_lo double, ac_hi double, bc_lo double, bc_hi double", [(1, 0.1, 0.2, 0.1, 0.3, -0.1, 0.1), (2, -0.1, 0.1, 0.2, 0.3, 0.2, 0.3), (3, -0.1, 0.1, -0.2, 0.2, -0.1, 0.1), (4, -0.3, -0.1, -0.1, 0.1, 0.1, 0.2)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_discount - 0.05; l_discount; l_tax - 0.04; l_tax; l_discount - l_tax; l_discount")
 
 
 def _docs(s, d):
@@ -30,13 +30,13 @@ def _points(df, keys):
     return with_total(df, keys, [F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean")])
 
 
-def _paired(s):
-    a, b = (SCORES.df(s).where(C("arm") == x).select("image", "family", C("score").alias(f"s{x}")) for x in "AB")
+def _paired(s, d):
+    a, b = (SCORES.df(s, d).where(C("arm") == x).select("image", "family", C("score").alias(f"s{x}")) for x in "AB")
     return a.join(b.drop("family"), "image").select("family", (C("sA") - C("sB")).alias("diff"))
 
 
 def _restoration(s, d):
-    return ARMS.df(s).agg(F.round(R.restoration(F.avg("patched"), F.avg("low"), F.avg("intact")), 9).alias("fraction"), F.count("*").alias("n"))
+    return ARMS.df(s, d).agg(F.round(R.restoration(F.avg("patched"), F.avg("low"), F.avg("intact")), 9).alias("fraction"), F.count("*").alias("n"))
 
 
 def _xy(s, d):
@@ -126,9 +126,9 @@ QUERIES = {
     "boot_contrast": (lambda s, d: R.contrast(_docs(s, d), "lang", "source", "a", "b", n=2000), None),
     "boot_mean": (lambda s, d: R.bootstrap(_docs(s, d), "lang", "source", "x", n=500, seed=1), None),
     "boot_contrast_mean": (lambda s, d: _docs(s, d).groupBy("lang").agg(F.round(F.avg("x"), 9).alias("mean")), "SELECT lang, round(avg(quality - toxic), 9) AS mean FROM documents JOIN labels USING (doc_id) GROUP BY lang"),
-    "boot_restoration_ci": (lambda s, d: R.restoration_bootstrap(ARMS.df(s), "doc", "patched", "low", "intact"), None),
+    "boot_restoration_ci": (lambda s, d: R.restoration_bootstrap(ARMS.df(s, d), "doc", "patched", "low", "intact"), None),
     "boot_restoration": (_restoration, f"WITH {ARMS.cte('f')} SELECT round((avg(patched) - avg(low)) / (avg(intact) - avg(low)), 9) AS fraction, count(*) AS n FROM f"),
-    "contrast_block": (lambda s, d: _points(_paired(s), ["family"]), f"WITH {SCORES.cte('f')}, p AS (SELECT a.family, a.score - b.score AS diff FROM f a JOIN f b USING (image) WHERE a.arm = 'A' AND b.arm = 'B') SELECT 'all' AS axis, 'all' AS key, count(*) AS n, round(avg(diff), 6) AS mean FROM p UNION ALL SELECT 'family', family, count(*), round(avg(diff), 6) FROM p GROUP BY family"),
+    "contrast_block": (lambda s, d: _points(_paired(s, d), ["family"]), f"WITH {SCORES.cte('f')}, p AS (SELECT a.family, a.score - b.score AS diff FROM f a JOIN f b USING (image) WHERE a.arm = 'A' AND b.arm = 'B') SELECT 'all' AS axis, 'all' AS key, count(*) AS n, round(avg(diff), 6) AS mean FROM p UNION ALL SELECT 'family', family, count(*), round(avg(diff), 6) FROM p GROUP BY family"),
     "gap_rule": literal_query(GAPS, lambda: {"counts": R.gap_counts(C("gap"), C("ha"), C("hb"), C("head"))}, "SELECT id, gap > greatest(ha, hb) AND gap > greatest(0.0, head) AS counts FROM f"),
     "shuffled_control": (_shuffled, None),
     "ml_linear_cls": (_logistic, None),

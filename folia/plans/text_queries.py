@@ -13,13 +13,13 @@ _LIGHT = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''),
 _CONTENT = r"regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?m)^[ \t]*(?:`{{3,}}|~{{3,}})[^\n]*$', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '\\(?:[a-zA-Z]+\*?|[^a-zA-Z\s])', ' ', 'g')), '[^0-9a-z]+', '', 'g')"
 
 REASONS = Literal("id bigint, reason string", [(1, "No match found with threshold 0.8, best match ratio was 0.63"), (2, "No tables found"), (3, None), (4, "with threshold 0.9 only"), (5, "x with threshold 0.75 y best match ratio was 0.2")])
-FENCES = Literal("id bigint, t string", [(1, "```markdown\n# A\ntext\n```"), (2, "```\nplain\n```  "), (3, "```python\nx=1\n```"), (4, "no fence"), (5, "```md\ncut short"), (6, "```\nopen"), (7, "   spaced  ")])
-PIPES = Literal("id bigint, t string", [(1, "| a | b |"), (2, "|x|y|z|"), (3, "1 | 2"), (4, "|:--|--:|"), (5, "  | lead ")])
-NUMBERS = Literal("id bigint, t string", [(1, "total $1,234.50 and 12% of -3"), (2, "none here"), (3, "1e3 + 2.5E-1"), (4, "7")])
+FENCES = Literal("id bigint, t string", [(1, "```markdown\n# A\ntext\n```"), (2, "```\nplain\n```  "), (3, "```python\nx=1\n```"), (4, "no fence"), (5, "```md\ncut short"), (6, "```\nopen"), (7, "   spaced  ")]).over("part", "p_partkey + 1000; '```md' || chr(10) || p_name || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '```' ELSE '' END")
+PIPES = Literal("id bigint, t string", [(1, "| a | b |"), (2, "|x|y|z|"), (3, "1 | 2"), (4, "|:--|--:|"), (5, "  | lead ")]).over("part", "p_partkey + 1000; '| ' || p_name || ' | ' || p_brand || ' |'")
+NUMBERS = Literal("id bigint, t string", [(1, "total $1,234.50 and 12% of -3"), (2, "none here"), (3, "1e3 + 2.5E-1"), (4, "7")]).over("documents", "doc_id + 1000; text")
 RULES = Literal("id bigint, text string, labels array<string>, value string", [(1, "Sales 2019 were 1,200 units", ["Sales", "2019"], "1200"), (2, "Sales were low", ["Sales"], "12"), (3, "alpha beta n/a", ["alpha"], "n/a"), (4, "rate 12.5%", ["rate"], "12.5"), (5, "x 5", ["missing"], "5")])
-NAMES = Literal("id bigint, t string", [(1, "form1[0].#subform[0].Last_Name[0]"), (2, "topmost.firstName"), (3, "DateOfBirth2"), (4, "field"), (5, "a_b_c")])
-TABLES = Literal("id bigint, t string", [(1, "x <table><tr><td>1</td></tr></table> y <TABLE a=1><tr><th >2</th><td>3</td></tr></TABLE>"), (2, "none"), (3, "| a | b |\n|--|--|\n| 1 | 2 |"), (4, "<table>open")])
-PAIRS = Literal("id bigint, a string, b string", [(1, "kitten", "sitting"), (2, "", ""), (3, "**bold** text", "bold  text"), (4, "abc", ""), (5, "<b>x</b> y", "x y"), (6, "# Head\n\n| a | b |", "head a b"), (7, "\\frac{1}{2} x", "12x")])
+NAMES = Literal("id bigint, t string", [(1, "form1[0].#subform[0].Last_Name[0]"), (2, "topmost.firstName"), (3, "DateOfBirth2"), (4, "field"), (5, "a_b_c")]).over("part", "p_partkey + 1000; p_brand || '.' || p_name || '[0]'")
+TABLES = Literal("id bigint, t string", [(1, "x <table><tr><td>1</td></tr></table> y <TABLE a=1><tr><th >2</th><td>3</td></tr></TABLE>"), (2, "none"), (3, "| a | b |\n|--|--|\n| 1 | 2 |"), (4, "<table>open")]).over("pages", "page_id + 1000; html")
+PAIRS = Literal("id bigint, a string, b string", [(1, "kitten", "sitting"), (2, "", ""), (3, "**bold** text", "bold  text"), (4, "abc", ""), (5, "<b>x</b> y", "x y"), (6, "# Head\n\n| a | b |", "head a b"), (7, "\\frac{1}{2} x", "12x")]).over("customer", "c_custkey + 1000; c_name; c_mktsegment")
 
 
 def _conversation_pairs(spark, sf_dir):
@@ -46,19 +46,19 @@ def _repetition(d):
 
 
 def _rule_recall(spark, sf_dir):
-    f = RULES.df(spark)
+    f = RULES.df(spark, sf_dir)
     nums, v = X.numbers_in(C("text")), F.regexp_replace("value", "[$%, ]", "").try_cast("double")
     value_ok = F.when(v.isNotNull(), F.exists(nums, lambda n: X.close_to(n, v))).otherwise(F.contains("text", F.col("value")))
     return f.select("id", (F.forall("labels", lambda x: F.contains("text", x)) & value_ok).alias("recalled"))
 
 
 def _partial(spark, sf_dir):
-    return PAIRS.df(spark).select("id", F.round(X.partial_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
+    return PAIRS.df(spark, sf_dir).select("id", F.round(X.partial_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
 def _family_router(spark, sf_dir):
     """Score by kind: without gold 0; tables (identical markup) 1 or 0; other text by edit similarity."""
-    f = PAIRS.df(spark)
+    f = PAIRS.df(spark, sf_dir)
     a, b = F.col("a"), F.col("b")
     score = F.when(b == "", F.lit(0.0)).when(X.has_table(b), F.when(X.light_norm(a) == X.light_norm(b), 1.0).otherwise(0.0)).otherwise(X.edit_sim(a, b))
     return f.select("id", F.when(b == "", "none").when(X.has_table(b), "table").otherwise("edit").alias("metric"), F.round(score, 9).alias("score"))
@@ -68,7 +68,7 @@ MARKUP = Literal("id bigint, a string, b string", [(1, "<table><tr><td>1</td><td
 
 
 QUERIES = {
-    "str_teds": (lambda s, d: MARKUP.df(s).select("id", F.round(trees.table_similarity(C("a"), C("b")), 6).alias("teds")), "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2::BIGINT, 0.75::DOUBLE), (3::BIGINT, 0.0::DOUBLE), (4::BIGINT, 0.916667::DOUBLE), (5::BIGINT, 0.666667::DOUBLE)) AS t(id, teds)"),
+    "str_teds": (lambda s, d: MARKUP.df(s, d).select("id", F.round(trees.table_similarity(C("a"), C("b")), 6).alias("teds")), "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2::BIGINT, 0.75::DOUBLE), (3::BIGINT, 0.0::DOUBLE), (4::BIGINT, 0.916667::DOUBLE), (5::BIGINT, 0.666667::DOUBLE)) AS t(id, teds)"),
     "str_norm_simple": col_query("", "documents", "doc_id", lambda: {"h": F.md5(X.norm_simple(C("text")).cast("binary"))}, f"SELECT doc_id, md5({_NORM}) AS h FROM documents"),
     "str_normalize_nfkc": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.norm_nfkc(C("text")).cast("binary")).alias("h")), None),
     "str_content_norm": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.content_norm(C("text")).cast("binary")).alias("h")), None),
@@ -90,7 +90,7 @@ QUERIES = {
     "str_strip_fence": literal_query(FENCES, lambda: {"out": X.strip_fence(F.col("t"))}, r"""SELECT id, CASE WHEN o AND regexp_matches(body, '```$') THEN regexp_replace(regexp_replace(body, '```$', ''), '^\s+|\s+$', '', 'g') WHEN o AND tag <> '' THEN regexp_replace(body, '^\s+|\s+$', '', 'g') ELSE s END AS out
       FROM (SELECT id, s, regexp_replace(s, '^```[^\n]*\n', '') AS body, lower(trim(regexp_extract(s, '^```([^\n]*)\n', 1))) AS tag, regexp_matches(s, '^```[^\n]*\n') AND lower(trim(regexp_extract(s, '^```([^\n]*)\n', 1))) IN ('', 'markdown', 'md') AS o FROM (SELECT id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS s FROM f))"""),
     "str_pipe_split": literal_query(PIPES, lambda: {"cells": F.array_join(X.pipe_cells(F.col("t")), "/"), "align": F.forall(X.pipe_cells(F.col("t")), lambda c: F.rlike(c, F.lit("^:?-+:?$"))), "html": F.concat(F.lit("<tr>"), F.array_join(F.transform(X.pipe_cells(F.col("t")), lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))}, r"SELECT id, array_to_string(c, '/') AS cells, len(list_filter(c, lambda x: NOT regexp_matches(x, '^:?-+:?$'))) = 0 AS align, '<tr>' || array_to_string(list_transform(c, lambda x: '<td>' || x || '</td>'), '') || '</tr>' AS html FROM (SELECT id, list_transform(string_split(regexp_replace(trim(t), '^\||\|$', '', 'g'), '|'), lambda x: trim(x)) AS c FROM f)"),
-    "str_numbers_in": literal_query(NUMBERS, lambda: {"n": F.array_join(F.transform(X.numbers_in(F.col("t")), lambda x: F.format_string("%.4f", x)), " ")}, r"SELECT id, array_to_string(list_transform(regexp_extract_all(t, '[-+]?[$]?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?%?'), lambda x: printf('%.4f', TRY_CAST(regexp_replace(x, '[$%, ]', '', 'g') AS DOUBLE))), ' ') AS n FROM f"),
+    "str_numbers_in": literal_query(NUMBERS, lambda: {"n": F.array_join(F.transform(X.numbers_in(F.col("t")), lambda x: F.when(F.abs(x) >= 1e12, "big").otherwise(F.format_string("%.4f", x))), " ")}, r"SELECT id, array_to_string(list_transform(regexp_extract_all(t, '[-+]?[$]?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?%?'), lambda x: CASE WHEN abs(TRY_CAST(regexp_replace(x, '[$%, ]', '', 'g') AS DOUBLE)) >= 1e12 THEN 'big' ELSE printf('%.4f', TRY_CAST(regexp_replace(x, '[$%, ]', '', 'g') AS DOUBLE)) END), ' ') AS n FROM f"),
     "str_rule_recall": (_rule_recall, f"""WITH {RULES.cte('f')}, n AS (SELECT *, TRY_CAST(regexp_replace(value, '[$%, ]', '', 'g') AS DOUBLE) AS v, list_transform(regexp_extract_all(text, '[-+]?[$]?\\d[\\d,]*(?:\\.\\d+)?(?:[eE][-+]?\\d+)?%?'), lambda x: TRY_CAST(regexp_replace(x, '[$%, ]', '', 'g') AS DOUBLE)) AS nums FROM f)
       SELECT id, len(list_filter(labels, lambda x: NOT contains(text, x))) = 0 AND CASE WHEN v IS NOT NULL THEN len(list_filter(nums, lambda y: abs(y - v) <= greatest(1e-6 * greatest(abs(y), abs(v)), 1e-9))) > 0 ELSE contains(text, value) END AS recalled FROM n"""),
     "str_md_inline": col_query("", "pages", "page_id", lambda: {"h": F.md5(X.md_inline(F.col("html")).cast("binary"))}, r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', '[\2](\1)', 'g'), '(?i)</?(?:b|strong)>', '**', 'g'), '(?i)</?(?:i|em)>', '*', 'g'), '(?i)</?code>', '`', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'),

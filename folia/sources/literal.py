@@ -1,4 +1,4 @@
-"""Small literal tables, given once and rendered both as a DataFrame and as a SQL common table expression."""
+"""Tables of edge cases and of whole stored tables behind them, given once and rendered both as a DataFrame and as a SQL common table expression."""
 
 from __future__ import annotations
 
@@ -26,11 +26,23 @@ class Literal:
         self.schema, self.rows = schema, rows
         self.fields = [x.strip().split(" ", 1) for x in schema.split(",")]
 
-    def df(self, spark: SparkSession) -> DataFrame:
+    table, exprs, where = None, [], "true"
+
+    def over(self, table: str, exprs: str, where: str = "true") -> Literal:
+        """Every row of a stored table follows the literal ones: its columns by expressions (parted by ``;``) that Spark and DuckDB read alike."""
+        self.table, self.exprs, self.where = table, [x.strip() for x in exprs.split(";")], where
+        assert len(self.exprs) == len(self.fields)
+        return self
+
+    def df(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
         kinds = [t for _, t in self.fields]
         rows = ", ".join("(" + ", ".join(f"CAST({self._spark(v)} AS {t})" for v, t in zip(r, kinds, strict=True)) + ")" for r in self.rows)
         names = ", ".join(n for n, _ in self.fields)
-        return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
+        df = spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
+        if sf_dir is None or self.table is None:
+            return df
+        stored = spark.read.parquet(f"{sf_dir}/{self.table}.parquet").where(self.where)
+        return df.unionByName(stored.selectExpr(*[f"CAST({x} AS {t}) AS {n}" for x, (n, t) in zip(self.exprs, self.fields, strict=True)]))
 
     @staticmethod
     def _spark(v: object) -> str:
@@ -40,4 +52,5 @@ class Literal:
     def cte(self, name: str) -> str:
         kinds = [_DUCK[t.removeprefix("array<").rstrip(">")] + "[]" * t.startswith("array<") for _, t in self.fields]
         rows = ", ".join("(" + ", ".join(f"CAST({_text(v, lambda x: f'[{x}]')} AS {t})" for v, t in zip(r, kinds, strict=True)) + ")" for r in self.rows)
-        return f"{name} AS (SELECT * FROM (VALUES {rows}) AS t({', '.join(n for n, _ in self.fields)}))"
+        more = f" UNION ALL SELECT {', '.join(f'CAST({x} AS {t})' for x, t in zip(self.exprs, kinds, strict=True))} FROM {self.table} WHERE {self.where}" if self.table else ""
+        return f"{name} AS (SELECT * FROM (VALUES {rows}) AS t({', '.join(n for n, _ in self.fields)}){more})"
