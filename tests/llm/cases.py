@@ -11,7 +11,7 @@ def words(seed, n):
 
 
 def rows():
-    long = words(1, 6000)
+    long = words(1, 25_000)
     base = words(2, 120)
     texts = [base, base, base + " tail", None, "", " \n\t ", "one", "one two three", long, long[: len(long) // 2], words(3, 40) + " " + " ".join(base.split()[20:60]), "Ünï çödé 日本 — …", "x" * 5000, "a b " * 300, words(4, 30)]
     out = [(i, t, ["en", "de", None][i % 3], ["s", None, "t"][i % 3], None if t is None else len(t)) for i, t in enumerate(texts)]
