@@ -7,6 +7,12 @@
 5. What is left is packed into sequences.
 
 Stages keep the columns of ``documents`` (others are dropped); ``n_chars`` follows the text where a stage changes it.
+
+Defined results: a null, empty or letterless text has no language and goes in stage 1, whatever its other columns hold; a
+null id, lang, source or n_chars doesn't matter (of rows with a null id one of each group of near duplicates stays if no row
+of it has an id); of rows with equal ids in a group the one with the smallest row hash stays, repeated rows count once;
+ties of languages go to the one that sorts first; a text of hit words only becomes empty and is packed as its end token;
+an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
