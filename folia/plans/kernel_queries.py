@@ -17,7 +17,7 @@ SHAPES = Literal("id bigint, groups bigint, rowspan boolean, cols bigint, r bigi
 HEIGHTS = Literal("page bigint, body double, hs array<double>", [(1, 10.0, [10.0, 14.0, 13.5, 20.0, 12.0, 30.0, 16.0]), (2, 12.0, [12.0, 12.0])])
 SIZES = Literal("id bigint, w double, h double", [(1, 612.0, 792.0), (2, 595.0, 842.0), (3, 610.0, 1000.0), (4, 842.0, 595.0)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_quantity * 20; l_linenumber * 150")
 PRESETS = Literal("name string, pw double, ph double", [("letter", 612.0, 792.0), ("a4", 595.0, 842.0), ("legal", 612.0, 1008.0)])
-WORDS = Literal("page bigint, x0 double, y0 double, x1 double, y1 double", [(1, 72.0, 80.0, 100.0, 92.0), (1, 300.0, 700.0, 540.0, 712.0), (2, 10.0, 10.0, 600.0, 30.0)]).over("lineitem", "l_orderkey + 1000; l_quantity; l_linenumber * 10; l_quantity * 10; l_linenumber * 10 + 8 + l_linenumber % 5")
+WORDS = Literal("page bigint, x0 double, y0 double, x1 double, y1 double", [(1, 72.0, 80.0, 100.0, 92.0), (1, 300.0, 700.0, 540.0, 712.0), (2, 10.0, 10.0, 600.0, 30.0)]).over("lineitem", "l_orderkey + 1000; l_quantity; l_linenumber * 10; l_quantity * 10; l_linenumber * 10 + 8 + l_linenumber % 5 + CASE WHEN l_quantity > 45 THEN l_linenumber * 2 ELSE 0 END")
 RULES = Literal("page bigint, ord bigint, share double", [(1, 1, 0.5), (1, 2, 0.01), (1, 3, 0.2), (1, 4, 0.03), (2, 1, 0.0), (2, 2, 0.3)]).over("lineitem", "l_orderkey + 1000; l_linenumber; l_discount")
 LENGTHS = Literal("k bigint, n bigint", [(1, 3), (2, 5), (3, 2), (4, 40)])
 RANGES = Literal("id bigint, lo double, hi double", [(1, 0.0, 10.0), (2, 0.0, 97.0), (3, -5.0, 1234.0), (4, 0.1, 0.5), (5, 3.0, 3.0)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_quantity; l_quantity + l_linenumber * 7")
@@ -48,12 +48,40 @@ def _accounting(x):
     return F.coalesce(F.when(F.rlike(x, F.lit(r"^\(.*\)$")), -body).otherwise(body), F.lit(0.0))
 
 
-def _heading_clusters(s, d):
+def heading_tops(heights, body):
     """Heights above 1.25 body sizes, descending, gathered within 1 point of the first of a group; the three largest."""
-    f = HEIGHTS.df(s, d)
-    high = F.reverse(F.array_sort(F.filter("hs", lambda h: h > 1.25 * C("body"))))
+    high = F.reverse(F.array_sort(F.filter(heights, lambda h: h > 1.25 * body)))
     groups = F.aggregate(high, F.array().cast("array<double>"), lambda a, h: F.when((F.size(a) > 0) & (F.element_at(a, -1) - h <= 1.0), a).otherwise(F.array_append(a, h)))
-    return f.select("page", F.slice(F.when(F.size(high) > 0, groups).otherwise(F.array().cast("array<double>")), 1, 3).alias("tops"))
+    return F.slice(F.when(F.size(high) > 0, groups).otherwise(F.array().cast("array<double>")), 1, 3)
+
+
+def _heading_clusters(s, d):
+    return HEIGHTS.df(s, d).select("page", heading_tops(C("hs"), C("body")).alias("tops"))
+
+
+_TOPS = """g AS (SELECT page, h FROM u WHERE h > 1.25 * body), t1 AS (SELECT page, max(h) AS a FROM g GROUP BY page), t2 AS (SELECT t1.page, a, (SELECT max(h) FROM g WHERE g.page = t1.page AND a - h > 1.0) AS b FROM t1), tops AS (SELECT t2.page, a, b, (SELECT max(h) FROM g WHERE g.page = t2.page AND b - h > 1.0) AS c FROM t2)"""
+
+
+def _pixels(points):
+    return F.floor(points * 96 / 72 + 0.5).cast("bigint")
+
+
+def _page_facts(s, d):
+    """Margin, body, table and heading sizes of pages of 612 x 792 points from their word boxes; odd heights are left out of the sizes."""
+    h = C("y1") - C("y0")
+    margin = F.round(F.least(F.lit(1.2), F.greatest(F.lit(0.3), (F.min("x0") + F.min("y0") + (612 - F.max("x1")) + (792 - F.max("y1"))) / 4 / 72)), 6)
+    fit = F.when((h > 1) & (h < 792 / 4), h)
+    # by distinct heights and their counts would do for the tops; the median is exact over all
+    f = WORDS.df(s, d).groupBy("page").agg(margin.alias("margin"), F.coalesce(F.percentile(fit, F.lit(0.5)), F.lit(10.0)).alias("body"), F.collect_set(fit).alias("hs"))
+    clamp = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    tops = F.array_join(F.transform(heading_tops(C("hs"), C("body")), lambda x: _pixels(x).cast("string")), " ")
+    return f.select("page", "margin", "body", clamp(_pixels(C("body")), 9, 15).alias("body_px"), clamp(_pixels(C("body") * 0.92), 8, 13).alias("table_px"), tops.alias("heading_px"))
+
+
+_FACTS_SQL = f"""WITH {WORDS.cte('f')}, m AS (SELECT page, round(least(1.2, greatest(0.3, (min(x0) + min(y0) + (612 - max(x1)) + (792 - max(y1))) / 4 / 72)), 6)::DOUBLE AS margin, coalesce(quantile_cont(y1 - y0, 0.5) FILTER (WHERE y1 - y0 > 1 AND y1 - y0 < 198), 10.0) AS body FROM f GROUP BY page),
+  u AS (SELECT page, body, y1 - y0 AS h FROM f JOIN m USING (page) WHERE y1 - y0 > 1 AND y1 - y0 < 198), {_TOPS}
+  SELECT m.page, margin, body, greatest(9, least(15, CAST(floor(body * 96 / 72 + 0.5) AS BIGINT))) AS body_px, greatest(8, least(13, CAST(floor(body * 0.92 * 96 / 72 + 0.5) AS BIGINT))) AS table_px,
+  array_to_string(list_transform(list_filter([a, b, c], lambda x: x IS NOT NULL), lambda x: CAST(floor(x * 96 / 72 + 0.5) AS BIGINT)), ' ') AS heading_px FROM m LEFT JOIN tops USING (page)"""
 
 
 def _nearest_preset(s, d):
@@ -156,9 +184,9 @@ QUERIES = {
     "ker_parse_accounting": literal_query(MONEY, lambda: {"v": _accounting(C("x"))}, r"SELECT id, coalesce(CASE WHEN regexp_matches(x, '^\(.*\)$') THEN -1 ELSE 1 END * TRY_CAST(regexp_replace(x, '[(),$]', '', 'g') AS DOUBLE), 0.0) AS v FROM f"),
     "ker_thousands": (lambda s, d: MONEY.df(s, d).select("id", F.when(F.rlike("x", F.lit(r"^-?\d+\.\d+$")), F.format_number(C("x").try_cast("double"), 2)).when(F.rlike("x", F.lit(r"^-?\d+$")), F.format_number(C("x").try_cast("double"), 0)).otherwise(C("x")).alias("v")), None),
     "ker_difficulty_js": literal_query(SHAPES, lambda: {"level": F.when((C("groups") > 0) | C("rowspan") | (C("cols") >= 8), "hard").when(C("title") | (C("cols") >= 6) | (C("r") >= 12), "medium").otherwise("easy")}, "SELECT id, CASE WHEN groups > 0 OR rowspan OR cols >= 8 THEN 'hard' WHEN title OR cols >= 6 OR r >= 12 THEN 'medium' ELSE 'easy' END AS level FROM f"),
-    "ker_heading_clusters": (_heading_clusters, None),
+    "ker_heading_clusters": (_heading_clusters, f"WITH {HEIGHTS.cte('f')}, u AS (SELECT page, body, unnest(hs) AS h FROM f), {_TOPS} SELECT f.page, list_filter([a, b, c], lambda x: x IS NOT NULL) AS tops FROM f LEFT JOIN tops USING (page)"),
     "ker_nearest_preset": (_nearest_preset, f"WITH {SIZES.cte('f')}, {PRESETS.cte('p')} SELECT id, name AS preset FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY abs(w - pw) + abs(h - ph), name) AS r FROM f, p) WHERE r = 1"),
-    "ker_page_facts": (lambda s, d: WORDS.df(s, d).groupBy("page").agg(F.round(F.least(F.lit(1.2), F.greatest(F.lit(0.3), (F.min("x0") + F.min("y0") + (612 - F.max("x1")) + (792 - F.max("y1"))) / 4 / 72)), 6).alias("margin"), F.percentile(C("y1") - C("y0"), F.lit(0.5)).alias("body")), f"WITH {WORDS.cte('f')} SELECT page, round(least(1.2, greatest(0.3, (min(x0) + min(y0) + (612 - max(x1)) + (792 - max(y1))) / 4 / 72)), 6)::DOUBLE AS margin, quantile_cont(y1 - y0, 0.5) AS body FROM f GROUP BY page"),
+    "ker_page_facts": (_page_facts, _FACTS_SQL),
     "ker_rule_validate": (_rule_validate, f"WITH {RULES.cte('f')}, k AS (SELECT *, avg(CASE WHEN share < 0.02 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY page) <= 0.3 AS ok FROM f) SELECT page, ord, row_number() OVER (PARTITION BY page ORDER BY ord) AS new_ord, ok FROM k WHERE share >= 0.02"),
     "ker_package_chunk": (_package, f"WITH {LENGTHS.cte('f')}, e AS (SELECT *, sum(n) OVER (ORDER BY k) AS hi FROM f) SELECT page, k, row_number() OVER (PARTITION BY k ORDER BY page) AS ord FROM range(0, 30) AS r(page) JOIN e ON page >= hi - n AND page < hi"),
     "ker_nice_axis": (_nice, f"WITH {RANGES.cte('f')} {_NICE}"),
