@@ -85,6 +85,11 @@ def word_shingles(t: Column, k: int = 8) -> Column:
     return let(F.split(t, " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))))
 
 
+def word_shingle_hashes(t: Column, k: int = 8) -> Column:
+    """64-bit hashes of ``word_shingles``, from words and never joined."""
+    return let(F.split(t, " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; two empty texts are equal."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions.geometry import bilinear
+from folia.sources.sinks import stored
 
 #: rows and bytes up to which a lookup side is broadcast; larger ones are joined by a shuffle
 BROADCAST_ROWS = 200_000
@@ -104,15 +105,17 @@ def similar_pairs(df: DataFrame, threshold: float) -> DataFrame:
     n - ceil(threshold * n) + 1 by frequency), so that what many sets have in common puts nothing together; candidates of
     fitting sizes are then compared on full sets of 64-bit element hashes.
     """
-    sets = df.where(F.size("gs") > 0).select("id", "family", F.array_sort(F.transform("gs", lambda g: F.xxhash64(g))).alias("hs"))
-    sets = sets.withColumn("set", F.xxhash64("family", "hs"))
-    members = sets.select("id", "family", "set")
-    sets = sets.groupBy("family", "set").agg(F.first("hs").alias("hs")).withColumn("n", F.size("hs"))
+    # sets are computed once, hashed and told apart when they are read again
+    rows = stored(df.select("id", "family", F.sort_array(F.transform("gs", lambda g: F.xxhash64(g))).alias("hs")), "sets").where(F.size("hs") > 0).withColumn("set", F.xxhash64("family", "hs"))
+    members = rows.select("id", "family", "set")
+    sets = stored(rows.groupBy("family", "set").agg(F.first("hs").alias("hs")).withColumn("n", F.size("hs")), "sets")
     elements = sets.select("family", "set", "n", F.explode("hs").alias("h"))
     often = elements.groupBy("family", "h").agg(F.count("*").alias("often")).where("often > 1")
-    rank = F.row_number().over(Window.partitionBy("family", "set").orderBy(F.coalesce("often", F.lit(1)), "h"))
-    prefix = elements.join(often, ["family", "h"], "left").withColumn("rank", rank)
-    prefix = prefix.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1) & F.col("often").isNotNull()).select("family", "set", "n", "h")
+    of_set = Window.partitionBy("family", "set")
+    # elements of one set alone come first and can't be shared; they only count
+    rank = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("often", "h"))
+    prefix = elements.join(often, ["family", "h"]).withColumn("rank", rank)
+    prefix = prefix.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("family", "set", "n", "h")
     a, b = (prefix.select("family", "h", F.col("set").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     near = a.join(b, ["family", "h"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold))).select("family", "a", "b").distinct()
     for x in "ab":

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from folia.operators import joins as J
 from folia.plans.base import F, literal_query, table
 from folia.sources import readers as R
 from folia.sources import sinks as K
 from folia.sources.literal import Literal
+from folia.sources.sinks import place
 
 C = F.col
 REPORT = Literal("id bigint, t string", [(1, "log\n  f1 : 10.0% (1/10 tests)\nFinal Summary\n  f1 : 50.0% (5/10 tests)\n  f2 : 25.5% (1/4 tests)\n"), (2, "nothing")])
@@ -19,12 +18,6 @@ NEW = Literal("rung bigint, n bigint", [(256, 25), (1024, 5)])
 SKIPS = Literal("id bigint, test string, gold string, rules bigint", [(1, None, "g", 1), (2, "t", None, 1), (3, "t", "g", 0), (4, "t", "g", 2)])
 
 
-def place(spark) -> str:
-    """A new folder among those that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_folia"
-    return f"{at.rstrip('/')}/io-{uuid.uuid4().hex}"
-
-
 def _jsonl(required):
     def run(s, d):
         at = place(s)

@@ -101,7 +101,7 @@ def _ngram_membership(s, d):
 
 
 def _pairs_family(s, d):
-    docs = J.spread(table(s, d, "documents")).select(C("doc_id").alias("id"), C("lang").alias("family"), X.word_shingles(X.norm_simple(C("text")), 8).alias("gs"))
+    docs = J.spread(table(s, d, "documents")).select(C("doc_id").alias("id"), C("lang").alias("family"), X.word_shingle_hashes(X.norm_simple(C("text")), 8).alias("gs"))
     return J.similar_pairs(docs, 0.5).withColumn("jaccard", F.round("jaccard", 9))
 
 

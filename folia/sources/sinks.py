@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def place(spark: SparkSession, name: str = "io") -> str:
+    """A new folder among those that driver and executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_folia"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to such a folder and read again: computed once, safe from lost executors."""
+    at = place(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
