@@ -411,7 +411,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     src = src.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").bitwiseAND(_KEY).alias("key"), "text")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))  # several a task even out
     marks = _by_doc(_resolved(_index(src, window, buckets)))
     whole = stored(_applied(_compressed(src).join(marks, ["d", "key"], "left"), window, False), "factored")
     left = whole.where("body is not null")
