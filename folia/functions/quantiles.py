@@ -14,32 +14,36 @@ def linear(x: Column, q: float, digits: int | None = None) -> Column:
     return v if digits is None else F.bround(v, digits)
 
 
-def _sorted(x: Column) -> Column:
-    return F.array_sort(F.collect_list(x))
+def at_rank(df: DataFrame, key: str, value: str, place: Callable[[Column], Column]) -> DataFrame:
+    """(key, value): the value at 0-based ``place`` (of the number of values) in each group's sorted values, from counts per value: no group's values are gathered."""
+    c = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(Window.partitionBy(key).orderBy(value)), F.sum("n").over(Window.partitionBy(key))
+    c = c.withColumn("upto", upto).withColumn("at", place(total))
+    return c.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(key, value)
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    """sorted[min(n - 1, int(p * n))]."""
-    n = F.count(x)
-    return F.element_at(_sorted(x), (F.least(n - 1, F.floor(n * F.lit(p))) + 1).cast("int"))
+def with_ranks(df: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]], aggs: list[Column]) -> DataFrame:
+    """Aggregates by ``key`` beside values ``at_rank`` of one column, by name."""
+    out = df.groupBy(F.col(key).alias("_k")).agg(*aggs)
+    for name, place in places.items():
+        at = at_rank(df.select(F.col(key).alias("_r"), F.col(value).alias(name)), "_r", name, place)
+        out = out.join(at, F.col("_k").eqNullSafe(F.col("_r")), "left").drop("_r")
+    return out.withColumnRenamed("_k", key)
 
 
-def upper_median(x: Column) -> Column:
-    """sorted[n // 2]."""
-    return F.element_at(_sorted(x), (F.floor(F.count(x) / 2) + 1).cast("int"))
+def nearest(p: float) -> Callable[[Column], Column]:
+    """min(n - 1, int(p * n))."""
+    return lambda n: F.least(n - 1, F.floor(n * F.lit(p)))
 
 
-def below_rank(x: Column, p: float) -> Column:
-    """sorted[int(p * (n - 1))]."""
-    return F.element_at(_sorted(x), (F.floor((F.count(x) - 1) * F.lit(p)) + 1).cast("int"))
+def below(p: float) -> Callable[[Column], Column]:
+    """int(p * (n - 1))."""
+    return lambda n: F.floor((n - 1) * F.lit(p))
 
 
-def at_rank(df: DataFrame, key: str, value: str, place: Callable[[Column], Column]) -> DataFrame:
-    """(key, value): the value at 0-based ``place`` (of the number of values) in each group's sorted values, from counts per value: no group's values are gathered."""
-    c = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    upto, total = F.sum("n").over(Window.partitionBy(key).orderBy(value)), F.sum("n").over(Window.partitionBy(key))
-    c = c.withColumn("upto", upto).withColumn("at", place(total))
-    return c.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(key, value)
+def upper_middle(n: Column) -> Column:
+    """n // 2."""
+    return F.floor(n / 2)
 
 
 def mode_first(x: Column) -> Column:

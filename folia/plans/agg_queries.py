@@ -86,9 +86,10 @@ def _kinds(s, d):
 
 
 def _degeneration(d):
+    rep = F.col("r.repeated")
+    aggs = [F.count("*").alias("n"), F.count_if(C("n_chars") == 0).alias("empty"), F.count_if(C("n_chars") >= 0.98 * 3000).alias("at_cap"), *[F.count_if(F.round(rep, 9) >= x).alias(f"ge_{int(x * 100):02d}") for x in (0.05, 0.1, 0.25, 0.5, 0.9)], F.round(F.avg(rep), 6).alias("mean")]
     t = d.select("lang", X.repetition(C("text")).alias("r"), "n_chars")
-    rep = C("r.repeated")
-    return t.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(C("n_chars") == 0).alias("empty"), F.count_if(C("n_chars") >= 0.98 * 3000).alias("at_cap"), *[F.count_if(F.round(rep, 9) >= x).alias(f"ge_{int(x * 100):02d}") for x in (0.05, 0.1, 0.25, 0.5, 0.9)], F.round(F.avg(rep), 6).alias("mean"), Q.nearest_rank(C("n_chars"), 0.1).alias("p10"), Q.nearest_rank(C("n_chars"), 0.5).alias("p50"), Q.nearest_rank(C("n_chars"), 0.9).alias("p90"))
+    return Q.with_ranks(t, "lang", "n_chars", {f"p{int(100 * p)}": Q.nearest(p) for p in (0.1, 0.5, 0.9)}, aggs)
 
 
 _REP = r"""d AS (SELECT doc_id, lang, n_chars, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), u AS (SELECT doc_id, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN string_split(text, '') ELSE w END AS u, CASE WHEN len(w) < 40 AND length(text) >= 40 THEN 30 ELSE 10 END AS k FROM d),
@@ -97,7 +98,13 @@ _NR = lambda p: f"list_sort(list(n_chars))[CAST(least(count(*) - 1, floor(count(
 
 
 def _telemetry(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), Q.upper_median(C("value")).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.sum(C("value") / 4), 4).alias("wall"))
+    aggs = [F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.sum(C("value") / 4), 4).alias("wall")]
+    return Q.with_ranks(table(s, d, "events"), "event_type", "value", {"median": Q.upper_middle}, aggs)
+
+
+def _token_census(s, d):
+    aggs = [F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most")]
+    return Q.with_ranks(table(s, d, "documents").select("lang", "n_chars"), "lang", "n_chars", {"median": Q.upper_middle, "p90": Q.below(0.9)}, aggs)
 
 
 def _majority(s, d):
@@ -187,7 +194,7 @@ QUERIES = {
     "agg_language_rollup": (lambda s, d: table(s, d, "documents").withColumn("key", F.split_part(F.concat("lang", F.lit("_"), "source"), F.lit("_"), F.lit(1))).groupBy("key").agg(F.count("*").alias("n"), F.count_if(C("text").isNull()).alias("missing"), F.round(F.avg("n_chars"), 4).alias("mean")), "SELECT split_part(lang || '_' || source, '_', 1) AS key, count(*) AS n, count(*) FILTER (WHERE text IS NULL) AS missing, round(avg(n_chars), 4) AS mean FROM documents GROUP BY 1"),
     "agg_transitions": (lambda s, d: table(s, d, "conversations").withColumn("next", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))).where("next IS NOT NULL").groupBy(F.concat("role", F.lit("->"), "next").alias("t")).agg(F.count("*").alias("n")), "SELECT role || '->' || next AS t, count(*) AS n FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL GROUP BY 1"),
     "agg_telemetry": (_telemetry, "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median, min(value) AS least, max(value) AS most, round(sum(value / 4), 4) AS wall FROM events GROUP BY event_type"),
-    "agg_token_census": (lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"), Q.upper_median(C("n_chars")).alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), Q.below_rank(C("n_chars"), 0.9).alias("p90")), "SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median, min(n_chars) AS least, max(n_chars) AS most, list_sort(list(n_chars))[CAST(floor((count(*) - 1) * 0.9::DOUBLE) AS BIGINT) + 1] AS p90 FROM documents GROUP BY lang"),
+    "agg_token_census": (_token_census, "SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median, min(n_chars) AS least, max(n_chars) AS most, list_sort(list(n_chars))[CAST(floor((count(*) - 1) * 0.9::DOUBLE) AS BIGINT) + 1] AS p90 FROM documents GROUP BY lang"),
     "agg_majority_floor": (_majority, "WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE NOT (CAST(('0x' || substr(sha1('3:' || doc_id), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.7) GROUP BY lang) SELECT max(n) AS top, round(max(n) / sum(n), 9) AS floor FROM c"),
     "agg_metrics_cls": (lambda s, d: A.classification(_label_pairs(s, d), "t", "p"), "WITH f AS (SELECT quality AS t, 1 - toxic AS p FROM labels), k AS (SELECT DISTINCT t AS k FROM f UNION SELECT DISTINCT p FROM f), m AS (SELECT k, count(*) FILTER (WHERE t = k AND p = k) AS tp, count(*) FILTER (WHERE t = k) AS t, count(*) FILTER (WHERE p = k) AS p FROM k, f GROUP BY k) SELECT round((SELECT avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END) FROM f), 9)::DOUBLE AS accuracy, round(avg(2 * tp / (t + p)), 9) AS macro_f1 FROM m"),
     "agg_metrics_reg": (lambda s, d: A.regression(table(s, d, "lineitem").select("l_extendedprice", (C("l_quantity") * 1000).alias("p")), "l_extendedprice", "p"), "SELECT round(1 - sum((l_extendedprice - l_quantity * 1000) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2, round(avg(abs(l_extendedprice - l_quantity * 1000)), 6) AS mae FROM lineitem"),
@@ -211,9 +218,9 @@ QUERIES = {
     "agg_two_phase": (lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"), F.round(F.sum("l_quantity"), 2).alias("qty")), "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_partkey) AS parts, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ALL"),
     "agg_cube_rollup": (lambda s, d: table(s, d, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id().alias("level")), "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping(lang, source) AS level FROM documents GROUP BY CUBE (lang, source)"),
     "quantile_linear": _quant(lambda: Q.linear(C("n_chars"), 0.25, 2), "round_even(quantile_cont(n_chars, 0.25), 2)"),
-    "quantile_nearest_rank": _ranked(lambda n: F.least(n - 1, F.floor(n * F.lit(0.9))), "list_sort(list(n_chars))[CAST(least(count(*) - 1, floor(count(*) * 0.9::DOUBLE)) AS BIGINT) + 1]"),
-    "quantile_upper_median": _ranked(lambda n: F.floor(n / 2), "list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1]"),
-    "quantile_below_rank": _ranked(lambda n: F.floor((n - 1) * F.lit(0.9)), "list_sort(list(n_chars))[CAST(floor((count(*) - 1) * 0.9::DOUBLE) AS BIGINT) + 1]"),
+    "quantile_nearest_rank": _ranked(Q.nearest(0.9), "list_sort(list(n_chars))[CAST(least(count(*) - 1, floor(count(*) * 0.9::DOUBLE)) AS BIGINT) + 1]"),
+    "quantile_upper_median": _ranked(Q.upper_middle, "list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1]"),
+    "quantile_below_rank": _ranked(Q.below(0.9), "list_sort(list(n_chars))[CAST(floor((count(*) - 1) * 0.9::DOUBLE) AS BIGINT) + 1]"),
     "quantile_median": _quant(lambda: F.median(C("n_chars")), "median(n_chars)"),
     "quantile_mode": (lambda s, d: A.most_frequent(table(s, d, "documents").select("lang", C("source").alias("v")), "lang", "v"), "SELECT lang, v, n FROM (SELECT lang, source AS v, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY lang, source) WHERE r = 1"),
 }
