@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folia.functions import derive as D
 from folia.operators import resampling as R
 from folia.operators.joins import small
+from folia.sources.sinks import stored
 
 _BUCKETS = 4096
 
@@ -45,7 +46,7 @@ def heads(df: DataFrame, *, alpha: float = 1.0) -> DataFrame:
 
     sums = df.select("family", "vec", "target").mapInPandas(part, "family string, v array<double>, dims int")
     sums = sums.select("family", "dims", F.posexplode("v").alias("i", "x")).groupBy("family", "dims", "i").agg(F.sum("x").alias("x"))
-    return sums.groupBy("family").applyInPandas(solve, "family string, w array<double>")
+    return stored(sums.groupBy("family").applyInPandas(solve, "family string, w array<double>"), "heads")  # read more than once
 
 
 def outputs(vec: Column, w: Column) -> Column:

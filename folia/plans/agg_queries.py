@@ -19,7 +19,7 @@ PRINTED = Literal("axis string, key string, pass_a double", [("type", "text", 10
 BOXES = Literal("id bigint, field string, page bigint, x double, y double, w double, h double, iou double, grounded boolean, tag string", [(1, "a", 1, 0.0, 0.0, 0.1, 0.1, 0.9, True, "wide"), (2, "a", 1, 0.0, 0.0, 0.1, 0.1, 0.2, False, "wide"), (3, "a", 2, 0.5, 0.5, 0.2, 0.1, 0.0, False, "tall"), (4, "b", 1, 0.2, 0.2, 0.3, 0.1, 0.55, True, "wide"), (5, "b", 1, 0.6, 0.2, 0.3, 0.1, 0.45, False, "short"), (6, "c", 3, 0.0, 0.0, 1.0, 1.0, 0.05, False, "tall")]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_returnflag; l_orderkey + 1000; l_discount; l_tax; 0.25; 0.125; l_discount * 10; l_linestatus = 'O'; 'tag' || l_linenumber")
 PRED_BOX = Literal("id bigint, x double, y double, w double, h double", [(1, 0.01, 0.0, 0.1, 0.1), (2, 0.3, 0.3, 0.1, 0.1), (3, 0.45, 0.45, 0.4, 0.3), (4, 0.2, 0.2, 0.15, 0.1)])
 KNOBS = Literal("arm string, lr double, loss double", [("A", 0.1, 0.5), ("A", 0.01, 0.3), ("A", 0.001, None), ("B", 0.1, 0.7), ("B", 0.01, 0.9)]).over("lineitem", "l_returnflag || l_linestatus; l_orderkey * 10 + l_linenumber + 1000; CASE WHEN l_linenumber < 6 THEN l_extendedprice * 10 + l_orderkey / 1000000 END")
-LORA = Literal("rank bigint, din bigint, dout bigint", [(r, i, o) for r in (4, 8, 16, 32) for i, o in ((1024, 1024), (1024, 4096))])
+LORA = Literal("rank bigint, din bigint, dout bigint", [(r, i, o) for r in (4, 8, 16, 32) for i, o in ((1024, 1024), (1024, 4096))]).over("part", "p_size; p_partkey % 1000 + 1; p_partkey % 77 + 1")
 GLYPHS = Literal("image string, seq bigint, ch string", [("x", 1, "b"), ("x", 2, "a"), ("x", 3, "b"), ("y", 1, "z"), ("y", 2, "a")]).over("part", "'p' || CAST(floor(p_partkey / 50) AS BIGINT); p_partkey; substr(p_name, 1, 1)")
 SITES = Literal("image string, probe string, x double, y double, pooled boolean", [("a", "p1", 0.1, 0.2, False), ("a", "p2", 0.1, 0.2, False), ("a", "p1", 0.3, 0.2, False), ("b", "p3", 0.5, 0.5, False), ("a", "q", 0.0, 0.0, True), ("b", "q", 0.0, 0.0, True)]).over("lineitem", "'o' || l_orderkey; 'p' || l_linenumber; l_discount; l_tax; l_returnflag = 'A'")
 

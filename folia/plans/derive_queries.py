@@ -24,7 +24,7 @@ PAGES = Literal(
         (11, "d", 2, "sparse", 12, 595.0, 842.0, 9.0, 0.01, 0.0, 0, 1, 0.1, 0.1, ["Helv"]),
         (12, "e", 1, "digital", 700, 612.0, 792.0, 10.0, 0.30, 0.0, 2, 1, 0.1, 0.08, ["Arial", "Times"]),
     ],
-)
+).over("orders", "o_orderkey + 1000; 's' || CAST(floor(o_orderkey / 5) AS BIGINT); o_orderkey % 5; CASE o_orderstatus WHEN 'O' THEN 'digital' WHEN 'F' THEN 'scanned' ELSE 'sparse' END; o_custkey * 10; 612; 792; (o_custkey % 40) / 4; (o_custkey % 10) / 20; (o_custkey % 7) / 10; o_custkey % 20; o_orderkey % 4; (o_custkey % 8) / 64; (o_custkey % 16) / 128; split(CASE WHEN o_orderkey % 3 = 0 THEN 'Arial,Times' ELSE 'Times,Code,Arial' END, ',')")
 def arch():
     return D.archetype(C("kind"), C("image"), C("rules"), C("area"), C("columns"), C("n_chars"))
 
@@ -54,19 +54,19 @@ TABLES = Literal("id bigint, r bigint, c bigint, empty double, span bigint, dept
 CHARTS = Literal("id bigint, series bigint, dual boolean, hard boolean, stacked boolean, medium boolean", [(1, 1, False, False, False, False), (2, 2, False, False, False, False), (3, 5, False, False, False, False), (4, 1, True, False, False, False), (5, 1, False, False, True, False), (6, 1, False, True, False, False), (7, 1, False, False, False, True)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_linenumber; l_returnflag = 'R'; l_returnflag = 'A'; l_linestatus = 'O'; l_tax > 0.04")
 TEXTS = Literal("id bigint, eq bigint, depth bigint, styled boolean, heavy boolean, pt double", [(1, 0, 0, False, False, 10.0), (2, 2, 0, False, False, None), (3, 5, 0, False, False, 10.0), (4, 0, 3, False, False, 10.0), (5, 0, 0, True, False, 10.0), (6, 0, 0, False, True, 10.0), (7, 0, 0, False, False, 6.5)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_linenumber; l_partkey % 4; l_returnflag = 'R'; l_returnflag = 'A'; CASE WHEN l_linestatus = 'O' THEN l_quantity END")
 OBJECTS = Literal("page bigint, family string, level string", [(1, "table", "easy"), (1, "table", "hard"), (1, "chart", "easy"), (2, "text", "medium"), (2, "chart", "easy"), (3, "layout", "easy")]).over("lineitem", "l_orderkey + 1000; CASE l_linenumber % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'chart' WHEN 2 THEN 'text' ELSE 'layout' END; CASE l_partkey % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END")
-SPANS = Literal("id bigint, x0 array<double>, x1 array<double>", [(1, [0.1] * 9, [0.9] * 9), (2, [0.05, 0.55] * 5, [0.45, 0.95] * 5), (3, [0.1, 0.5], [0.3, 0.9]), (4, [0.02, 0.36, 0.70] * 4, [0.30, 0.64, 0.98] * 4)])
-CELLS = Literal("id bigint, x double, y double, w double, h double, corners array<double>, span bigint, span2 bigint", [(1, 0.1, 0.2, 0.3, 0.1, None, 2, None), (2, None, None, None, None, [0.1, 0.2, 0.4, 0.3], None, 3), (3, 0.0, 0.0, 0.5, 0.5, None, None, None)])
-BOXES = Literal("id bigint, coords string, keys array<string>, vals array<double>", [(1, "xywh", [], [1.0, 2.0, 3.0, 4.0]), (2, None, ["grid_rows"], [1.0, 2.0, 3.0, 4.0]), (3, None, ["n_rows"], [1.0, 2.0, 3.0, 4.0]), (4, None, [], [5.0, 5.0, 2.0, 3.0]), (5, None, [], [0.1, 0.1, 0.9, 0.9])])
-ARMS = Literal("id bigint, name string, tower string, budget bigint, site string, readout string, coords string", [(1, "S1_mean4@256__linear", "qwen", 256, "S1", "mean4", None), (2, "bad name", "clip", 64, "S2", "pool", "add"), (3, "S3_concat@1024__mlp_v2", "sam", 1024, "S3", "concat", "only")])
-LABELS = Literal("id bigint, explicit string, probe string, kind string", [(1, None, "pl2_extent", "array"), (2, None, "point_value", "float"), (3, "classification", "glyph_id", "string"), (4, None, "series_id", "int"), (5, "regression", "pl1", "string"), (6, None, "x", "dict")])
+SPANS = Literal("id bigint, x0 array<double>, x1 array<double>", [(1, [0.1] * 9, [0.9] * 9), (2, [0.05, 0.55] * 5, [0.45, 0.95] * 5), (3, [0.1, 0.5], [0.3, 0.9]), (4, [0.02, 0.36, 0.70] * 4, [0.30, 0.64, 0.98] * 4)]).over("part", "p_partkey + 1000; split(CASE WHEN p_partkey % 2 = 0 THEN '0.1,0.1,0.1,0.1,0.1,0.1,0.1,0.1,0.1' ELSE '0.05,0.55,0.05,0.55,0.05,0.55,0.05,0.55,0.05,0.55' END, ','); split(CASE WHEN p_partkey % 2 = 0 THEN '0.9,0.9,0.9,0.9,0.9,0.9,0.9,0.9,0.9' ELSE '0.45,0.95,0.45,0.95,0.45,0.95,0.45,0.95,0.45,0.95' END, ',')")
+CELLS = Literal("id bigint, x double, y double, w double, h double, corners array<double>, span bigint, span2 bigint", [(1, 0.1, 0.2, 0.3, 0.1, None, 2, None), (2, None, None, None, None, [0.1, 0.2, 0.4, 0.3], None, 3), (3, 0.0, 0.0, 0.5, 0.5, None, None, None)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_discount; l_tax; l_quantity / 64; 0.25; NULL; CASE WHEN l_linenumber > 2 THEN l_linenumber END; NULL")
+BOXES = Literal("id bigint, coords string, keys array<string>, vals array<double>", [(1, "xywh", [], [1.0, 2.0, 3.0, 4.0]), (2, None, ["grid_rows"], [1.0, 2.0, 3.0, 4.0]), (3, None, ["n_rows"], [1.0, 2.0, 3.0, 4.0]), (4, None, [], [5.0, 5.0, 2.0, 3.0]), (5, None, [], [0.1, 0.1, 0.9, 0.9])]).over("part", "p_partkey + 1000; CASE WHEN p_partkey % 4 = 0 THEN 'xywh' END; split(CASE p_partkey % 3 WHEN 0 THEN 'grid_rows' WHEN 1 THEN 'n_rows' ELSE 'other' END, ','); split(p_size || ',' || (p_partkey % 9) || ',' || (p_partkey % 50) || ',' || (p_size + 3), ',')")
+ARMS = Literal("id bigint, name string, tower string, budget bigint, site string, readout string, coords string", [(1, "S1_mean4@256__linear", "qwen", 256, "S1", "mean4", None), (2, "bad name", "clip", 64, "S2", "pool", "add"), (3, "S3_concat@1024__mlp_v2", "sam", 1024, "S3", "concat", "only")]).over("part", "p_partkey + 1000; 'S' || (p_partkey % 3 + 1) || '_mean4@' || p_size || '__linear'; p_brand; p_size; 'S1'; 'mean4'; CASE WHEN p_partkey % 2 = 0 THEN 'add' END")
+LABELS = Literal("id bigint, explicit string, probe string, kind string", [(1, None, "pl2_extent", "array"), (2, None, "point_value", "float"), (3, "classification", "glyph_id", "string"), (4, None, "series_id", "int"), (5, "regression", "pl1", "string"), (6, None, "x", "dict")]).over("part", "p_partkey + 1000; NULL; 'pl' || (p_partkey % 4); CASE p_partkey % 4 WHEN 0 THEN 'array' WHEN 1 THEN 'float' WHEN 2 THEN 'string' ELSE 'int' END")
 BOUND = Literal("id bigint, box boolean, page_ok boolean, iou double, rw double, rh double, dx double, dy double, t string", [(1, False, True, 0.0, 1.0, 1.0, 0.0, 0.0, "a"), (2, True, False, 0.9, 7.0, 1.0, 0.0, 0.0, "| a |"), (3, True, True, 0.6, 4.0, 2.0, 0.7, 0.0, "x<br/>y"), (4, True, True, 0.0, 0.3, 0.5, 0.0, -0.9, " |b"), (5, True, True, 0.2, 1.0, 0.65, 0.0, 0.0, "p")]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_linenumber > 1; l_linenumber > 2; l_discount * 10; l_quantity / 8; l_tax * 20; l_discount * 8; l_tax * 8; l_returnflag || ' | ' || l_linestatus")
 FAILS = Literal("id bigint, reason string, pred string, rep double, cap boolean", [(1, "x", "  ", 0.9, True), (2, "x", "y", 0.5, True), (3, "x", "y", 0.0, True), (4, "x", "I'm sorry, no", 0.0, False), (5, "best match ratio was 0.7", "y", 0.0, False), (6, "best match ratio was 0.2", "y", 0.0, False), (7, "No tables found in page", "y", 0.0, False), (8, "odd", "y", 0.0, False), (9, None, "y", 0.0, False), (10, "is repeating", "y", 0.0, False)]).over("documents", "doc_id + 1000; CASE WHEN doc_id % 3 = 0 THEN 'best match ratio was 0.' || (doc_id % 10) ELSE 'x' END; CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE text END; (doc_id % 10) / 10; doc_id % 7 = 0")
-ELEMENTS = Literal("id bigint, tag string, css string", [(1, "h2", ""), (2, "table", "x"), (3, "div", "Figure-Caption"), (4, "p", "body"), (5, "ul", ""), (6, "div", "page-header"), (7, "span", "equation"), (8, "div", "zzz"), (9, "figure", "")])
+ELEMENTS = Literal("id bigint, tag string, css string", [(1, "h2", ""), (2, "table", "x"), (3, "div", "Figure-Caption"), (4, "p", "body"), (5, "ul", ""), (6, "div", "page-header"), (7, "span", "equation"), (8, "div", "zzz"), (9, "figure", "")]).over("part", "p_partkey + 1000; CASE p_partkey % 5 WHEN 0 THEN 'div' WHEN 1 THEN 'p' WHEN 2 THEN 'table' WHEN 3 THEN 'h2' ELSE 'span' END; CASE WHEN p_partkey % 3 = 0 THEN 'Figure-Caption ' ELSE '' END || p_name")
 ITEMS = Literal("image bigint, item bigint, class string, x double, y double, w double, h double", [(1, 0, "page", 0.0, 0.0, 1.0, 1.0), (1, 1, "table", 0.1, 0.1, 0.5, 0.5), (1, 2, "cell", 0.2, 0.2, 0.1, 0.1), (2, 0, "text", 0.0, 0.0, 0.4, 0.4), (2, 1, "dup", 0.0, 0.0, 0.4, 0.4)]).over("part", "CAST(floor(p_partkey / 2) AS BIGINT) + 1000; p_partkey % 2; CASE WHEN p_partkey % 3 = 0 THEN 'table' ELSE 'text' END; 0.125; p_size / 128; 0.5; 0.25")
 POINTS = Literal("image bigint, point bigint, px double, py double", [(1, 1, 0.25, 0.25), (1, 2, 0.15, 0.5), (1, 3, 0.95, 0.95), (2, 1, 0.2, 0.2), (2, 2, 0.9, 0.9)]).over("part", "CAST(floor(p_partkey / 2) AS BIGINT) + 1000; p_partkey; 0.25; p_size / 100")
-KNOBS = Literal("id bigint, encoder string, budget int", [(1, "siglip2_naflex", 256), (2, "qwen35_vit", 256), (3, "deepseek_ocr", 256), (4, "deepseek_ocr", 99), (5, "clip", 64), (6, "qwen3_vl_vit", 0)])
+KNOBS = Literal("id bigint, encoder string, budget int", [(1, "siglip2_naflex", 256), (2, "qwen35_vit", 256), (3, "deepseek_ocr", 256), (4, "deepseek_ocr", 99), (5, "clip", 64), (6, "qwen3_vl_vit", 0)]).over("part", "p_partkey + 1000; CASE p_partkey % 3 WHEN 0 THEN 'clip' WHEN 1 THEN 'qwen35_vit' ELSE 'siglip2_naflex' END; p_size * 8")
 GRIDS = Literal("id bigint, h int, w int, budget int", [(1, 24, 24, 144), (2, 24, 24, 576), (3, 24, 24, 1000), (4, 30, 20, 150), (5, 17, 11, 50), (6, 8, 8, 10), (7, 40, 3, 7)]).over("part", "p_partkey + 1000; p_size; p_size + p_partkey % 5; p_size * 5")
-ROUNDS = Literal("id bigint, x double", [(1, 0.5), (2, 1.5), (3, 2.5), (4, -0.5), (5, 2.25), (6, 1234.565)])
+ROUNDS = Literal("id bigint, x double", [(1, 0.5), (2, 1.5), (3, 2.5), (4, -0.5), (5, 2.25), (6, 1234.565)]).over("orders", "o_orderkey + 1000; o_totalprice / 7")
 
 _SCRIPT_SQL = "[{'k': 'ascii', 'v': length(regexp_replace(t, '[^!-~]', '', 'g'))}, " + ", ".join(f"{{'k': '{k}', 'v': length(regexp_replace(t, '[^{v}]', '', 'g'))}}" for k, v in D.SCRIPTS.items()) + "]"
 

@@ -11,11 +11,11 @@ from folia.sources.sinks import place
 
 C = F.col
 REPORT = Literal("id bigint, t string", [(1, "log\n  f1 : 10.0% (1/10 tests)\nFinal Summary\n  f1 : 50.0% (5/10 tests)\n  f2 : 25.5% (1/4 tests)\n"), (2, "nothing")])
-FAILLOG = Literal("line bigint, t string", [(1, "[FAIL] Test a_1 on p Ex: first"), (2, "ok"), (3, "[FAIL] Test a_1 on p Ex: second"), (4, "[FAIL] Test b_2 x Ex: No tables found")])
-METRICS = Literal("id bigint, t string", [(1, '{"text": {"all": 0.8}, "table": {"all": 0.6}, "math": {"all": 0.7}}'), (2, '{"text": {"all": 0.9}, "table": {}, "math": {"all": 0.1}}')])
-OLD = Literal("rung bigint, n bigint, note string", [(64, 10, "x"), (256, 20, "y")])
-NEW = Literal("rung bigint, n bigint", [(256, 25), (1024, 5)])
-SKIPS = Literal("id bigint, test string, gold string, rules bigint", [(1, None, "g", 1), (2, "t", None, 1), (3, "t", "g", 0), (4, "t", "g", 2)])
+FAILLOG = Literal("line bigint, t string", [(1, "[FAIL] Test a_1 on p Ex: first"), (2, "ok"), (3, "[FAIL] Test a_1 on p Ex: second"), (4, "[FAIL] Test b_2 x Ex: No tables found")]).over("part", "p_partkey + 1000; '[FAIL] Test t_' || (p_partkey % 10) || ' on p Ex: ' || p_name")
+METRICS = Literal("id bigint, t string", [(1, '{"text": {"all": 0.8}, "table": {"all": 0.6}, "math": {"all": 0.7}}'), (2, '{"text": {"all": 0.9}, "table": {}, "math": {"all": 0.1}}')]).over("part", "p_partkey + 1000; '{\"text\": {\"all\": 0.' || (p_size % 9 + 1) || '}, \"table\": {\"all\": 0.5}, \"math\": {\"all\": 0.25}}'")
+OLD = Literal("rung bigint, n bigint, note string", [(64, 10, "x"), (256, 20, "y")]).over("region", "r_regionkey + 2000; r_regionkey; r_name")
+NEW = Literal("rung bigint, n bigint", [(256, 25), (1024, 5)]).over("nation", "n_nationkey + 2000; n_regionkey")
+SKIPS = Literal("id bigint, test string, gold string, rules bigint", [(1, None, "g", 1), (2, "t", None, 1), (3, "t", "g", 0), (4, "t", "g", 2)]).over("documents", "doc_id + 1000; CASE WHEN doc_id % 5 > 0 THEN 't' END; CASE WHEN doc_id % 7 > 0 THEN 'g' END; doc_id % 3")
 
 
 def _jsonl(required):
@@ -43,7 +43,7 @@ def _array(s, d):
 def _rules(s, d):
     at = place(s)
     lit = Literal("pdf string, type string, text string", [("p1", "present", "a"), ("p1", "absent", "b"), ("p1", "present", "c"), ("p2", "order", "d")])
-    lit.df(s).coalesce(1).write.json(at)
+    lit.df(s, d).coalesce(1).write.json(at)
     return R.rule_gold(s, at)
 
 
@@ -73,7 +73,7 @@ def _store(s, d):
 
 def _manifest(s, d):
     lit = Literal("id bigint, t string", [(1, '{"version": 2, "images": {}}'), (2, '{"a": 1}\n{"a": 2}'), (3, "text")])
-    return lit.df(s).select("id", R.is_manifest(C("t")).alias("manifest"))
+    return lit.df(s, d).select("id", R.is_manifest(C("t")).alias("manifest"))
 
 
 def _errors(s, d):
@@ -206,8 +206,8 @@ QUERIES = {
     "scan_pdf_store": (_store, "SELECT DISTINCT source FROM documents ORDER BY source"),
     "scan_sidecar": (_sidecar, "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN quality END AS quality FROM documents LEFT JOIN labels USING (doc_id)"),
     "scan_site_manifest": (_manifest, "SELECT * FROM (VALUES (1::BIGINT, true), (2::BIGINT, false), (3::BIGINT, false)) AS t(id, manifest)"),
-    "scan_report_text": (lambda s, d: REPORT.df(s).select("id", F.explode(R.report_files(C("t"))).alias("f")).select("id", "f.name", "f.score", "f.passed", "f.total"), "SELECT * FROM (VALUES (1::BIGINT, 'f1', 50.0::DOUBLE, 5::BIGINT, 10::BIGINT), (1::BIGINT, 'f2', 25.5::DOUBLE, 1::BIGINT, 4::BIGINT)) AS t(id, name, score, passed, total)"),
-    "scan_fail_log": (lambda s, d: FAILLOG.df(s).select("line", F.regexp_extract("t", R.FAIL_LINE, 1).alias("test"), F.regexp_extract("t", R.FAIL_LINE, 2).alias("reason")).where("test <> ''").groupBy("test").agg(F.min_by("reason", "line").alias("reason")), f"WITH {FAILLOG.cte('f')}, x AS (SELECT line, regexp_extract(t, '{R.FAIL_LINE}', 1) AS test, regexp_extract(t, '{R.FAIL_LINE}', 2) AS reason FROM f) SELECT test, arg_min(reason, line) AS reason FROM x WHERE test <> '' GROUP BY test"),
+    "scan_report_text": (lambda s, d: REPORT.df(s, d).select("id", F.explode(R.report_files(C("t"))).alias("f")).select("id", "f.name", "f.score", "f.passed", "f.total"), "SELECT * FROM (VALUES (1::BIGINT, 'f1', 50.0::DOUBLE, 5::BIGINT, 10::BIGINT), (1::BIGINT, 'f2', 25.5::DOUBLE, 1::BIGINT, 4::BIGINT)) AS t(id, name, score, passed, total)"),
+    "scan_fail_log": (lambda s, d: FAILLOG.df(s, d).select("line", F.regexp_extract("t", R.FAIL_LINE, 1).alias("test"), F.regexp_extract("t", R.FAIL_LINE, 2).alias("reason")).where("test <> ''").groupBy("test").agg(F.min_by("reason", "line").alias("reason")), f"WITH {FAILLOG.cte('f')}, x AS (SELECT line, regexp_extract(t, '{R.FAIL_LINE}', 1) AS test, regexp_extract(t, '{R.FAIL_LINE}', 2) AS reason FROM f) SELECT test, arg_min(reason, line) AS reason FROM x WHERE test <> '' GROUP BY test"),
     "scan_report_json": literal_query(METRICS, _slices, "SELECT id, a AS text, round((a + b + c) / 3 * 100, 4) AS composite FROM (SELECT id, CAST(json_extract_string(t, '$.text.all') AS DOUBLE) AS a, CAST(json_extract_string(t, '$.table.all') AS DOUBLE) AS b, CAST(json_extract_string(t, '$.math.all') AS DOUBLE) AS c FROM f)"),
     "scan_binary_header": (_headers, "SELECT sha256(string_agg(r_name || chr(10), '' ORDER BY r_name)) AS sha, length(string_agg(r_name || chr(10), '' ORDER BY r_name)) AS bytes, upper(hex(substr(min(r_name), 1, 2))) AS magic FROM region"),
     "scan_volume_text": (_volume, "SELECT count(*) AS n FROM region"),
@@ -216,7 +216,7 @@ QUERIES = {
     "sink_csv": (_csv, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation"),
     "sink_split_dataset": (_split, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
     "sink_atomic": (_atomic, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
-    "sink_upsert": (lambda s, d: K.upsert(OLD.df(s), NEW.df(s), "rung"), f"WITH {OLD.cte('o')}, {NEW.cte('n')} SELECT rung, coalesce(n.n, o.n) AS n, note FROM o FULL JOIN n USING (rung)"),
+    "sink_upsert": (lambda s, d: K.upsert(OLD.df(s, d), NEW.df(s, d), "rung"), f"WITH {OLD.cte('o')}, {NEW.cte('n')} SELECT rung, coalesce(n.n, o.n) AS n, note FROM o FULL JOIN n USING (rung)"),
     "sink_errors": (_errors, "SELECT count(*) FILTER (WHERE n_chars > 0) AS good, count(*) FILTER (WHERE NOT coalesce(n_chars > 0, false)) AS bad FROM documents"),
     "sink_skipped": literal_query(SKIPS, _skip, "SELECT id, CASE WHEN test IS NULL THEN 'missing_test_json' WHEN gold IS NULL THEN 'no_gold_markdown' WHEN rules = 0 THEN 'no_chart_rules' END AS reason FROM f"),
     "sink_log_chunks": (lambda s, d: table(s, d, "pages").select("page_id", F.explode(K.chunks(C("html"))).alias("c")).select("page_id", "c.seq", F.md5(C("c.part").cast("binary")).alias("h")), "SELECT page_id, i::INTEGER AS seq, md5(substr(b, i * 3000 + 1, 3000)) AS h FROM (SELECT page_id, base64(encode(html)) AS b FROM pages), unnest(range(0, greatest(1, CAST(ceil(length(b) / 3000) AS BIGINT)))) AS t(i)"),

@@ -14,15 +14,15 @@ CHART = Literal("chart bigint, kind string, series string, cat string, v double"
 TABLE = Literal("t bigint, col bigint, r bigint, cell string", [(1, 0, 0, "Alpha"), (1, 0, 1, "Beta"), (1, 0, 2, "12"), (1, 1, 0, "$1,200"), (1, 1, 1, "(30)"), (1, 1, 2, ""), (1, 2, 0, "5%"), (1, 2, 1, "<b>7</b>"), (1, 2, 2, "n/a"), (2, 0, 0, "x"), (2, 0, 1, "y")]).over("lineitem", "l_orderkey + 1000; l_linenumber % 3; l_linenumber; CASE WHEN l_returnflag = 'N' THEN '' || l_partkey ELSE 'n/a' END")
 MONEY = Literal("id bigint, x string", [(1, "(1,234)"), (2, "1,234.5"), (3, "abc"), (4, "-7"), (5, "1234567.25"), (6, "(2)")]).over("orders", "o_orderkey + 1000; CASE o_orderkey % 3 WHEN 0 THEN '(' || o_orderkey || ')' WHEN 1 THEN '' || o_custkey ELSE o_orderpriority END")
 SHAPES = Literal("id bigint, groups bigint, rowspan boolean, cols bigint, r bigint, title boolean", [(1, 0, False, 3, 4, False), (2, 2, False, 3, 4, False), (3, 0, True, 3, 4, False), (4, 0, False, 8, 4, False), (5, 0, False, 6, 4, False), (6, 0, False, 3, 12, False), (7, 0, False, 3, 4, True)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_linenumber % 3; l_returnflag = 'R'; l_suppkey % 12; l_partkey % 20; l_linestatus = 'O'")
-HEIGHTS = Literal("page bigint, body double, hs array<double>", [(1, 10.0, [10.0, 14.0, 13.5, 20.0, 12.0, 30.0, 16.0]), (2, 12.0, [12.0, 12.0])])
+HEIGHTS = Literal("page bigint, body double, hs array<double>", [(1, 10.0, [10.0, 14.0, 13.5, 20.0, 12.0, 30.0, 16.0]), (2, 12.0, [12.0, 12.0])]).over("part", "p_partkey + 1000; 10 + p_partkey % 3; split(p_size || ',' || (p_size + 4) || ',' || (p_partkey % 37) || ',12', ',')")
 SIZES = Literal("id bigint, w double, h double", [(1, 612.0, 792.0), (2, 595.0, 842.0), (3, 610.0, 1000.0), (4, 842.0, 595.0)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_quantity * 20; l_linenumber * 150")
 PRESETS = Literal("name string, pw double, ph double", [("letter", 612.0, 792.0), ("a4", 595.0, 842.0), ("legal", 612.0, 1008.0)])
 WORDS = Literal("page bigint, x0 double, y0 double, x1 double, y1 double", [(1, 72.0, 80.0, 100.0, 92.0), (1, 300.0, 700.0, 540.0, 712.0), (2, 10.0, 10.0, 600.0, 30.0)]).over("lineitem", "l_orderkey + 1000; l_quantity; l_linenumber * 10; l_quantity * 10; l_linenumber * 10 + 8 + l_linenumber % 5 + CASE WHEN l_quantity > 45 THEN l_linenumber * 2 ELSE 0 END")
 RULES = Literal("page bigint, ord bigint, share double", [(1, 1, 0.5), (1, 2, 0.01), (1, 3, 0.2), (1, 4, 0.03), (2, 1, 0.0), (2, 2, 0.3)]).over("lineitem", "l_orderkey + 1000; l_linenumber; l_discount")
 LENGTHS = Literal("k bigint, n bigint", [(1, 3), (2, 5), (3, 2), (4, 40)])
 RANGES = Literal("id bigint, lo double, hi double", [(1, 0.0, 10.0), (2, 0.0, 97.0), (3, -5.0, 1234.0), (4, 0.1, 0.5), (5, 3.0, 3.0)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_quantity; l_quantity + l_linenumber * 7")
-CACHE_A = Literal("id bigint, v array<double>", [(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, [5.0, 6.0])])
-CACHE_B = Literal("id bigint, v array<double>", [(1, [1.0, 2.0]), (2, [3.0, 4.5]), (3, [5.0, 6.0])])
+CACHE_A = Literal("id bigint, v array<double>", [(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, [5.0, 6.0])]).over("embeddings", "vec_id + 1000; split(vec_id || ',' || label, ',')")
+CACHE_B = Literal("id bigint, v array<double>", [(1, [1.0, 2.0]), (2, [3.0, 4.5]), (3, [5.0, 6.0])]).over("embeddings", "vec_id + 1000; split(vec_id || ',' || (label + vec_id % 2), ',')", "vec_id % 5 > 0")
 GROUNDING = Literal("id bigint, field string, bucket string, matched boolean", [(1, "a", "grounded", True), (2, "a", "partial", False), (3, "b", "partial", True), (4, "b", "displaced", False), (5, "b", "no-box", False), (6, "c", "grounded", False)]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; l_returnflag; CASE l_linenumber % 4 WHEN 0 THEN 'grounded' WHEN 1 THEN 'partial' WHEN 2 THEN 'displaced' ELSE 'no-box' END; l_discount > 0.05")
 NUMERIC = r"^[($-]*\d[\d,]*(\.\d+)?[)%]*$"
 

@@ -12,7 +12,7 @@ _NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 _LIGHT = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?i)</?(?:b|i|u|s|em|strong|del|ins|mark|sub|sup)\s*>', '', 'g'), '\*\*|__|\*|`+', '', 'g'), '\s+', ' ', 'g'))"
 _CONTENT = r"regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?m)^[ \t]*(?:`{{3,}}|~{{3,}})[^\n]*$', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '\\(?:[a-zA-Z]+\*?|[^a-zA-Z\s])', ' ', 'g')), '[^0-9a-z]+', '', 'g')"
 
-REASONS = Literal("id bigint, reason string", [(1, "No match found with threshold 0.8, best match ratio was 0.63"), (2, "No tables found"), (3, None), (4, "with threshold 0.9 only"), (5, "x with threshold 0.75 y best match ratio was 0.2")])
+REASONS = Literal("id bigint, reason string", [(1, "No match found with threshold 0.8, best match ratio was 0.63"), (2, "No tables found"), (3, None), (4, "with threshold 0.9 only"), (5, "x with threshold 0.75 y best match ratio was 0.2")]).over("part", "p_partkey + 1000; CASE WHEN p_partkey % 3 = 0 THEN 'No tables found' ELSE 'No match found with threshold 0.8, best match ratio was 0.' || p_size END")
 FENCES = Literal("id bigint, t string", [(1, "```markdown\n# A\ntext\n```"), (2, "```\nplain\n```  "), (3, "```python\nx=1\n```"), (4, "no fence"), (5, "```md\ncut short"), (6, "```\nopen"), (7, "   spaced  ")]).over("part", "p_partkey + 1000; '```md' || chr(10) || p_name || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '```' ELSE '' END")
 PIPES = Literal("id bigint, t string", [(1, "| a | b |"), (2, "|x|y|z|"), (3, "1 | 2"), (4, "|:--|--:|"), (5, "  | lead ")]).over("part", "p_partkey + 1000; '| ' || p_name || ' | ' || p_brand || ' |'")
 NUMBERS = Literal("id bigint, t string", [(1, "total $1,234.50 and 12% of -3"), (2, "none here"), (3, "1e3 + 2.5E-1"), (4, "7")]).over("documents", "doc_id + 1000; text")

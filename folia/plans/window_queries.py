@@ -16,7 +16,7 @@ from folia.plans.join_queries import SCORES, SITES, shingle_containment, SHINGLE
 from folia.sources.literal import Literal
 
 C = F.col
-TWINS = Literal("id string, family string", [(f"{f}{i}", f) for f, n in (("t", 5), ("c", 2), ("x", 4)) for i in range(n)])
+TWINS = Literal("id string, family string", [(f"{f}{i}", f) for f, n in (("t", 5), ("c", 2), ("x", 4)) for i in range(n)]).over("part", "'tw' || p_partkey; CASE p_partkey % 3 WHEN 0 THEN 't' WHEN 1 THEN 'c' ELSE 'x' END")
 STRADDLE = Literal("row bigint, doc string, grp string", [(1, "a", "g1"), (2, "a", "g1"), (3, "a", "g2"), (4, "b", "g2"), (5, "b", "g1"), (6, "c", "g3")]).over("lineitem", "l_orderkey * 10 + l_linenumber + 1000; 'd' || l_suppkey; l_returnflag || (l_suppkey % 3)")
 HEADERS = Literal("t bigint, r bigint, all_header boolean", [(1, 0, True), (1, 1, True), (1, 2, False), (1, 3, True), (2, 0, False), (3, 0, True), (3, 1, True)]).over("lineitem", "l_orderkey + 1000; l_linenumber - 1; l_linestatus = 'O'")
 MARKS = Literal("image string, chart bigint, mark bigint, series string, valid boolean, v double, axis string", [("a", 0, 0, "s1", True, 1.0, "y"), ("a", 0, 1, "s2", True, 2.0, "y"), ("a", 0, 2, "s1", True, 3.0, "y2"), ("a", 0, 3, "s3", False, 4.0, "y"), ("b", 0, 0, "p", True, 5.0, None)]).over("orders", "'o' || CAST(floor(o_orderkey / 5) AS BIGINT); 0; o_orderkey % 5; 's' || (o_custkey % 3); o_custkey % 4 > 0; o_custkey % 50; CASE WHEN o_custkey % 2 = 0 THEN 'y' END")
