@@ -27,6 +27,13 @@ def _jsonl(required):
     return run
 
 
+def _lines(s, d):
+    """The lines that the sink writes, as text."""
+    at = place(s)
+    K.jsonl(table(s, d, "documents").select("doc_id", "lang", "n_chars"), at)
+    return s.read.text(at).select(C("value").alias("line"))
+
+
 def _lenient(s, d):
     at = place(s)
     table(s, d, "benchmark").select(F.when(F.pmod("item_id", F.lit(7)) == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("item_id", "text")))).coalesce(1).write.text(at)
@@ -212,7 +219,7 @@ QUERIES = {
     "scan_binary_header": (_headers, "SELECT sha256(string_agg(r_name || chr(10), '' ORDER BY r_name)) AS sha, length(string_agg(r_name || chr(10), '' ORDER BY r_name)) AS bytes, upper(hex(substr(min(r_name), 1, 2))) AS magic FROM region"),
     "scan_volume_text": (_volume, "SELECT count(*) AS n FROM region"),
     "scan_pred_dir": (_predictions, "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || chr(10) END AS text FROM nation"),
-    "sink_jsonl": (_jsonl([]), "SELECT doc_id, lang, n_chars FROM documents"),
+    "sink_jsonl": (_lines, """SELECT '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}' AS line FROM documents"""),
     "sink_csv": (_csv, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation"),
     "sink_split_dataset": (_split, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
     "sink_atomic": (_atomic, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
