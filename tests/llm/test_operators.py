@@ -564,7 +564,7 @@ def test_packing_many_sources(spark, monkeypatch):
 
 
 def test_warc(spark, none):
-    pages = [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nX: y", "<p>é</p>"), (3, None, None), (4, "u", ""), (None, "n", "<p>é</p>"), (1, "http://a", "<p>é</p>"), (9, "z", "solo\r\n\r\nWARC/1.1\r\n" * 50)]
+    pages = [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nX: y", "<p>é</p>"), (3, None, None), (4, "u", ""), (None, "n", "<p>é</p>"), (1, "http://a", "<p>é</p>"), (9, "z", "solo\r\n\r\nWARC/1.1\r\n" * 50), (10, "long", cases.words(1, 25_000))]
     df = spark.createDataFrame([p + ("x",) for p in pages], "page_id bigint, url string, html string, payload_bytes string").repartition(2)
     for compress in (True, False):
         arch = warc.write_archives(df, compress=compress, archive_bytes=400)
