@@ -111,7 +111,7 @@ _COUNTS = ("n_words", "n_hit", "n_items", "items_sha256")
 
 
 def _overlap(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, n: int, block_bytes: int, keep_cleaned: bool) -> DataFrame:
-    """(r, text, counts, and if asked ``cleaned``), see ``riding``."""
+    """(r, text, counts, and if asked ``cleaned``: the text of those with hits), see ``riding``."""
     spark = docs.sparkSession
     df = None
     for only, rows in _blocks(benchmark, item_id, item_text, block_bytes):
@@ -153,8 +153,7 @@ def _overlap(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str,
                     flag = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(w.count[k - i])).astype(bool) if packed else None
                     hit.append(int(flag.sum()) if packed else 0)
                     if keep_cleaned:
-                        whole = data[offsets[k] : offsets[k + 1]].tobytes()
-                        cleaned.append(_without(whole, flag, w, k - i, int(offsets[k])) if packed else whole.decode())
+                        cleaned.append(_without(data[offsets[k] : offsets[k + 1]].tobytes(), flag, w, k - i, int(offsets[k])) if packed else None)
             shas = [hashlib.sha256(",".join(x or ()).encode()).hexdigest() for x in items]
             out = [pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x or ()) for x in items], pa.int64()), pa.array(shas)]
             return out + ([pa.array(cleaned, pa.string())] if keep_cleaned else [])
