@@ -2,9 +2,9 @@
 
 Only DataFrame functions. The n-grams of a text are its words, pairs of neighbouring words, the marks of each word that has
 any (what is left of it without ASCII letters, digits and non-ASCII characters) and neighbouring pairs of these marks,
-hashed into ``buckets`` bins (word pairs into one half of them, the others into the other). The raw multinomial counts all documents; the trusted one at most ``max_rows`` documents that labels call good (those
-with the smallest hash of their id). A document's score is the mean log ratio of its n-grams; it fails below a threshold
-that is taken from the good rows: ``margin`` nats under the largest one that keeps ``keep`` of them.
+hashed into ``buckets`` bins (word pairs into one half of them, the others into the other). The raw multinomial counts all
+documents, the trusted one all that labels call good. A document's score is the mean log ratio of its n-grams; it fails below
+a threshold that is taken from the scores of all good rows: ``margin`` nats under the largest one that keeps ``keep`` of them.
 
 Defined results: null text is empty and has score 0; a document fails (``kept`` false) on the fixed counts alone, or on its
 score; without labels of good rows all scores are 0 and none fails on them; labels of unknown ids are ignored, of repeated
@@ -19,14 +19,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, table
-from .toxicity import sampled_ids
+from .common import bind, stored, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 15
-MAX_ROWS = 5000
 KEEP = 0.998
 MARGIN = 0.25
+GRID = 4096
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 _SPACES = " \t\n\x0b\f\r"
 _PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
@@ -121,11 +121,19 @@ def _score(h: Column, pairs: Column, other: Column, model: list[float]) -> Colum
     return F.when(F.size(h) > 0, bind(marks(other), mean)).otherwise(F.lit(0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, max_rows: int = MAX_ROWS, keep: float = KEEP, margin: float = MARGIN) -> tuple[list[float], float]:
-    """(log ratio by bin, threshold) from all texts and a bounded sample of labelled ids."""
-    some = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
-    good = sampled_ids(some.where("y = 1"), "id", max_rows).select("id").withColumn("good", F.lit(1))
-    df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(good), "id", "left")
+def good_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, good = 1): every id that labels call good, once; never broadcast, so that any number of them can be joined."""
+    some = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y is not null")
+    return some.groupBy("id").agg(F.min("y").alias("y")).where("y = 1").select("id", F.lit(1).alias("good")).hint("merge")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> list[float]:
+    """Log ratio by bin from all texts and all labelled ids; none (an empty list) without texts of good ids."""
+    df = _texts(docs, id_col, text_col).join(good_ids(labels, id_col, label_col), "id", "left")
     rows = df.select("good", F.explode(of_text(F.col("t"), lambda h, g: bins(h, g, rest(F.col("t")), buckets))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
     raw, target = [1.0] * buckets, [0.0] * buckets
     for r in rows:
@@ -133,25 +141,74 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         target[r.b] += r.target
     n, m = sum(raw), sum(target)
     if not m:
-        return [0.0] * buckets, -math.inf
+        return []
     smooth = 0.02 * m / n  # so that a bin unseen in the target gets a fiftieth of its raw share
-    model = [math.log((target[k] + smooth * raw[k]) / (m * 1.02) / (raw[k] / n)) for k in range(buckets)]
-    scored = df.where("good = 1").select(of_text(F.col("t"), lambda h, g: _score(h, g, rest(F.col("t")), model)).alias("s"))
-    values = sorted(r.s for r in scored.collect())
-    return model, values[int((1 - keep) * len(values))] - margin if values else -math.inf
+    return [math.log((target[k] + smooth * raw[k]) / (m * 1.02) / (raw[k] / n)) for k in range(buckets)]
 
 
-def judge(docs: DataFrame, model: tuple[list[float], float], *, text_col: str = "text", min_words: int = 20, max_repeat: int = 30) -> DataFrame:
-    """``docs`` with the counts, base_failed, score and kept (replacing columns of these names)."""
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    ride = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+def of_rank(values: DataFrame, rank: Callable[[int], int]) -> float | None:
+    """The value of column ``s`` at ``rank`` (of the number of rows; 0: smallest), None without rows.
+
+    Rows are counted on a grid between the smallest and the largest value, then on one inside the cell of that rank, until it
+    holds one value: exact, and no more than a grid comes to the driver.
+    """
+    low, high, n = values.agg(F.min("s"), F.max("s"), F.count("s")).first()
+    k = rank(n) if n else 0
+    while n and low != high:
+        cell = F.floor((F.col("s") - F.lit(low)) / F.lit(high - low) * GRID)
+        counts = values.where(F.col("s").between(low, high)).groupBy(cell.alias("c")).agg(F.min("s"), F.max("s"), F.count("s"))
+        for _, low, high, n in sorted(counts.collect()):  # noqa: B007
+            if k < n:
+                break
+            k -= n
+    return low
+
+
+def threshold(scores: DataFrame, keep: float = KEEP, margin: float = MARGIN) -> float:
+    """``margin`` under the largest value that keeps ``keep`` of column ``s``, the scores of all good rows."""
+    least = of_rank(scores, lambda n: int((1 - keep) * n))
+    return -math.inf if least is None else least - margin
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, keep: float = KEEP, margin: float = MARGIN) -> tuple[list[float], float]:
+    """(log ratio by bin, threshold) from all texts and all labelled ids."""
+    model = log_ratios(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, buckets=buckets)
+    if not model:
+        return [0.0] * buckets, -math.inf
+    good = _texts(docs, id_col, text_col).join(good_ids(labels, id_col, label_col), "id")
+    scored = good.select(of_text(F.col("t"), lambda h, g: _score(h, g, rest(F.col("t")), model)).alias("s"))
+    return model, threshold(stored(scored, "quality"), keep, margin)
+
+
+def measured(docs: DataFrame, model: list[float], *, text_col: str = "text", min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+    """``docs`` with the counts, base_failed and score (replacing columns of these names, and kept)."""
+    ride = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
     df = docs.select(F.struct(*ride).alias("r"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    weights, threshold = model
-    df = _measured(df, lambda h, g, o: _score(h, g, o, weights))
+    df = _measured(df, lambda h, g, o: _score(h, g, o, model))
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
-    return df.select("r.*", *added[:6], "score", (~F.col("base_failed") & (F.col("score") >= F.lit(threshold))).alias("kept"))
+    return df.select("r.*", *ADDED[:7])
+
+
+def _kept(least: float) -> Column:
+    return (~F.col("base_failed") & (F.col("score") >= F.lit(least))).alias("kept")
+
+
+def judge(docs: DataFrame, model: tuple[list[float], float], *, text_col: str = "text", min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+    """``docs`` with the counts, base_failed, score and kept (replacing columns of these names)."""
+    weights, least = model
+    return measured(docs, weights, text_col=text_col, min_words=min_words, max_repeat=max_repeat).select("*", _kept(least))
+
+
+def judged(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, keep: float = KEEP, margin: float = MARGIN, **limits: int) -> DataFrame:
+    """What ``judge`` gives by the model of ``fit`` on the same ``docs``, without the text: each text is scored once, and the threshold read from the stored scores."""
+    model = log_ratios(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, buckets=buckets)
+    scored = stored(measured(docs, model or [0.0] * buckets, text_col=text_col, **limits).drop(text_col), "quality")
+    least = -math.inf
+    if model:
+        good = scored.select(F.col(f"`{id_col}`").alias("id"), F.col("score").alias("s")).join(good_ids(labels, id_col, label_col), "id")
+        least = threshold(stored(good.select("s"), "quality"), keep, margin)
+    return scored.select("*", _kept(least))
 
 
 def op9_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))

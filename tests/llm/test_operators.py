@@ -454,6 +454,41 @@ def test_quality_score(spark, docs):
         assert abs(r.score - score(r.text or "")) < 1e-3
 
 
+def test_quality_learns_from_all_good_rows(spark):
+    """5,400 good rows: the counts and the threshold come from all of them."""
+    r, half, keep = random.Random(5), 64, 0.7
+    rows = [(i, f"w{min(r.randrange(40), r.randrange(40))}") for i in range(6000)]
+    place = {t: xxhash.xxh64(t.encode(), seed=42).intdigest() % half for _, t in rows}
+    raw, target = Counter(place[t] for _, t in rows), Counter(place[t] for i, t in rows if i % 10 != 3)
+    n, m = len(rows) + 2 * half, 5400
+    weight = [math.log((target[b] + 0.02 * m / n * (raw[b] + 1)) / (m * 1.02) / ((raw[b] + 1) / n)) for b in range(2 * half)]
+    labels = spark.range(6000).selectExpr("id as doc_id", "cast(id % 10 != 3 as int) as quality")
+    model, threshold = quality.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, buckets=2 * half, keep=keep)
+    assert np.allclose(model, weight)
+    good = sorted(weight[place[t]] for i, t in rows if i % 10 != 3)
+    assert abs(threshold - (good[int((1 - keep) * m)] - quality.MARGIN)) < 1e-3
+
+
+def test_quality_judged(spark, docs, none):
+    """One pass over the texts gives what fit and judge give."""
+    labels = spark.createDataFrame([(0, 1), (2, 1), (2, 1), (11, 1), (13, 0), (None, 1), (14, None), (-7, 1)], "doc_id bigint, quality int")
+    for some in (labels, labels.where("false")):
+        for keep in (quality.KEEP, 0.3):
+            want = quality.judge(docs, quality.fit(docs, some, keep=keep)).drop("text")
+            got = quality.judged(docs, some, keep=keep)
+            assert got.columns == want.columns and key(got.collect()) == key(want.collect())
+    assert quality.judged(none, labels).collect() == []
+
+
+def test_quality_of_rank(spark):
+    r = random.Random(6)
+    values = [r.choice([-2.5, 0.0, 1e-9, 3.0]) for _ in range(300)] + [r.gauss(0, 1) for _ in range(200)] + [1 + k * 2.0**-52 for k in range(40)]
+    df = spark.createDataFrame([(v,) for v in values], "s double").repartition(3).cache()
+    for k in (0, 1, 130, 270, 390, len(values) - 1):
+        assert quality.of_rank(df, lambda n, k=k: k) == sorted(values)[k]
+    assert quality.of_rank(df.where("false"), lambda n: 0) is None
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
