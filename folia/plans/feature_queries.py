@@ -30,10 +30,19 @@ _XS = ["[" + ", ".join(_PT[k].format(a, b) for a in ("x", "(x + w)") for b in ("
 _AFFINE_SQL = f"SELECT id, round(list_min({_XS[0]}), 6) AS bx, round(list_min({_XS[1]}), 6) AS by, round(list_max({_XS[0]}) - list_min({_XS[0]}), 6) AS bw, round(list_max({_XS[1]}) - list_min({_XS[1]}), 6) AS bh, round({_PT[0].format('x', 'y')}, 6) AS px, round({_PT[1].format('x', 'y')}, 6) AS py FROM f"
 
 
+#: ids that one part of a page's sidecar spans, so that no part grows with its page
+SIDECAR_IDS = 1_000
+
+
+def sidecars(s, d):
+    """Boxes by page, nested; a page lies in parts by id."""
+    page = (C("id") > 2).cast("bigint").alias("page")
+    return BOXES.df(s, d).groupBy(page, F.floor(C("id") / SIDECAR_IDS).alias("part")).agg(F.collect_list(F.struct("id", "x", "y", "w", "h")).alias("items"))
+
+
 def _sidecar(s, d):
     """Boxes of nested items mapped in place, other fields untouched."""
-    nested = BOXES.df(s, d).groupBy((C("id") > 2).cast("bigint").alias("page")).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))).alias("items"))
-    out = nested.select("page", F.transform("items", lambda i: F.struct(i["id"].alias("id"), F.array(*G.affine_box(M, i["x"], i["y"], i["w"], i["h"])).alias("box"))).alias("items"))
+    out = sidecars(s, d).select("page", F.transform("items", lambda i: F.struct(i["id"].alias("id"), F.array(*G.affine_box(M, i["x"], i["y"], i["w"], i["h"])).alias("box"))).alias("items"))
     return out.select("page", F.explode("items").alias("i")).select("page", "i.id", C("i.box").getItem(0).alias("bx"), C("i.box").getItem(2).alias("bw"))
 
 

@@ -247,3 +247,19 @@ def test_probe_faults(spark, tmp_path):
     assert [(r.vec, r.layout) for r in sorted(ask(0.5))] == [([1.0], "sites"), (None, None)]
     with pytest.raises(Exception, match="no stored site"):
         ask(0.25)
+
+
+def test_sidecars_in_parts(spark, tmp_path):
+    from folia.plans import feature_queries as Q
+
+    n = 5000
+    lines = spark.range(n).selectExpr("id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "id % 11 / 100D AS l_discount", "id % 9 / 100D AS l_tax", "CAST(id % 50 AS DOUBLE) AS l_quantity")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    nested = Q.sidecars(spark, str(tmp_path))
+    assert max(len(r["items"]) for r in nested.collect()) <= Q.SIDECAR_IDS
+    got = {r.id: r for r in catalog.QUERIES["geo_affine_sidecar"](spark, str(tmp_path)).collect()}
+    boxes = {r.id: r for r in Q.BOXES.df(spark, str(tmp_path)).collect()}
+    assert len(got) == n + 4 and got.keys() == boxes.keys()
+    for k, b in boxes.items():
+        xs = [0.9 * x - 0.1 * y + 0.05 for x in (b.x, b.x + b.w) for y in (b.y, b.y + b.h)]
+        assert got[k].page == int(k > 2) and abs(got[k].bx - min(xs)) < 2e-6 and abs(got[k].bw - (max(xs) - min(xs))) < 2e-6
