@@ -107,6 +107,13 @@ def class_at_point(points, items):
     return j.groupBy(points.image.alias("image"), "point").agg(F.coalesce(best, F.lit("background")).alias("class"))
 
 
+def class_of(px, py, boxes):
+    """The same for a point beside the array of its image's items, without a row for each pair."""
+    inside = F.filter(boxes, lambda b: (px >= b["x"]) & (px <= b["x"] + b["w"]) & (py >= b["y"]) & (py <= b["y"] + b["h"]))
+    best = F.array_min(F.transform(inside, lambda b: F.struct((b["w"] * b["h"]).alias("area"), b["item"].alias("item"), b["class"].alias("class"))))
+    return F.coalesce(best["class"], F.lit("background"))
+
+
 def _slice_axes(s, d):
     o = table(s, d, "documents").select("doc_id", "lang", "source")
     return o.selectExpr("doc_id", "stack(2, 'lang', lang, 'source', source) AS (axis, key)").where("key IS NOT NULL")

@@ -11,7 +11,7 @@ from folia.functions import geometry as G
 from folia.functions import text as X
 from folia.operators import selection as S
 from folia.plans.base import F, table
-from folia.plans.derive_queries import COARSE_SQL, ITEMS, PAGES, class_at_point, coarse
+from folia.plans.derive_queries import COARSE_SQL, ITEMS, PAGES, class_of, coarse
 from folia.plans.join_queries import SCORES, SITES, shingle_containment, SHINGLES_SQL, CELLS
 from folia.sources.literal import Literal
 
@@ -125,12 +125,16 @@ def _series(s, d):
     return m.join(idx, ["image", "chart", "series"]).select("image", "mark", C("label").cast("bigint").alias("label"))
 
 
-def _cells(s, d):
+def _free_cells(s, d):
+    """Up to 40 cells of a table whose centre lies in no other one."""
     a, b = CELLS.df(s, d).alias("a"), CELLS.df(s, d).alias("b")
     cx, cy = (C("a.x0") + C("a.x1")) / 2, (C("a.y0") + C("a.y1")) / 2
     inside = (C("a.t") == C("b.t")) & (C("a.cell") != C("b.cell")) & (cx >= C("b.x0")) & (cx < C("b.x1")) & (cy >= C("b.y0")) & (cy < C("b.y1"))
-    free = S.capped(a.join(b, inside, "left_anti").select("t", "cell"), ["t"], C("cell"), 40)
-    return free.selectExpr("t", "cell", "stack(2, 'cell_row', cell, 'cell_col', t) AS (probe, label)")
+    return S.capped(a.join(b, inside, "left_anti").select("t", "cell"), ["t"], C("cell"), 40)
+
+
+def _cells(s, d):
+    return _free_cells(s, d).selectExpr("t", "cell", "stack(2, 'cell_row', cell, 'cell_col', t) AS (probe, label)")
 
 
 def _glyph_rows(s, d):
@@ -145,11 +149,12 @@ def uniform(key, salt: int):
 
 
 def _points(s, d):
-    """96 hashed points of each image with the class they fall on."""
-    pts = ITEMS.df(s, d).select("image").distinct().select("image", F.explode(F.sequence(F.lit(1), F.lit(96)).cast("array<bigint>")).alias("point"))
-    key = F.concat_ws("/", C("image").cast("string"), C("point").cast("string"))
-    pts = pts.withColumn("px", uniform(key, 1)).withColumn("py", uniform(key, 2))
-    return class_at_point(pts, ITEMS.df(s, d)).groupBy("image", "class").agg(F.count("*").alias("n"))
+    """96 hashed points of each image with the class they fall on. An image is one row with its items and points, so that the points are never sorted or dealt out."""
+    at = lambda i: F.concat_ws("/", C("image").cast("string"), i.cast("string"))
+    pts = F.transform(F.sequence(F.lit(1), F.lit(96)), lambda i: F.struct(uniform(at(i), 1).alias("px"), uniform(at(i), 2).alias("py")))
+    boxes = ITEMS.df(s, d).groupBy("image").agg(F.collect_list(F.struct("item", "class", "x", "y", "w", "h")).alias("boxes"))
+    hit = boxes.select("image", F.transform(pts, lambda p: class_of(p["px"], p["py"], C("boxes"))).alias("hit"))
+    return hit.select("image", "hit", F.explode(F.array_distinct("hit")).alias("class")).select("image", "class", F.size(F.filter("hit", lambda x: x == C("class"))).cast("bigint").alias("n"))
 
 
 def _extents(s, d):
@@ -165,24 +170,24 @@ def _summary(s, d):
 
 def _build(s, d):
     """Rows and images of each probe family, and of all images those whose sampling fails (an item without an extent)."""
-    text = lambda c: C(c).cast("string")
     bad = ITEMS.df(s, d).groupBy("image").agg(F.count_if((C("w") <= 0) | (C("h") <= 0)).alias("bad")).where("bad > 0").select("image")
     items = lambda t: t.join(bad, "image", "left_anti")  # noqa: E731  one bad image costs its own rows only
-    cells = _cells(s, d)
     families = [
-        ("series_id", _series(s, d).select(text("image").alias("image"))),
-        ("point_value", MARKS.df(s, d).where("valid AND axis IS NOT NULL").select(text("image").alias("image"))),
-        *[(p, cells.where(C("probe") == p).select(text("t").alias("image"))) for p in ("cell_row", "cell_col")],
-        ("glyph_id", _glyph_rows(s, d).select(text("image").alias("image"))),
-        ("pl1_class", items(_points(s, d)).select(text("image").alias("image"), F.explode(F.array_repeat(F.lit(1), C("n").cast("int")))).select("image")),
-        ("pl2_extent", items(_extents(s, d)).select(text("image").alias("image"))),
-        ("pl3_summary", _summary(s, d).select(text("image").alias("image"))),
+        (["series_id"], _series(s, d)),
+        (["point_value"], MARKS.df(s, d).where("valid AND axis IS NOT NULL")),
+        (["cell_row", "cell_col"], _free_cells(s, d).withColumnRenamed("t", "image")),
+        (["glyph_id"], _glyph_rows(s, d)),
+        (["pl1_class"], items(_points(s, d))),
+        (["pl2_extent"], items(_extents(s, d))),
+        (["pl3_summary"], _summary(s, d)),
     ]
-    rows = None
-    for name, t in families:
-        t = t.select(F.lit(name).alias("family"), "image")
-        rows = t if rows is None else rows.unionByName(t)
-    counts = rows.groupBy("family").agg(F.count("*").alias("rows"), F.count_distinct("image").alias("images"))
+    counts = None
+    for names, t in families:
+        # images are counted where their rows are; only counts leave a family
+        of = t.groupBy("image").agg(F.sum("n").alias("rows") if "n" in t.columns else F.count("*").alias("rows"))
+        of = of.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("image").alias("images"))
+        of = of.select(F.explode(F.array(*map(F.lit, names))).alias("family"), "rows", "images")
+        counts = of if counts is None else counts.unionByName(of)
     return counts.unionByName(bad.agg(F.lit("failed").alias("family"), F.lit(0).cast("bigint").alias("rows"), F.count("*").alias("images")))
 
 

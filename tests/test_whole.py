@@ -263,3 +263,20 @@ def test_sidecars_in_parts(spark, tmp_path):
     for k, b in boxes.items():
         xs = [0.9 * x - 0.1 * y + 0.05 for x in (b.x, b.x + b.w) for y in (b.y, b.y + b.h)]
         assert got[k].page == int(k > 2) and abs(got[k].bx - min(xs)) < 2e-6 and abs(got[k].bw - (max(xs) - min(xs))) < 2e-6
+
+
+def test_points_of_images(spark):
+    """Against points joined with items row by row; neither sorts nor deals out points."""
+    from pyspark.sql import functions as F
+
+    from folia.plans import derive_queries, window_queries as W
+
+    items = W.ITEMS.df(spark, DATA)
+    pts = items.select("image").distinct().select("image", F.explode(F.sequence(F.lit(1), F.lit(96)).cast("array<bigint>")).alias("point"))
+    key = F.concat_ws("/", F.col("image").cast("string"), F.col("point").cast("string"))
+    pts = pts.withColumn("px", W.uniform(key, 1)).withColumn("py", W.uniform(key, 2))
+    want = derive_queries.class_at_point(pts, items).groupBy("image", "class").agg(F.count("*").alias("n"))
+    got = catalog.QUERIES["smp_pl1_class"](spark, DATA)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in catalog.QUERIES["smp_build"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
