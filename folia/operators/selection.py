@@ -6,11 +6,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.sources.sinks import stored
+
 
 def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
 
 
+def ranked_whole(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """The place of every row among all, by columns in ascending order.
+
+    Ranges of the order are sorted apart and written once with each row's place in its range; the rows of the ranges
+    before are then added, so that no task holds more than a range.
+    """
+    bits = 33  # of the id within a task
+    at = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranks")
+    at = at.withColumn("_range", F.shiftright("_at", bits))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = at.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    return at.join(F.broadcast(ranges), "_range").withColumn(name, place).drop("_at", "_range", "_before")
+
+
 def relaxed_selection(pages: DataFrame, *, doc: str, cluster: str, order: list, per_doc: int, per_cluster: int) -> DataFrame:
     """At most ``per_doc`` pages of a document and then ``per_cluster`` of a cluster, by rank: the set form of round-robin selection, in two shuffles."""
     kept = ranked(pages, [doc], order, "_d").where(F.col("_d") <= per_doc)

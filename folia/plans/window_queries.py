@@ -199,6 +199,11 @@ _BUILD_SQL = f"""WITH {MARKS.cte('m')}, {GLYPHS.cte('g')}, {CELLS.cte('f')}, {IT
   UNION ALL SELECT 'failed', 0, count(*) FROM bad"""
 
 
+def _sorted(s, d):
+    place = F.array_position(F.array(F.lit("u"), F.lit("t")), C("family"))
+    return S.ranked_whole(SCORES.df(s, d).select("image", "arm", place.alias("_place")), ["_place", "image", "arm"]).select("image", "arm", "rank")
+
+
 QUERIES = {
     "win_cluster_order": (_cluster_order, f"WITH {PAGES.cte('f')} SELECT id, row_number() OVER (PARTITION BY {COARSE_SQL} ORDER BY coalesce(p50, 0.0), area DESC, sha, page) AS rank FROM f"),
     "win_cluster_rarity": (_rarity, f"WITH {PAGES.cte('f')}, n AS (SELECT {COARSE_SQL} AS sig, count(*) AS n FROM f GROUP BY 1) SELECT sig, n, row_number() OVER (ORDER BY n, sig) AS rank FROM n"),
@@ -218,7 +223,7 @@ QUERIES = {
     "topk_candidates": (lambda s, d: S.ranked(shingle_containment(s, d), ["doc"], [F.desc("gold_share"), "gold"]).where("rank <= 20").select("doc", "gold", "rank"), f"WITH {SHINGLES_SQL} SELECT doc, gold, rank FROM (SELECT doc, gold, row_number() OVER (PARTITION BY doc ORDER BY shared / n_gold DESC, gold) AS rank FROM hits) WHERE rank <= 20"),
     "topk_most_common": (lambda s, d: table(s, d, "documents").select(F.explode(X.plain_words(C("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(10), "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*[a-z]|[a-z]')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 10"),
     "argmax_best": (lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best")), "SELECT o_custkey, best FROM (SELECT o_custkey, o_orderkey AS best, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1"),
-    "sort_deterministic": (lambda s, d: SCORES.df(s, d).withColumn("rank", F.row_number().over(Window.orderBy(F.array_position(F.array(F.lit("u"), F.lit("t")), C("family")), "image", "arm")).cast("bigint")).select("image", "arm", "rank"), f"WITH {SCORES.cte('f')} SELECT image, arm, row_number() OVER (ORDER BY list_position(['u', 't'], family), image, arm) AS rank FROM f"),
+    "sort_deterministic": (_sorted, f"WITH {SCORES.cte('f')} SELECT image, arm, row_number() OVER (ORDER BY list_position(['u', 't'], family), image, arm) AS rank FROM f"),
     "limit_n": (lambda s, d: table(s, d, "documents").select("doc_id", "lang").orderBy("lang", "doc_id").limit(25), "SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 25"),
     "nearest_point": (lambda s, d: S.ranked(ITEMS.df(s, d).select("image", "item", F.round((C("x") - 0.3) ** 2 + (C("y") - 0.3) ** 2, 9).alias("dist")), ["image"], ["dist", "item"]).where("rank = 1").select("image", "item"), f"WITH {ITEMS.cte('f')} SELECT image, item FROM (SELECT image, item, row_number() OVER (PARTITION BY image ORDER BY round((x - 0.3) ** 2 + (y - 0.3) ** 2, 9), item) AS r FROM f) WHERE r = 1"),
     "knn_vote": (knn, knn_sql()),

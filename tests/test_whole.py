@@ -280,3 +280,20 @@ def test_points_of_images(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in catalog.QUERIES["smp_build"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranked_whole(spark):
+    from folia.operators import selection
+
+    df = spark.range(0, 6000, 1, 6).selectExpr("id", "id * 7919 % 600 AS a", "concat('k', id * 31 % 40) AS b")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = selection.ranked_whole(df, ["a", "b"]).collect()
+        # the only window left counts ranges, never rows
+        plan = catalog.QUERIES["sort_deterministic"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["rank"] for r in got) == list(range(1, 6001)) and len({r.id for r in got}) == 6000
+    keys = [(r.a, r.b) for r in sorted(got, key=lambda r: r["rank"])]
+    assert keys == sorted(keys)
