@@ -62,3 +62,21 @@ def hits(docs: DataFrame, text: Column, gold: DataFrame, gold_text: Column, k: i
                 at = end
 
     return docs.select("doc", text.alias("t")).mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, g string")
+
+
+def counts(docs: DataFrame, text: Column, chars: int = 12, words: int = 8) -> DataFrame:
+    """``docs`` (doc) with the numbers of distinct ``X.char_shingles`` and ``X.word_shingles`` of their text, exactly and without a column of windows."""
+
+    def of(t: str | None) -> tuple[int, int]:
+        if not t:
+            return 0, int(t is not None)
+        w = t.split(" ")
+        n = len({t[i : i + chars] for i in range(len(t) - chars + 1)}) if len(t) >= chars else 1
+        return n, len(set(zip(*(w[j:] for j in range(words)), strict=False))) if len(w) >= words else 1
+
+    def run(batches):
+        for batch in batches:
+            found = [of(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))], names=["doc", "n", "n_words"])
+
+    return spread(docs).select("doc", text.alias("t")).mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, n bigint, n_words bigint")

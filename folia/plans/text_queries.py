@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folia.functions import text as X
 from folia.functions import trees
+from folia.operators import shingles
 from folia.plans.base import F, col_query, literal_query, table
 from folia.sources.literal import Literal
 
@@ -36,8 +37,8 @@ def _sim(fn):
 
 
 def _shingle_counts(spark, sf_dir):
-    t = X.norm_simple(C("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.char_shingles(t)).cast("bigint").alias("n"), F.size(X.word_shingles(t)).cast("bigint").alias("n_words"))
+    docs = table(spark, sf_dir, "documents").select(C("doc_id").alias("doc"), "text")
+    return shingles.counts(docs, X.norm_simple(C("text"))).withColumnRenamed("doc", "doc_id")
 
 
 def _repetition(d):

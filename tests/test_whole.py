@@ -297,3 +297,17 @@ def test_ranked_whole(spark):
     assert sorted(r["rank"] for r in got) == list(range(1, 6001)) and len({r.id for r in got}) == 6000
     keys = [(r.a, r.b) for r in sorted(got, key=lambda r: r["rank"])]
     assert keys == sorted(keys)
+
+
+def test_shingle_counts(spark, tmp_path):
+    texts = ["", "   ", None, "abc", "a b c d e f g h i a b c d e f g h", "hello world, hello world, hello world", "Ä日本 \U0001f600 x  y z\n", "ab " * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.QUERIES["str_char_shingles"](spark, str(tmp_path))
+    got = {r.doc_id: (r.n, r.n_words) for r in df.collect()}
+    for i, t in enumerate(texts):
+        t = None if t is None else re.sub(r"\s+", " ", t).strip(" ").lower()
+        w = (t or "").split(" ")
+        n = len({t[k : k + 12] for k in range(len(t) - 11)}) if t and len(t) >= 12 else int(bool(t))
+        assert got[i] == (n, len({tuple(w[k : k + 8]) for k in range(max(1, len(w) - 7))}) if t is not None else 0)
+    # no column of windows
+    assert "array_distinct" not in df._jdf.queryExecution().optimizedPlan().toString()
