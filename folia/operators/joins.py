@@ -102,30 +102,38 @@ def similar_pairs(df: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, jaccard) of ids of one family whose sets (id, family, gs: distinct elements) are ``threshold`` alike or more.
 
     Equal sets are compared once. Only sets that share one of their rarest elements can be alike (of n elements the first
-    n - ceil(threshold * n) + 1 by frequency), so that what many sets have in common puts nothing together; candidates of
-    fitting sizes are then compared on full sets of 64-bit element hashes.
+    n - ceil(threshold * n) + 1 by frequency), so that what many sets have in common puts nothing together. Elements, as
+    64-bit hashes, are dealt out once; those of one set alone only count from there on, since two sets have in common
+    what each of them shares with others, and candidates of fitting sizes are compared on that.
     """
-    # sets are computed once, hashed and told apart when they are read again
-    rows = stored(df.select("id", "family", F.sort_array(F.transform("gs", lambda g: F.xxhash64(g))).alias("hs")), "sets").where(F.size("hs") > 0).withColumn("set", F.xxhash64("family", "hs"))
-    members = rows.select("id", "family", "set")
-    sets = stored(rows.groupBy("family", "set").agg(F.first("hs").alias("hs")).withColumn("n", F.size("hs")), "sets")
-    elements = sets.select("family", "set", "n", F.explode("hs").alias("h"))
-    often = elements.groupBy("family", "h").agg(F.count("*").alias("often")).where("often > 1")
-    of_set = Window.partitionBy("family", "set")
-    # elements of one set alone come first and can't be shared; they only count
-    rank = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("often", "h"))
-    prefix = elements.join(often, ["family", "h"]).withColumn("rank", rank)
-    prefix = prefix.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("family", "set", "n", "h")
-    a, b = (prefix.select("family", "h", F.col("set").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    near = a.join(b, ["family", "h"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold))).select("family", "a", "b").distinct()
+    # sets are computed once, hashed and told apart when they are read again; those of no family have no partners
+    hashed = df.where("family IS NOT NULL").select("id", "family", F.sort_array(F.transform("gs", lambda g: F.xxhash64(g))).alias("hs"))
+    rows = stored(hashed, "sets").where(F.size("hs") > 0).select("id", F.xxhash64("family", "hs").alias("set"), F.size("hs").alias("n"), "family", "hs")
+    members = stored(rows.select("id", "set"), "sets")
+    # the same set and size row after row costs a shuffle little; a family's elements are its own
+    dealt = rows.select("set", "n", "family", F.explode("hs").alias("h")).select("set", "n", F.xxhash64("family", "h").alias("k")).repartition("k")
+    of_element = Window.partitionBy("k").orderBy("set")
+    once = dealt.withColumn("last", F.lag("set").over(of_element)).where("last IS NULL OR last <> set").drop("last")
+    often = once.withColumn("often", F.count("*").over(Window.partitionBy("k"))).where("often > 1")
+    by_set = often.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("often", "k"))).alias("ks"))
+    sets = stored(by_set.select("set", "n", F.transform("ks", lambda x: x["k"]).alias("ks")), "sets")
+    # elements of one set alone come first and can't be shared
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1 - (F.col("n") - F.size("ks"))
+    prefix = sets.select("set", "n", F.explode(F.slice("ks", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("k"))
+    a, b = (prefix.select("k", F.col("set").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)))
+    near = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    # what two sets have in common lies in both prefixes or behind that prefix which ends first
+    behind = F.greatest(*(F.ceil(F.col(n) * F.lit(threshold)) - 1 for n in ("na", "nb")))
+    near = near.where(F.col("both") + behind >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6).drop("both")
     for x in "ab":
-        near = near.join(sets.select("family", F.col("set").alias(x), F.col("hs").alias(f"h{x}")), ["family", x])
-    shared = F.size(F.array_intersect("ha", "hb"))
-    pairs = near.select("family", "a", "b", (shared / (F.size("ha") + F.size("hb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    same = members.groupBy("family", "set").agg(F.count("*").alias("n")).where("n > 1").select("family", F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("jaccard"))
+        near = near.join(sets.select(F.col("set").alias(x), F.col("ks").alias(f"k{x}")), x)
+    shared = F.size(F.array_intersect("ka", "kb"))
+    pairs = near.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    same = members.groupBy("set").agg(F.count("*").alias("n")).where("n > 1").select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("jaccard"))
     pairs = pairs.unionByName(same)
     for x in "ab":
-        pairs = pairs.join(members.select("family", F.col("set").alias(x), F.col("id").alias(f"id_{x}")), ["family", x])
+        pairs = pairs.join(members.select(F.col("set").alias(x), F.col("id").alias(f"id_{x}")), x)
     inside = F.col("a") == F.col("b")
     pairs = pairs.where(~inside | (F.col("id_a") < F.col("id_b")))
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard")

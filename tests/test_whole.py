@@ -299,6 +299,26 @@ def test_ranked_whole(spark):
     assert keys == sorted(keys)
 
 
+def test_similar_pairs_deal_elements_once(spark):
+    """Bytes shuffled for each element, where nearly all lie in one set alone; pairs of sets and copies are found."""
+    from folia.operators import joins
+
+    size, n = 200, 400
+    sets = [list(range(size * i, size * (i + 1))) for i in range(n)]
+    sets += [sets[0], sets[1][:150] + [-1] * 1, []]
+    df = spark.createDataFrame([(i, "x" if i != 7 else None, x) for i, x in enumerate(sets)], "id bigint, family string, gs array<bigint>")
+    jsc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        jsc.listenerBus().waitUntilEmpty(30_000)
+        return sum(jsc.statusStore().executorList(True).apply(i).totalShuffleWrite() for i in range(jsc.statusStore().executorList(True).size()))
+
+    at = shuffled()
+    got = sorted((r.a, r.b, r.jaccard) for r in joins.similar_pairs(df, 0.5).collect())
+    assert got == [(0, n, 1.0), (1, n + 1, 150 / 201)]
+    assert 8 < (shuffled() - at) / (size * n) < 25
+
+
 def test_shingle_counts(spark, tmp_path):
     texts = ["", "   ", None, "abc", "a b c d e f g h i a b c d e f g h", "hello world, hello world, hello world", "Ä日本 \U0001f600 x  y z\n", "ab " * 5000]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
